@@ -13,7 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.digests import digest_bucket, digest_share
 from ..session import settle
@@ -41,9 +41,20 @@ def up_to(df: DataFrame, order: Sequence[str], values: Sequence[Any]) -> Column:
     return kept
 
 
-def _inside(df: DataFrame, order: Sequence[str], low: tuple | None, high: tuple | None) -> Column:
-    inside = F.lit(True) if high is None else up_to(df, order, high)
-    return inside if low is None else inside & ~up_to(df, order, low)
+def _table(df: DataFrame, group: str, order: Sequence[str], bounds: Sequence[str], rows: list[tuple]) -> DataFrame:
+    """A broadcast table: one row per group, order values per named bound, a number."""
+    columns = [StructField(group, df.schema[group].dataType)]
+    for bound in bounds:
+        columns += [StructField(f"__{bound}_{name}", df.schema[name].dataType) for name in order]
+    columns.append(StructField("__number", DoubleType()))
+    unset = [None] * len(order)
+    flat = [(g, *(v for values in found for v in (values or unset)), float(n)) for g, *found, n in rows]
+    return F.broadcast(df.sparkSession.createDataFrame(flat, StructType(columns)))
+
+
+def _reached(df: DataFrame, order: Sequence[str], bound: str) -> Column:
+    """The row is at or before the bound of its group; null if the bound is unset."""
+    return up_to(df, order, [F.col(f"__{bound}_{name}") for name in order])
 
 
 def find_cutoffs(
@@ -60,51 +71,39 @@ def find_cutoffs(
     Nothing is sorted as a whole. A sample of order keys brackets the row
     looked for, exact counts confirm on which side of the brackets it lies,
     and the search goes on inside until a group is small enough to be ranked.
-    Only order columns are read; the driver sees samples and counts.
+    Only order columns are read; the driver sees samples and counts. The
+    groups must be few, such as the datasets of a mix.
     """
     keys = df.select(group, *order)
-    kind = df.schema[group].dataType
     # group -> lower bound (excluded), upper bound, rows at or before the lower bound, rows inside
     spans = {g: (None, None, 0, sizes[g]) for g in wanted}
 
-    def in_span(g: Any) -> Column:
-        low, high, _, _ = spans[g]
-        return (F.col(group) == F.lit(g).cast(kind)) & _inside(df, order, low, high)
+    def inside(bounds: Sequence[str], rows: list[tuple]) -> DataFrame:
+        near = keys.join(_table(df, group, order, ["low", "high", *bounds], rows), group)
+        above = F.coalesce(~_reached(df, order, "low"), F.lit(True))
+        below = F.coalesce(_reached(df, order, "high"), F.lit(True))
+        return near.filter(above & below)
 
     while wide := [g for g, (_, _, _, rows) in spans.items() if rows > exact_rows]:
-        rate = reduce(
-            lambda so_far, g: so_far.when(in_span(g), F.lit(min(1.0, sample_rows / spans[g][3]))),
-            wide,
-            F.when(F.lit(False), F.lit(0.0)),
-        )
         drawn: dict[Any, list[tuple]] = {g: [] for g in wide}
-        for row in keys.filter(F.rand(7) < rate).orderBy(group, *order).collect():
+        rates = [(g, *spans[g][:2], min(1.0, sample_rows / spans[g][3])) for g in wide]
+        sample = inside([], rates).filter(F.rand(7) < F.col("__number")).select(group, *order)
+        for row in sample.orderBy(group, *order).collect():
             drawn[row[0]].append(tuple(row[1:]))
         brackets = {}
         for g in wide:
-            _, _, skipped, rows = spans[g]
-            share = (wanted[g] - skipped) / rows
+            share = (wanted[g] - spans[g][2]) / spans[g][3]
             spread = 3 * (len(drawn[g]) * share * (1 - share)) ** 0.5 + 2
-            lower = int(share * len(drawn[g]) - spread)
-            upper = int(share * len(drawn[g]) + spread)
-            brackets[g] = (
-                drawn[g][lower] if 0 <= lower < len(drawn[g]) else None,
-                drawn[g][upper] if 0 <= upper < len(drawn[g]) else None,
-            )
-        checks = []
-        for at, g in enumerate(wide):
-            for side, bound in enumerate(brackets[g]):
-                hit = F.lit(False) if bound is None else in_span(g) & up_to(df, order, bound)
-                checks.append(F.count_if(hit).alias(f"c{at}_{side}"))
-        counted = keys.agg(*checks).first()
-        for at, g in enumerate(wide):
+            places = [int(share * len(drawn[g]) + shift) for shift in (-spread, spread)]
+            brackets[g] = [drawn[g][at] if 0 <= at < len(drawn[g]) else None for at in places]
+        checks = inside(["left", "right"], [(g, *spans[g][:2], *brackets[g], 0) for g in wide])
+        counts = checks.groupBy(group).agg(
+            F.count_if(_reached(df, order, "left")), F.count_if(_reached(df, order, "right"))
+        )
+        for g, left, right in counts.collect():
             low, high, skipped, rows = spans[g]
-            lower, upper = brackets[g]
             edges = [(low, skipped)]
-            if lower is not None:
-                edges.append((lower, skipped + counted[f"c{at}_0"]))
-            if upper is not None:
-                edges.append((upper, skipped + counted[f"c{at}_1"]))
+            edges += [(b, skipped + n) for b, n in zip(brackets[g], (left, right)) if b is not None]
             edges.append((high, skipped + rows))
             for (start, before), (end, until) in zip(edges, edges[1:]):
                 if before < wanted[g] <= until:
@@ -114,20 +113,19 @@ def find_cutoffs(
                     break
 
     ranked = Window.partitionBy(group).orderBy(*order)
-    near = keys.filter(reduce(or_, [in_span(g) for g in spans], F.lit(False)))
-    near = near.withColumn("__rank", F.row_number().over(ranked)).withColumn(
-        "__tied", F.lead(F.struct(*order)).over(ranked) == F.struct(*order)
-    )
-    hits = reduce(
-        or_,
-        [(F.col(group) == F.lit(g).cast(kind)) & (F.col("__rank") == wanted[g] - spans[g][2]) for g in spans],
-        F.lit(False),
+    targets = [(g, low, high, wanted[g] - skipped) for g, (low, high, skipped, _) in spans.items()]
+    hits = (
+        inside([], targets)
+        .withColumn("__rank", F.row_number().over(ranked))
+        .withColumn("__tied", F.lead(F.struct(*order)).over(ranked) == F.struct(*order))
+        .filter(F.col("__rank") == F.col("__number"))
+        .select(group, "__tied", *order)
     )
     found = {}
-    for row in near.filter(hits).collect():
-        if row["__tied"]:
-            raise ValueError(f"order columns {list(order)} are not unique in {row[0]!r}")
-        found[row[0]] = tuple(row[1 : 1 + len(order)])
+    for g, tied, *values in hits.collect():
+        if tied:
+            raise ValueError(f"order columns {list(order)} are not unique in {g!r}")
+        found[g] = tuple(values)
     return found
 
 
@@ -175,16 +173,9 @@ def keep_prefixes(
     rows are neither sorted nor shuffled. Groups without a fraction are left out.
     """
     cutoffs = prefix_cutoffs(df, group, order, fractions, exact_rows, sample_rows)
-    names = [f"__upto_{name}" for name in order]
-    ends = df.sparkSession.createDataFrame(
-        [(g, end is None, *(end or [None] * len(order))) for g, end in cutoffs.items()],
-        StructType(
-            [StructField(group, df.schema[group].dataType), StructField("__whole", BooleanType())]
-            + [StructField(end, df.schema[name].dataType) for end, name in zip(names, order)]
-        ),
-    )
-    kept = F.col("__whole") | up_to(df, order, [F.col(name) for name in names])
-    return df.join(F.broadcast(ends), group).filter(kept).drop("__whole", *names)
+    ends = _table(df, group, order, ["end"], [(g, end, end is None) for g, end in cutoffs.items()])
+    kept = (F.col("__number") == 1) | _reached(df, order, "end")
+    return df.join(ends, group).filter(kept).drop("__number", *[f"__end_{name}" for name in order])
 
 
 def first_rows(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
