@@ -322,6 +322,12 @@ ORACLES["pack_blocks"] = f"""
       cast(sum(n_tokens) over (order by doc_id) as bigint) - n_tokens as first_token,
       cast(sum(n_tokens) over () as bigint) as total
     from ({COUNTS}) where n_tokens > 0))"""
+ORACLES["packed_tokens"] = f"""
+  select block_id, cast(count(*) as int) as n_tokens, string_agg(token, ' ' order by doc_id, spot) as text from (
+    select doc_id, spot, token, (row_number() over (order by doc_id, spot) - 1) // 1024 as block_id from (
+      select doc_id, unnest(range(1, len(t) + 1)) as spot, unnest(t) as token
+      from (select doc_id, {token_list('text')} as t from documents)))
+  group by block_id"""
 ORACLES["max_length_filter"] = f"select doc_id, text from documents where len({token_list('text')}) < 128"
 ORACLES["prompt_completion_pairs"] = f"""
   select doc_id, concat('Topic: ', source) as prompt,

@@ -237,10 +237,12 @@ def with_digest_rank(df: DataFrame, digest: str, keys: Sequence[str], target: st
 def _sorted_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Globally sorted rows, stored, with their partition and place in it.
 
-    Range borders come from a sample, so the sorted rows are written once;
-    the row numbers of a second run could differ.
+    Range borders come from a sample, so the sorted rows are written once; the
+    row numbers of a second run could differ. The rows are also written before,
+    as sampling would otherwise repeat the work they come from.
     """
-    placed = settle(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
+    stored = settle(df)
+    placed = settle(stored.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
     return placed.withColumn("__part", F.shiftright("__place", 33))
 
 

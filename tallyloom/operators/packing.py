@@ -18,8 +18,8 @@ def pack_blocks(counts: DataFrame, key: str, n_tokens: str, block_size: int) ->
     """
     if block_size < 1:
         raise ValueError("block_size must be positive")
-    narrow = counts.select(key, F.col(n_tokens).cast("bigint").alias("__n")).filter("__n > 0")
-    placed = with_running_total(narrow, [key], "__n", "__at")
+    narrow = counts.select(key, F.col(n_tokens).cast("bigint").alias("__n"))
+    placed = with_running_total(narrow, [key], "__n", "__at").filter("__n > 0")
     size = F.lit(block_size)
     blocks = placed.select(
         key,
@@ -41,3 +41,17 @@ def pack_blocks(counts: DataFrame, key: str, n_tokens: str, block_size: int) ->
         (end - start).alias("len"),
         ((F.col("block_id") + 1) * size > F.col("__at_all")).alias("is_partial"),
     )
+
+
+def fill_blocks(blocks: DataFrame, sequences: DataFrame, key: str, token_array: str) -> DataFrame:
+    """The tokens of every block from ``pack_blocks``, in order.
+
+    A block holds at most ``block_size`` tokens, so no group can grow.
+    """
+    piece = F.slice(token_array, F.col("start").cast("int") + 1, F.col("len").cast("int"))
+    pieces = blocks.join(sequences.select(key, token_array), key).select(
+        "block_id", F.struct(F.col(key), piece.alias("piece")).alias("part")
+    )
+    return pieces.groupBy("block_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["piece"])).alias(token_array)
+    )

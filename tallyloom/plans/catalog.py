@@ -12,6 +12,7 @@ from ..functions.answers import boxed_answer, numeric_answer, with_clean_answer
 from ..functions.digests import seeded_digest
 from ..operators import fields, metrics, votes
 from ..operators.order import first_by_digest, first_rows, with_digest_rank
+from ..operators.packing import fill_blocks
 from ..operators.packing import pack_blocks as pack
 from ..session import work_folder
 from ..sources.problems import problem_feed, validation_problems
@@ -168,7 +169,7 @@ def answer_normalize(spark, folder):
 
 @query
 def document_normalize(spark, folder):
-    docs = inputs.table(spark, folder, "documents").select("doc_id", "text")
+    docs = inputs.busy_table(spark, folder, "documents", "doc_id", "text")
     return with_clean_answer(docs, "text", "clean").select("doc_id", "clean")
 
 
@@ -379,12 +380,13 @@ def integer_problems(spark, folder):
 
 @query
 def token_count(spark, folder):
-    return inputs.table(spark, folder, "documents").select("doc_id", tokens.token_count("text").alias("n_tokens"))
+    docs = inputs.busy_table(spark, folder, "documents", "doc_id", "text")
+    return docs.select("doc_id", tokens.token_count("text").alias("n_tokens"))
 
 
 @query
 def token_truncate(spark, folder):
-    docs = inputs.table(spark, folder, "documents")
+    docs = inputs.busy_table(spark, folder, "documents", "doc_id", "text")
     cut = tokens.effective_max_length(MAX_TOKENS)
     return docs.select(
         "doc_id",
@@ -398,6 +400,14 @@ def pack_blocks(spark, folder):
     return pack(token_count(spark, folder), "doc_id", "n_tokens", BLOCK_SIZE)
 
 
+@query
+def packed_tokens(spark, folder):
+    docs = inputs.busy_table(spark, folder, "documents", "doc_id", "text")
+    sequences = docs.select("doc_id", tokens.tokens("text").alias("tokens"))
+    filled = fill_blocks(pack_blocks(spark, folder), sequences, "doc_id", "tokens")
+    return filled.select("block_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("text"))
+
+
 @query
 def max_length_filter(spark, folder):
     docs = inputs.table(spark, folder, "documents").select("doc_id", "text")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import NO_ANSWER
 from ..functions.templates import prompt_text
 from ..operators.conversations import assemble
+from ..session import spread
 
 SOURCES = [f"src{i}" for i in range(20)]
 # Mixed shares, among them nothing, everything and a product that rounds down.
@@ -69,8 +70,14 @@ STDERR = f"""concat(
   case when event_id % 3 = 1 then concat(' ', chr(10)) else '' end)"""
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return rows.select(*columns) if columns else rows
+
+
+def busy_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows need much work each, on all cores even if it is small."""
+    return spread(table(spark, folder, name, *columns))
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,7 +104,7 @@ def truth(spark: SparkSession, folder: str) -> DataFrame:
 
 def solutions(spark: SparkSession, folder: str) -> DataFrame:
     """Decorated solutions in three rounds."""
-    return table(spark, folder, "events").select(
+    return busy_table(spark, folder, "events", "user_id", "event_id", "value").select(
         F.col("user_id").alias("problem_id"),
         "event_id",
         (F.col("event_id") % 3).cast("int").alias("round"),
@@ -146,7 +153,7 @@ def executions(spark: SparkSession, folder: str, num_steps: int = 4) -> DataFram
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     """event_id, script, stdout, success, stderr of one program run per event."""
-    return table(spark, folder, "events").select(
+    return busy_table(spark, folder, "events", "event_id", "event_type", "value").select(
         "event_id",
         F.expr(SCRIPT).alias("script"),
         F.concat(F.lit("\n "), F.col("value").cast("string"), F.lit("\t\n")).alias("stdout"),

@@ -27,6 +27,16 @@ def with_final_answer(df: DataFrame, text: Column | str, target: str) -> DataFra
     return with_clean_answer(df, F.when(mentions_box(text), boxed_answer(text)).otherwise(text), target)
 
 
+def expected_answers(references: DataFrame, problem: str, reference: str) -> DataFrame:
+    """Problem and clean reference answer, one row per problem."""
+    return with_final_answer(references, reference, "expected").select(problem, "expected")
+
+
+def _matches(df: DataFrame, solution: str) -> DataFrame:
+    answered = with_final_answer(df, solution, "final_answer")
+    return answered.filter(F.col("final_answer") == F.col("expected")).drop("expected")
+
+
 def matching_solutions(
     candidates: DataFrame, references: DataFrame, problem: str, solution: str, order: str, reference: str
 ) -> DataFrame:
@@ -35,10 +45,8 @@ def matching_solutions(
     ``references`` holds one row per problem. A problem with most of the
     candidates is salted by ``order`` if the references cannot be broadcast.
     """
-    known = with_final_answer(references, reference, "__expected").select(problem, "__expected")
-    answered = with_final_answer(candidates, solution, "final_answer")
-    joined = lookup(answered, known, [problem], [order])
-    return joined.filter(F.col("final_answer") == F.col("__expected")).drop("__expected")
+    known = expected_answers(references, problem, reference)
+    return _matches(lookup(candidates, known, [problem], [order]), solution)
 
 
 def rejection_rounds(
@@ -53,11 +61,15 @@ def rejection_rounds(
     """Accepted solutions when only unsolved problems go to the next round.
 
     A problem is closed by its first round with a match, so the rounds need no
-    loop: keep the matches made in that round.
+    loop: find that round per problem, then keep its matches. Solutions of
+    other rounds are dropped before their answers are read again.
     """
-    matched = matching_solutions(candidates, references, problem, solution, order, reference)
-    solved = settle(matched.groupBy(problem).agg(F.min(attempt).alias(attempt)))
-    return lookup(matched, solved, [problem, attempt], [order], "left_semi")
+    known = expected_answers(references, problem, reference)
+    matched = _matches(lookup(candidates, known, [problem], [order]), solution)
+    closed = matched.groupBy(problem).agg(F.min(attempt).alias("__closed"))
+    solved = settle(known.join(closed, problem))
+    tried = lookup(candidates, solved, [problem], [order]).filter(F.col(attempt) == F.col("__closed"))
+    return _matches(tried.drop("__closed"), solution)
 
 
 def unsolved(problems: DataFrame, accepted: DataFrame, problem: str) -> DataFrame:

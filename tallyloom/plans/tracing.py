@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import NO_ANSWER, boxed_answer, numeric_answer, with_clean_answer
 from ..functions.blocks import (
+    REGION_CHARS,
     answer_region,
     append_output,
     asks_for_output,
@@ -72,11 +73,13 @@ def gather_steps(traces: DataFrame, generations: DataFrame, executions: DataFram
 
 def start(traces: DataFrame) -> DataFrame:
     """State of a trace before its first step."""
-    return (
-        traces.withColumn("gen_texts", F.col("text"))
-        .withColumn("pruned_step", F.lit(None).cast("int"))
-        .withColumn("has_code", F.lit(True))
-        .withColumn("answer_region", F.lit(None).cast("string"))
+    return traces.withColumns(
+        {
+            "gen_texts": F.col("text"),
+            "pruned_step": F.lit(None).cast("int"),
+            "has_code": F.lit(True),
+            "answer_region": F.lit(None).cast("string"),
+        }
     )
 
 
@@ -86,10 +89,12 @@ def write_on(df: DataFrame, completion: Column) -> DataFrame:
     return df.withColumn("gen_texts", F.when(F.col("pruned_step").isNull(), longer).otherwise(F.col("gen_texts")))
 
 
-def judge(df: DataFrame, last_step: bool, restart_on_fail: bool) -> DataFrame:
+def judge(
+    df: DataFrame, last_step: bool, restart_on_fail: bool, region_chars: int = REGION_CHARS
+) -> DataFrame:
     """Add ``verdict``: what this step does to the trace; the first rule that fits wins."""
     setback = "restart" if restart_on_fail else "prune"
-    tail = answer_region("gen_texts")
+    tail = answer_region("gen_texts", region_chars)
     answers = ~asks_for_output("gen_texts") & states_answer(tail)
     verdict = (
         F.when(F.col("pruned_step").isNotNull(), "over")
@@ -102,26 +107,23 @@ def judge(df: DataFrame, last_step: bool, restart_on_fail: bool) -> DataFrame:
     return df.withColumn("verdict", verdict.when(~asks_for_output("gen_texts"), setback).otherwise("execute"))
 
 
-def move_on(df: DataFrame, step: int, output: Column) -> DataFrame:
+def move_on(df: DataFrame, step: int, output: Column, region_chars: int = REGION_CHARS) -> DataFrame:
     """Carry out the verdict. An answered trace stays alive and may change its answer."""
     verdict = F.col("verdict")
-    return (
-        df.withColumn(
-            "answer_region",
-            F.when(verdict == "answer", answer_region("gen_texts")).otherwise(F.col("answer_region")),
-        )
-        .withColumn(
-            "pruned_step", F.when(verdict.isin("prune", "no_code"), F.lit(step)).otherwise(F.col("pruned_step"))
-        )
-        .withColumn("has_code", F.col("has_code") & (verdict != "no_code"))
-        .withColumn(
-            "gen_texts",
-            F.when(verdict == "restart", F.col("text"))
+    return df.withColumns(
+        {
+            "answer_region": F.when(
+                verdict == "answer", answer_region("gen_texts", region_chars)
+            ).otherwise(F.col("answer_region")),
+            "pruned_step": F.when(verdict.isin("prune", "no_code"), F.lit(step)).otherwise(
+                F.col("pruned_step")
+            ),
+            "has_code": F.col("has_code") & (verdict != "no_code"),
+            "gen_texts": F.when(verdict == "restart", F.col("text"))
             .when(verdict == "execute", append_output("gen_texts", F.coalesce(output, F.lit(""))))
             .otherwise(F.col("gen_texts")),
-        )
-        .drop("verdict")
-    )
+        }
+    ).drop("verdict")
 
 
 def read_answers(df: DataFrame) -> DataFrame:
@@ -132,11 +134,12 @@ def read_answers(df: DataFrame) -> DataFrame:
     region = F.col("answer_region")
     stated = F.when(mentions_box(region), boxed_answer(region)).otherwise(region)
     df = with_clean_answer(df, stated, "model_answers")
-    return (
-        df.withColumn("model_answers", F.coalesce("model_answers", F.lit(NO_ANSWER)))
-        .withColumn("should_prune", F.col("pruned_step").isNotNull())
-        .drop("answer_region")
-    )
+    return df.withColumns(
+        {
+            "model_answers": F.coalesce("model_answers", F.lit(NO_ANSWER)),
+            "should_prune": F.col("pruned_step").isNotNull(),
+        }
+    ).drop("answer_region")
 
 
 def score_traces(
@@ -145,13 +148,18 @@ def score_traces(
     executions: DataFrame,
     num_steps: int = NUM_STEPS,
     restart_on_fail: bool = True,
+    region_chars: int = REGION_CHARS,
 ) -> DataFrame:
-    """Final state of every trace (problem_id, sample_id, text)."""
+    """Final state of every trace (problem_id, sample_id, text).
+
+    A missing completion or output counts as empty. The prompts in ``traces``
+    are shuffled along, which is cheap next to the completions.
+    """
     df = start(gather_steps(traces, generations, executions, num_steps))
     for step in range(num_steps):
         df = write_on(df, F.col(f"completion_{step}"))
-        df = judge(df, step == num_steps - 1, restart_on_fail)
-        df = move_on(df, step, F.col(f"output_{step}"))
+        df = judge(df, step == num_steps - 1, restart_on_fail, region_chars)
+        df = move_on(df, step, F.col(f"output_{step}"), region_chars)
     return read_answers(df).select(
         *TRACE, "text", "gen_texts", "should_prune", "model_answers", "has_code", "pruned_step"
     )

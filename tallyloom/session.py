@@ -50,7 +50,18 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the stored rows.
 
     Used where later steps must see exactly the rows and row numbers of one
-    run, even if an executor is lost in between.
+    run, even if an executor is lost in between, or would repeat costly work.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = work_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core for work heavy on the processor.
+
+    Only small tables need this; the files of large ones already give more
+    partitions than there are cores, and then nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
