@@ -11,7 +11,7 @@ from .order import with_group_place
 
 
 def tally(candidates: DataFrame, problem: str, answer: str, order: Sequence[str]) -> DataFrame:
-    """Votes and first place per problem and answer: ``n`` and ``first``.
+    """Votes and first place per problem and answer: ``vote_count`` and ``first_seen``.
 
     Unreadable answers (null) are tallied as well, so every problem stays.
     Answers are below 1000, so after the map-side step even a problem with
@@ -20,18 +20,18 @@ def tally(candidates: DataFrame, problem: str, answer: str, order: Sequence[str]
     """
     *outer, last = order
     counts = candidates.groupBy(problem, answer, *outer).agg(
-        F.count(F.lit(1)).alias("n"), F.min(last).alias("first")
+        F.count(F.lit(1)).alias("vote_count"), F.min(last).alias("first_seen")
     )
     if not outer:
         return counts
     return counts.groupBy(problem, answer).agg(
-        F.sum("n").alias("n"), F.min(F.struct(*outer, F.col("first").alias(last))).alias("first")
+        F.sum("vote_count").alias("vote_count"), F.min(F.struct(*outer, F.col("first_seen").alias(last))).alias("first_seen")
     )
 
 
 def vote_from_tally(counts: DataFrame, problem: str, answer: str, target: str = "answer") -> DataFrame:
     """Most frequent answer per problem, the first seen among equals, else 0."""
-    rank = F.struct((-F.col("n")).alias("n"), F.col("first"))
+    rank = F.struct((-F.col("vote_count")).alias("vote_count"), F.col("first_seen"))
     best = F.min_by(F.col(answer), F.when(F.col(answer).isNotNull(), rank))
     return counts.groupBy(problem).agg(F.coalesce(best, F.lit(0)).alias(target))
 

@@ -45,6 +45,6 @@ def current_votes(spark: SparkSession, out: str, problem: str, answer: str, targ
     merged = (
         spark.read.parquet(out)
         .groupBy(problem, answer)
-        .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        .agg(F.sum("vote_count").alias("vote_count"), F.min("first_seen").alias("first_seen"))
     )
     return vote_from_tally(merged, problem, answer, target)

@@ -1,0 +1,34 @@
+import pytest
+
+from tallyloom import session
+
+
+def test_settled_rows_are_stored_once_in_the_shared_folder(spark):
+    home = session.shared_folder(spark)
+    stored = session.settle(spark.range(5))
+    assert sorted(row.id for row in stored.collect()) == list(range(5))
+    assert all(path.startswith("file:") and home.split(":")[-1] in path for path in stored.inputFiles())
+
+
+def test_spread_only_touches_small_tables(spark):
+    assert session.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 8
+    wide = spark.range(10).repartition(20)
+    assert session.spread(wide) is wide
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
