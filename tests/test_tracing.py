@@ -35,9 +35,15 @@ def test_answer_without_output_block_is_pruned_in_both_modes(spark):
 
 @pytest.mark.parametrize("stated, answer", [(BOX, "12"), ("The answer is $7$.", "7"), ("answer is \\boxed{3", "-1")])
 def test_answer_after_an_output_block_keeps_the_trace_alive(spark, stated, answer):
-    row = run(spark, [CODE + ASK, "\n" + stated], False, ["1"])
+    output = "1" * 60
+    row = run(spark, [CODE + ASK, "\n" + stated], False, [output])
     assert (row.model_answers, row.should_prune) == (answer, False)
-    assert row.gen_texts == PROMPT + CODE + ASK + "1\n```\n" + stated
+    assert row.gen_texts == PROMPT + CODE + ASK + output + "\n```\n" + stated
+
+
+def test_a_region_that_reaches_into_the_prompt_ends_at_its_problem(spark):
+    row = run(spark, [CODE + ASK, "\nThe answer is $7$."], True, ["1"])
+    assert len(row.gen_texts) < 100 and row.model_answers == "###"
 
 
 def test_a_later_answer_wins_and_a_restart_keeps_it(spark):
