@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +54,15 @@ LEAD_INS = [
 
 # What Python's float() accepts, bar the infinities and NaN: those can never be
 # rounded to an integer. Digits may be grouped by single underscores.
-_DIGITS = r"\d+(?:_\d+)*"
-NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
+
+# Digits of other scripts count as digits too: all of them in the answer
+# clean-up, those with a decimal value where a number is read.
+_OTHER = [chr(code) for code in range(128, sys.maxunicode + 1) if chr(code).isdigit()]
+_OTHER_DECIMALS = [digit for digit in _OTHER if digit.isdecimal()]
+ALL_DIGITS = rf"^[0-9{''.join(_OTHER)}]+\z"
+OTHER_SCRIPT = r"[^\x00-\x7F]"
 
 NO_ANSWER = "-1"
 
@@ -112,17 +122,22 @@ def with_clean_answer(df: DataFrame, source: Column | str, target: str) -> DataF
     text = F.regexp_replace(text, r"sqrt([^{])", "sqrt{$1}")
     df = df.withColumn(target, F.replace(text, F.lit("$"), F.lit("")))
     joined = F.replace(target, F.lit(","), F.lit(""))
-    clean = F.when(joined.rlike(r"^\d+$"), joined).otherwise(F.col(target))
+    clean = F.when(joined.rlike(ALL_DIGITS), joined).otherwise(F.col(target))
     return df.withColumn(target, F.explode(F.array(clean)))
 
 
+def _ascii_digits(text: Column) -> Column:
+    plain = "".join(str(unicodedata.decimal(digit)) for digit in _OTHER_DECIMALS)
+    return F.when(text.rlike(OTHER_SCRIPT), F.translate(text, "".join(_OTHER_DECIMALS), plain)).otherwise(text)
+
+
 def numeric_answer(text: Column | str) -> Column:
     """The answer as an integer in 0..999, or null where it does not count.
 
     Reads a floating point number, rounds half to even, drops negatives and
     unreadable text, and takes the rest modulo 1000.
     """
-    trimmed = strip(text)
+    trimmed = _ascii_digits(strip(text))
     number = F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double")
     rounded = F.rint(number)
     counts = trimmed.rlike(NUMBER) & (rounded >= 0) & (rounded < F.lit(float("inf")))

@@ -22,6 +22,8 @@ from ..session import settle
 EXACT_ROWS = 200_000
 # Order keys sampled per group and round to narrow the search for a cutoff.
 SAMPLE_ROWS = 10_000
+# Keys sampled over all groups together, as they go to the driver.
+MOST_SAMPLED = 1_000_000
 # A top-k of at most this many narrow rows is left to Spark's own merge.
 SMALL_LIMIT = 1_000
 
@@ -86,7 +88,8 @@ def find_cutoffs(
 
     while wide := [g for g, (_, _, _, rows) in spans.items() if rows > exact_rows]:
         drawn: dict[Any, list[tuple]] = {g: [] for g in wide}
-        rates = [(g, *spans[g][:2], min(1.0, sample_rows / spans[g][3])) for g in wide]
+        share = min(sample_rows, max(MOST_SAMPLED // len(wide), 100))
+        rates = [(g, *spans[g][:2], min(1.0, share / spans[g][3])) for g in wide]
         sample = inside([], rates).filter(F.rand(7) < F.col("__number")).select(group, *order)
         for row in sample.orderBy(group, *order).collect():
             drawn[row[0]].append(tuple(row[1:]))
@@ -238,11 +241,10 @@ def _sorted_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Globally sorted rows, stored, with their partition and place in it.
 
     Range borders come from a sample, so the sorted rows are written once; the
-    row numbers of a second run could differ. The rows are also written before,
-    as sampling would otherwise repeat the work they come from.
+    row numbers of a second run could differ. Sampling reads ``df`` a second
+    time: settle it first if its rows are costly to make.
     """
-    stored = settle(df)
-    placed = settle(stored.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
+    placed = settle(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
     return placed.withColumn("__part", F.shiftright("__place", 33))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .order import with_running_total
 
 
@@ -18,7 +19,8 @@ def pack_blocks(counts: DataFrame, key: str, n_tokens: str, block_size: int) ->
     """
     if block_size < 1:
         raise ValueError("block_size must be positive")
-    narrow = counts.select(key, F.col(n_tokens).cast("bigint").alias("__n"))
+    # Stored first, so that no text is tokenised again to find sort borders.
+    narrow = settle(counts.select(key, F.col(n_tokens).cast("bigint").alias("__n")))
     placed = with_running_total(narrow, [key], "__n", "__at").filter("__n > 0")
     size = F.lit(block_size)
     blocks = placed.select(

@@ -434,7 +434,8 @@ def prediction_rows(spark, folder):
 def incremental_vote(spark, folder):
     """The majority vote, fed by a stream of event files."""
     schema = inputs.table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    # As a glob the path may be a file as well as a folder of files.
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
 
     def prepare(batch):
         answer = F.when(F.col("event_type") == "error", "-1").otherwise(F.col("value").cast("string"))

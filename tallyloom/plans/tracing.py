@@ -54,21 +54,24 @@ def gather_steps(traces: DataFrame, generations: DataFrame, executions: DataFram
 
     The three tables are stacked and shuffled once on the trace key, which
     spreads even a problem with most of the rows. The explicit repartition
-    keeps Spark from sorting the unique rows for a map-side aggregate.
+    keeps Spark from sorting the unique rows for a map-side aggregate. A hash
+    of the key leads the grouping: Spark sorts by the first column first, and
+    a problem with most of the rows would make all its comparisons ties.
     """
     stacked = (
         traces.select(*TRACE, "text")
         .unionByName(generations.select(*TRACE, "step", "completion"), allowMissingColumns=True)
         .unionByName(executions.select(*TRACE, "step", "output"), allowMissingColumns=True)
-        .repartition(*TRACE)
+        .withColumn("__trace", F.xxhash64(*TRACE))
+        .repartition("__trace")
     )
     steps = []
     for step in range(num_steps):
         here = F.col("step") == step
         steps.append(F.max(F.when(here, F.col("completion"))).alias(f"completion_{step}"))
         steps.append(F.max(F.when(here, F.col("output"))).alias(f"output_{step}"))
-    gathered = stacked.groupBy(*TRACE).agg(F.max("text").alias("text"), *steps)
-    return gathered.filter(F.col("text").isNotNull())
+    gathered = stacked.groupBy("__trace", *TRACE).agg(F.max("text").alias("text"), *steps)
+    return gathered.filter(F.col("text").isNotNull()).drop("__trace")
 
 
 def start(traces: DataFrame) -> DataFrame:

@@ -45,6 +45,9 @@ CLEAN = [
     ("50%", "50%"),
     ("5 Problem: next", "5"),
     ("5\x85 ", "5"),
+    ("\u0661,\u0662", "\u0661\u0662"),
+    ("1,\u00b2", "1\u00b2"),
+    ("1,2\u2028$", "1,2\u2028"),
     ("", ""),
     (None, None),
 ]
@@ -53,7 +56,8 @@ NUMBERS = [
     ("2.5", 2), ("3.5", 4), ("-0.5", 0), ("-3", None), ("1234", 234), ("1e3", 0), ("1_000", 0),
     (" 12 ", 12), (" 7\n", 7), ("1e300", 160), ("nan", None), ("inf", None), ("1e400", None), ("", None),
     ("1,000", None), ("1d", None), ("5f", None), ("0x1p3", None), (r"\frac{1}{2}", None), ("5.", 5),
-    (".5", 0), ("1.5", 2), ("+7", 7), ("1e1_0", 0), ("_1", None), ("1__0", None), ("1_", None), (None, None),
+    (".5", 0), ("1.5", 2), ("+7", 7), ("1e1_0", 0), ("_1", None), ("1__0", None), ("1_", None),
+    ("\u0661\u0662", 12), ("\U0001d7d7.\u0665", 10), ("\u00b2", None), ("12\u2028", 12), (None, None),
 ]
 
 
