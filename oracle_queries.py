@@ -147,7 +147,7 @@ def token_list(expr: str) -> str:
 
 
 ORACLES["calibration_sample"] = f"""
-  select conv_id, text, len({token_list('text')}) as n_tokens from (
+  select conv_id, text, cast(len({token_list('text')}) as int) as n_tokens from (
     select conv_id, concat('### Problem: ', list(text order by turn)[1], chr(10),
       '### Solution: ', coalesce(list(text order by turn)[2], ''), chr(10)) as text
     from conversations group by conv_id)
@@ -259,8 +259,8 @@ ORACLES["code_block_stats"] = f"""{steps(False)}
   select problem_id, sample_id, n_code, n_output, region, asks, states, code,
     contains(code, 'subprocess') or contains(code, 'venv') as blocked from (
     select problem_id, sample_id,
-      len(regexp_extract_all(gen_texts, '(?s)```python(.*?)```', 1)) as n_code,
-      len(regexp_extract_all(gen_texts, '(?s)```output(.*?)```', 1)) as n_output,
+      cast(len(regexp_extract_all(gen_texts, '(?s)```python(.*?)```', 1)) as int) as n_code,
+      cast(len(regexp_extract_all(gen_texts, '(?s)```output(.*?)```', 1)) as int) as n_output,
       right(gen_texts, 100) as region,
       ends_with(gen_texts, concat('```output', chr(10))) as asks,
       contains(right(gen_texts, 100), 'answer is') or contains(right(gen_texts, 100), '\\boxed') as states,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -292,9 +292,14 @@ def with_group_place(df: DataFrame, group: Sequence[str], order: Sequence[str],
         F.min("__place").alias("__start"), F.count(F.lit(1)).alias("__rows")
     )
     earlier = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0))).drop("__rows")
-    return (
-        rows.join(runs, [*group, "__part"])
-        .withColumn(target, F.col("__place") - F.col("__start") + F.col("__before"))
-        .drop("__part", "__place", "__start", "__before")
+    runs = runs.select(
+        *[F.col(name).alias(f"__of_{name}") for name in group],
+        F.col("__part").alias("__of_part"),
+        "__start",
+        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"),
+    )
+    # Null-safe, so that rows without a group keep their places as well.
+    same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"__of_{name}")) for name in group])
+    return rows.join(runs, same & (F.col("__part") == F.col("__of_part"))).select(
+        *df.columns, (F.col("__place") - F.col("__start") + F.col("__before")).alias(target)
     )

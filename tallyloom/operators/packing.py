@@ -28,11 +28,7 @@ def pack_blocks(counts: DataFrame, key: str, n_tokens: str, block_size: int) ->
         "__n",
         "__at",
         "__at_all",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("__at") / size), F.floor((F.col("__at") + F.col("__n") - 1) / size)
-            )
-        ).alias("block_id"),
+        F.explode(F.expr(f"sequence(__at div {block_size}, (__at + __n - 1) div {block_size})")).alias("block_id"),
     )
     start = F.greatest(F.col("block_id") * size - F.col("__at"), F.lit(0))
     end = F.least((F.col("block_id") + 1) * size - F.col("__at"), F.col("__n"))

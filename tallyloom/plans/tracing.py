@@ -34,6 +34,7 @@ from ..operators.votes import majority_vote
 from ..session import settle
 
 TRACE = ["problem_id", "sample_id"]
+STATE = [*TRACE, "text", "gen_texts", "should_prune", "model_answers", "has_code", "pruned_step"]
 
 # Candidates per problem and steps per candidate.
 NUM_SAMPLES = 48
@@ -86,47 +87,39 @@ def start(traces: DataFrame) -> DataFrame:
     )
 
 
-def write_on(df: DataFrame, completion: Column) -> DataFrame:
-    """Append the completion of this step to every live trace."""
+def longer_text(completion: Column) -> Column:
+    """The text of a trace with the completion of this step; stopped traces keep theirs."""
     longer = F.concat("gen_texts", F.coalesce(completion, F.lit("")))
-    return df.withColumn("gen_texts", F.when(F.col("pruned_step").isNull(), longer).otherwise(F.col("gen_texts")))
+    return F.when(F.col("pruned_step").isNull(), longer).otherwise(F.col("gen_texts"))
 
 
-def judge(
-    df: DataFrame, last_step: bool, restart_on_fail: bool, region_chars: int = REGION_CHARS
-) -> DataFrame:
-    """Add ``verdict``: what this step does to the trace; the first rule that fits wins."""
+def verdict(last_step: bool, restart_on_fail: bool, region_chars: int = REGION_CHARS) -> Column:
+    """What this step does to the trace; the first rule that fits wins."""
     setback = "restart" if restart_on_fail else "prune"
-    tail = answer_region("gen_texts", region_chars)
-    answers = ~asks_for_output("gen_texts") & states_answer(tail)
-    verdict = (
+    asks = asks_for_output("gen_texts")
+    answers = ~asks & states_answer(answer_region("gen_texts", region_chars))
+    rules = (
         F.when(F.col("pruned_step").isNotNull(), "over")
         .when(~has_code_block("gen_texts"), "restart" if restart_on_fail else "no_code")
         .when(answers & ~has_output_block("gen_texts"), "prune")
         .when(answers, "answer")
     )
-    if last_step:
-        return df.withColumn("verdict", verdict.otherwise("keep"))
-    return df.withColumn("verdict", verdict.when(~asks_for_output("gen_texts"), setback).otherwise("execute"))
+    return rules.otherwise("keep") if last_step else rules.when(~asks, setback).otherwise("execute")
 
 
-def move_on(df: DataFrame, step: int, output: Column, region_chars: int = REGION_CHARS) -> DataFrame:
-    """Carry out the verdict. An answered trace stays alive and may change its answer."""
-    verdict = F.col("verdict")
-    return df.withColumns(
-        {
-            "answer_region": F.when(
-                verdict == "answer", answer_region("gen_texts", region_chars)
-            ).otherwise(F.col("answer_region")),
-            "pruned_step": F.when(verdict.isin("prune", "no_code"), F.lit(step)).otherwise(
-                F.col("pruned_step")
-            ),
-            "has_code": F.col("has_code") & (verdict != "no_code"),
-            "gen_texts": F.when(verdict == "restart", F.col("text"))
-            .when(verdict == "execute", append_output("gen_texts", F.coalesce(output, F.lit(""))))
-            .otherwise(F.col("gen_texts")),
-        }
-    ).drop("verdict")
+def next_state(step: int, output: Column, region_chars: int = REGION_CHARS) -> dict[str, Column]:
+    """Columns that carry out ``verdict``. An answered trace stays alive and may change its answer."""
+    found = F.col("verdict")
+    return {
+        "answer_region": F.when(found == "answer", answer_region("gen_texts", region_chars)).otherwise(
+            F.col("answer_region")
+        ),
+        "pruned_step": F.when(found.isin("prune", "no_code"), F.lit(step)).otherwise(F.col("pruned_step")),
+        "has_code": F.col("has_code") & (found != "no_code"),
+        "gen_texts": F.when(found == "restart", F.col("text"))
+        .when(found == "execute", append_output("gen_texts", F.coalesce(output, F.lit(""))))
+        .otherwise(F.col("gen_texts")),
+    }
 
 
 def read_answers(df: DataFrame) -> DataFrame:
@@ -159,13 +152,12 @@ def score_traces(
     are shuffled along, which is cheap next to the completions.
     """
     df = start(gather_steps(traces, generations, executions, num_steps))
+    rules = {last: verdict(last, restart_on_fail, region_chars) for last in (False, True)}
     for step in range(num_steps):
-        df = write_on(df, F.col(f"completion_{step}"))
-        df = judge(df, step == num_steps - 1, restart_on_fail, region_chars)
-        df = move_on(df, step, F.col(f"output_{step}"), region_chars)
-    return read_answers(df).select(
-        *TRACE, "text", "gen_texts", "should_prune", "model_answers", "has_code", "pruned_step"
-    )
+        df = df.withColumn("gen_texts", longer_text(F.col(f"completion_{step}")))
+        df = df.withColumn("verdict", rules[step == num_steps - 1])
+        df = df.withColumns(next_state(step, F.col(f"output_{step}"), region_chars))
+    return read_answers(df).select(*STATE)
 
 
 def vote_traces(scored: DataFrame, num_steps: int = NUM_STEPS, problems: DataFrame | None = None) -> DataFrame:
@@ -211,15 +203,15 @@ def solve_live(
     """
     df = start(traces)
     for step in range(num_steps):
+        last_step = step == num_steps - 1
         live = F.when(F.col("pruned_step").isNull(), F.col("gen_texts"))
         df = settle(df.withColumn("completion", batched(live, make_generate)))
-        df = judge(write_on(df, F.col("completion")), step == num_steps - 1, restart_on_fail)
-        code = F.when(F.col("verdict") == "execute", last_code_block("gen_texts"))
-        if step < num_steps - 1:
-            df = settle(df.withColumn("output", batched(code, make_execute)))
-        else:
+        df = df.withColumn("gen_texts", longer_text(F.col("completion")))
+        df = df.withColumn("verdict", verdict(last_step, restart_on_fail))
+        if last_step:
             df = df.withColumn("output", F.lit(None).cast("string"))
-        df = move_on(df, step, F.col("output")).drop("completion", "output")
-    return read_answers(df).select(
-        *TRACE, "text", "gen_texts", "should_prune", "model_answers", "has_code", "pruned_step"
-    )
+        else:
+            code = F.when(F.col("verdict") == "execute", last_code_block("gen_texts"))
+            df = settle(df.withColumn("output", batched(code, make_execute)))
+        df = df.withColumns(next_state(step, F.col("output")))
+    return read_answers(df).select(*STATE)

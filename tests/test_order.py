@@ -107,3 +107,9 @@ def test_group_place_with_one_group_over_many_partitions(spark):
     for g in "abc":
         expected |= {(g, k): i for i, k in enumerate(sorted(k for group, k, _ in rows if group == g))}
     assert found == expected
+
+
+def test_group_place_keeps_rows_without_a_group(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), (5, 3)], "g int, k int")
+    found = order.with_group_place(df, ["g"], ["k"], "place").collect()
+    assert {(row.g, row.k): row.place for row in found} == {(None, 1): 0, (None, 2): 1, (5, 3): 0}
