@@ -45,11 +45,12 @@ WRAPPERS = [
 ]
 
 # Lead-ins of a final answer; the last match of each one wins.
+# In front of each one a literal without which it cannot match.
 LEAD_INS = [
-    r"(?d)finalansweris(.*)",
-    r"(?d)answer?is:?(.*)",
-    r"(?d)oxed\{(.*?)\}",
-    r"(?d)\$(.*?)\$",
+    ("finalansweris", r"(?d)finalansweris(.*)"),
+    ("answe", r"(?d)answer?is:?(.*)"),
+    ("oxed{", r"(?d)oxed\{(.*?)\}"),
+    ("$", r"(?d)\$(.*?)\$"),
 ]
 
 # What Python's float() accepts, bar the infinities and NaN: those can never be
@@ -61,9 +62,15 @@ NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DI
 # clean-up, those with a decimal value where a number is read.
 _OTHER = [chr(code) for code in range(128, sys.maxunicode + 1) if chr(code).isdigit()]
 _OTHER_DECIMALS = [digit for digit in _OTHER if digit.isdecimal()]
-ALL_DIGITS = rf"^[0-9{''.join(_OTHER)}]+\z"
+_STARTS = [digit for digit in _OTHER if not chr(ord(digit) - 1).isdigit()]
+_ENDS = [digit for digit in _OTHER if not chr(ord(digit) + 1).isdigit()]
+DIGITS = r"^[0-9]+\z"
+ALL_DIGITS = "^[0-9" + "".join(f"{first}-{last}" for first, last in zip(_STARTS, _ENDS)) + r"]+\z"
 OTHER_SCRIPT = r"[^\x00-\x7F]"
 
+# Texts the clean-up leaves as they are, most often a bare number.
+CLEAN_ALREADY = r"^[0-9.]*\z"
+
 NO_ANSWER = "-1"
 
 
@@ -97,6 +104,11 @@ def boxed_answer(text: Column | str) -> Column:
     return F.when(F.contains(text, F.lit(r"\boxed")) & F.startswith(tail, F.lit("{")), inside)
 
 
+def _where(needed: Column, changed: Column, name: str) -> Column:
+    """Spare the texts no pattern can match the cost of the pattern."""
+    return F.when(needed, changed).otherwise(F.col(name))
+
+
 def with_clean_answer(df: DataFrame, source: Column | str, target: str) -> DataFrame:
     """Add ``target``: the normalised form of the answer text in ``source``.
 
@@ -109,20 +121,25 @@ def with_clean_answer(df: DataFrame, source: Column | str, target: str) -> DataF
     text = F.substring_index(raw, "Problem:", 1)
     text = replace_all(text, REWRITES)
     text = replace_all(text, [(word, "") for word in DELETIONS])
+    df = df.withColumn(target, F.when(raw.rlike(CLEAN_ALREADY), raw).otherwise(text))
+    text = F.col(target)
     for wrapper in WRAPPERS:
         text = F.regexp_replace(text, wrapper, "$1")
-    df = df.withColumn(target, text)
-    for lead_in in LEAD_INS:
+    df = df.withColumn(target, _where(F.contains(target, F.lit("{")), text, target))
+    for needed, lead_in in LEAD_INS:
         last = F.try_element_at(F.regexp_extract_all(target, F.lit(lead_in), F.lit(1)), F.lit(-1))
-        df = df.withColumn(target, F.coalesce(last, F.col(target)))
+        found = F.coalesce(last, F.col(target))
+        df = df.withColumn(target, _where(F.contains(target, F.lit(needed)), found, target))
     df = df.withColumn(target, strip(target))
     bare = F.contains(target, F.lit("rac")) & ~F.contains(target, F.lit(r"\frac"))
     text = F.when(bare, F.replace(target, F.lit("rac"), F.lit(r"\frac"))).otherwise(F.col(target))
     text = F.regexp_replace(text, r"(?d)frac([^{])(.)", "frac{$1}{$2}")
     text = F.regexp_replace(text, r"sqrt([^{])", "sqrt{$1}")
-    df = df.withColumn(target, F.replace(text, F.lit("$"), F.lit("")))
+    rooted = F.contains(target, F.lit("rac")) | F.contains(target, F.lit("sqrt"))
+    df = df.withColumn(target, F.replace(_where(rooted, text, target), F.lit("$"), F.lit("")))
     joined = F.replace(target, F.lit(","), F.lit(""))
-    clean = F.when(joined.rlike(ALL_DIGITS), joined).otherwise(F.col(target))
+    digits = joined.rlike(DIGITS) | (joined.rlike(OTHER_SCRIPT) & joined.rlike(ALL_DIGITS))
+    clean = F.when(digits, joined).otherwise(F.col(target))
     return df.withColumn(target, F.explode(F.array(clean)))
 
 
