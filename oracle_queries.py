@@ -300,7 +300,7 @@ ORACLES["rejection_rounds"] = f"""with m as ({MATCHES})
   select problem_id, event_id, round, final_answer from m where not exists (
     select 1 from m earlier where earlier.problem_id = m.problem_id and earlier.round < m.round)"""
 ORACLES["unsolved_problems"] = f"""
-  select problem_id from ({TRUTH}) where problem_id not in (select problem_id from ({MATCHES}) where round = 0)"""
+  select problem_id from ({TRUTH}) where problem_id not in (select problem_id from ({MATCHES}))"""
 ORACLES["numeric_problems"] = f"""
   select event_id, solution from ({SOLUTIONS}) where {numeric('solution')} is not null"""
 ORACLES["integer_problems"] = f"""

@@ -25,7 +25,8 @@ def tally(candidates: DataFrame, problem: str, answer: str, order: Sequence[str]
     if not outer:
         return counts
     return counts.groupBy(problem, answer).agg(
-        F.sum("vote_count").alias("vote_count"), F.min(F.struct(*outer, F.col("first_seen").alias(last))).alias("first_seen")
+        F.sum("vote_count").alias("vote_count"),
+        F.min(F.struct(*outer, F.col("first_seen").alias(last))).alias("first_seen"),
     )
 
 

@@ -356,11 +356,10 @@ def answer_match(spark, folder):
 
 @query
 def unsolved_problems(spark, folder):
-    """Problems the first round leaves open."""
+    """Problems all rounds leave open."""
     solutions, references = _rejection_inputs(spark, folder)
-    tried = solutions.filter("round = 0")
-    kept = rejection.matching_solutions(tried, references, "problem_id", "solution", "event_id", "known")
-    return rejection.unsolved(references, kept, "problem_id").select("problem_id")
+    accepted = rejection.rejection_rounds(solutions, references, "problem_id", "solution", "event_id", "known")
+    return rejection.unsolved(references, accepted, "problem_id").select("problem_id")
 
 
 @query
