@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Turns per segment. An ordinary conversation is one segment.
@@ -25,10 +25,13 @@ def assemble(
     found by a narrow aggregate and travel to their segment as marker rows in
     the one shuffle of the turns; no join is needed.
     """
-    segment = F.floor(F.col(turn) / segment_turns).cast("bigint")
+
+    def segment(name: str) -> Column:
+        return F.expr(f"`{name}` div {segment_turns}").alias("segment")
+
     body = turns.select(
         conversation,
-        segment.alias("segment"),
+        segment(turn),
         F.struct(
             F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content")
         ).alias("entry"),
@@ -38,8 +41,8 @@ def assemble(
         conversation,
         F.explode(
             F.array(
-                F.struct(F.floor(F.col("head") / segment_turns).alias("segment"), F.lit("head").alias("mark")),
-                F.struct(F.floor(F.col("tail") / segment_turns).alias("segment"), F.lit("tail").alias("mark")),
+                F.struct(segment("head"), F.lit("head").alias("mark")),
+                F.struct(segment("tail"), F.lit("tail").alias("mark")),
             )
         ).alias("m"),
     ).select(conversation, "m.segment", "m.mark")

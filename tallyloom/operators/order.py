@@ -88,8 +88,8 @@ def find_cutoffs(
 
     while wide := [g for g, (_, _, _, rows) in spans.items() if rows > exact_rows]:
         drawn: dict[Any, list[tuple]] = {g: [] for g in wide}
-        share = min(sample_rows, max(MOST_SAMPLED // len(wide), 100))
-        rates = [(g, *spans[g][:2], min(1.0, share / spans[g][3])) for g in wide]
+        per_group = min(sample_rows, max(MOST_SAMPLED // len(wide), 100))
+        rates = [(g, *spans[g][:2], min(1.0, per_group / spans[g][3])) for g in wide]
         sample = inside([], rates).filter(F.rand(7) < F.col("__number")).select(group, *order)
         for row in sample.orderBy(group, *order).collect():
             drawn[row[0]].append(tuple(row[1:]))

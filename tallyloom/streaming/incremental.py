@@ -32,6 +32,8 @@ def start_tally(
         counts = tally(prepare(batch), problem, answer, [order])
         counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+    # No rows as batch -1, so that the votes can be read before the first file.
+    store(stream.sparkSession.createDataFrame([], stream.schema), -1)
     return (
         stream.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)

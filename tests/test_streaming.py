@@ -35,3 +35,9 @@ def test_votes_over_files_match_the_batch_result(spark, tmp_path):
     assert feed(spark, source, out, progress) == expected(rows)
     # A run that lost its progress repeats the batches; their folders are overwritten.
     assert feed(spark, source, out, str(tmp_path / "fresh")) == expected(rows)
+
+
+def test_votes_before_the_first_file(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    assert feed(spark, str(source), str(tmp_path / "out"), str(tmp_path / "progress")) == {}
