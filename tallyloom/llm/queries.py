@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bins, planes
+from tallyloom.llm import bins, kneser, planes
+from tallyloom.llm.store import ship
 from tallyloom.llm.subwords import vocabulary_path
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return ship(spark).read.parquet(f"{folder}/{name}.parquet")
+
+
+def op1_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser.train_and_score(_table(spark, folder, "documents"))
 
 
 def op8_plane_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +26,7 @@ def op10_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_kneser_ney": op1_kneser_ney,
     "op8_plane_files": op8_plane_files,
     "op10_pack_documents": op10_pack_documents,
 }

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task of a costly stage should hold.
@@ -69,3 +72,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterat
         stop = min(stop, start + 4096)
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per session, so that their Python workers can import it."""
+    context = spark.sparkContext
+    name = "tallyloom-llm.zip"
+    if name not in context._python_includes:
+        top = Path(__file__).resolve().parents[2]
+        packed = Path(tempfile.mkdtemp()) / name
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted((top / "tallyloom").rglob("*.py")):
+                out.write(source, source.relative_to(top))
+        context.addPyFile(str(packed))
+    return spark
