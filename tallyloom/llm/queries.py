@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bins, kneser, planes
+from tallyloom.llm import bins, kneser, planes, simhash
 from tallyloom.llm.store import ship
 from tallyloom.llm.subwords import vocabulary_path
 
@@ -17,6 +17,10 @@ def op1_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return kneser.train_and_score(_table(spark, folder, "documents"))
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op8_plane_files(spark: SparkSession, folder: str) -> DataFrame:
     return planes.encode_and_read(_table(spark, folder, "documents"), vocabulary_path())
 
@@ -27,6 +31,7 @@ def op10_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
+    "op2_simhash": op2_simhash,
     "op8_plane_files": op8_plane_files,
     "op10_pack_documents": op10_pack_documents,
 }
