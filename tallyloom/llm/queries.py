@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bins, kneser, language, planes, private, simhash
+from tallyloom.llm import bins, kneser, language, planes, private, quality, simhash
 from tallyloom.llm.store import ship
 from tallyloom.llm.subwords import vocabulary_path
 
@@ -25,6 +25,10 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents"))
+
+
 def op6_private_data(spark: SparkSession, folder: str) -> DataFrame:
     return private.find_private(_table(spark, folder, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op5_quality": op5_quality,
     "op6_private_data": op6_private_data,
     "op8_plane_files": op8_plane_files,
     "op10_pack_documents": op10_pack_documents,

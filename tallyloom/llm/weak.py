@@ -40,14 +40,14 @@ def estimate(
 ) -> Reliability:
     """Fit to ``rows`` counts of vote combinations (``votes``: combinations by labellers).
 
-    Starts from the majority of the votes; pseudo-counts keep labellers that
+    Starts from labellers that object less often than they should; pseudo-counts keep labellers that
     never vote, or agree with everything, from running off. With no rows the
     result is the starting point.
     """
     labellers = votes.shape[1]
     start = np.empty((2, labellers, 3))
-    start[1] = [0.15, 0.5, 0.35]
-    start[0] = [0.35, 0.5, 0.15]
+    start[1] = [0.05, 0.6, 0.35]
+    start[0] = [0.4, 0.45, 0.15]
     model = Reliability(np.full(groups, prior), start.copy())
     if not len(rows):
         return model
