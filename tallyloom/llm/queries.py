@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bins, kneser, language, planes, private, quality, simhash
+from tallyloom.llm import bins, kneser, language, leaks, planes, private, quality, simhash
 from tallyloom.llm.store import ship
 from tallyloom.llm.subwords import vocabulary_path
 
@@ -33,6 +33,10 @@ def op6_private_data(spark: SparkSession, folder: str) -> DataFrame:
     return private.find_private(_table(spark, folder, "documents"))
 
 
+def op7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op8_plane_files(spark: SparkSession, folder: str) -> DataFrame:
     return planes.encode_and_read(_table(spark, folder, "documents"), vocabulary_path())
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op5_quality": op5_quality,
     "op6_private_data": op6_private_data,
+    "op7_leaks": op7_leaks,
     "op8_plane_files": op8_plane_files,
     "op10_pack_documents": op10_pack_documents,
 }
