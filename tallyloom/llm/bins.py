@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.store import slices, task_count
-from tallyloom.llm.subwords import encoder
+from tallyloom.llm.subwords import BLOCK_BYTES, encoder
 from tallyloom.session import settle
 
 SEQUENCE = 2048
@@ -70,16 +70,16 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int = SEQ
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BLOCK_BYTES):
                 rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist())):
-                    data = memoryview(ids + end)
-                    n = len(data) // 4
-                    for at in range(0, n, sequence):
-                        stop = min(n, at + sequence)
-                        rows.append((doc, at, stop - at, zlib.crc32(data[4 * at : 4 * stop]), n))
+                encoded = coder.encode(part.column("text").cast(pa.binary()).to_pylist())
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoded):
+                    ids = np.concatenate([ids, end])
+                    for at in range(0, len(ids), sequence):
+                        piece = ids[at : at + sequence]
+                        rows.append((doc, at, len(piece), zlib.crc32(piece), len(ids)))
                 columns = [pa.array(column, pa.int64()) for column in zip(*rows)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.store import read_bytes, slices, task_count, text_bytes, write_bytes
-from tallyloom.llm.subwords import encoder
+from tallyloom.llm.subwords import BLOCK_BYTES, encoder
 from tallyloom.session import work_folder
 
 MAGIC = b"TLPLANE1"
@@ -122,12 +122,12 @@ def write_shards(
         documents: list[list] = []
 
         def pieces() -> Iterator[np.ndarray]:
-            end = np.array([end_id], dtype="<u4").tobytes()
+            end = np.array([end_id], dtype="<u4")
             for batch in batches:
-                for part in slices(batch, "text"):
-                    encoded = coder.encode(part.column("text").to_pylist())
-                    documents.extend([d, len(e) // 4 + 1] for d, e in zip(part.column("doc_id").to_pylist(), encoded))
-                    yield np.frombuffer(b"".join([x for e in encoded for x in (e, end)]), dtype="<u4")
+                for part in slices(batch, "text", BLOCK_BYTES):
+                    encoded = coder.encode(part.column("text").cast(pa.binary()).to_pylist())
+                    documents.extend([d, len(e) + 1] for d, e in zip(part.column("doc_id").to_pylist(), encoded))
+                    yield np.concatenate([x for e in encoded for x in (e, end)])
 
         data = pack_shard(pieces(), documents, kind)
         if documents:
@@ -159,8 +159,8 @@ def read_shards(spark, shards: list[dict]) -> DataFrame:
                 keys, counts = zip(*footer["documents"])
                 counts = np.array(counts, dtype=np.int64)
                 ends = np.cumsum(counts)
-                raw = memoryview(read_ids(data, 0, int(ends[-1]), footer).tobytes())
-                sums = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), counts.tolist())]
+                ids = read_ids(data, 0, int(ends[-1]), footer)
+                sums = [zlib.crc32(ids[b - n : b]) for b, n in zip(ends.tolist(), counts.tolist())]
                 columns = [pa.array(keys, pa.int64()), pa.array(before + ends - counts), pa.array(counts), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 

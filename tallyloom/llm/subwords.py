@@ -1,36 +1,63 @@
 """Encoding of whole texts with a public byte-level BPE tokenizer.
 
-Ids are kept as bytes of little-endian unsigned 32-bit integers.
+The tokenizer cuts a text in front of every single space between two visible
+characters, so the ids of a text are those of its space-led words one after the
+other. Words are encoded by the library once and then found again by a 64-bit
+hash, for a block of texts at once; that two of the words that a worker meets
+share a hash has a chance of about one in ten million.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 
+from tallyloom.llm.words import hash_spans
+
 VOCABULARY = "byte_bpe_50k.json"
 
-#: Entries of each of the two word caches of one Python worker, about 80 MB each.
-CACHE_ENTRIES = 400_000
-#: Characters encoded by the library in one go.
-BLOCK_CHARS = 50_000
+#: Words that a Python worker remembers, about 40 bytes each.
+CACHE_WORDS = 2_500_000
+#: Longer words are encoded again each time.
+CACHE_IDS = 32
+#: Characters that the library encodes as one text.
+LIBRARY_CHARS = 50_000
+#: Bytes of texts looked up together; a longer text is cut between words.
+BLOCK_BYTES = 4_000_000
 
-# The tokenizer starts a new piece at every single space between two visible characters.
-_ODD_SPACE = re.compile(r"\s ")
-_ODD_AFTER = re.compile(r" \s")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_BETWEEN = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 _SPACE_LETTER = "Ġ"
 
 
-class Encoder:
-    """Encodes texts; words seen before come from a bounded cache.
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Places of single spaces between visible characters.
 
-    Splitting at single spaces between visible characters never changes the
-    ids, so every space-led word is encoded once and looked up afterwards.
+    Sure cases only: a space beside any other white space, control character or
+    a character that might be one of Unicode's white spaces is not taken.
     """
+    at = np.flatnonzero(data[1:-1] == 0x20) + 1
+    before, after = data[at - 1], data[at + 1]
+    sure = (before > 0x20) & (after > 0x20)
+    high = np.flatnonzero(sure & ((before > 0x7E) | (after > 0x7E)))
+    if len(high):
+        places, last = at[high], len(data) - 1
+        odd = (data[places - 1] == 0x7F) | (data[places + 1] == 0x7F)
+        back1, back2 = data[np.maximum(places - 2, 0)], data[np.maximum(places - 3, 0)]
+        tail = data[places - 1]
+        odd |= (tail > 0x7F) & (back1 == 0xC2) & ((tail == 0x85) | (tail == 0xA0))
+        odd |= (tail > 0x7F) & (back2 >= 0xE1) & (back2 <= 0xE3)
+        lead, next1 = data[places + 1], data[np.minimum(places + 2, last)]
+        odd |= (lead == 0xC2) & ((next1 == 0x85) | (next1 == 0xA0))
+        odd |= (lead >= 0xE1) & (lead <= 0xE3)
+        sure[high[odd]] = False
+    return at[sure]
+
+
+class Encoder:
+    """Encodes many texts; remembers the ids of words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,58 +67,124 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith(_SPACE_LETTER)]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, dtype="<u4") for one in found]
 
-    def _learn(self, words: Iterable[str]) -> None:
-        """Encode words led by a space; joined, so that the library is called a few times only."""
-        blocks, block, size = [], [], 0
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers for words without spaces, each led by one: joined, the library is called a few times only."""
+        blocks, block, held = [], [], 0
         for word in words:
             block.append(word)
-            size += len(word) + 1
-            if size > BLOCK_CHARS:
+            held += len(word) + 1
+            if held > LIBRARY_CHARS:
                 blocks.append(block)
-                block, size = [], 0
-        blocks.append(block)
-        blocks = [block for block in blocks if block]
-        for block, ids in zip(blocks, self._library([" " + " ".join(block) for block in blocks])):
-            starts = np.flatnonzero(self.opens[ids])
-            assert len(starts) == len(block)
-            borders = [*(starts * 4).tolist(), len(ids) * 4]
-            data = ids.tobytes()
-            self.known.update(zip(block, [data[a:b] for a, b in zip(borders, borders[1:])]))
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """The ids of every text, without special tokens."""
-        if len(self.known) > CACHE_ENTRIES:
-            self.known, self.older = {}, self.known
-        split = [
-            _CUT.split(text) if text[:1] == " " or _ODD_SPACE.search(text) or _ODD_AFTER.search(text) else text.split(" ")
-            for text in texts
-        ]
-        heads = [parts[0] for parts in split]
-        plain = [index for index, parts in enumerate(split) if " " not in "".join(parts[1:])]
-        odd = sorted(set(range(len(texts))).difference(plain))
-        new = set().union(*[split[index][1:] for index in plain]).difference(self.known)
-        seen = new.intersection(self.older)
-        self.known.update((word, self.older[word]) for word in seen)
-        self._learn(new - seen)
-        known = self.known.__getitem__
-        out = [b""] * len(texts)
-        for index, head in zip(plain, self._library([heads[index] for index in plain])):
-            out[index] = head.tobytes() + b"".join(map(known, split[index][1:]))
-        for index, ids in zip(odd, self._library([texts[index] for index in odd])):
-            out[index] = ids.tobytes()
-        return out
+                block, held = [], 0
+        if block:
+            blocks.append(block)
+        ids, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for block, found in zip(blocks, self._library([" " + " ".join(block) for block in blocks])):
+            starts = np.flatnonzero(self.opens[found])
+            if len(starts) != len(block):
+                raise AssertionError("the tokenizer does not cut at single spaces")
+            ids.append(found)
+            sizes.append(np.diff(np.append(starts, len(found))))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _block(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a block, and the number of ids of each text."""
+        joined = b"\n".join([*texts, b""])
+        data = np.frombuffer(joined, dtype=np.uint8)
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        ends = np.cumsum(lengths + 1) - 1
+        heads = ends - lengths
+        cuts = _cuts(data) if len(data) > 2 else np.zeros(0, dtype=np.int64)
+        begin = np.sort(np.concatenate([heads, cuts]), kind="stable")
+        head = np.searchsorted(begin, heads)
+        is_head = np.zeros(len(begin), dtype=bool)
+        is_head[head] = True
+        stop = np.empty_like(begin)
+        stop[:-1] = begin[1:] - is_head[1:]
+        stop[-1] = ends[-1]
+        words = np.flatnonzero(~is_head)
+        keys, place, back = np.unique(
+            hash_spans(data, begin[words] + 1, stop[words], exact=True), return_index=True, return_inverse=True
+        )
+        at = np.searchsorted(self.hashes, keys)
+        near = np.minimum(at, max(len(self.hashes) - 1, 0))
+        known = self.hashes[near] == keys if len(self.hashes) else np.zeros(len(keys), dtype=bool)
+        starts, sizes = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        starts[known], sizes[known] = self.starts[near[known]], self.sizes[near[known]]
+        new = np.flatnonzero(~known)
+        first = words[place[new]]
+        pieces = [joined[a:b].decode() for a, b in zip((begin[first] + 1).tolist(), stop[first].tolist())]
+        spaced = np.fromiter((" " in piece for piece in pieces), dtype=bool, count=len(pieces))
+        plain, odd = new[~spaced], new[spaced]
+        plain_ids, plain_sizes = self._words([piece for piece, x in zip(pieces, spaced) if not x])
+        odd_ids = self._library([" " + piece for piece, x in zip(pieces, spaced) if x])
+        head_ids = self._library([joined[a:b].decode() for a, b in zip(begin[head].tolist(), stop[head].tolist())])
+        base = len(self.ids)
+        starts[plain], sizes[plain] = base + np.cumsum(plain_sizes) - plain_sizes, plain_sizes
+        base += len(plain_ids)
+        sizes[odd] = np.fromiter(map(len, odd_ids), dtype=np.int64, count=len(odd_ids))
+        starts[odd] = base + np.cumsum(sizes[odd]) - sizes[odd]
+        base += int(sizes[odd].sum())
+        head_sizes = np.fromiter(map(len, head_ids), dtype=np.int64, count=len(head_ids))
+        all_starts, all_sizes = np.empty(len(begin), dtype=np.int64), np.empty(len(begin), dtype=np.int64)
+        all_starts[words], all_sizes[words] = starts[back], sizes[back]
+        all_starts[head], all_sizes[head] = base + np.cumsum(head_sizes) - head_sizes, head_sizes
+        buffer = np.concatenate([self.ids, plain_ids, *odd_ids, *head_ids])
+        total = int(all_sizes.sum())
+        shift = all_starts - (np.cumsum(all_sizes) - all_sizes)
+        ids = buffer[np.repeat(shift, all_sizes) + np.arange(total)]
+        self._remember(keys[plain], plain_ids, plain_sizes)
+        return ids, np.add.reduceat(all_sizes, head)
+
+    def _remember(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if len(self.hashes) + len(keys) > CACHE_WORDS:
+            self._forget()
+        short = sizes <= CACHE_IDS
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, ids])
+        at = np.searchsorted(self.hashes, keys[short])
+        self.hashes = np.insert(self.hashes, at, keys[short])
+        self.starts = np.insert(self.starts, at, starts[short])
+        self.sizes = np.insert(self.sizes, at, sizes[short])
+
+    def encode(self, texts: Sequence[bytes | None]) -> list[np.ndarray]:
+        """The ids of every text, without special tokens; of a null text, none."""
+        pieces, owner = [], []
+        for index, text in enumerate(texts):
+            text, at = text or b"", 0
+            while len(text) - at > BLOCK_BYTES and (cut := _BETWEEN.search(text, at + BLOCK_BYTES)):
+                pieces.append(text[at : cut.start()])
+                owner.append(index)
+                at = cut.start()
+            pieces.append(text[at:])
+            owner.append(index)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        start, held = 0, 0
+        for stop in range(1, len(pieces) + 1):
+            held += len(pieces[stop - 1]) + 1
+            if held >= BLOCK_BYTES or stop == len(pieces):
+                ids, sizes = self._block(pieces[start:stop])
+                ends = np.cumsum(sizes)
+                for index, a, b in zip(owner[start:stop], (ends - sizes).tolist(), ends.tolist()):
+                    out[index].append(ids[a:b])
+                start, held = stop, 0
+        return [parts[0] if len(parts) == 1 else np.concatenate(parts) for parts in out]
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker; its cache lives as long as the worker."""
+    """One encoder per Python worker; its memory of words lives as long as the worker."""
     return Encoder(path)
 
 

@@ -17,7 +17,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _random = np.random.default_rng(20240229)
-_VALUE = _random.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _random.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUE = _EXACT.copy()
 _VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
 _BASE = 0x9E3779B97F4A7C15
 _powers: tuple[np.ndarray, np.ndarray] | None = None
@@ -61,10 +62,11 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, exact: bool = False) -> np.ndarray:
+    """Hashes of stretches of bytes; unless ``exact``, A-Z count as a-z."""
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
+    np.cumsum((_EXACT if exact else _VALUE)[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
