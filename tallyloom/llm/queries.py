@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import bins, kneser, language, leaks, planes, private, quality, simhash
+from tallyloom.llm import bins, kneser, language, leaks, neighbours, planes, private, quality, simhash
 from tallyloom.llm.store import ship
 from tallyloom.llm.subwords import vocabulary_path
 
@@ -41,6 +42,10 @@ def op8_plane_files(spark: SparkSession, folder: str) -> DataFrame:
     return planes.encode_and_read(_table(spark, folder, "documents"), vocabulary_path())
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
 def op10_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return bins.pack_documents(_table(spark, folder, "documents"), vocabulary_path())
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op6_private_data": op6_private_data,
     "op7_leaks": op7_leaks,
     "op8_plane_files": op8_plane_files,
+    "op9_neighbours": op9_neighbours,
     "op10_pack_documents": op10_pack_documents,
 }
 
