@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bins, kneser, language, leaks, neighbours, planes, private, quality, simhash
+from tallyloom.llm import bins, html, kneser, language, leaks, neighbours, planes, private, quality, simhash
 from tallyloom.llm.store import ship
 from tallyloom.llm.subwords import vocabulary_path
 
@@ -26,6 +26,10 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
 
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(_table(spark, folder, "pages"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_table(spark, folder, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op4_main_text": op4_main_text,
     "op5_quality": op5_quality,
     "op6_private_data": op6_private_data,
     "op7_leaks": op7_leaks,
