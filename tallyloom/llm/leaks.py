@@ -210,6 +210,33 @@ def _candidates(block: Block, hashes: np.ndarray, idf: np.ndarray, first: np.nda
             yield int(part[row]), int(item), float(cosine[row, item])
 
 
+def leaks_in(texts: Sequence[bytes | None], paths: Sequence[str], idf: np.ndarray) -> dict[tuple[int, int, int], tuple[float, float, float]]:
+    """Leaks of many texts: (text, block, passage) and share in order, answer share, cosine of the best window."""
+    hashes, sizes = hash_words(texts)
+    owner, first, end = windows(sizes)
+    ends = np.cumsum(sizes)
+    found: dict[tuple[int, int, int], tuple[float, float, float]] = {}
+    for number, path in enumerate(paths):
+        block = _block(path)
+        for window, item, cosine in _candidates(block, hashes, idf, first, end):
+            doc = int(owner[window])
+            passage = block.words[item]
+            low = max(int(ends[doc] - sizes[doc]), int(first[window]) - len(passage))
+            region = hashes[low : min(int(ends[doc]), int(end[window]) + len(passage))].tolist()
+            share = common_subsequence(passage, region) / len(passage)
+            answer = block.answers[item]
+            there = len(answer.intersection(region)) / len(answer) if answer else 0.0
+            if share >= SURE_SHARE or (share >= DOUBTFUL_SHARE and there >= ANSWER_SHARE):
+                key = (doc, number, item)
+                found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (share, there, cosine))
+    return found
+
+
+def _prepare(docs: DataFrame, benchmark: DataFrame, block_items: int) -> tuple[np.ndarray, list[str]]:
+    idf = inverse_frequencies(word_frequencies(docs.select(F.col("text").cast("string").alias("text"))))
+    return idf, build_blocks(benchmark, work_folder(docs.sparkSession, "leaks"), idf, block_items)
+
+
 _FOUND = "doc_id long, item_id long, similarity double, lcs_share double, answer_share double"
 
 
@@ -221,32 +248,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     window) and answer_share. Documents without a leak have no row; null and
     empty texts on either side match nothing; a repeated row is found again.
     """
+    idf, paths = _prepare(docs, benchmark, block_items)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    idf = inverse_frequencies(word_frequencies(docs))
-    paths = build_blocks(benchmark, work_folder(docs.sparkSession, "leaks"), idf, block_items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
-                hashes, sizes = hash_words(part.column("text").cast(pa.binary()).to_pylist())
-                owner, first, end = windows(sizes)
-                ends = np.cumsum(sizes)
+                found = leaks_in(part.column("text").cast(pa.binary()).to_pylist(), paths, idf)
                 keys = part.column("doc_id").to_pylist()
-                found: dict[tuple[int, int, int], tuple[float, float, float]] = {}
-                for number, path in enumerate(paths):
-                    block = _block(path)
-                    for window, item, cosine in _candidates(block, hashes, idf, first, end):
-                        doc = int(owner[window])
-                        passage = block.words[item]
-                        low = max(int(ends[doc] - sizes[doc]), int(first[window]) - len(passage))
-                        region = hashes[low : min(int(ends[doc]), int(end[window]) + len(passage))].tolist()
-                        share = common_subsequence(passage, region) / len(passage)
-                        answer = block.answers[item]
-                        there = len(answer.intersection(region)) / len(answer) if answer else 0.0
-                        if share >= SURE_SHARE or (share >= DOUBTFUL_SHARE and there >= ANSWER_SHARE):
-                            key = (doc, number, item)
-                            old = found.get(key, (0.0, 0.0, 0.0))
-                            found[key] = max(old, (share, there, cosine))
                 rows = [(keys[doc], int(_block(paths[number]).items[item]), c, s, a) for (doc, number, item), (s, a, c) in sorted(found.items())]
                 columns = zip(*rows) if rows else [[]] * 5
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -254,3 +263,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return docs.mapInArrow(run, _FOUND)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs`` (text and any others) in which ``find_leaks`` finds nothing, with all their columns."""
+    idf, paths = _prepare(docs, benchmark, block_items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2_000_000):
+                found = leaks_in(part.column("text").cast(pa.binary()).to_pylist(), paths, idf)
+                clean = np.ones(part.num_rows, dtype=bool)
+                clean[[doc for doc, _, _ in found]] = False
+                yield part.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -262,3 +262,31 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
             out += [text[at:start], f"<{kind.upper()}>"]
         at = max(at, end)
     return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, train_spans: int = TRAIN_SPANS, least: float = 0.5) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with the spans of ``find_private`` masked; n_chars follows the text."""
+    _, weights = learn(settle(scan(docs)), train_spans)
+
+    def clean(text: str) -> str:
+        base = base_spans(text)
+        spans = [(start, end, kind) for start, kind, end in base]
+        for start, kind, end in candidates(text, base):
+            features = features_of(text, start, kind, end, votes_on(text, start, kind, end))
+            if sigmoid(weights[features].sum() + weights[-1]) >= least:
+                spans.append((start, end, kind))
+        return mask(text, spans) if spans else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 4_000_000):
+                texts = [clean(t) if t and _ANY.search(t) else t for t in part.column("text").to_pylist()]
+                at = part.schema.get_field_index("text")
+                part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                yield part
+
+    masked = docs.mapInArrow(run, docs.schema)
+    if "n_chars" not in docs.columns:
+        return masked
+    kind = docs.schema["n_chars"].dataType
+    return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text")).cast(kind)).select(*docs.columns)

@@ -233,3 +233,17 @@ def judge(docs: DataFrame, texts: int = TRAIN_TEXTS, least: float = 0.5) -> Data
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "quality", "keep"])
 
     return rows.mapInArrow(run, "doc_id long, quality double, keep boolean")
+
+
+def keep_good(docs: DataFrame, texts: int = TRAIN_TEXTS, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that ``judge`` keeps, with all their columns."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    _, weights = learn(rows, texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2_000_000):
+                found = scores(analyse(part.column("text").cast(pa.binary()).to_pylist()), weights)
+                yield part.filter(pa.array(found >= least))
+
+    return docs.mapInArrow(run, docs.schema)

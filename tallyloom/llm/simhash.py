@@ -399,3 +399,20 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, shingle: int =
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, most_bits: int = MOST_BITS, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
+    """One row of ``docs`` (doc_id, text and any others) per component: that of the smallest doc_id.
+
+    Rows without a doc_id count as having very large ones, drawn from their
+    text; of several rows with the id that stays, one stays.
+    """
+    drawn = F.lit(2**63 - 1) - F.pmod(F.xxhash64("text"), F.lit(2**40))
+    own = F.coalesce(F.col("doc_id").cast("long"), drawn)
+    groups = settle(near_duplicates(docs.select(own.alias("doc_id"), "text"), most_bits, shingle, seed))
+    rows, ids = groups.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    found = docs.withColumn("__own", own).join(kept, F.col("__own") == F.col("__kept"), "left_semi")
+    if rows > ids:
+        found = found.dropDuplicates(["__own"])
+    return found.drop("__own")
