@@ -33,7 +33,11 @@ BLOCK_ITEMS = 1024
 #: Most dimensions of a latent space, and extra random ones to find them.
 RANK, EXTRA = 1024, 16
 WINDOW, STEP = 32, 16
-LEAST_COSINE = 0.3
+LEAST_COSINE = 0.4
+#: Words of at most so many passages are looked up passage by passage before anything is projected.
+RARE_PASSAGES = 4
+#: Allowance for repeated words, which the bound on the cosine counts once.
+SLACK = 0.9
 #: Share of a passage's words that must follow in order: certain, or certain if its answer is there too.
 SURE_SHARE, DOUBTFUL_SHARE = 0.6, 0.45
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
@@ -118,6 +122,7 @@ def build_blocks(items: DataFrame, folder: str, idf: np.ndarray, block_items: in
                 out,
                 items=frame["item_id"].to_numpy()[kept],
                 vocabulary=vocabulary,
+                weights=idf[_bucket(vocabulary)],
                 basis=basis.astype(np.float32),
                 latent=latent.astype(np.float32),
                 words=hashes,
@@ -147,6 +152,21 @@ class Block:
         self.least = np.minimum(LEAST_COSINE, 0.8 * np.sqrt(data["sizes"] / WINDOW)).astype(np.float32)
         self.seen = np.zeros(1 << BUCKET_BITS, dtype=bool)
         self.seen[_bucket(self.vocabulary)] = True
+        self._list_rare(data["words"], data["sizes"], data["weights"])
+
+    def _list_rare(self, words: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> None:
+        """For words of few passages the passages that hold them; of all passages the largest share of common words."""
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        pairs, times = np.unique(np.column_stack([np.searchsorted(self.vocabulary, words), owner]), axis=0, return_counts=True)
+        self.holders = np.bincount(pairs[:, 0], minlength=len(self.vocabulary))
+        self.first_holder = np.cumsum(self.holders) - self.holders
+        self.holder = pairs[:, 1]
+        self.rare = self.holders <= RARE_PASSAGES
+        self.times = times
+        square = (weights[pairs[:, 0]] * times).astype(np.float64) ** 2
+        common = np.bincount(pairs[:, 1], weights=square * ~self.rare[pairs[:, 0]], minlength=len(sizes))
+        self.norm = np.sqrt(np.bincount(pairs[:, 1], weights=square, minlength=len(sizes)))
+        self.common = np.sqrt(common) / self.norm
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Place of every word in the vocabulary, -1 if it is not there."""
@@ -189,25 +209,60 @@ def common_subsequence(passage: Sequence[int], text: Sequence[int]) -> int:
 
 def _candidates(block: Block, hashes: np.ndarray, idf: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """(window, passage, cosine) of the pairs that reach the passage's least cosine."""
-    weight = idf[_bucket(hashes)].astype(np.float64)
+    weight = idf[_bucket(hashes)].astype(np.float32)
     place = block.places(hashes)
-    square = weight * weight
+    square = weight.astype(np.float64) ** 2
     running = np.concatenate([[0], np.cumsum(square)])
-    shared = np.concatenate([[0], np.cumsum(np.where(place >= 0, square, 0))])
+    rare = place >= 0
+    rare[rare] = block.rare[place[rare]]
+    common = np.concatenate([[0], np.cumsum(np.where((place >= 0) & ~rare, square, 0))])
     whole = np.maximum(running[end] - running[first], 1e-12)
-    inside = shared[end] - shared[first]
-    # The cosine with anything made of the block's words is at most the root of their share.
-    open_ = np.flatnonzero(inside >= (block.least.min() ** 2) * whole * 0.999)
-    for at in range(0, len(open_), 2048):
-        part = open_[at : at + 2048]
-        vectors = np.zeros((len(part), block.basis.shape[1]), dtype=np.float32)
-        for row, window in enumerate(part.tolist()):
-            own = place[first[window] : end[window]]
-            own = own[own >= 0]
-            vectors[row] = weight[first[window] : end[window]][place[first[window] : end[window]] >= 0].astype(np.float32) @ block.basis[own]
-        cosine = (vectors @ block.latent.T) / np.sqrt(whole[part])[:, None].astype(np.float32)
-        for row, item in zip(*np.nonzero(cosine >= block.least[None, :])):
-            yield int(part[row]), int(item), float(cosine[row, item])
+    # A cosine has two parts: that of common words is at most the root of their share in the window times that in
+    # the passage; that of rare words is added up for the passages that hold them.
+    length = np.sqrt(whole)
+    frequent = np.sqrt(np.maximum(common[end] - common[first], 0)) / length
+    least = SLACK * block.least
+    at = np.flatnonzero(rare)
+    window = np.searchsorted(first, at, side="right") - 1
+    earlier = np.flatnonzero((window > 0) & (end[window - 1] > at))
+    at, window = np.concatenate([at, at[earlier]]), np.concatenate([window, window[earlier] - 1])
+    many = block.holders[place[at]]
+    spot = np.repeat(block.first_holder[place[at]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    pair, back = np.unique(np.repeat(window, many) * len(block.items) + block.holder[spot], return_inverse=True)
+    held = np.bincount(back, weights=np.repeat(square[at], many) * block.times[spot], minlength=len(pair))
+    reached, item = pair // len(block.items), pair % len(block.items)
+    cosine = held / (length[reached] * block.norm[item]) + frequent[reached] * block.common[item]
+    alone = frequent >= (least / np.maximum(block.common, 1e-12)).min()
+    open_ = np.union1d(np.flatnonzero(alone), reached[cosine >= least[item]])
+    for at in range(0, len(open_), 4096):
+        part = open_[at : at + 4096]
+        # A window is two steps; each step is projected once, for both windows it lies in.
+        middle = np.minimum(first[part] + STEP, end[part])
+        starts = np.unique(np.concatenate([first[part], middle[middle < end[part]]]))
+        stops = np.minimum(starts + STEP, end[part].max())
+        own = np.zeros((len(starts) + 1, block.basis.shape[1]), dtype=np.float32)
+        sizes = stops - starts
+        # The last step of a text may be shorter: it ends where its window ends.
+        last = np.searchsorted(starts, np.where(middle < end[part], middle, first[part]))
+        sizes[last] = np.minimum(sizes[last], end[part] - starts[last])
+        row = np.repeat(np.arange(len(starts)), sizes)
+        spot = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[row]
+        known = place[spot] >= 0
+        row, spot = row[known], spot[known]
+        if not len(row):
+            continue
+        edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        own[row[edge]] = np.add.reduceat(block.basis[place[spot]] * weight[spot, None], edge, axis=0)
+        left = np.searchsorted(starts, first[part])
+        right = np.where(middle < end[part], np.searchsorted(starts, middle), len(starts))
+        cosine = ((own[left] + own[right]) @ block.latent.T) / np.sqrt(whole[part])[:, None].astype(np.float32)
+        # So far a repeated word counted once in the norm, which makes the cosine too large, never too small.
+        for i in np.flatnonzero((cosine >= block.least[None, :]).any(axis=1)).tolist():
+            words, counts = np.unique(hashes[first[part[i]] : end[part[i]]], return_counts=True)
+            norm = np.sqrt(np.sum((idf[_bucket(words)] * counts) ** 2, dtype=np.float64))
+            exact = cosine[i] * (np.sqrt(whole[part[i]]) / norm)
+            for item in np.flatnonzero(exact >= block.least).tolist():
+                yield int(part[i]), item, float(exact[item])
 
 
 def leaks_in(texts: Sequence[bytes | None], paths: Sequence[str], idf: np.ndarray) -> dict[tuple[int, int, int], tuple[float, float, float]]:
