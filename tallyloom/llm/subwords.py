@@ -20,13 +20,13 @@ from tallyloom.llm.words import hash_spans
 VOCABULARY = "byte_bpe_50k.json"
 
 #: Words that a Python worker remembers, about 40 bytes each.
-CACHE_WORDS = 2_500_000
+CACHE_WORDS = 1_500_000
 #: Longer words are encoded again each time.
 CACHE_IDS = 32
 #: Characters that the library encodes as one text.
 LIBRARY_CHARS = 50_000
 #: Bytes of texts looked up together; a longer text is cut between words.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 
 _BETWEEN = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 _SPACE_LETTER = "Ġ"
