@@ -181,37 +181,54 @@ def keep_prefixes(
     return df.join(ends, group).filter(kept).drop("__number", *[f"__end_{name}" for name in order])
 
 
-def first_rows(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
-    """The first ``k`` rows. Only order columns take part in the search."""
-    if k <= SMALL_LIMIT:
-        top = df.select(*order).orderBy(*order).limit(k)
-        last = top.agg(F.max(F.struct(*order))).first()[0]
-        return df.filter(F.lit(False) if last is None else up_to(df, order, tuple(last)))
-    marked = df.withColumn("__all", F.lit(0))
-    sizes = group_sizes(marked, "__all", order)
-    if sizes.get(0, 0) <= k:
+def _checked_size(df: DataFrame, order: Sequence[str]) -> int:
+    """Number of rows; a null in an order column raises."""
+    return group_sizes(df.withColumn("__all", F.lit(0)), "__all", order).get(0, 0)
+
+
+def _first(df: DataFrame, order: Sequence[str], k: int, rows: int) -> DataFrame:
+    if rows <= k:
         return df
-    cutoff = find_cutoffs(marked, "__all", order, {0: k}, sizes)[0]
+    if k <= 0:
+        return df.filter(F.lit(False))
+    if k <= SMALL_LIMIT:
+        top = df.select(*order).orderBy(*order).limit(k + 1).collect()
+        if top[k - 1] == top[k]:
+            raise ValueError(f"order columns {list(order)} do not tell rows {k} and {k + 1} apart")
+        cutoff = tuple(top[k - 1])
+    else:
+        marked = df.withColumn("__all", F.lit(0))
+        cutoff = find_cutoffs(marked, "__all", order, {0: k}, {0: rows})[0]
     return df.filter(up_to(df, order, cutoff))
 
 
+def first_rows(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
+    """The first ``min(k, rows)`` rows, for any ``k``.
+
+    Only order columns take part in the search. A null in one of them raises,
+    and so does a tie between the last row kept and the first one left out.
+    """
+    return _first(df, order, k, _checked_size(df, order))
+
+
 def first_by_digest(df: DataFrame, digest: Column, keys: Sequence[str], k: int) -> DataFrame:
     """``k`` rows drawn without replacement: the first ones in digest order.
 
     Digests are uniform, so all but a few more than ``k`` rows are ruled out
     by their leading digits before anything is merged. Should that leave too
-    few rows, the search runs over all of them. Adds the column ``digest``.
+    few rows, the search runs over all of them. Nulls and ties in the keys
+    raise as in ``first_rows``. Adds the column ``digest``.
     """
     marked = df.withColumn("digest", digest)
     order = ["digest", *keys]
-    total = df.count()
+    total = _checked_size(df, keys)
     enough = k + 10 * k**0.5 + 100
-    if k <= SMALL_LIMIT and total > EXACT_ROWS > enough:
+    if 0 < k <= SMALL_LIMIT and total > EXACT_ROWS > enough:
         near = marked.filter(digest_share("digest") <= enough / total)
-        if near.count() >= k:
-            last = near.select(*order).orderBy(*order).limit(k).agg(F.max(F.struct(*order))).first()[0]
-            return marked.filter(up_to(marked, order, tuple(last)))
-    return first_rows(marked, order, k)
+        found = near.count()
+        if found > k:
+            return _first(near, order, k, found)
+    return _first(marked, order, k, total)
 
 
 def with_digest_rank(df: DataFrame, digest: str, keys: Sequence[str], target: str) -> DataFrame:

@@ -54,11 +54,31 @@ def test_ties_and_nulls_are_reported(spark):
 def test_first_rows(spark, k, monkeypatch):
     monkeypatch.setattr(order, "SMALL_LIMIT", 20)
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"))
-    found = sorted(row.x for row in order.first_rows(df, ["x"], k).collect()) if k else []
+    found = sorted(row.x for row in order.first_rows(df, ["x"], k).collect())
     expected = sorted(i * 7919 % 1009 for i in range(1000))[:k]
     assert found == expected
 
 
+@pytest.mark.parametrize("k", [0, 3, 19, 20, 21, 29])
+def test_prefixes_refuse_nulls_and_ties_on_both_sides_of_the_switch(spark, k, monkeypatch):
+    monkeypatch.setattr(order, "SMALL_LIMIT", 20)
+    nulls = spark.range(30).select(F.when(F.col("id") > 2, F.col("id")).alias("x"))
+    for take in (lambda df: order.first_rows(df, ["x"], k), lambda df: order.first_by_digest(df, seeded_digest(1, "x"), ["x"], k)):
+        with pytest.raises(ValueError, match="null"):
+            take(nulls)
+    threes = spark.range(60).select((F.col("id") / 3).cast("long").alias("x"))
+    if k % 3:
+        with pytest.raises(ValueError, match="apart|not unique"):
+            order.first_rows(threes, ["x"], k)
+    else:
+        assert order.first_rows(threes, ["x"], k).count() == k
+    same = spark.range(60).select(F.lit(1).alias("x"))
+    if k:
+        with pytest.raises(ValueError, match="apart|not unique"):
+            order.first_by_digest(same, seeded_digest(1, "x"), ["x"], k)
+    assert order.first_by_digest(same, seeded_digest(1, "x"), ["x"], 60).count() == 60
+
+
 def digest(seed, key):
     return hashlib.md5(f"{seed}:{key}".encode()).hexdigest()
 
