@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "tallyloom") -> SparkSession:
-    """A single-machine session for tests and the benchmark."""
-    return (
+    """A single-machine session for tests and the benchmark, with a checkpoint folder if none is set."""
+    session = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,21 +22,22 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyloom-"))
+    return session
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, where
-    driver and executors share one disk, may fall back to a temporary folder.
+    The session names it in ``spark.checkpoint.dir``. What is stored there stays
+    after the job; the folder may be emptied once no session needs it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="tallyloom-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 

@@ -16,9 +16,9 @@ def test_spread_only_touches_small_tables(spark):
     assert session.spread(wide) is wide
 
 
-def test_a_cluster_needs_a_shared_folder():
+def test_every_session_needs_a_shared_folder():
     class Context:
-        master = "spark://host:7077"
+        master = "local[2]"
 
         def getCheckpointDir(self):
             return None
