@@ -117,23 +117,18 @@ ORACLES["problem_fanout"] = """
 
 def chat(turn: str, head: str, tail: str) -> str:
     return f"""
-  with t as (select conv_id, turn, role, coalesce(text, '') as text, cast(floor(turn / 1024) as bigint) as segment,
-      first_value(role) over (partition by conv_id order by turn) as first_role,
-      last_value(role) over (partition by conv_id order by turn
-        rows between unbounded preceding and unbounded following) as last_role,
-      max(turn) over (partition by conv_id) as last_turn from conversations)
-  select conv_id, segment, concat(
-    case when segment = 0 and any_value(first_role) <> 'system' then {head} else '' end,
-    string_agg({turn}, '' order by turn),
-    case when max(turn) = any_value(last_turn) then {tail} else '' end) as text
-  from t group by conv_id, segment"""
+  select conv_id, turn, concat(
+    case when turn = first_turn and role <> 'system' then {head} else '' end, {turn},
+    case when turn = last_turn then {tail} else '' end) as text
+  from (select conv_id, turn, role, coalesce(text, '') as text, min(turn) over (partition by conv_id) as first_turn,
+      max(turn) over (partition by conv_id) as last_turn from conversations)"""
 
 
 PROBLEM_TURN = """case role when 'user' then concat('### Problem: ', text, chr(10))
     when 'assistant' then concat('### Solution: ', text, chr(10)) else '' end"""
 CHATML_TURN = "concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10))"
 CHATML_HEAD = "concat('<|im_start|>system', chr(10), '<|im_end|>', chr(10))"
-OPENER = "case when any_value(last_role) = 'user' then '### Solution: ' else '' end"
+OPENER = "case when role = 'user' then '### Solution: ' else '' end"
 ORACLES["chat_render_sft"] = chat(PROBLEM_TURN, "''", "''")
 ORACLES["chat_render_generation"] = chat(PROBLEM_TURN, "''", OPENER)
 ORACLES["chatml_render"] = chat(CHATML_TURN, CHATML_HEAD, "''")
@@ -146,6 +141,24 @@ def token_list(expr: str) -> str:
     return f"list_filter(string_split_regex({expr}, '{BREAK}'), lambda x: x <> '')"
 
 
+MESSAGES = """select doc_id, doc_id % 3 <> 0 as answered, coalesce(text, '') as text,
+    coalesce(concat('In ', lang), '') as reply from documents"""
+ORACLES["messages_render_sft"] = f"""
+  select doc_id, concat('### Problem: ', text, chr(10),
+    case when answered then concat('### Solution: ', reply, chr(10)) else '' end) as text from ({MESSAGES})"""
+ORACLES["messages_render_generation"] = f"""
+  select doc_id, concat('<|im_start|>system', chr(10), '<|im_end|>', chr(10), '<|im_start|>user', chr(10), text,
+    '<|im_end|>', chr(10), case when answered then concat('<|im_start|>assistant', chr(10), reply, '<|im_end|>', chr(10))
+    else '' end, '<|im_start|>assistant', chr(10)) as text from ({MESSAGES})"""
+ORACLES["messages_calibration"] = f"""
+  select doc_id, text, cast(len({token_list('text')}) as int) as n_tokens from (
+    select doc_id, concat('### Problem: ', text, chr(10), '### Solution: ',
+      case when answered then reply else '' end, chr(10)) as text from ({MESSAGES}))
+  order by md5(concat('42:', doc_id)), doc_id limit 256"""
+ORACLES["messages_mask"] = """
+  select doc_id, 'user' as role, true as masked, cast(length(text) as int) as n_chars from documents
+  union all select doc_id, 'assistant', false, cast(length(concat('In ', lang)) as int) from documents
+  where doc_id % 3 <> 0"""
 ORACLES["calibration_sample"] = f"""
   select conv_id, text, cast(len({token_list('text')}) as int) as n_tokens from (
     select conv_id, concat('### Problem: ', list(text order by turn)[1], chr(10),
@@ -175,6 +188,21 @@ MIX = f"""
   join (values {SHARES}) f(pos, source, share) using (source)
   where split = 'test' or rn <= cast(floor(share * n) as bigint)"""
 ORACLES["mix_fractions"] = MIX
+NAMED = """
+  select row_id % 10 = 0 as is_test, * from (
+    select 0 as pos, 0.3 as share, doc_id as row_id, text as prompt, lang as completion, null::double as score from documents
+    union all select 1, 1.0, item_id, text, null, null from benchmark
+    union all select 2, 0.25, event_id, event_type, null, value * 2 from events)"""
+NAMED_MIX = f"""
+  select case when is_test then 'test' else 'train' end as split, cast(pos as int) as mix_pos, row_id as row_key,
+    prompt, completion, score from (
+    select *, row_number() over (partition by pos, is_test order by row_id) as rn,
+      count(*) over (partition by pos, is_test) as n from ({NAMED}))
+  where is_test or rn <= cast(floor(share * n) as bigint)"""
+ORACLES["mix_named"] = NAMED_MIX
+ORACLES["mix_rendered"] = f"""
+  select split, mix_pos, row_key, concat('### Problem: ', coalesce(prompt, ''), chr(10), '### Solution: ',
+    case when mix_pos = 0 then coalesce(completion, '') else 'none' end, chr(10)) as text from ({NAMED_MIX})"""
 ORACLES["mix_split_rows"] = f"select split, count(*) as n_rows from ({MIX}) group by split"
 ORACLES["mix_train_order"] = f"""
   select *, row_number() over (order by digest, mix_pos, row_key) as place from (
@@ -291,6 +319,18 @@ ORACLES["generated_answers"] = """
   select doc_id, concat('There are ', length(text) - length(replace(text, chr(10), '')) + 1, ' lines.') as completion
   from documents"""
 
+LIVE = f"""select *, case when k <> 'error' then right(gen_texts, 100) end as region from (
+    select *, case when k = 'error' then text else concat(text, '```python', chr(10), 'print(', v, ')', chr(10), '```',
+      chr(10), '```output', chr(10), v, chr(10), '```', chr(10), 'The answer is $', v, '$.') end as gen_texts
+    from (select user_id as problem_id, event_id as sample_id, event_type as k, {inputs.WHOLE_VALUE} as v,
+      concat('### Problem: ', {inputs.WHOLE_VALUE}, ' ', event_type, chr(10), '### Solution: ') as text from events))"""
+ORACLES["live_scoring"] = f"""
+  select problem_id, sample_id, text, gen_texts, false as should_prune, coalesce(a, '-1') as model_answers,
+    true as has_code, cast(null as int) as pruned_step
+  from ({final(LIVE, 'problem_id, sample_id, text, gen_texts', 'region', 'a')})"""
+ORACLES["stored_predictions"] = VOTES
+ORACLES["stored_metrics"] = ORACLES["perplexity_metrics"]
+
 MATCHES = f"""select problem_id, event_id, round, final_answer
   from ({final(SOLUTIONS, 'problem_id, event_id, round', 'solution', 'final_answer')})
   join ({final('select problem_id, cast(known as varchar) as known from (' + TRUTH + ')', 'problem_id', 'known', 'expected')})
@@ -329,7 +369,10 @@ ORACLES["packed_tokens"] = f"""
       from (select doc_id, {token_list('text')} as t from documents)))
   group by block_id"""
 ORACLES["max_length_filter"] = f"select doc_id, text from documents where len({token_list('text')}) < 128"
-ORACLES["prompt_completion_pairs"] = f"""
-  select doc_id, concat('Topic: ', source) as prompt,
-    array_to_string({token_list('text')}[1:128], ' ') as completion from documents"""
+ORACLES["prompt_completion_pairs"] = """
+  select doc_id, concat('Topic: ', source) as prompt, text as completion from documents"""
+CUT = r"^[ \t\n\r\f\x0b]*(?:[^ \t\n\r\f\x0b]+[ \t\n\r\f\x0b]+){0,127}[^ \t\n\r\f\x0b]+"
+ORACLES["prompt_completion_cut"] = f"""
+  select doc_id, concat('Topic: ', source) as prompt, case when len({token_list('text')}) > 128
+    then regexp_extract(text, '{CUT}') else text end as completion from documents"""
 ORACLES["prediction_rows"] = "select doc_id, lang from documents order by doc_id limit 50"

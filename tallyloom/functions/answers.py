@@ -148,16 +148,21 @@ def _ascii_digits(text: Column) -> Column:
     return F.when(text.rlike(OTHER_SCRIPT), F.translate(text, "".join(_OTHER_DECIMALS), plain)).otherwise(text)
 
 
+def number_value(text: Column | str) -> Column:
+    """The number a text states, as Python's float() reads it; null if it states none."""
+    trimmed = _ascii_digits(strip(text))
+    number = F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double")
+    return F.when(trimmed.rlike(NUMBER), number)
+
+
 def numeric_answer(text: Column | str) -> Column:
     """The answer as an integer in 0..999, or null where it does not count.
 
     Reads a floating point number, rounds half to even, drops negatives and
     unreadable text, and takes the rest modulo 1000.
     """
-    trimmed = _ascii_digits(strip(text))
-    number = F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double")
-    rounded = F.rint(number)
-    counts = trimmed.rlike(NUMBER) & (rounded >= 0) & (rounded < F.lit(float("inf")))
+    rounded = F.rint(number_value(text))
+    counts = (rounded >= 0) & (rounded < F.lit(float("inf")))
     return F.when(counts, (rounded % 1000).cast("int"))
 
 

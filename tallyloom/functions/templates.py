@@ -77,38 +77,24 @@ def render(
     messages: Column | str,
     template: Template,
     generation: bool = False,
-    is_tail: Column | None = None,
 ) -> Column:
-    """Render turns as they are. ``is_tail`` marks rows that hold the last turn."""
+    """Render turns as they are."""
     messages = as_column(messages)
     text = _text(messages, template)
     if not generation:
         return text
-    opener = template.opener(F.get(messages, F.size(messages) - 1)["role"])
-    if is_tail is not None:
-        opener = F.when(is_tail, opener).otherwise(F.lit(""))
-    return F.concat(text, opener)
+    return F.concat(text, template.opener(F.get(messages, F.size(messages) - 1)["role"]))
 
 
 def chat_text(
     messages: Column | str,
     template: Template,
     task: str,
-    is_head: Column | None = None,
-    is_tail: Column | None = None,
 ) -> Column:
-    """Text of a conversation for training (``sft``) or prompting (``generation``).
-
-    A conversation too long for one row may come in segments; ``is_head`` and
-    ``is_tail`` mark the segment with the first and the last turn.
-    """
+    """Text of a conversation for training (``sft``) or prompting (``generation``): one row in, one out."""
     if task not in TASKS:
-        raise ValueError(f"Task {task} not supported, use one of {list(TASKS)}")
-    messages = as_column(messages)
-    opened = with_system_turn(messages)
-    if is_head is not None:
-        opened = F.when(is_head, opened).otherwise(messages.cast(MESSAGES_TYPE))
-    return render(opened, template, task == "generation", is_tail)
+        raise ValueError(f"{task!r} is no task to render for; there are {', '.join(TASKS)}")
+    return render(with_system_turn(messages), template, task == "generation")
 
 
 def fill_prompt(prompt: str, problem: Column | str) -> Column:

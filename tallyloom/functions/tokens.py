@@ -58,3 +58,14 @@ def truncated_tokens(text: Column | str, max_length: int, side: str = "right") -
     empty = F.array().cast("array<string>")
     parts = F.split(body, TOKEN_BREAK, max_length + 1)
     return F.when(body == "", empty).otherwise(F.slice(parts, 1, max_length))
+
+
+def cut_behind(text: Column | str, max_length: int) -> Column:
+    """The text up to its token number ``max_length``, white space kept; unchanged if it has no more tokens."""
+    text = as_column(text)
+    body = F.ltrim(text, F.lit(TOKEN_BREAK_CHARS))
+    # Splitting stops behind the wanted tokens; the last part is all the rest.
+    parts = F.split(body, TOKEN_BREAK, max_length + 1)
+    rest = F.try_element_at(parts, F.lit(max_length + 1))
+    kept = F.left(text, F.length(text) - F.length(rest))
+    return F.when(F.coalesce(rest, F.lit("")) == "", text).otherwise(F.rtrim(kept, F.lit(TOKEN_BREAK_CHARS)))

@@ -1,64 +1,58 @@
-"""Turn tables to conversations."""
+"""Turn tables: every turn is a row, whatever the length of its conversation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Turns per segment. An ordinary conversation is one segment.
-SEGMENT_TURNS = 1024
+from ..functions.templates import TASKS, Template
+from .lookup import lookup
 
 
-def assemble(
-    turns: DataFrame,
-    conversation: str,
-    turn: str,
-    role: str,
-    content: str,
-    segment_turns: int = SEGMENT_TURNS,
+def render_turns(
+    turns: DataFrame, conversation: str, turn: str, role: str, content: str, template: Template, task: str
 ) -> DataFrame:
-    """``messages`` arrays in turn order, one row per conversation segment.
+    """Text of every turn: conversation, turn, ``text``; joined in turn order they are the conversation's text.
 
-    A conversation with more than ``segment_turns`` turns comes as several
-    rows, so no task has to hold a conversation of any length. ``is_head`` and
-    ``is_tail`` mark the segments with its first and last turn. Both are
-    found by a narrow aggregate and travel to their segment as marker rows in
-    the one shuffle of the turns; no join is needed.
+    The first turn comes with the empty system turn in front unless it is a
+    system turn, and for ``generation`` the last one with the opener behind.
+    First and last turn come from a narrow aggregate that is looked up again,
+    so no task holds a conversation. A turn without a conversation or a number
+    is rendered by itself.
     """
-
-    def segment(name: str) -> Column:
-        return F.expr(f"`{name}` div {segment_turns}").alias("segment")
-
-    body = turns.select(
-        conversation,
-        segment(turn),
-        F.struct(
-            F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content")
-        ).alias("entry"),
+    if task not in TASKS:
+        raise ValueError(f"{task!r} is no task to render for; there are {', '.join(TASKS)}")
+    rows = turns.select(
+        F.col(conversation),
+        F.col(turn),
+        F.coalesce(role, F.lit("")).alias("__role"),
+        F.coalesce(content, F.lit("")).alias("__content"),
+    )
+    ends = turns.groupBy(conversation).agg(F.min(turn).alias("__first"), F.max(turn).alias("__last"))
+    found = lookup(rows, ends, [conversation], [turn], "left")
+    opens = (F.col(turn) == F.col("__first")) & (F.col("__role") != "system")
+    text = F.concat(
+        F.when(opens, template.turn(F.lit("system"), F.lit(""))).otherwise(F.lit("")),
+        template.turn(F.col("__role"), F.col("__content")),
     )
-    ends = turns.groupBy(conversation).agg(F.min(turn).alias("head"), F.max(turn).alias("tail"))
-    marks = ends.select(
-        conversation,
-        F.explode(
-            F.array(
-                F.struct(segment("head"), F.lit("head").alias("mark")),
-                F.struct(segment("tail"), F.lit("tail").alias("mark")),
-            )
-        ).alias("m"),
-    ).select(conversation, "m.segment", "m.mark")
-    return (
-        body.unionByName(marks, allowMissingColumns=True)
-        .groupBy(conversation, "segment")
-        .agg(
-            F.array_sort(F.collect_list("entry")).alias("entries"),
-            (F.count_if(F.col("mark") == "head") > 0).alias("is_head"),
-            (F.count_if(F.col("mark") == "tail") > 0).alias("is_tail"),
-        )
-        .select(
-            conversation,
-            "segment",
-            F.transform("entries", lambda e: F.struct(e["role"], e["content"])).alias("messages"),
-            "is_head",
-            "is_tail",
-        )
+    if task == "generation":
+        closes = F.col(turn) == F.col("__last")
+        text = F.concat(text, F.when(closes, template.opener(F.col("__role"))).otherwise(F.lit("")))
+    return found.select(conversation, turn, text.alias("text"))
+
+
+def first_turns(turns: DataFrame, conversation: str, turn: str, role: str, content: str, k: int) -> DataFrame:
+    """The first ``k`` turns of every conversation as ``messages``; cut before they are shuffled."""
+    order = Window.partitionBy(conversation).orderBy(turn)
+    entry = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"))
+    kept = turns.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= k)
+    grouped = kept.groupBy(conversation).agg(F.array_sort(F.collect_list(entry)).alias("__entries"))
+    messages = F.transform("__entries", lambda e: F.struct(e["role"], e["content"]))
+    return grouped.select(conversation, messages.alias("messages"))
+
+
+def user_turns(turns: DataFrame, conversation: str, role: str) -> DataFrame:
+    """How many turns of a conversation do not count towards the loss: ``n_masked`` of ``n_turns``."""
+    return turns.groupBy(conversation).agg(
+        F.count_if(F.col(role) == "user").alias("n_masked"), F.count(F.lit(1)).alias("n_turns")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
 from ..functions.digests import digest_share, seeded_digest
-from ..functions.tokens import token_count, truncated_tokens
+from ..functions.tokens import cut_behind, token_count
 from .order import first_rows
 
 # Defaults of the declared options.
@@ -37,15 +37,20 @@ def pair_columns(
     prompt: str,
     completion: str,
     source_prefix: str = "",
-    max_source: int = MAX_SOURCE_TOKENS,
-    max_target: int = MAX_TARGET_TOKENS,
+    max_source: int | None = None,
+    max_target: int | None = None,
 ) -> DataFrame:
-    """Rename to ``prompt`` and ``completion``, put the prefix first, cut to length."""
+    """Rename to ``prompt`` and ``completion``, put the prefix first, cut where a length is given.
+
+    Training sets that declare lengths use ``MAX_SOURCE_TOKENS`` and
+    ``MAX_TARGET_TOKENS``. What stays of a text stays as it was written.
+    """
     source = F.concat(F.lit(source_prefix), as_column(prompt))
+    target = as_column(completion)
     return df.withColumns(
         {
-            "prompt": F.array_join(truncated_tokens(source, max_source), " "),
-            "completion": F.array_join(truncated_tokens(completion, max_target), " "),
+            "prompt": source if max_source is None else cut_behind(source, max_source),
+            "completion": target if max_target is None else cut_behind(target, max_target),
         }
     )
 

@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
 from .order import with_running_total
 
 
+def place_sequences(counts: DataFrame, key: str, n_tokens: str) -> DataFrame:
+    """Where the tokens of every row lie in the stream of all rows in ``key`` order.
+
+    Columns: the key, ``n_tokens``, ``first_token``, ``all_tokens``. One narrow
+    row per row; rows without tokens are left out.
+    """
+    # Stored first, so that no text is tokenised again to find sort borders.
+    narrow = settle(counts.select(key, F.col(n_tokens).cast("bigint").alias("n_tokens")))
+    placed = with_running_total(narrow, [key], "n_tokens", "first_token").filter("n_tokens > 0")
+    return placed.select(key, "n_tokens", "first_token", F.col("first_token_all").alias("all_tokens"))
+
+
+def _shares(block_size: int) -> Column:
+    """The blocks a placed row takes part in: block_id, start (offset inside the row), len."""
+    first, n = F.col("first_token"), F.col("n_tokens")
+    blocks = F.expr(f"sequence(first_token div {block_size}, (first_token + n_tokens - 1) div {block_size})")
+
+    def share(block: Column) -> Column:
+        start = F.greatest(block * block_size - first, F.lit(0))
+        end = F.least((block + 1) * block_size - first, n)
+        return F.struct(block.alias("block_id"), start.alias("start"), (end - start).alias("len"))
+
+    return F.transform(blocks, share)
+
+
 def pack_blocks(counts: DataFrame, key: str, n_tokens: str, block_size: int) -> DataFrame:
     """Which tokens of which row fill which block.
 
@@ -19,37 +44,28 @@ def pack_blocks(counts: DataFrame, key: str, n_tokens: str, block_size: int) ->
     """
     if block_size < 1:
         raise ValueError("block_size must be positive")
-    # Stored first, so that no text is tokenised again to find sort borders.
-    narrow = settle(counts.select(key, F.col(n_tokens).cast("bigint").alias("__n")))
-    placed = with_running_total(narrow, [key], "__n", "__at").filter("__n > 0")
-    size = F.lit(block_size)
-    blocks = placed.select(
-        key,
-        "__n",
-        "__at",
-        "__at_all",
-        F.explode(F.expr(f"sequence(__at div {block_size}, (__at + __n - 1) div {block_size})")).alias("block_id"),
-    )
-    start = F.greatest(F.col("block_id") * size - F.col("__at"), F.lit(0))
-    end = F.least((F.col("block_id") + 1) * size - F.col("__at"), F.col("__n"))
-    return blocks.select(
-        "block_id",
-        key,
-        start.alias("start"),
-        (end - start).alias("len"),
-        ((F.col("block_id") + 1) * size > F.col("__at_all")).alias("is_partial"),
-    )
+    placed = place_sequences(counts, key, n_tokens)
+    shares = placed.select(key, "all_tokens", F.explode(_shares(block_size)).alias("s"))
+    partial = (F.col("s.block_id") + 1) * block_size > F.col("all_tokens")
+    return shares.select("s.block_id", key, "s.start", "s.len", partial.alias("is_partial"))
 
 
-def fill_blocks(blocks: DataFrame, sequences: DataFrame, key: str, token_array: str) -> DataFrame:
-    """The tokens of every block from ``pack_blocks``, in order.
+def fill_blocks(placed: DataFrame, sequences: DataFrame, key: str, token_array: str, block_size: int) -> DataFrame:
+    """The tokens of every block, in order: ``block_id`` and the token array.
 
-    A block holds at most ``block_size`` tokens, so no group can grow.
+    ``placed`` comes from ``place_sequences``. A token array meets its one
+    narrow row and is cut into the shares of its blocks where it is; only the
+    shares move on. A block holds at most ``block_size`` tokens, so no group
+    can grow.
     """
-    piece = F.slice(token_array, F.col("start").cast("int") + 1, F.col("len").cast("int"))
-    pieces = blocks.join(sequences.select(key, token_array), key).select(
-        "block_id", F.struct(F.col(key), piece.alias("piece")).alias("part")
-    )
-    return pieces.groupBy("block_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["piece"])).alias(token_array)
+    joined = sequences.select(key, token_array).join(placed, key)
+
+    def piece(share: Column) -> Column:
+        tokens = F.slice(F.col(token_array), share["start"].cast("int") + 1, share["len"].cast("int"))
+        return F.struct(share["block_id"].alias("block_id"), tokens.alias("piece"))
+
+    pieces = joined.select(key, F.explode(F.transform(_shares(block_size), piece)).alias("s"))
+    part = F.struct(F.col(key), F.col("s.piece").alias("piece"))
+    return pieces.groupBy("s.block_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["piece"])).alias(token_array)
     )

@@ -11,14 +11,17 @@ from ..functions import blocks, templates, tokens
 from ..functions.answers import boxed_answer, numeric_answer, with_clean_answer
 from ..functions.digests import seeded_digest
 from ..operators import fields, metrics, votes
+from ..operators.conversations import render_turns, user_turns
 from ..operators.order import first_by_digest, first_rows, with_digest_rank
-from ..operators.packing import fill_blocks
+from ..operators.packing import fill_blocks, place_sequences
 from ..operators.packing import pack_blocks as pack
 from ..session import work_folder
-from ..sources.problems import problem_feed, validation_problems
-from ..streaming.incremental import current_votes, start_tally
+from ..sources.datasets import write_metrics
+from ..sources.problems import problem_feed, validation_problems, write_predictions
+from ..streaming.incremental import current_votes, open_stream, start_tally
 from . import inputs, mixing, rejection, tracing
 from .calibration import calibration_sample as draw_calibration
+from .calibration import calibration_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,8 +117,7 @@ def problem_fanout(spark, folder):
 
 
 def _chat(spark, folder, template, task):
-    text = templates.chat_text("messages", template, task, F.col("is_head"), F.col("is_tail"))
-    return inputs.conversations(spark, folder).select("conv_id", "segment", text.alias("text"))
+    return render_turns(inputs.turns(spark, folder), "conv_id", "turn", "role", "text", template, task)
 
 
 @query
@@ -138,20 +140,43 @@ def chatml_render_generation(spark, folder):
     return _chat(spark, folder, templates.choose_template(None, templates.CHATML), "generation")
 
 
+def _messages(spark, folder, template, task):
+    text = templates.chat_text("messages", template, task)
+    return inputs.messages(spark, folder).select("doc_id", text.alias("text"))
+
+
+@query
+def messages_render_sft(spark, folder):
+    return _messages(spark, folder, templates.PROBLEM_SOLUTION, "sft")
+
+
+@query
+def messages_render_generation(spark, folder):
+    return _messages(spark, folder, templates.choose_template(), "generation")
+
+
+@query
+def messages_calibration(spark, folder):
+    rows = inputs.messages(spark, folder).withColumn("problem", F.get("messages", F.lit(0))["content"])
+    return draw_calibration(rows, "doc_id").select("doc_id", "text", "n_tokens")
+
+
+@query
+def messages_mask(spark, folder):
+    masked = fields.mask_user_turns("messages")
+    rows = inputs.messages(spark, folder).select("doc_id", F.explode(masked).alias("m"))
+    return rows.select("doc_id", "m.role", "m.masked", F.length("m.content").alias("n_chars"))
+
+
 @query
 def calibration_sample(spark, folder):
-    rows = inputs.conversations(spark, folder).filter("is_head")
-    rows = rows.select("conv_id", F.get("messages", F.lit(0))["content"].alias("problem"), "messages")
-    return draw_calibration(rows, "conv_id").select("conv_id", "text", "n_tokens")
+    drawn = calibration_turns(inputs.turns(spark, folder), "conv_id", "turn", "role", "text")
+    return drawn.select("conv_id", "text", "n_tokens")
 
 
 @query
 def user_turn_mask(spark, folder):
-    rows = inputs.conversations(spark, folder)
-    rows = rows.select("conv_id", "segment", F.explode(fields.mask_user_turns("messages")).alias("m"))
-    return rows.groupBy("conv_id").agg(
-        F.count_if("m.masked").alias("n_masked"), F.count(F.lit(1)).alias("n_turns")
-    )
+    return user_turns(inputs.turns(spark, folder), "conv_id", "role")
 
 
 # --- answers ---------------------------------------------------------------
@@ -193,14 +218,40 @@ def _mix(spark, folder, **options):
     return mixing.mix_tagged(docs, inputs.MIX_SPEC, "source", "split", "doc_id", **options)
 
 
+def _mix_rows(spark, folder):
+    docs = inputs.training_documents(spark, folder)
+    rows = mixing.mix_tagged_rows(docs, inputs.MIX_SPEC, "source", "split", "doc_id")
+    return rows.withColumnRenamed("kind", "split")
+
+
 @query
 def mix_fractions(spark, folder):
-    return mixing.as_one(_mix(spark, folder, shuffle=False)).select("split", "mix_pos", "row_key", "prompt")
+    return _mix_rows(spark, folder).select("split", "mix_pos", "row_key", "prompt")
 
 
 @query
 def mix_split_rows(spark, folder):
-    return metrics.rows_per_split(mixing.as_one(_mix(spark, folder, shuffle=False)))
+    return metrics.rows_per_split(_mix_rows(spark, folder))
+
+
+def _named(spark, folder, chat):
+    def read(name, split, revision):
+        return inputs.named_dataset(spark, folder, name, split, revision, chat)
+
+    return mixing.mix(inputs.NAMED_SPEC, read, "row_id", shuffle=False)
+
+
+@query
+def mix_named(spark, folder):
+    """Several datasets with columns of their own, one of them in another revision."""
+    rows = mixing.as_one(_named(spark, folder, False))
+    return rows.select("split", "mix_pos", "row_key", "prompt", "completion", "score")
+
+
+@query
+def mix_rendered(spark, folder):
+    rendered = mixing.render_mix(_named(spark, folder, True), templates.PROBLEM_SOLUTION)
+    return mixing.as_one(rendered).select("split", "mix_pos", "row_key", "text")
 
 
 @query
@@ -332,6 +383,58 @@ def generated_answers(spark, folder):
     return prompts.select("doc_id", tracing.batched("text", make).alias("completion"))
 
 
+@query
+def live_scoring(spark, folder):
+    """Two steps with user functions that see nothing but the text of a trace."""
+
+    def make_generate():
+        import re
+
+        asked = re.compile(r"### Problem: (-?\d+) (\w+)")
+
+        def go_on(texts):
+            replies = []
+            for text in texts:
+                value, kind = asked.match(text).groups()
+                if kind == "error":
+                    replies.append("no program here")
+                elif "```output" in text:
+                    replies.append(f"\nThe answer is ${value}$.")
+                else:
+                    replies.append(f"```python\nprint({value})\n```\n```output\n")
+            return replies
+
+        return go_on
+
+    def make_execute():
+        import re
+
+        printed = re.compile(r"print\((-?\d+)\)")
+        return lambda programs: [printed.search(program)[1] for program in programs]
+
+    return tracing.solve_live(inputs.live_traces(spark, folder), make_generate, make_execute, num_steps=2)
+
+
+# --- sinks -----------------------------------------------------------------
+
+
+@query
+def stored_predictions(spark, folder):
+    """The votes, written as predictions and read again."""
+    path = work_folder(spark, "predictions")
+    write_predictions(majority_vote(spark, folder), path, "problem_id")
+    return spark.read.parquet(path)
+
+
+@query
+def stored_metrics(spark, folder):
+    """The evaluation metrics, written as JSON and read again."""
+    path = work_folder(spark, "metrics")
+    rows = perplexity_metrics(spark, folder)
+    write_metrics(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 # --- rejection -------------------------------------------------------------
 
 
@@ -403,7 +506,8 @@ def pack_blocks(spark, folder):
 def packed_tokens(spark, folder):
     docs = inputs.busy_table(spark, folder, "documents", "doc_id", "text")
     sequences = docs.select("doc_id", tokens.tokens("text").alias("tokens"))
-    filled = fill_blocks(pack_blocks(spark, folder), sequences, "doc_id", "tokens")
+    placed = place_sequences(token_count(spark, folder), "doc_id", "n_tokens")
+    filled = fill_blocks(placed, sequences, "doc_id", "tokens", BLOCK_SIZE)
     return filled.select("block_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("text"))
 
 
@@ -420,6 +524,14 @@ def prompt_completion_pairs(spark, folder):
     return pairs.select("doc_id", "prompt", "completion")
 
 
+@query
+def prompt_completion_cut(spark, folder):
+    """With the lengths that a training set can declare."""
+    docs = inputs.table(spark, folder, "documents")
+    lengths = (fields.MAX_SOURCE_TOKENS, fields.MAX_TARGET_TOKENS)
+    return fields.pair_columns(docs, "source", "text", "Topic: ", *lengths).select("doc_id", "prompt", "completion")
+
+
 @query
 def prediction_rows(spark, folder):
     docs = inputs.table(spark, folder, "documents").select("doc_id", "lang")
@@ -434,7 +546,7 @@ def incremental_vote(spark, folder):
     """The majority vote, fed by a stream of event files."""
     schema = inputs.table(spark, folder, "events").schema
     # As a glob the path may be a file as well as a folder of files.
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
+    stream = open_stream(spark, schema, f"{folder}/events.parque[t]", max_files=100)
 
     def prepare(batch):
         answer = F.when(F.col("event_type") == "error", "-1").otherwise(F.col("value").cast("string"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import NO_ANSWER
 from ..functions.templates import prompt_text
-from ..operators.conversations import assemble
 from ..session import spread
 
 SOURCES = [f"src{i}" for i in range(20)]
@@ -162,8 +161,49 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def conversations(spark: SparkSession, folder: str) -> DataFrame:
-    return assemble(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+def turns(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations of one or two turns as arrays, as instruction data stores them."""
+    user = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
+    reply = F.struct(F.lit("assistant").alias("role"), F.concat(F.lit("In "), "lang").alias("content"))
+    both = F.when(F.col("doc_id") % 3 == 0, F.array(user)).otherwise(F.array(user, reply))
+    return table(spark, folder, "documents").select("doc_id", both.alias("messages"))
+
+
+def live_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Traces whose prompt holds all that a stand-in for a model has to know."""
+    problem = F.concat_ws(" ", F.expr(WHOLE_VALUE).cast("string"), "event_type")
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("problem_id"), F.col("event_id").alias("sample_id"), prompt_text(problem).alias("text")
+    )
+
+
+# Three datasets with their own columns: a part, everything, and a part of another revision.
+NAMED_SPEC = {"notes": 0.3, "items": 1.0, "gauges": {"fraction": 0.25, "revision": "v2"}}
+
+
+def named_dataset(spark: SparkSession, folder: str, name: str, split: str, revision: str, chat: bool) -> DataFrame:
+    """One split of a dataset: ``row_id`` and prompt columns, or ``messages``."""
+    if name == "notes":
+        rows = table(spark, folder, "documents").select(
+            F.col("doc_id").alias("row_id"), F.col("text").alias("prompt"), F.col("lang").alias("completion")
+        )
+    elif name == "items":
+        rows = table(spark, folder, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("prompt"))
+    else:
+        score = F.col("value") * (2 if revision == "v2" else 1)
+        rows = table(spark, folder, "events").select(
+            F.col("event_id").alias("row_id"), F.col("event_type").alias("prompt"), score.alias("score")
+        )
+    rows = rows.filter((F.col("row_id") % 10 == 0) == F.lit(split == "test"))
+    if not chat:
+        return rows
+    reply = F.col("completion") if "completion" in rows.columns else F.lit("none")
+    entry = [F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in (("user", F.col("prompt")), ("assistant", reply))]
+    return rows.select("row_id", F.array(*entry).alias("messages"))
 
 
 def in_test_split(key: str) -> Column:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from operator import or_
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import seeded_digest
 from ..functions.templates import Template, chat_text
-from ..operators.order import keep_prefixes, prefix_cutoffs, up_to
+from ..operators.order import prefix_cutoffs, up_to
 from ..sources.datasets import split_kind, training_columns
 
 # Fixed value: the seed of the shuffle after mixing.
@@ -29,7 +30,7 @@ def read_spec(spec: Spec) -> list[tuple[str, float, str]]:
         else:
             entry = (name, value, "main")
         if entry[1] < 0:
-            raise ValueError("Dataset fractions cannot be negative.")
+            raise ValueError(f"the fraction of {name} is below zero: {entry[1]}")
         if entry[1] > 1:
             raise ValueError(f"Dataset fraction {entry[1]} of {name} is above 1.")
         entries.append(entry)
@@ -98,6 +99,52 @@ def _cut(frames: list[DataFrame], ends: Mapping[int, tuple | None]) -> list[Data
     return cut
 
 
+def mix_tagged_rows(
+    df: DataFrame,
+    spec: Spec,
+    dataset: str,
+    split: str,
+    order_key: str,
+    splits: Sequence[str] = ("train", "test"),
+) -> DataFrame:
+    """All splits of ``mix_tagged`` in one scan: ``kind``, ``mix_pos``, ``row_key`` and the training columns.
+
+    The cutoffs become comparisons on the table's own columns, so that rows
+    outside the mix are left out where the table is read.
+    """
+    fractions = {name: fraction for name, fraction, _ in read_spec(spec)}
+    tag, label, key = F.col(dataset), F.col(split), F.col(order_key)
+    named = tag.isin(list(fractions))
+    present = {row[0] for row in df.filter(named).select(dataset).distinct().collect()}
+    if absent := [name for name in fractions if name not in present]:
+        raise ValueError(f"the table holds no rows of {', '.join(absent)}")
+    places: list[tuple[str, str, str, int]] = []
+    for kind in dict.fromkeys(split_kind(name) for name in splits):
+        pairs = [(name, one) for name in fractions for one in splits if split_kind(one) == kind]
+        places += [(name, one, kind, at) for at, (name, one) in enumerate(pairs)]
+    # One row per dataset split of the mix, so small enough to broadcast.
+    table = F.broadcast(
+        df.sparkSession.createDataFrame(places, f"`{dataset}` string, `{split}` string, kind string, mix_pos int")
+    )
+    shares = {at: fractions[name] for name, _, kind, at in places if kind == "train"}
+    keys = df.filter(named).select(dataset, split, key.alias("row_key")).join(table, [dataset, split])
+    ends = prefix_cutoffs(keys.filter("kind = 'train'"), "mix_pos", ["row_key"], shares) if shares else {}
+
+    def before_end(end: tuple | None) -> Column:
+        return F.lit(True) if end is None else key <= F.lit(end[0]).cast(df.schema[order_key].dataType)
+
+    kept, loose = [F.lit(False)], [F.lit(False)]
+    for name, one, kind, at in places:
+        if kind == "train" and at not in ends:
+            continue
+        end = ends[at] if kind == "train" else None
+        kept.append((tag == name) & (label == one) & before_end(end))
+        # The same without the split, which a table may have to compute first.
+        loose.append((tag == name) & before_end(end))
+    rows = df.filter(named & reduce(or_, loose) & reduce(or_, kept)).join(table, [dataset, split])
+    return rows.select("kind", "mix_pos", key.alias("row_key"), *training_columns(df))
+
+
 def mix_tagged(
     df: DataFrame,
     spec: Spec,
@@ -108,27 +155,14 @@ def mix_tagged(
     shuffle: bool = True,
     seed: int = MIX_SEED,
 ) -> dict[str, DataFrame]:
-    """Like ``mix`` for one table that holds all datasets and splits, in one scan."""
-    fractions = {name: fraction for name, fraction, _ in read_spec(spec)}
-    pairs: dict[str, list[tuple[str, str]]] = {}
-    for name in fractions:
-        for label in splits:
-            pairs.setdefault(split_kind(label), []).append((name, label))
-    mixed = {}
-    for kind, named in pairs.items():
-        # One row per dataset split of the mix, so small enough to broadcast.
-        places = df.sparkSession.createDataFrame(
-            [(name, label, at) for at, (name, label) in enumerate(named)],
-            f"`{dataset}` string, `{split}` string, mix_pos int",
-        )
-        rows = df.join(F.broadcast(places), [dataset, split]).select(
-            "mix_pos", F.col(order_key).alias("row_key"), *training_columns(df)
-        )
-        if kind == "train":
-            shares = {at: fractions[name] for at, (name, _) in enumerate(named)}
-            rows = keep_prefixes(rows, "mix_pos", ["row_key"], shares)
-        mixed[kind] = _finish(rows, shuffle, seed)
-    return mixed
+    """Like ``mix`` for one table that holds all datasets and splits.
+
+    A dataset without any row in the table raises. ``mix_tagged_rows`` gives
+    all splits at once, in one scan.
+    """
+    rows = mix_tagged_rows(df, spec, dataset, split, order_key, splits)
+    kinds = dict.fromkeys(split_kind(name) for name in splits)
+    return {kind: _finish(rows.filter(F.col("kind") == kind).drop("kind"), shuffle, seed) for kind in kinds}
 
 
 def arrange(mixed: DataFrame) -> DataFrame:

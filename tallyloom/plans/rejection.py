@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import boxed_answer, numeric_answer, with_clean_answer
+from ..functions.answers import boxed_answer, number_value, numeric_answer, with_clean_answer
 from ..functions.blocks import mentions_box
-from ..functions.columns import as_column, strip
+from ..functions.columns import as_column
 from ..operators.lookup import lookup
 from ..session import settle
 
@@ -16,7 +16,7 @@ def numeric_problems(problems: DataFrame, answer: str, integer_only: bool = Fals
     """Problems whose answer is a number, or a whole number."""
     kept = numeric_answer(answer).isNotNull()
     if integer_only:
-        value = F.replace(strip(answer), F.lit("_"), F.lit("")).try_cast("double")
+        value = number_value(answer)
         kept = kept & (value == F.rint(value))
     return problems.filter(kept)
 
@@ -61,15 +61,13 @@ def rejection_rounds(
     """Accepted solutions when only unsolved problems go to the next round.
 
     A problem is closed by its first round with a match, so the rounds need no
-    loop: find that round per problem, then keep its matches. Solutions of
-    other rounds are dropped before their answers are read again.
+    loop: find that round per problem, then keep its matches. All matches are
+    stored once, so every solution is cleaned once.
     """
-    known = expected_answers(references, problem, reference)
-    matched = _matches(lookup(candidates, known, [problem], [order]), solution)
+    matched = settle(matching_solutions(candidates, references, problem, solution, order, reference))
     closed = matched.groupBy(problem).agg(F.min(attempt).alias("__closed"))
-    solved = settle(known.join(closed, problem))
-    tried = lookup(candidates, solved, [problem], [order]).filter(F.col(attempt) == F.col("__closed"))
-    return _matches(tried.drop("__closed"), solution)
+    found = lookup(matched, closed, [problem], [order]).filter(F.col(attempt) == F.col("__closed"))
+    return found.drop("__closed")
 
 
 def unsolved(problems: DataFrame, accepted: DataFrame, problem: str) -> DataFrame:

@@ -58,21 +58,33 @@ def gather_steps(traces: DataFrame, generations: DataFrame, executions: DataFram
     keeps Spark from sorting the unique rows for a map-side aggregate. A hash
     of the key leads the grouping: Spark sorts by the first column first, and
     a problem with most of the rows would make all its comparisons ties.
+
+    A null prompt is an empty one. Two rows for one trace, or two completions
+    or outputs for one step of it, raise. Completions and outputs of traces
+    that are not in ``traces`` belong to nothing and are left out.
     """
     stacked = (
-        traces.select(*TRACE, "text")
-        .unionByName(generations.select(*TRACE, "step", "completion"), allowMissingColumns=True)
-        .unionByName(executions.select(*TRACE, "step", "output"), allowMissingColumns=True)
+        traces.select(*TRACE, F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("is_trace"))
+        .unionByName(generations.select(*TRACE, "step", "completion", F.lit(True).alias("is_completion")), allowMissingColumns=True)
+        .unionByName(executions.select(*TRACE, "step", "output", F.lit(True).alias("is_output")), allowMissingColumns=True)
         .withColumn("__trace", F.xxhash64(*TRACE))
         .repartition("__trace")
     )
-    steps = []
+    steps, counts = [], ["__traces"]
     for step in range(num_steps):
         here = F.col("step") == step
         steps.append(F.max(F.when(here, F.col("completion"))).alias(f"completion_{step}"))
         steps.append(F.max(F.when(here, F.col("output"))).alias(f"output_{step}"))
-    gathered = stacked.groupBy("__trace", *TRACE).agg(F.max("text").alias("text"), *steps)
-    return gathered.filter(F.col("text").isNotNull()).drop("__trace")
+        for kind in ("completion", "output"):
+            counts.append(f"__{kind}s_{step}")
+            steps.append(F.count_if(here & F.col(f"is_{kind}")).alias(counts[-1]))
+    gathered = stacked.groupBy("__trace", *TRACE).agg(
+        F.max("text").alias("text"), F.count("is_trace").alias("__traces"), *steps
+    )
+    once = F.greatest(*counts) <= 1
+    twice = F.concat(F.lit("more than one row for a trace or its step: "), F.concat_ws("/", *TRACE))
+    checked = F.when(once, F.col("text")).otherwise(F.raise_error(twice).cast("string"))
+    return gathered.filter("__traces > 0").withColumn("text", checked).drop("__trace", *counts)
 
 
 def start(traces: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def split_kind(split: str) -> str:
     for kind in ("train", "test"):
         if kind in split:
             return kind
-    raise ValueError(f"Split type {split} not recognized as one of test or train.")
+    raise ValueError(f"a split is named after train or test, unlike {split!r}")
 
 
 def dataset_path(name: str, split: str, revision: str = "main", root: str = ".") -> str:

@@ -17,10 +17,20 @@ def test_lengths_prefix_and_rows(spark):
     pairs = fields.pair_columns(rows, "q", "r", "Q: ", 3, 128).orderBy("id").collect()
     assert [row.prompt for row in pairs] == ["Q: a b", "Q: a"]
     assert len(pairs[1].completion.split()) == 128
+    whole = fields.pair_columns(rows, "q", "r", "Q: ").orderBy("id").collect()
+    assert [row.completion for row in whole] == ["x y", "z " * 200]
     assert [row.id for row in fields.prediction_rows(rows, ["id"], 1).collect()] == [1]
     assert fields.prediction_rows(rows, ["id"], None).count() == 2
 
 
+def test_cutting_keeps_white_space(spark):
+    texts = ["def f():\n    return 1\n", "  a\tb\n c  d ", "", "   ", None, "one"]
+    rows = spark.createDataFrame([(i, "q", t) for i, t in enumerate(texts)], "id int, q string, r string")
+    for n, expected in ((3, ["def f():\n    return", "  a\tb\n c", "", "   ", None, "one"]), (4, texts), (1, ["def", "  a", "", "   ", None, "one"])):
+        cut = fields.pair_columns(rows, "q", "r", max_target=n).orderBy("id").collect()
+        assert [row.completion for row in cut] == expected
+
+
 def test_user_turn_mask(spark):
     rows = spark.createDataFrame([([("user", "a"), ("assistant", "b")],)], f"m {MESSAGES_TYPE}")
     masked = rows.select(fields.mask_user_turns("m").alias("m")).first().m

@@ -33,7 +33,7 @@ def test_paths_and_splits():
     assert datasets.dataset_path("a/b", "train", root="r") == "r/a/b/main/train"
     assert datasets.dataset_path("my/data/set", "test", "v1", "r") == "my/data/set/test"
     assert [datasets.split_kind(s) for s in ("train", "test_sft", "train_test")] == ["train", "test", "train"]
-    with pytest.raises(ValueError, match="not recognized"):
+    with pytest.raises(ValueError, match="named after"):
         datasets.split_kind("valid")
 
 
@@ -67,10 +67,10 @@ def test_errors_come_before_any_read():
     def read(*_):
         raise AssertionError("read")
 
-    for spec, message in (({"x": -0.1}, "negative"), ({"x": 1.5}, "above 1"), ({}, "no dataset")):
+    for spec, message in (({"x": -0.1}, "below zero"), ({"x": 1.5}, "above 1"), ({}, "no dataset")):
         with pytest.raises(ValueError, match=message):
             mixing.mix(spec, read, "id")
-    with pytest.raises(ValueError, match="not recognized"):
+    with pytest.raises(ValueError, match="named after"):
         mixing.mix({"x": 1.0}, read, "id", ["valid"])
 
 
@@ -110,6 +110,20 @@ def test_tagged_table_gives_the_same_mix(spark, root):
         assert mixing.arrange(separate[kind]).select(columns).collect() == mixing.arrange(tagged[kind]).select(columns).collect()
 
 
+def test_tagged_mix_reads_one_scan_and_pushes_its_cutoffs(spark, tmp_path):
+    rows = spark.range(400).select("id", F.concat(F.lit("s"), F.col("id") % 4).alias("set"), F.lit("q").alias("prompt"))
+    rows.withColumn("part", F.when(F.col("id") < 300, "train").otherwise("test")).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    mixed = mixing.mix_tagged_rows(table, {"s0": 0.5, "s2": 1.0}, "set", "part", "id")
+    counts = {(r.kind, r.mix_pos): r["count"] for r in mixed.groupBy("kind", "mix_pos").count().collect()}
+    assert counts == {("train", 0): 37, ("train", 1): 75, ("test", 0): 25, ("test", 1): 25}
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert "LessThanOrEqual(id,144)" in plan and "EqualTo(set,s0)" in plan
+    with pytest.raises(ValueError, match="no rows of s9"):
+        mixing.mix_tagged_rows(table, {"s0": 0.5, "s9": 1.0}, "set", "part", "id")
+
+
 def test_render_mix(spark, root):
     mixed = mixing.mix({"org/two": 1.0}, reader(spark, root), "id", shuffle=False)
     rendered = mixing.render_mix(mixed, PROBLEM_SOLUTION)

@@ -7,9 +7,9 @@ from tallyloom.plans import rejection
 
 
 def test_numeric_problems(spark):
-    rows = spark.createDataFrame([("1",), ("2.5",), ("x",), ("-4",), ("3.0",)], "a string")
-    assert sorted(r.a for r in rejection.numeric_problems(rows, "a").collect()) == ["1", "2.5", "3.0"]
-    assert sorted(r.a for r in rejection.numeric_problems(rows, "a", True).collect()) == ["1", "3.0"]
+    rows = spark.createDataFrame([("1",), ("2.5",), ("x",), ("-4",), ("3.0",), ("١٢",)], "a string")
+    assert sorted(r.a for r in rejection.numeric_problems(rows, "a").collect()) == ["1", "2.5", "3.0", "١٢"]
+    assert sorted(r.a for r in rejection.numeric_problems(rows, "a", True).collect()) == ["1", "3.0", "١٢"]
 
 
 @pytest.mark.parametrize("small", [True, False])

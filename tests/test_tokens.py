@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import tokens
-from tallyloom.operators.packing import fill_blocks, pack_blocks
+from tallyloom.operators.packing import fill_blocks, pack_blocks, place_sequences
 from tests.conftest import values
 
 TEXTS = ["", "  \n ", "one", " a  b\tc\n", "x\x0by\x0cz"]
@@ -39,7 +39,7 @@ def test_packing_covers_every_token_once_in_order(spark, block_size):
     counts = rows.select("doc", F.size("tokens").alias("n"))
     blocks = pack_blocks(counts, "doc", "n", block_size)
     stream = [word for doc in sorted(words) for word in words[doc]]
-    filled = {row.block_id: row.tokens for row in fill_blocks(blocks, rows, "doc", "tokens").collect()}
+    filled = {row.block_id: row.tokens for row in fill_blocks(place_sequences(counts, "doc", "n"), rows, "doc", "tokens", block_size).collect()}
     expected = [stream[i : i + block_size] for i in range(0, len(stream), block_size)]
     assert [filled[b] for b in sorted(filled)] == expected
     partial = {row.block_id for row in blocks.filter("is_partial").collect()}

@@ -157,3 +157,15 @@ def test_batches_skip_null_texts(spark):
     rows = spark.createDataFrame([(0, "a"), (1, None), (2, "b")], "i int, t string").coalesce(1)
     found = rows.select("i", tracing.batched(F.col("t"), make).alias("u")).orderBy("i").collect()
     assert [row.u for row in found] == ["A", None, "B"]
+
+
+def test_null_prompts_stay_and_doubled_rows_raise(spark):
+    traces = spark.createDataFrame([(1, 1, None), (1, 2, "q")], "problem_id long, sample_id long, text string")
+    none = spark.createDataFrame([], "problem_id long, sample_id long, step int, output string")
+    one = spark.createDataFrame([(1, 1, 0, "x"), (9, 9, 0, "stray")], "problem_id long, sample_id long, step int, completion string")
+    scored = {row.sample_id: row for row in tracing.score_traces(traces, one, none, 1, False).collect()}
+    assert set(scored) == {1, 2} and scored[1].text == "" and scored[1].gen_texts == "x"
+    with pytest.raises(Exception, match="more than one row for a trace"):
+        tracing.score_traces(traces, one.union(one), none, 1).collect()
+    with pytest.raises(Exception, match="more than one row for a trace"):
+        tracing.score_traces(traces.union(traces), one, none, 1).collect()
