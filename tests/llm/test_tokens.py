@@ -1,0 +1,119 @@
+"""Encoding, plane files and packing against the tokenizer itself."""
+
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallyloom.llm import bins, planes, subwords, words
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return subwords.encoder(subwords.vocabulary_path()).tokenizer
+
+
+def ids_of(tokenizer, text):
+    return tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab 'sé\xa0　  \x1c\x85\n\t1.漢\x7f\U0001f600")), max_size=6))
+def test_encoding_equals_the_library(texts):
+    coder = subwords.encoder(subwords.vocabulary_path())
+    found = coder.encode([text.encode() for text in texts])
+    assert [one.tolist() for one in found] == [ids_of(coder.tokenizer, text) for text in texts]
+
+
+def test_long_texts_are_cut_between_words_and_the_memory_is_bounded(monkeypatch, tokenizer):
+    monkeypatch.setattr(subwords, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(subwords, "CACHE_WORDS", 20)
+    coder = subwords.Encoder(subwords.vocabulary_path())
+    texts = ["word%d, other " % i * 30 for i in range(20)] + ["x" * 5000, None, "<|endoftext|> is text"]
+    for _ in range(2):
+        found = coder.encode([text if text is None else text.encode() for text in texts])
+        assert [one.tolist() for one in found] == [ids_of(tokenizer, text) for text in texts]
+    assert len(coder.hashes) <= 40
+
+
+@pytest.mark.parametrize("kind", ["byte", "bit"])
+@pytest.mark.parametrize("n", [0, 1, 7, 1000, 70_000])
+def test_planes_round_trip(kind, n):
+    ids = np.random.default_rng(n).integers(0, 2**32, n, dtype=np.uint32)
+    assert np.array_equal(planes.from_planes(planes.to_planes(ids, kind), n, kind), ids)
+    data = planes.pack_shard(iter([ids[: n // 3], ids[n // 3 :]]), [[5, n]], kind, block=4096)
+    assert np.array_equal(planes.read_ids(data, 0, n), ids)
+    assert np.array_equal(planes.read_ids(data, n // 4, n // 2), ids[n // 4 : n // 2])
+    assert planes.footer_of(data)["documents"] == [[5, n]]
+
+
+def test_plane_files_hold_all_ids_in_order(spark, messy, corpus, tokenizer):
+    docs = corpus.select("doc_id", "text").unionByName(messy.select("doc_id", "text").filter("doc_id is null or doc_id < 6"))
+    found = planes.encode_and_read(docs, subwords.vocabulary_path(), shard_bytes=40_000).collect()
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    expected, start = [], 0
+    for row in rows:
+        ids = [*ids_of(tokenizer, row.text), 0]
+        expected.append((row.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, found), key=lambda r: r[1]) == expected
+
+
+def test_plane_files_of_nothing(nothing):
+    assert planes.encode_and_read(nothing, subwords.vocabulary_path()).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60))
+def test_first_fit_decreasing_equals_the_plain_search(sizes):
+    sizes = sorted(sizes, reverse=True)
+    found = bins.first_fit_decreasing(np.array(sizes, dtype=np.int64), 20)
+    free, expected = [], []
+    for size in sizes:
+        at = next((i for i, room in enumerate(free) if room >= size), len(free))
+        if at == len(free):
+            free.append(20)
+        expected.append((at, 20 - free[at]))
+        free[at] -= size
+    assert list(zip(*(column.tolist() for column in found))) == expected
+
+
+@pytest.mark.parametrize("group_pieces", [3, 50_000])
+def test_packing_places_every_id_once(messy, corpus, tokenizer, group_pieces):
+    docs = corpus.select("doc_id", "text").unionByName(messy.select("doc_id", "text"))
+    found = bins.pack_documents(docs, subwords.vocabulary_path(), sequence=256, group_pieces=group_pieces).toPandas()
+    expected = {}
+    for row in docs.collect():
+        ids = np.array([*ids_of(tokenizer, row.text), 1], dtype="<u4")
+        expected.setdefault((row.doc_id if row.doc_id is not None else -1), []).append(ids)
+    assert found["length"].between(1, 256).all()
+    for key, rows in found.fillna({"doc_id": -1}).groupby("doc_id"):
+        texts = expected.pop(key)
+        assert rows["length"].sum() == sum(map(len, texts))
+        for row in rows.itertuples():
+            pieces = [ids[row.start : row.start + row.length] for ids in texts if len(ids) == row.doc_tokens]
+            assert row.ids_crc32 in [zlib.crc32(piece.tobytes()) for piece in pieces]
+    assert not expected
+    inside = found.sort_values(["sequence_id", "offset"])
+    before = inside.groupby("sequence_id")["length"].cumsum() - inside["length"]
+    assert (before == inside["offset"]).all() and (inside.groupby("sequence_id")["length"].sum() <= 256).all()
+
+
+def test_packing_nothing(nothing):
+    assert bins.pack_documents(nothing, subwords.vocabulary_path()).collect() == []
+
+
+def test_word_hashes_in_small_blocks(monkeypatch):
+    monkeypatch.setattr(words, "BLOCK_BYTES", 64)
+    texts = ["", "A b  c\x0b d", "Hello World " * 30, "x" * 300, None, " \n", "é à É", ("y" * 100 + " z ") * 5]
+    hashes, counts = words.hash_words([text if text is None else text.encode() for text in texts])
+    import re
+
+    split = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) for text in texts]
+    assert counts.tolist() == [len(part) for part in split]
+    seen = {}
+    for word, key in zip([word for part in split for word in part], hashes.tolist()):
+        assert seen.setdefault(word, key) == key
+    assert len(set(seen.values())) == len(seen)
