@@ -219,7 +219,7 @@ def train(rows: DataFrame, texts: int = SAMPLE_TEXTS) -> Classifier:
     languages = sorted({row["lang"] for row in found})
     place = {name: k for k, name in enumerate(languages)}
     examples = []
-    for row in sorted(found, key=lambda row: (hash_order(row["doc_id"]), row["doc_id"], row["lang"])):
+    for row in sorted(found, key=lambda row: (hash_order(row["doc_id"]), row["lang"], row["at"])):
         at = np.frombuffer(row["at"], "<u4").astype(np.int64)
         examples.append((at, np.frombuffer(row["share"], "<f4") * idf[at] * SCALE, place[row["lang"]]))
     kept = int(len(examples) * CALIBRATION)

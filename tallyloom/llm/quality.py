@@ -213,7 +213,8 @@ def learn(docs: DataFrame, texts: int = TRAIN_TEXTS) -> tuple[Reliability, np.nd
     target = model.posterior(np.zeros(len(sample), dtype=np.int64), own) if sample else np.zeros(0)
     indices = [np.frombuffer(row["at"], "<u4").astype(np.int64) for row in sample]
     values = [np.frombuffer(row["share"], "<f4").astype(float) for row in sample]
-    return model, train_linear(indices, values, target, 1 << FEATURE_BITS, rounds=60)
+    prior = np.clip(target.mean(), 0.05, 0.95) if sample else 0.8
+    return model, train_linear(indices, values, target, 1 << FEATURE_BITS, rounds=60, bias=float(np.log(prior / (1 - prior))))
 
 
 def judge(docs: DataFrame, texts: int = TRAIN_TEXTS, least: float = 0.5) -> DataFrame:

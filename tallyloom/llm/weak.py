@@ -66,14 +66,23 @@ def estimate(
 
 
 def train_linear(
-    indices: list[np.ndarray], values: list[np.ndarray], target: np.ndarray, size: int, rounds: int = 30, rate: float = 0.5, decay: float = 1e-4
+    indices: list[np.ndarray],
+    values: list[np.ndarray],
+    target: np.ndarray,
+    size: int,
+    rounds: int = 30,
+    rate: float = 0.5,
+    decay: float = 1e-4,
+    bias: float | None = None,
 ) -> np.ndarray:
     """Logistic regression on hashed features with soft targets; the last weight is the bias.
 
     Full-batch steps with a rate per feature (AdaGrad): the same rows in any
-    order give the same weights up to rounding.
+    order give the same weights up to rounding. A given ``bias`` is kept: rows
+    with little to tell then stay close to it.
     """
     weights = np.zeros(size + 1)
+    weights[-1] = bias or 0.0
     if not len(target):
         return weights
     row = np.repeat(np.arange(len(target)), [len(i) for i in indices])
@@ -83,7 +92,7 @@ def train_linear(
         score = np.bincount(row, weights=weights[column] * value, minlength=len(target)) + weights[-1]
         gap = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - target
         slope = np.bincount(column, weights=gap[row] * value, minlength=size + 1) / len(target)
-        slope[-1] = gap.mean()
+        slope[-1] = gap.mean() if bias is None else 0.0
         slope[:-1] += decay * weights[:-1]
         grown += slope**2
         weights -= rate * slope / np.sqrt(grown)
