@@ -94,8 +94,10 @@ def validation_head(spark, folder):
 
 @query
 def validation_shuffled(spark, folder):
-    feed = problem_feed(validation_set(spark, folder), "id", seed=7)
-    return with_digest_rank(feed, "digest", ["id"], "place").select("id", "text", "place")
+    # Ranked as keys and problems; the prompts are written behind the shuffle.
+    keyed = validation_set(spark, folder).select("id", "problem", seeded_digest(7, "id").alias("digest"))
+    ranked = with_digest_rank(keyed, "digest", ["id"], "place")
+    return problem_feed(ranked, "id", keep=["place"]).select("id", "text", "place")
 
 
 @query

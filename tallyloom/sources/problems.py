@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +21,17 @@ def validation_problems(df: DataFrame, answer: str = "answer") -> DataFrame:
 
 
 def problem_feed(
-    problems: DataFrame, key: str = "id", seed: int | None = None, template: Template = PROBLEM_SOLUTION
+    problems: DataFrame,
+    key: str = "id",
+    seed: int | None = None,
+    template: Template = PROBLEM_SOLUTION,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Key, problem and prompt of all problems at once.
+    """Key, problem and prompt of all problems at once, and the columns of ``keep``.
 
     ``seed`` adds the column ``digest``; sort by it to get them shuffled.
     """
-    feed = problems.select(key, "problem").withColumn("text", prompt_text("problem", template))
+    feed = problems.select(key, "problem", *keep).withColumn("text", prompt_text("problem", template))
     return feed if seed is None else feed.withColumn("digest", seeded_digest(seed, key))
 
 
