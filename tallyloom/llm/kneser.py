@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.store import local_path, read_bytes, slices, task_count, text_bytes, write_bytes
+from tallyloom.llm.store import MOST_TASKS, local_path, read_bytes, slices, task_count, text_bytes, write_bytes
 from tallyloom.llm.words import chain, hash_words, mix
 from tallyloom.session import settle, work_folder
 
@@ -40,6 +40,8 @@ ORDER = 2
 #: N-grams that a task holds before it sends their counts on.
 HELD_GRAMS = 3_000_000
 SHARD_BYTES = 16 * 1024 * 1024
+#: Shards beyond the number of tasks are added up one after the other by a task, so memory is that of one shard.
+MOST_SHARDS = 200_000
 #: Bytes of text scored at once: more of them share the distinct keys.
 SCORE_BYTES = 3_000_000
 
@@ -190,7 +192,7 @@ def _blocks(dealt: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _by_shard(blocks: DataFrame, shards: int) -> DataFrame:
-    return blocks.select("shard", "block").repartition(shards, "shard").sortWithinPartitions("shard")
+    return blocks.select("shard", "block").repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard")
 
 
 def _each_shard(batches: Iterator[pa.RecordBatch], kinds: Sequence[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -281,7 +283,7 @@ def train(docs: DataFrame, folder: str, order: int = ORDER, shard_bytes: int = S
     """Count the texts of ``docs`` (text) and store a model of ``order`` words in ``folder``."""
     docs = docs.select("text")
     size = text_bytes(docs)
-    shards = task_count(size, shard_bytes)
+    shards = task_count(size, shard_bytes, MOST_SHARDS)
     least_hot = max(1000, size // (24 * shards))
     nothing = np.zeros(0, dtype=np.uint64)
     model = Model(folder, order, shards, [], 0, 0)

@@ -30,6 +30,8 @@ from tallyloom.session import work_folder
 BUCKET_BITS = 18
 #: Passages of the benchmark that share one latent space.
 BLOCK_ITEMS = 1024
+#: Tasks whose word counts one task adds up.
+MERGED_TASKS = 4000
 #: Most dimensions of a latent space, and extra random ones to find them.
 RANK, EXTRA = 1024, 16
 WINDOW, STEP = 32, 16
@@ -61,6 +63,11 @@ def word_frequencies(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"row": [frame["row"].iloc[0]], "counts": [np.sum(np.stack(frame["counts"].to_list()), axis=0)]})
 
     counted = docs.select("text").mapInArrow(run, "row long, counts array<long>")
+    # What very many tasks counted is added up in two steps, so that no group holds more than some thousand arrays.
+    salts = task_count(docs.rdd.getNumPartitions(), MERGED_TASKS)
+    if salts > 1:
+        salted = counted.withColumn("salt", F.spark_partition_id() % salts)
+        counted = salted.groupBy("row", "salt").applyInPandas(add, "row long, counts array<long>")
     total = np.zeros((1 << BUCKET_BITS >> 10, 1024), dtype=np.int64)
     for row in counted.groupBy("row").applyInPandas(add, "row long, counts array<long>").collect():
         total[row["row"]] = row["counts"]

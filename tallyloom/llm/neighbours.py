@@ -215,7 +215,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample_vectors: in
                 yield pa.RecordBatch.from_pydict({"path": [path]})
 
     queries = rows.filter(is_query)
-    held = queries.repartition(task_count(queries.count(), 8 * QUERY_ROWS), "vec_id")
+    held = queries.repartition(task_count(queries.count(), 8 * QUERY_ROWS))
     paths = sorted(row[0] for row in held.mapInArrow(store, "path string").collect())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample_vectors: in
                 yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
 
     cores = spark.sparkContext.defaultParallelism
-    dealt = rows.repartition(max(min(cores, task_count(n, INDEX_ROWS)), task_count(n, TASK_ROWS)), "vec_id")
+    dealt = rows.repartition(max(min(cores, task_count(n, INDEX_ROWS)), task_count(n, TASK_ROWS)))
     found = dealt.mapInArrow(search, _PAIRS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -29,6 +29,7 @@ MAGIC = b"TLPLANE1"
 BLOCK_IDS = 65_536
 #: Bytes of text that become one shard file.
 SHARD_BYTES = 16 * 1024 * 1024
+MOST_SHARDS = 200_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -113,7 +114,7 @@ def write_shards(
     that runs again writes the same file again.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = task_count(text_bytes(narrow), shard_bytes)
+    parts = task_count(text_bytes(narrow), shard_bytes, MOST_SHARDS)
     ordered = narrow.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

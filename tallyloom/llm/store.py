@@ -52,8 +52,9 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
-def task_count(size: int, each: int = TASK_BYTES, least: int = 1) -> int:
-    return max(least, min(MOST_TASKS, math.ceil(size / each)))
+def task_count(size: int, each: int = TASK_BYTES, most: int = MOST_TASKS) -> int:
+    """Into how many parts of about ``each`` a stage is cut."""
+    return max(1, min(most, math.ceil(size / each)))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:

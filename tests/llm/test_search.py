@@ -76,6 +76,16 @@ def test_whole_and_paraphrased_passages_are_found(spark, corpus, folder):
     assert {row.doc_id for row in clean.collect()} == {doc for doc, _ in docs + hidden} - leaky | {7 * 10**6, 7 * 10**6 + 1}
 
 
+def test_word_frequencies_in_one_and_in_two_steps(corpus, monkeypatch):
+    from tallyloom.llm.words import hash_words
+
+    texts = [row.text.encode() for row in corpus.collect()]
+    expected = np.bincount((hash_words(texts)[0] >> np.uint64(64 - leaks.BUCKET_BITS)).astype(int), minlength=1 << leaks.BUCKET_BITS)
+    assert np.array_equal(leaks.word_frequencies(corpus), expected)
+    monkeypatch.setattr(leaks, "MERGED_TASKS", 2)
+    assert np.array_equal(leaks.word_frequencies(corpus.repartition(7)), expected)
+
+
 def test_leak_edges(spark, messy, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "the same words twice"), (3, "the same words twice")], "item_id long, text string")
     found = sorted((row.doc_id, row.item_id) for row in leaks.find_leaks(messy, items).collect())
