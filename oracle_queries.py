@@ -44,6 +44,7 @@ def clean(relation: str, keys: str, source: str, out: str) -> str:
         expr = f"replace({expr}, {text(old)}, {text(new)})"
     for word in DELETIONS:
         expr = f"replace({expr}, {text(word)}, '')"
+    # The wrappers and lead-ins of the clean-up, in DuckDB's spelling.
     for wrapper in (r"\\text\{(.*?)\}", r"\\textbf\{(.*?)\}", r"\\overline\{(.*?)\}", r"\\boxed\{(.*)\}"):
         expr = rf"regexp_replace({expr}, '{wrapper}', '\1', 'g')"
     sql = f"select {keys}, {expr} as t from ({relation})"
