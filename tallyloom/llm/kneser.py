@@ -38,7 +38,7 @@ from tallyloom.session import settle, work_folder
 
 ORDER = 2
 #: N-grams that a task holds before it sends their counts on.
-HELD_GRAMS = 3_000_000
+HELD_GRAMS = 2_000_000
 SHARD_BYTES = 16 * 1024 * 1024
 #: Shards beyond the number of tasks are added up one after the other by a task, so memory is that of one shard.
 MOST_SHARDS = 200_000
