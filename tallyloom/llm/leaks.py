@@ -1,12 +1,14 @@
 """Benchmark passages in documents, paraphrased ones too: latent semantic retrieval, then exact checks.
 
 Word frequencies over all documents give the inverse frequencies of TF-IDF. The
-benchmark is dealt into blocks of bounded size; for each block a task finds, by
-randomised SVD of its TF-IDF passages, a basis of their latent space and stores
-it in the shared folder. Every document is then cut into overlapping windows of
-words; windows whose weight in the block's words cannot reach the least cosine
-are passed over, the others are projected and compared with all passages of the
-block. Candidates are verified by the longest common subsequence of words and,
+benchmark is dealt into blocks of bounded size. A passage longer than a window
+is cut into windows as documents are, so that a copy of it is about as near to
+one of its windows as that of a short passage, whatever its length; these and
+the whole passage are its rows. For each block a task finds, by randomised SVD
+of its TF-IDF rows, a basis of their latent space and stores it in the shared
+folder. Every document is then cut into overlapping windows of words; windows
+whose weight in the block's words cannot reach the least cosine are passed over,
+the others are projected and compared with all rows of the block. Candidates are verified by the longest common subsequence of words and,
 where that leaves room for doubt, by whether the passage's answer is there.
 """
 
@@ -28,7 +30,7 @@ from tallyloom.session import work_folder
 
 #: Buckets of word frequencies, as a power of two.
 BUCKET_BITS = 18
-#: Passages of the benchmark that share one latent space.
+#: Rows of the benchmark's passages that share one latent space.
 BLOCK_ITEMS = 1024
 #: Tasks whose word counts one task adds up.
 MERGED_TASKS = 4000
@@ -38,6 +40,8 @@ WINDOW, STEP = 32, 16
 LEAST_COSINE = 0.4
 #: Words of at most so many passages are looked up passage by passage before anything is projected.
 RARE_PASSAGES = 4
+#: Rows of a passage that one of its words is in: two windows and the whole passage.
+WORD_ROWS = 3
 #: Allowance for repeated words, which the bound on the cosine counts once.
 SLACK = 0.9
 #: Share of a passage's words that must follow in order: certain, or certain if its answer is there too.
@@ -103,46 +107,77 @@ def _answer(text: str, hashes: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return tail[order[:ANSWER_WORDS]]
 
 
+def passage_rows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, first and end word of the rows of passages with so many words: their windows and, if longer, the whole."""
+    owner, first, end = windows(sizes)
+    long, ends = np.flatnonzero(sizes > WINDOW), np.cumsum(sizes)
+    owner = np.concatenate([owner, long])
+    order = np.argsort(owner, kind="stable")
+    return owner[order], np.concatenate([first, (ends - sizes)[long]])[order], np.concatenate([end, ends[long]])[order]
+
+
+def _stretches(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places from each first to before its end, one stretch after the other."""
+    sizes = end - first
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 def build_blocks(items: DataFrame, folder: str, idf: np.ndarray, block_items: int = BLOCK_ITEMS) -> list[str]:
-    """Store one latent space per block of ``items`` (item_id, text); passages without words are left out."""
+    """Store the latent spaces of ``items`` (item_id, text), each of at most ``block_items`` rows of passages.
+
+    Passages without words are left out.
+    """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = task_count(rows.count(), block_items)
-    dealt = rows.filter("text is not null").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    rows = rows.filter("text is not null")
+    most = F.greatest(F.lit(0), F.size(F.split("text", "[ \t-\r]+")) - WINDOW)
+    count = F.when(most > 0, F.ceil(most / STEP) + 2).otherwise(1)
+    blocks = task_count(rows.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0], block_items)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["item_id", "text"], kind="stable")
         hashes, sizes = hash_words([text.encode() for text in frame["text"]])
         ends = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(frame)), sizes)
-        vocabulary, place = np.unique(hashes, return_inverse=True)
-        matrix = np.zeros((len(frame), len(vocabulary)))
-        np.add.at(matrix, (owner, place), idf[_bucket(hashes)])
-        kept = np.flatnonzero(sizes)
-        path = ""
-        if len(kept):
-            basis = randomised_basis(matrix[kept])
-            latent = matrix[kept] @ basis
+        owner, first, end = passage_rows(sizes)
+        block = int(frame["block"].iloc[0])
+        paths = []
+        for part in np.array_split(np.arange(len(owner)), task_count(len(owner), block_items, len(owner) + 1)):
+            if not len(part):
+                continue
+            words = hashes[_stretches(first[part], end[part])]
+            row_sizes = end[part] - first[part]
+            vocabulary, place = np.unique(words, return_inverse=True)
+            matrix = np.zeros((len(part), len(vocabulary)))
+            np.add.at(matrix, (np.repeat(np.arange(len(part)), row_sizes), place), idf[_bucket(words)])
+            basis = randomised_basis(matrix)
+            latent = matrix @ basis
             latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+            kept, passage = np.unique(owner[part], return_inverse=True)
             answers = [_answer(frame["text"].iloc[i], hashes[ends[i] - sizes[i] : ends[i]], idf) for i in kept]
             out = io.BytesIO()
             np.savez(
                 out,
                 items=frame["item_id"].to_numpy()[kept],
+                # One number per passage over all blocks; its rows may lie in several.
+                numbers=(block << 32) + kept,
                 vocabulary=vocabulary,
                 weights=idf[_bucket(vocabulary)],
                 basis=basis.astype(np.float32),
                 latent=latent.astype(np.float32),
-                words=hashes,
+                passage=passage,
+                row_words=place.astype(np.int32),
+                row_sizes=row_sizes,
+                words=hashes[_stretches((ends - sizes)[kept], ends[kept])],
                 sizes=sizes[kept],
                 answers=np.concatenate(answers),
                 answer_sizes=np.array([len(a) for a in answers]),
             )
-            path = f"{folder}/block-{int(frame['block'].iloc[0])}.npz"
-            write_bytes(path, out.getvalue())
-        return pd.DataFrame({"path": [path]})
+            paths.append(f"{folder}/block-{block}-{len(paths)}.npz")
+            write_bytes(paths[-1], out.getvalue())
+        return pd.DataFrame({"path": paths}, dtype=object)
 
     found = dealt.groupBy("block").applyInPandas(build, "path string").collect()
-    return sorted(row["path"] for row in found if row["path"])
+    return sorted(row["path"] for row in found)
 
 
 class Block:
@@ -150,25 +185,27 @@ class Block:
 
     def __init__(self, path: str):
         data = np.load(io.BytesIO(read_bytes(path)))
-        self.items, self.vocabulary = data["items"], data["vocabulary"]
-        self.basis, self.latent = data["basis"], data["latent"]
+        self.items, self.numbers, self.vocabulary = data["items"], data["numbers"], data["vocabulary"]
+        self.basis, self.latent, self.passage = data["basis"], data["latent"], data["passage"]
         ends = np.cumsum(data["sizes"])
         self.words = [data["words"][b - n : b].tolist() for b, n in zip(ends, data["sizes"])]
         ends = np.cumsum(data["answer_sizes"])
         self.answers = [set(data["answers"][b - n : b].tolist()) for b, n in zip(ends, data["answer_sizes"])]
-        self.least = np.minimum(LEAST_COSINE, 0.8 * np.sqrt(data["sizes"] / WINDOW)).astype(np.float32)
+        self.least = np.minimum(LEAST_COSINE, 0.8 * np.sqrt(data["row_sizes"] / WINDOW)).astype(np.float32)
         self.seen = np.zeros(1 << BUCKET_BITS, dtype=bool)
         self.seen[_bucket(self.vocabulary)] = True
-        self._list_rare(data["words"], data["sizes"], data["weights"])
+        self._list_rare(data["row_words"], data["row_sizes"], data["weights"])
 
     def _list_rare(self, words: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> None:
-        """For words of few passages the passages that hold them; of all passages the largest share of common words."""
+        """For words of few passages the rows that hold them; of all rows the largest share of common words."""
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        pairs, times = np.unique(np.column_stack([np.searchsorted(self.vocabulary, words), owner]), axis=0, return_counts=True)
+        pairs, times = np.unique(np.column_stack([words, owner]), axis=0, return_counts=True)
         self.holders = np.bincount(pairs[:, 0], minlength=len(self.vocabulary))
         self.first_holder = np.cumsum(self.holders) - self.holders
         self.holder = pairs[:, 1]
-        self.rare = self.holders <= RARE_PASSAGES
+        passages = np.unique(np.column_stack([pairs[:, 0], self.passage[pairs[:, 1]]]), axis=0)[:, 0]
+        self.rare = np.bincount(passages, minlength=len(self.vocabulary)) <= RARE_PASSAGES
+        self.rare &= self.holders <= WORD_ROWS * RARE_PASSAGES
         self.times = times
         square = (weights[pairs[:, 0]] * times).astype(np.float64) ** 2
         common = np.bincount(pairs[:, 1], weights=square * ~self.rare[pairs[:, 0]], minlength=len(sizes))
@@ -215,7 +252,7 @@ def common_subsequence(passage: Sequence[int], text: Sequence[int]) -> int:
 
 
 def _candidates(block: Block, hashes: np.ndarray, idf: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(window, passage, cosine) of the pairs that reach the passage's least cosine."""
+    """(window, passage, cosine) of the pairs that reach the least cosine of a row of the passage; the largest cosine."""
     weight = idf[_bucket(hashes)].astype(np.float32)
     place = block.places(hashes)
     square = weight.astype(np.float64) ** 2
@@ -225,7 +262,7 @@ def _candidates(block: Block, hashes: np.ndarray, idf: np.ndarray, first: np.nda
     common = np.concatenate([[0], np.cumsum(np.where((place >= 0) & ~rare, square, 0))])
     whole = np.maximum(running[end] - running[first], 1e-12)
     # A cosine has two parts: that of common words is at most the root of their share in the window times that in
-    # the passage; that of rare words is added up for the passages that hold them.
+    # the row; that of rare words is added up for the rows that hold them.
     length = np.sqrt(whole)
     frequent = np.sqrt(np.maximum(common[end] - common[first], 0)) / length
     least = SLACK * block.least
@@ -235,12 +272,12 @@ def _candidates(block: Block, hashes: np.ndarray, idf: np.ndarray, first: np.nda
     at, window = np.concatenate([at, at[earlier]]), np.concatenate([window, window[earlier] - 1])
     many = block.holders[place[at]]
     spot = np.repeat(block.first_holder[place[at]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    pair, back = np.unique(np.repeat(window, many) * len(block.items) + block.holder[spot], return_inverse=True)
+    pair, back = np.unique(np.repeat(window, many) * len(block.latent) + block.holder[spot], return_inverse=True)
     held = np.bincount(back, weights=np.repeat(square[at], many) * block.times[spot], minlength=len(pair))
-    reached, item = pair // len(block.items), pair % len(block.items)
-    cosine = held / (length[reached] * block.norm[item]) + frequent[reached] * block.common[item]
+    reached, row = pair // len(block.latent), pair % len(block.latent)
+    cosine = held / (length[reached] * block.norm[row]) + frequent[reached] * block.common[row]
     alone = frequent >= (least / np.maximum(block.common, 1e-12)).min()
-    open_ = np.union1d(np.flatnonzero(alone), reached[cosine >= least[item]])
+    open_ = np.union1d(np.flatnonzero(alone), reached[cosine >= least[row]])
     for at in range(0, len(open_), 4096):
         part = open_[at : at + 4096]
         # A window is two steps; each step is projected once, for both windows it lies in.
@@ -268,17 +305,18 @@ def _candidates(block: Block, hashes: np.ndarray, idf: np.ndarray, first: np.nda
             words, counts = np.unique(hashes[first[part[i]] : end[part[i]]], return_counts=True)
             norm = np.sqrt(np.sum((idf[_bucket(words)] * counts) ** 2, dtype=np.float64))
             exact = cosine[i] * (np.sqrt(whole[part[i]]) / norm)
-            for item in np.flatnonzero(exact >= block.least).tolist():
-                yield int(part[i]), item, float(exact[item])
+            hit = np.flatnonzero(exact >= block.least)
+            for item in np.unique(block.passage[hit]).tolist():
+                yield int(part[i]), item, float(exact[hit[block.passage[hit] == item]].max())
 
 
 def leaks_in(texts: Sequence[bytes | None], paths: Sequence[str], idf: np.ndarray) -> dict[tuple[int, int, int], tuple[float, float, float]]:
-    """Leaks of many texts: (text, block, passage) and share in order, answer share, cosine of the best window."""
+    """Leaks of many texts: (text, number of the passage, its item) and share in order, answer share, cosine of the best window."""
     hashes, sizes = hash_words(texts)
     owner, first, end = windows(sizes)
     ends = np.cumsum(sizes)
     found: dict[tuple[int, int, int], tuple[float, float, float]] = {}
-    for number, path in enumerate(paths):
+    for path in paths:
         block = _block(path)
         for window, item, cosine in _candidates(block, hashes, idf, first, end):
             doc = int(owner[window])
@@ -289,7 +327,7 @@ def leaks_in(texts: Sequence[bytes | None], paths: Sequence[str], idf: np.ndarra
             answer = block.answers[item]
             there = len(answer.intersection(region)) / len(answer) if answer else 0.0
             if share >= SURE_SHARE or (share >= DOUBTFUL_SHARE and there >= ANSWER_SHARE):
-                key = (doc, number, item)
+                key = (doc, int(block.numbers[item]), int(block.items[item]))
                 found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (share, there, cosine))
     return found
 
@@ -305,7 +343,8 @@ _FOUND = "doc_id long, item_id long, similarity double, lcs_share double, answer
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per document of ``docs`` (doc_id, text) and passage of ``benchmark`` (item_id, text) found in it.
 
-    Columns: doc_id, item_id, similarity (largest cosine of a window),
+    Columns: doc_id, item_id, similarity (cosine of the best window with the
+    passage, or with the nearest window of a longer one),
     lcs_share (share of the passage's words that follow in order near that
     window) and answer_share. Documents without a leak have no row; null and
     empty texts on either side match nothing; a repeated row is found again.
@@ -318,7 +357,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
             for part in slices(batch, "text", 2_000_000):
                 found = leaks_in(part.column("text").cast(pa.binary()).to_pylist(), paths, idf)
                 keys = part.column("doc_id").to_pylist()
-                rows = [(keys[doc], int(_block(paths[number]).items[item]), c, s, a) for (doc, number, item), (s, a, c) in sorted(found.items())]
+                rows = [(keys[doc], item, c, s, a) for (doc, _, item), (s, a, c) in sorted(found.items())]
                 columns = zip(*rows) if rows else [[]] * 5
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 names = ["doc_id", "item_id", "similarity", "lcs_share", "answer_share"]

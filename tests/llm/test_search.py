@@ -76,6 +76,30 @@ def test_whole_and_paraphrased_passages_are_found(spark, corpus, folder):
     assert {row.doc_id for row in clean.collect()} == {doc for doc, _ in docs + hidden} - leaky | {7 * 10**6, 7 * 10**6 + 1}
 
 
+@pytest.mark.parametrize("block_items", [100, leaks.BLOCK_ITEMS])
+def test_long_passages_are_found_whole_and_reworded(spark, block_items):
+    dice = np.random.default_rng(5)
+    share = 1 / (np.arange(5000) + 10)
+
+    def text(n):
+        return [f"w{k}" for k in dice.choice(5000, n, p=share / share.sum())]
+
+    items, docs, planted = [], [], set()
+    for k in range(36):
+        passage = text((100, 300, 1000)[k % 3])
+        items.append((k, " ".join(passage)))
+        for doc, replaced in ((100 + k, 0.0), (200 + k, 0.3)):
+            swapped = [f"q{dice.integers(20_000)}" if dice.random() < replaced else word for word in passage]
+            docs.append((doc, " ".join(text(int(dice.integers(200))) + swapped + text(200))))
+            planted.add((doc, k))
+    docs += [(1000 + k, " ".join(text(600))) for k in range(40)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = [(row.doc_id, row.item_id) for row in leaks.find_leaks(rows, benchmark, block_items=block_items).collect()]
+    assert len(found) == len(set(found)) and planted == {pair for pair in found if pair[0] // 100 < 10 and pair[1] == pair[0] % 100}
+    assert sorted(row.doc_id for row in leaks.without_leaks(rows, benchmark, block_items).filter("doc_id < 1000").collect()) == []
+
+
 def test_word_frequencies_in_one_and_in_two_steps(corpus, monkeypatch):
     from tallyloom.llm.words import hash_words
 
