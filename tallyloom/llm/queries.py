@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bins, html, kneser, language, leaks, neighbours, planes, private, quality, simhash
+from tallyloom.llm import bins, chat, html, kneser, language, leaks, neighbours, planes, private, quality, simhash, trie, whitening
 from tallyloom.llm.store import ship
 from tallyloom.llm.subwords import vocabulary_path
 
@@ -54,6 +54,22 @@ def op10_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return bins.pack_documents(_table(spark, folder, "documents"), vocabulary_path())
 
 
+def op11_chat_events(spark: SparkSession, folder: str) -> DataFrame:
+    # Nothing runs Python on the executors here, so nothing is sent to them.
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    log = chat.turn_log(turns.unionByName(chat.tricky_turns(spark)), "conv_id", "turn", "role", "text")
+    formatted = chat.format_log(log, "conversation", "message", "sequence", "kind", "role", "text")
+    return chat.conversation_digests(formatted)
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_rows(_table(spark, folder, "embeddings"))
+
+
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_simhash": op2_simhash,
@@ -65,7 +81,13 @@ QUERIES = {
     "op8_plane_files": op8_plane_files,
     "op9_neighbours": op9_neighbours,
     "op10_pack_documents": op10_pack_documents,
+    "op11_chat_events": op11_chat_events,
+    "op12_whitening": op12_whitening,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
-#: No SQL can express these; tests/llm holds their brute-force versions.
-ORACLES: dict[str, str] = {}
+#: SQL cannot express the others; tests/llm holds their brute-force versions.
+ORACLES: dict[str, str] = {
+    "op11_chat_events": chat.ORACLE,
+    "op13_conversation_trie": trie.ORACLE,
+}
