@@ -2,9 +2,10 @@
 
 The tokenizer cuts a text in front of every single space between two visible
 characters, so the ids of a text are those of its space-led words one after the
-other. Words are encoded by the library once and then found again by a 64-bit
-hash, for a block of texts at once; that two of the words that a worker meets
-share a hash has a chance of about one in ten million.
+other. Words are encoded by the library once and then found again by a hash, for
+a block of texts at once. What is found is compared byte by byte, so a word gets
+the ids of an equal one or goes to the library itself; so do words of more than
+``CACHE_BYTES`` bytes.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 
-from tallyloom.llm.words import hash_spans
+from tallyloom.llm.words import LANE, hash_spans, lane, padded
 
 VOCABULARY = "byte_bpe_50k.json"
 
 #: Words that a Python worker remembers, about 40 bytes each.
 CACHE_WORDS = 1_500_000
 #: Longer words are encoded again each time.
-CACHE_IDS = 32
+CACHE_IDS, CACHE_BYTES = 32, 64
 #: Characters that the library encodes as one text.
 LIBRARY_CHARS = 50_000
 #: Bytes of texts looked up together; a longer text is cut between words.
@@ -56,6 +57,22 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     return at[sure]
 
 
+def _same(one: np.ndarray, first: np.ndarray, other: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether stretches of one hash and of ``sizes`` bytes each are equal, in two padded arrays, pair by pair.
+
+    Up to eight bytes go into their hash one to one, so only longer stretches are compared.
+    """
+    same = np.ones(len(sizes), dtype=bool)
+    live, at = np.flatnonzero(sizes > LANE), 0
+    while len(live):
+        rest = sizes[live] - at
+        equal = lane(one, first[live] + at, rest) == lane(other, second[live] + at, rest)
+        same[live[~equal]] = False
+        at += LANE
+        live = live[equal & (rest > LANE)]
+    return same
+
+
 class Encoder:
     """Encodes many texts; remembers the ids of words."""
 
@@ -73,6 +90,9 @@ class Encoder:
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype="<u4")
+        # The words themselves, each in as many bytes as it has.
+        self.places, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.bytes = np.zeros(LANE, dtype=np.uint8)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -114,21 +134,35 @@ class Encoder:
         stop[:-1] = begin[1:] - is_head[1:]
         stop[-1] = ends[-1]
         words = np.flatnonzero(~is_head)
+        wide, first, sizes_of = padded(data), begin[words] + 1, stop[words] - begin[words] - 1
         keys, place, back = np.unique(
-            hash_spans(data, begin[words] + 1, stop[words], exact=True), return_index=True, return_inverse=True
+            hash_spans(data, first, stop[words], exact=True), return_index=True, return_inverse=True
         )
+        # A word that only shares the hash of the first one is a word of its own.
+        model = place[back]
+        apart = sizes_of != sizes_of[model]
+        long = np.flatnonzero(~apart & (sizes_of > LANE))
+        apart[long] = ~_same(wide, first[long], wide, first[model[long]], sizes_of[long])
+        other = np.flatnonzero(apart)
+        back[other] = len(keys) + np.arange(len(other))
+        place = np.concatenate([place, other])
         at = np.searchsorted(self.hashes, keys)
         near = np.minimum(at, max(len(self.hashes) - 1, 0))
-        known = self.hashes[near] == keys if len(self.hashes) else np.zeros(len(keys), dtype=bool)
-        starts, sizes = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        starts[known], sizes[known] = self.starts[near[known]], self.sizes[near[known]]
+        known = np.zeros(len(place), dtype=bool)
+        if len(self.hashes):
+            alike = np.flatnonzero((self.hashes[near] == keys) & (self.lengths[near] == sizes_of[place[: len(keys)]]))
+            hit = near[alike]
+            known[alike] = _same(wide, first[place[alike]], self.bytes, self.places[hit], self.lengths[hit])
+        starts, sizes = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
+        found = np.flatnonzero(known)
+        starts[found], sizes[found] = self.starts[near[found]], self.sizes[near[found]]
         new = np.flatnonzero(~known)
-        first = words[place[new]]
-        pieces = [joined[a:b].decode() for a, b in zip((begin[first] + 1).tolist(), stop[first].tolist())]
-        spaced = np.fromiter((" " in piece for piece in pieces), dtype=bool, count=len(pieces))
-        plain, odd = new[~spaced], new[spaced]
-        plain_ids, plain_sizes = self._words([piece for piece, x in zip(pieces, spaced) if not x])
-        odd_ids = self._library([" " + piece for piece, x in zip(pieces, spaced) if x])
+        pieces = [joined[a:b].decode() for a, b in zip(first[place[new]].tolist(), stop[words[place[new]]].tolist())]
+        alone = np.fromiter((" " in piece for piece in pieces), dtype=bool, count=len(pieces))
+        alone |= sizes_of[place[new]] > CACHE_BYTES
+        plain, odd = new[~alone], new[alone]
+        plain_ids, plain_sizes = self._words([piece for piece, x in zip(pieces, alone) if not x])
+        odd_ids = self._library([" " + piece for piece, x in zip(pieces, alone) if x])
         head_ids = self._library([joined[a:b].decode() for a, b in zip(begin[head].tolist(), stop[head].tolist())])
         base = len(self.ids)
         starts[plain], sizes[plain] = base + np.cumsum(plain_sizes) - plain_sizes, plain_sizes
@@ -144,19 +178,42 @@ class Encoder:
         total = int(all_sizes.sum())
         shift = all_starts - (np.cumsum(all_sizes) - all_sizes)
         ids = buffer[np.repeat(shift, all_sizes) + np.arange(total)]
-        self._remember(keys[plain], plain_ids, plain_sizes)
+        whole = plain < len(keys)
+        self._remember(keys, plain, plain_ids, plain_sizes, wide, first[place[plain]], sizes_of[place[plain]], whole)
         return ids, np.add.reduceat(all_sizes, head)
 
-    def _remember(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        if len(self.hashes) + len(keys) > CACHE_WORDS:
+    def _remember(
+        self,
+        keys: np.ndarray,
+        plain: np.ndarray,
+        ids: np.ndarray,
+        sizes: np.ndarray,
+        data: np.ndarray,
+        first: np.ndarray,
+        lengths: np.ndarray,
+        whole: np.ndarray,
+    ) -> None:
+        """Keep the ids of the words ``plain``; of words that share a hash the one that was there first stays."""
+        if len(self.hashes) + len(plain) > CACHE_WORDS:
             self._forget()
-        short = sizes <= CACHE_IDS
         starts = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids = np.concatenate([self.ids, ids])
-        at = np.searchsorted(self.hashes, keys[short])
-        self.hashes = np.insert(self.hashes, at, keys[short])
-        self.starts = np.insert(self.starts, at, starts[short])
-        self.sizes = np.insert(self.sizes, at, sizes[short])
+        kept = np.flatnonzero(whole & (sizes <= CACHE_IDS))
+        hashes = keys[plain[kept]]
+        at = np.searchsorted(self.hashes, hashes)
+        if len(self.hashes):
+            free = self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes
+            kept, hashes, at = kept[free], hashes[free], at[free]
+        lengths, first = lengths[kept], first[kept]
+        ends = np.cumsum(lengths)
+        bytes_ = data[np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        places = len(self.bytes) - LANE + ends - lengths
+        self.bytes = np.concatenate([self.bytes[:-LANE], bytes_, np.zeros(LANE, dtype=np.uint8)])
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, starts[kept])
+        self.sizes = np.insert(self.sizes, at, sizes[kept])
+        self.places = np.insert(self.places, at, places)
+        self.lengths = np.insert(self.lengths, at, lengths)
 
     def encode(self, texts: Sequence[bytes | None]) -> list[np.ndarray]:
         """The ids of every text, without special tokens; of a null text, none."""

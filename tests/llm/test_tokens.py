@@ -117,3 +117,41 @@ def test_word_hashes_in_small_blocks(monkeypatch):
     for word, key in zip([word for part in split for word in part], hashes.tolist()):
         assert seen.setdefault(word, key) == key
     assert len(set(seen.values())) == len(seen)
+
+
+def thue_morse(n, one="a", other="b"):
+    return "".join(one if bin(i).count("1") % 2 == 0 else other for i in range(n))
+
+
+def test_words_of_few_letters_have_their_own_hashes():
+    """A hash that is a sum over places gives these words and their complements the same value."""
+    for one, other in ("ab", "AZ", "01"):
+        for n in (64, 256, 257, 1024, 4096):
+            pair = [thue_morse(n, one, other), thue_morse(n, other, one)]
+            assert len(set(words.hash_words([text.encode() for text in pair])[0].tolist())) == 2
+    dice = np.random.default_rng(1)
+    many = {"".join(dice.choice(["a", "b"], n)) for n in dice.integers(1, 40, 20_000)}
+    assert len(set(words.hash_words([text.encode() for text in many])[0].tolist())) == len(many)
+
+
+def test_colliding_and_long_words_get_the_ids_of_the_library(tokenizer):
+    coder = subwords.Encoder(subwords.vocabulary_path())
+    dice = np.random.default_rng(2)
+    texts = ["x " + thue_morse(1024), "x " + thue_morse(1024, "b", "a")]
+    texts += ["x " + "".join(dice.choice(list("abAB1é漢"), n)) + " y" for n in [*range(1, 140), 700, 5000]]
+    for _ in range(2):
+        found = coder.encode([text.encode() for text in texts])
+        assert [one.tolist() for one in found] == [ids_of(tokenizer, text) for text in texts]
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_words_that_share_a_hash_are_told_apart(monkeypatch, tokenizer, bits):
+    """With a hash of a few bits nearly all long words collide; ids stay right, with and without the memory."""
+    real = subwords.hash_spans
+    monkeypatch.setattr(subwords, "hash_spans", lambda *a, **k: real(*a, **k) >> np.uint64(64 - bits) if bits else real(*a, **k) * np.uint64(0))
+    coder = subwords.Encoder(subwords.vocabulary_path())
+    texts = [f"longerwords longerwords{i % 17} otherwords{i % 5} textishlong {'y' * (10 + i % 90)}" for i in range(60)]
+    for _ in range(3):
+        found = coder.encode([text.encode() for text in texts])
+        assert [one.tolist() for one in found] == [ids_of(tokenizer, text) for text in texts]
+    assert len(coder.hashes) <= 1 << bits
