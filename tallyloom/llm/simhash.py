@@ -163,7 +163,9 @@ def choose_parts(n: int, most_bits: int) -> int:
         asked = sum(sum(comb(round(width), r) for r in range(t + 1)) for t in flips if t >= 0)
         return asked * (PROBE_COST + CANDIDATE_COST * n / 2**width)
 
-    return min(range(2, most_bits + 2), key=cost) if most_bits else 1
+    # Thresholds of MOST_FLIPS everywhere must reach what the pigeonhole asks for.
+    wide = [m for m in range(2, most_bits + 2) if most_bits - m + 1 <= MOST_FLIPS * m]
+    return min(wide, key=cost) if most_bits else 1
 
 
 class Plan:
@@ -404,15 +406,17 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, shingle: int =
 def keep_one(docs: DataFrame, most_bits: int = MOST_BITS, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """One row of ``docs`` (doc_id, text and any others) per component: that of the smallest doc_id.
 
-    Rows without a doc_id count as having very large ones, drawn from their
-    text; of several rows with the id that stays, one stays.
+    Rows are told apart by a number of their own, not by doc_id, so unlike texts
+    with one id, or without any, are judged each. Of several rows with the
+    smallest id the one with the smallest digest of its text stays, of rows
+    alike in both any one. Rows without a doc_id come behind all others. A null
+    or blank text has fingerprint zero, so one such row stays. Columns of any
+    name are kept as they are; an empty table stays empty.
     """
-    drawn = F.lit(2**63 - 1) - F.pmod(F.xxhash64("text"), F.lit(2**40))
-    own = F.coalesce(F.col("doc_id").cast("long"), drawn)
-    groups = settle(near_duplicates(docs.select(own.alias("doc_id"), "text"), most_bits, shingle, seed))
-    rows, ids = groups.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    found = docs.withColumn("__own", own).join(kept, F.col("__own") == F.col("__kept"), "left_semi")
-    if rows > ids:
-        found = found.dropDuplicates(["__own"])
-    return found.drop("__own")
+    numbered = settle(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")))
+    groups = settle(near_duplicates(numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), most_bits, shingle, seed))
+    own = F.col("row.doc_id")
+    place = F.struct(own.isNull().alias("lost"), own.alias("id"), F.md5("row.text").alias("digest"), "number")
+    ranked = numbered.select("number", place.alias("place")).join(groups.select(F.col("doc_id").alias("number"), "component_id"), "number")
+    kept = ranked.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.number").alias("number"))
+    return numbered.join(kept, "number", "left_semi").select("row.*")

@@ -138,3 +138,27 @@ def test_one_of_each_group_stays_with_all_columns(spark, messy, nothing):
     lost = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (None, "q r s t u v")], "doc_id long, text string")
     assert sorted(row.text for row in simhash.keep_one(lost).collect()) == ["a b c d e", "q r s t u v"]
     assert simhash.near_duplicates(documents(spark, ["alone"])).collect()[0].component_id == 0
+
+
+def test_rows_with_one_id_are_judged_each(spark):
+    schema = "doc_id long, text string, `__own` string, number int, `row` string, place string"
+    texts = [(5, "alpha beta gamma delta epsilon zeta"), (5, "one two three four five six seven"), (6, "alpha beta gamma delta epsilon zeta"), (5, None), (7, "")]
+    rows = spark.createDataFrame([(i, t, f"own{k}", k, "r", "p") for k, (i, t) in enumerate(texts)], schema)
+    kept = simhash.keep_one(rows)
+    assert kept.columns == rows.columns
+    assert sorted((row.doc_id, row["__own"]) for row in kept.collect()) == [(5, "own0"), (5, "own1"), (5, "own3")]
+
+
+@pytest.mark.parametrize("most", [1, 4, 8, 12, 16, 20])
+@pytest.mark.parametrize("n", [10, 10**6, 10**9, 10**12])
+def test_chosen_parts_reach_the_distance(most, n):
+    parts = simhash.choose_parts(n, most)
+    assert 0 <= most - parts + 1 <= simhash.MOST_FLIPS * parts
+
+
+def test_wide_distances(spark):
+    fps = close_fingerprints(120, 12)
+    nodes = spark.createDataFrame([(i, int(fp.astype(np.int64))) for i, fp in enumerate(fps)], "node long, fp long")
+    found = graphs.components(simhash.links(nodes, 10**6, 10)).collect()
+    joined = {row.node: row.component for row in found}
+    assert [joined.get(i, i) for i in range(len(fps))] == plain_groups(fps, list(range(len(fps))), 10)
