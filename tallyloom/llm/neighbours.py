@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.simhash import masks
 from tallyloom.llm.store import read_bytes, task_count, write_bytes
-from tallyloom.session import work_folder
+from tallyloom.session import settle, work_folder
 
 #: Vectors that fit the codes, about; chosen by a hash of vec_id.
 SAMPLE_VECTORS = 4096
@@ -46,10 +46,21 @@ INDEX_ROWS, QUERY_ROWS = 8192, 2048
 TASK_ROWS = 100_000
 
 
-def _rows(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _rows(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the rows, their ids and vectors."""
     column = batch.column("embedding")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return batch.column("vec_id").to_numpy(zero_copy_only=False), flat.reshape(-1, size)
+    ids = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("row", "vec_id"))
+    return (*ids, flat.reshape(-1, size))
+
+
+def dots(vectors: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Products with one vector, row by row: equal rows give equal numbers wherever they stand, unlike a matrix product."""
+    return (vectors * one).sum(axis=1)
+
+
+def lengths_of(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(axis=1))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -62,7 +73,7 @@ class Codes:
 
     centre: np.ndarray
     turns: np.ndarray  # dimension by bits
-    sample_ids: np.ndarray
+    sample_rows: np.ndarray
     sample: np.ndarray
     margin: float
 
@@ -80,7 +91,7 @@ class Codes:
         return np.clip(np.floor(self.bits * angle / np.pi + self.margin), 0, self.bits).astype(np.int64)
 
 
-def fit(ids: np.ndarray, vectors: np.ndarray, k: int, seed: int = 1) -> Codes:
+def fit(numbers: np.ndarray, vectors: np.ndarray, k: int, seed: int = 1) -> Codes:
     """Directions by principal components, turned by iterative quantisation from several random starts."""
     units = unit(vectors)
     centre = units.mean(axis=0)
@@ -96,7 +107,7 @@ def fit(ids: np.ndarray, vectors: np.ndarray, k: int, seed: int = 1) -> Codes:
             left, _, right = np.linalg.svd(np.where(reduced @ turn > 0, 1.0, -1.0).T @ reduced)
             turn = (left @ right).T
         turns.append(leading[:width].T @ turn)
-    codes = Codes(centre, np.concatenate(turns, axis=1), ids, units, 0.0)
+    codes = Codes(centre, np.concatenate(turns, axis=1), numbers, units, 0.0)
     own = codes.encode(units)
     gaps = []
     for at in range(0, len(units), 512):
@@ -161,13 +172,13 @@ def _masks(width: int, flips: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """Rows of ``vectors`` (vec_id, embedding) that take part, and their dimension.
+    """Rows of ``vectors`` (vec_id, embedding, is_query) that take part, and their dimension.
 
     Left out: null ids and vectors, null or non-finite components, zero vectors,
     and vectors of another length than most rows have (the smaller on a tie).
     """
     item: Column = F.col("embedding")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), item.cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), item.cast("array<double>").alias("embedding"), "is_query")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter("vec_id is not null and embedding is not null").filter(~bad & F.exists("embedding", lambda x: x != 0))
     sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n"))
@@ -176,90 +187,93 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     return rows.filter(F.size("embedding") == size), size
 
 
-_PAIRS = "query_id long, vec_id long, score double"
+_PAIRS = "query long, query_id long, row long, vec_id long, score double"
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample_vectors: int = SAMPLE_VECTORS) -> DataFrame:
     """The ``k`` nearest rows of every query row by cosine: query_id, rank (from 1), vec_id, score.
 
-    A query's candidates are all rows with another vec_id. Ties go to the
+    A query's candidates are all rows but its own: other rows with its vec_id are
+    candidates as well, and repeated candidates are found each. A repeated query
+    row is a query of its own, so its id has ``k`` ranks per row. Ties go to the
     smaller vec_id. If the radius holds fewer than ``k`` rows, all rows of the
     block are compared, so that a query gets ``k`` neighbours where there are.
+    Rows that ``usable`` leaves out take no part; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows, size = usable(vectors)
+    rows, size = usable(vectors.withColumn("is_query", F.coalesce(is_query, F.lit(False))))
+    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_000)) / 1_000_000
-    chosen = sorted(rows.filter(share < max(sample_vectors / n, 0.0)).collect(), key=lambda row: row["vec_id"])
+    # Drawn by the number of the row: equal ids or vectors must not be drawn together.
+    share = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1_000_000)) / 1_000_000
+    chosen = sorted(rows.filter(share < max(sample_vectors / n, 0.0)).collect(), key=lambda row: row["row"])
     if len(chosen) < 2:
-        chosen = rows.orderBy("vec_id").limit(max(2, sample_vectors)).collect()
-    codes = fit(np.array([r["vec_id"] for r in chosen], dtype=np.int64), np.array([r["embedding"] for r in chosen]), k)
+        chosen = rows.orderBy("vec_id", "row").limit(max(2, sample_vectors)).collect()
+    codes = fit(np.array([r["row"] for r in chosen], dtype=np.int64), np.array([r["embedding"] for r in chosen], dtype=float), k)
     folder = work_folder(spark, "queries")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_ROWS):
-                ids, floats = _rows(batch.slice(at, QUERY_ROWS), size)
+                numbers, ids, floats = _rows(batch.slice(at, QUERY_ROWS), size)
                 units = unit(floats)
                 cosine = units @ codes.sample.T
-                cosine[ids[:, None] == codes.sample_ids[None, :]] = -1
+                cosine[numbers[:, None] == codes.sample_rows[None, :]] = -1
                 bound = -np.sort(-cosine, axis=1)[:, k - 1] if cosine.shape[1] >= k else np.full(len(ids), -1.0)
                 out = io.BytesIO()
-                np.savez(out, ids=ids, floats=floats, codes=codes.encode(units), bound=bound)
+                np.savez(out, numbers=numbers, ids=ids, floats=floats, codes=codes.encode(units), bound=bound)
                 path = f"{folder}/{part}-{number}.npz"
                 write_bytes(path, out.getvalue())
                 number += 1
                 yield pa.RecordBatch.from_pydict({"path": [path]})
 
-    queries = rows.filter(is_query)
+    queries = rows.filter("is_query")
     held = queries.repartition(task_count(queries.count(), 8 * QUERY_ROWS))
     paths = sorted(row[0] for row in held.mapInArrow(store, "path string").collect())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, floats = [], []
-        for batch in batches:
-            found = _rows(batch, size)
-            ids.append(found[0])
-            floats.append(found[1])
-        if not ids:
+        parts = [_rows(batch, size) for batch in batches]
+        if not parts:
             return
-        own, vectors_ = np.concatenate(ids), np.concatenate(floats)
-        lengths = np.linalg.norm(vectors_, axis=1)
+        numbers, own, vectors_ = (np.concatenate(column) for column in zip(*parts))
+        lengths = lengths_of(vectors_)
         blocks = []
         for at in range(0, len(own), INDEX_ROWS):
             part = slice(at, at + INDEX_ROWS)
             blocks.append((part, MultiIndex(codes.encode(vectors_[part] / lengths[part, None]))))
         for path in paths:
             data = np.load(io.BytesIO(read_bytes(path)))
-            out: tuple[list, list, list] = ([], [], [])
-            for query, vector, code, bound in zip(data["ids"].tolist(), data["floats"], data["codes"], data["bound"].tolist()):
-                length = np.linalg.norm(vector)
-                best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+            sizes = lengths_of(data["floats"]).tolist()
+            out: tuple[list, ...] = ([], [], [], [], [])
+            columns = (data["numbers"].tolist(), data["ids"].tolist(), data["floats"], data["codes"], data["bound"].tolist(), sizes)
+            for number, query, vector, code, bound, length in zip(*columns):
+                best_rows, best = np.zeros(0, np.int64), np.zeros(0)
                 for part, index in blocks:
                     radius = int(codes.radius(np.array([bound]))[0])
                     near = part.start + index.probe(code, radius)
-                    near = near[own[near] != query]
+                    near = near[numbers[near] != number]
                     if len(near) + len(best) < k and len(best) < k:
-                        near = part.start + np.flatnonzero(own[part] != query)
-                    score = vectors_[near] @ vector / (lengths[near] * length)
-                    best_ids, best = np.append(best_ids, own[near]), np.append(best, score)
-                    order = np.lexsort((best_ids, -best))[:k]
-                    best_ids, best = best_ids[order], best[order]
+                        near = part.start + np.flatnonzero(numbers[part] != number)
+                    score = dots(vectors_[near], vector) / (lengths[near] * length)
+                    best_rows, best = np.append(best_rows, near), np.append(best, score)
+                    order = np.lexsort((numbers[best_rows], own[best_rows], -best))[:k]
+                    best_rows, best = best_rows[order], best[order]
                     if len(best) == k:
                         bound = max(bound, float(best[-1]))
-                out[0].extend([query] * len(best))
-                out[1].append(best_ids)
-                out[2].append(best)
-            if out[1]:
-                arrays = [pa.array(out[0], pa.int64()), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
+                out[0].append(np.full(len(best), number))
+                out[1].append(np.full(len(best), query))
+                out[2].append(numbers[best_rows])
+                out[3].append(own[best_rows])
+                out[4].append(best)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(column)) for column in out], names=["query", "query_id", "row", "vec_id", "score"])
 
     cores = spark.sparkContext.defaultParallelism
     dealt = rows.repartition(max(min(cores, task_count(n, INDEX_ROWS)), task_count(n, TASK_ROWS)))
     found = dealt.mapInArrow(search, _PAIRS)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

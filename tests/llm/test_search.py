@@ -176,3 +176,34 @@ def test_ties_bad_vectors_and_few_rows(spark):
     assert search(few.filter("vec_id = 0")).collect() == []
     assert search(few.filter("false")).collect() == []
     assert search(few.filter("vec_id = 1")).collect() == []
+
+
+def test_repeated_queries_and_candidates(spark):
+    """Every query row has its own five neighbours, among them other rows of its id."""
+    dice = np.random.default_rng(11)
+    vectors = dice.normal(size=(120, 6)).astype(np.float32).tolist()
+    rows = [(i, v, None, 1) for i, v in enumerate(vectors)]
+    rows += [(50, vectors[7], None, 1), (100, vectors[100], None, 1), (9, vectors[9], None, 1), (9, vectors[9], None, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query long, row int").repartition(5)
+    found = {}
+    for row in search(table).collect():
+        found.setdefault(row.query_id, []).append((row.rank, row.vec_id, row.score))
+    ids, floats = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    units = floats / np.linalg.norm(floats, axis=1, keepdims=True)
+    expected = {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        score = units @ units[i]
+        near = [j for j in np.lexsort((ids, -score.round(12))) if j != i][:5]
+        expected.setdefault(int(ids[i]), []).extend((rank + 1, int(ids[j]), round(score[j], 9)) for rank, j in enumerate(near))
+    rounded = {query: sorted((rank, v, round(score, 9)) for rank, v, score in near) for query, near in found.items()}
+    assert rounded == {query: sorted(near) for query, near in expected.items()}
+    assert len(found[50]) == len(found[100]) == 10 and (1, 100, 1.0) in rounded[100]
+
+
+def test_equal_vectors_tie_wherever_they_are(spark):
+    dice = np.random.default_rng(12)
+    one = dice.normal(size=64).tolist()
+    rows = [(i, one, None, 1) for i in range(1, 900)] + [(1000, dice.normal(size=64).tolist(), None, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, rank int").repartition(7)
+    found = [(row.rank, row.vec_id) for row in search(table).filter("query_id = 1000").collect()]
+    assert sorted(found) == [(i, i) for i in range(1, 6)]
