@@ -44,6 +44,8 @@ SHARD_BYTES = 16 * 1024 * 1024
 MOST_SHARDS = 200_000
 #: Bytes of text scored at once: more of them share the distinct keys.
 SCORE_BYTES = 3_000_000
+#: A stored count of four bytes with this value stands for one in the list of large counts behind.
+LARGE = 2**32 - 1
 
 # Markers that no text can hold: hashes outside any word's bytes.
 START = np.uint64(0x0123456789ABCDEF)
@@ -67,6 +69,13 @@ class Model:
     base_free: float = 0.0
     present: dict[str, list[int]] = field(default_factory=dict)
 
+    def present_in(self, name: str) -> frozenset[int]:
+        """The shards that hold a file of this kind."""
+        kept = self.__dict__.setdefault("_sets", {})
+        if name not in kept:
+            kept[name] = frozenset(self.present.get(name, []))
+        return kept[name]
+
 
 def _pack(columns: Sequence[np.ndarray]) -> bytes:
     """Columns of one length; the first is stored as differences, as it is sorted."""
@@ -206,6 +215,13 @@ def _file(keys: np.ndarray, *columns: np.ndarray) -> bytes:
     return b"".join([len(keys).to_bytes(8, "little"), keys.astype("<u8").tobytes(), *[c.tobytes() for c in columns]])
 
 
+def _count_file(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Keys, counts of four bytes, and the places and eight bytes of those that need more."""
+    large = np.flatnonzero(counts >= LARGE)
+    body = [large.astype("<i8").tobytes(), counts[large].astype("<i8").tobytes()]
+    return b"".join([_file(keys, np.minimum(counts, LARGE).astype("<u4")), *body])
+
+
 MERGED = "kind string, shard int, block binary, stats array<long>, words array<long>, counts array<long>"
 
 
@@ -222,7 +238,7 @@ def _merge(blocks: DataFrame, folder: str, k: int, shards: int, hot: np.ndarray,
         for shard, (*words, counts) in _each_shard(batches, _kinds(k)):
             key, place, total = _total(_key(words), counts)
             words = [word[place] for word in words]
-            write_bytes(f"{folder}/{name}-{shard}", _file(key, np.minimum(total, 2**32 - 1).astype("<u4")))
+            write_bytes(f"{folder}/{name}-{shard}", _count_file(key, total))
             stats = [len(key), int(total.sum()), *[int((total == c).sum()) for c in (1, 2, 3, 4)]]
             top = total >= least_hot if least_hot else np.zeros(len(key), dtype=bool)
             rows = [("stat", shard, None, stats, words[0][top].view(np.int64).tolist(), total[top].tolist())]
@@ -237,12 +253,8 @@ def _merge(blocks: DataFrame, folder: str, k: int, shards: int, hot: np.ndarray,
                 found = [np.add.reduceat(x.astype(np.int64), first) for x in (sorted_total, sorted_total == 1, sorted_total == 2, sorted_total > 2)]
                 unique = sorted_context[first]
                 dealt = _range(unique, shards)
-                order = np.argsort(dealt, kind="stable")
-                borders = np.searchsorted(dealt[order], np.arange(shards + 1))
-                for s in range(shards):
-                    part = order[borders[s] : borders[s + 1]]
-                    if len(part):
-                        rows.append(("context", s, _pack([unique[part], *[x[part] for x in found]]), None, None, None))
+                for s, part in _runs(dealt, np.argsort(dealt, kind="stable")):
+                    rows.append(("context", s, _pack([unique[part], *[x[part] for x in found]]), None, None, None))
             columns = zip(*rows)
             types = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             names = ["kind", "shard", "block", "stats", "words", "counts"]
@@ -319,7 +331,11 @@ def train(docs: DataFrame, folder: str, order: int = ORDER, shard_bytes: int = S
 
 @lru_cache(maxsize=512)
 def _mapped(path: str, wide: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Keys and columns of a stored file, mapped. A remote file is copied first and its copy unlinked at once."""
+    """Keys and columns of a stored file, mapped. A remote file is copied first and its copy unlinked at once.
+
+    The columns are four numbers of contexts, or counts of n-grams with the
+    places and values of large ones.
+    """
     place = local_path(path)
     if place is None:
         handle, place = tempfile.mkstemp()
@@ -333,29 +349,41 @@ def _mapped(path: str, wide: bool) -> tuple[np.ndarray, list[np.ndarray]]:
         view = mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ)
     n = int.from_bytes(view[:8], "little")
     keys = np.frombuffer(view, dtype="<u8", count=n, offset=8)
-    kind, width = ("<i8", 4) if wide else ("<u4", 1)
-    step = n * np.dtype(kind).itemsize
-    return keys, [np.frombuffer(view, dtype=kind, count=n, offset=8 + 8 * n + j * step) for j in range(width)]
+    if wide:
+        return keys, [np.frombuffer(view, dtype="<i8", count=n, offset=8 + 8 * n * (j + 1)) for j in range(4)]
+    counts, large = np.frombuffer(view, dtype="<u4", count=n, offset=8 + 8 * n), 8 + 12 * n
+    more = (len(view) - large) // 16
+    return keys, [counts, *[np.frombuffer(view, dtype="<i8", count=more, offset=large + j * 8 * more) for j in range(2)]]
 
 
 def _find(model: Model, name: str, keys: np.ndarray, shard: np.ndarray, wide: bool = False) -> list[np.ndarray]:
     """The stored columns for every key, zero where it is unknown."""
     out = [np.zeros(len(keys), dtype=np.int64) for _ in range(4 if wide else 1)]
-    present = set(model.present.get(name, []))
+    present = model.present_in(name)
     order = np.lexsort((keys, shard))
-    borders = np.searchsorted(shard[order], np.arange(model.shards + 1))
-    for s in present:
-        part = order[borders[s] : borders[s + 1]]
-        if not len(part):
+    for s, part in _runs(shard, order):
+        if s not in present:
             continue
         stored, columns = _mapped(f"{model.folder}/{name}-{s}", wide)
         place = np.minimum(np.searchsorted(stored, keys[part]), len(stored) - 1)
         hit = stored[place] == keys[part]
+        part, place = part[hit], place[hit]
         for target, column in zip(out, columns):
-            target[part[hit]] = column[place[hit]]
+            target[part] = column[place]
+        if not wide:
+            large = np.flatnonzero(out[0][part] == LARGE)
+            out[0][part[large]] = columns[2][np.searchsorted(columns[1], place[large])]
     return out
 
 
+def _runs(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The shards that occur, each with its places in ``order``, which sorts them by shard."""
+    dealt = shard[order]
+    borders = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1], [True]])) if len(dealt) else [0]
+    for a, b in zip(borders[:-1], borders[1:]):
+        yield int(dealt[a]), order[a:b]
+
+
 def _discounted(counts: np.ndarray, cut: tuple[float, float, float]) -> np.ndarray:
     steps = np.array([0.0, *cut])
     return np.maximum(counts - steps[np.minimum(counts, 3)], 0.0)

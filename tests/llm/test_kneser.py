@@ -101,3 +101,14 @@ def test_nothing_to_learn_and_nothing_to_score(spark, nothing, messy):
     outside = messy.filter((kneser.remainder(5) == 1) & F.col("doc_id").isNotNull())
     for row in kneser.train_and_score(outside).collect():
         assert (row.n_known, row.train_tokens) == (0, 0) and math.isfinite(row.score)
+
+
+def test_counts_of_more_than_four_bytes(tmp_path):
+    keys = np.arange(10, 60, 10, dtype=np.uint64)
+    counts = np.array([1, 2**32 - 2, 2**32 - 1, 2**32, 5 * 10**12])
+    path = tmp_path / "words-0"
+    path.write_bytes(kneser._count_file(keys, counts))
+    model = kneser.Model(str(tmp_path), 1, 1, [], 0, 0, present={"words": [0]})
+    asked = np.array([50, 10, 15, 40, 30, 20, 99], dtype=np.uint64)
+    found = kneser._find(model, "words", asked, np.zeros(len(asked), dtype=np.int32))[0]
+    assert found.tolist() == [5 * 10**12, 1, 0, 2**32, 2**32 - 1, 2**32 - 2, 0]
