@@ -38,11 +38,10 @@ RUN_TOKENS = 3
 #: Tokens whose suffixes are sorted together.
 GROUP_TOKENS = 400_000
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_NAME = re.compile(r"[^\s/>]*")
+_SPECIAL = re.compile(r"[>\"']")
+# Decimal references of numbers that no character has; Python would read their digits one by one.
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -62,6 +61,7 @@ _MARKED_WORDS = set(
 )
 _WEAK_WORDS = set("header footer banner share sharing masthead meta search".split())
 _ARTICLE_WORDS = set("article post entry story main".split())
+_WALLS = set("ul ol dl table div article section blockquote".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 
 ARTICLE, OPEN, MARKED = 0, 1, 2
@@ -85,58 +85,166 @@ def _looks(name: str, attributes: str) -> tuple[bool, bool]:
     return marked, remarks
 
 
+class _Tags:
+    """Finds the tags of a page from front to back, in time that grows with its length.
+
+    A tag ends at the first ``>`` outside quotes, or, if a quote in it is never
+    closed, at the first one at all. What lies ahead of a quote does not depend
+    on the tag it is in, so that is worked out once per quote.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = html.rfind(">")
+        self.data_end = html.rfind("]]>")
+        # Where the tag ends if the next mark outside quotes is the one at this place; -1 if it does not.
+        self.ends: dict[int, int] = {}
+
+    def _end(self, at: int) -> int:
+        """The ``>`` that ends a tag whose attributes begin at ``at``; -1 if there is none outside quotes."""
+        passed = []
+        while True:
+            mark = _SPECIAL.search(self.html, at)
+            if mark is None:
+                found = -1
+            elif (place := mark.start()) in self.ends:
+                found = self.ends[place]
+            elif mark[0] == ">":
+                found = place
+            else:
+                passed.append(place)
+                close = self.html.find(mark[0], place + 1)
+                if close >= 0:
+                    at = close + 1
+                    continue
+                found = -1
+            for place in passed:
+                self.ends[place] = found
+            return found
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str, str] | None:
+        """The next tag from ``at``: start, end, name, whether it closes, attributes, and text that it stands for.
+
+        Comments and declarations have no name.
+        """
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                close = html.find("-->", start + 4)
+                return start, len(html) if close < 0 else close + 3, "", False, "", ""
+            if start < self.data_end and html.startswith("<![CDATA[", start):
+                close = html.find("]]>", start + 9)
+                if close >= 0:
+                    return start, close + 3, "", False, "", html[start + 9 : close].replace("&", "&amp;")
+            if start > self.last:
+                # Only a comment needs no end.
+                at = html.find("<!--", start)
+                if at < 0:
+                    return None
+                continue
+            after = html[start + 1 : start + 3]
+            if after[:1] in ("!", "?"):
+                return start, html.find(">", start) + 1, "", False, "", ""
+            closes = after[:1] == "/"
+            first = after[1:2] if closes else after[:1]
+            if first.isascii() and first.isalpha():
+                begin = start + 1 + closes
+                name_end = _NAME.match(html, begin).end()
+                end = self._end(name_end)
+                if end < 0:
+                    end = html.find(">", name_end)
+                if end >= 0:
+                    return start, end + 1, html[begin:name_end].lower(), closes, html[name_end:end], ""
+            at = start + 1
+        return None
+
+
+class _Open:
+    """Open elements: name, marked (with its ancestors), comments, inside an article, inside main.
+
+    Keeps the places of every name, so that a search for one never walks the stack.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+
+    def push(self, name: str, *marks: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in _WALLS:
+            self.walls.append(len(self.stack))
+        self.stack.append((name, *marks))
+
+    def pop(self) -> None:
+        name = self.stack.pop()[0]
+        self.places[name].pop()
+        if name in _WALLS:
+            self.walls.pop()
+
+    def close(self, name: str, inside: bool = False) -> None:
+        """Close the innermost element of this name and all in it; with ``inside`` only if no wall stands between."""
+        found = self.places.get(name)
+        if found and not (inside and self.walls and self.walls[-1] > found[-1]):
+            place = found[-1]
+            while len(self.stack) > place:
+                self.pop()
+
+
+def _plain(text: str) -> str:
+    """Text with its character references decoded and its white space made single."""
+    return " ".join(unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#", text)) if "&#" in text else text).split())
+
+
 def blocks(html: str) -> list[tuple[int, str]]:
     """The blocks of a page in order: zone (article, open, marked) and text.
 
     Malformed pages are read on: an end tag closes what is open down to its
     element, or nothing; an article ends an unclosed marked element around it.
+    The time grows with the length of the page, however broken it is.
     """
     found: list[tuple[int, str]] = []
     held: list[str] = []
-    # Open elements: name, marked (with its ancestors), comments, inside an article, inside main.
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    opened = _Open()
+    stack = opened.stack
     zones: list[tuple[bool, bool, bool]] = []
 
     def close_block() -> None:
         if held:
-            text = " ".join(unescape("".join(held)).split())
+            text = _plain("".join(held))
             held.clear()
             if text:
                 _, marked, _, article, main = stack[-1]
                 found.append((0, text))
                 zones.append((marked, article, main))
 
-    at = 0
+    at, tags = 0, _Tags(html)
     while True:
-        tag = _TAG.search(html, at)
+        tag = tags.next(at)
         if tag is None:
             held.append(html[at:])
             break
-        if tag.start() > at:
-            held.append(html[at : tag.start()])
-        at = tag.end()
-        name = (tag[2] or tag[5] or "").lower()
+        start, end, name, closes, attributes, said = tag
+        if start > at:
+            held.append(html[at:start])
+        at = end
         if not name:
-            if tag[0].startswith("<![CDATA["):
-                held.append(tag[0][9:-3].replace("&", "&amp;"))
+            if said:
+                held.append(said)
             continue
-        if tag[1] or tag[4]:
+        if closes:
             if name in _BLOCKS:
                 close_block()
             elif name in ("td", "th"):
                 held.append(" ")
-            for place in range(len(stack) - 1, 0, -1):
-                if stack[place][0] == name:
-                    del stack[place:]
-                    break
+            opened.close(name)
             continue
-        attributes = tag[3] or tag[6] or ""
         if name == "br":
             held.append(" ")
             continue
         if name in _RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            last = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            at = last.end() if last else len(html)
             continue
         if name in _BLOCKS:
             close_block()
@@ -145,20 +253,15 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if name in _VOID or attributes.endswith("/"):
             continue
         for other in _CLOSES.get(name, ()):
-            for place in range(len(stack) - 1, 0, -1):
-                if stack[place][0] == other:
-                    del stack[place:]
-                    break
-                if stack[place][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "blockquote"):
-                    break
+            opened.close(other, inside=True)
         marked, remarks = _looks(name, attributes) if attributes or name in _MARKED_ELEMENTS else (False, False)
         if name == "header" and not stack[-1][3]:
             marked = True
         if name in ("article", "main") and not marked and not remarks:
             while stack[-1][1] and not stack[-1][2]:
-                stack.pop()
+                opened.pop()
         _, above, comments, article, main = stack[-1]
-        stack.append((name, above or marked, comments or remarks, article or name == "article", main or name == "main"))
+        opened.push(name, above or marked, comments or remarks, article or name == "article", main or name == "main")
     close_block()
     articles = any(article and not marked for marked, article, _ in zones)
     out = []

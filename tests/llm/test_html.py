@@ -1,11 +1,14 @@
 """Main text of pages: structure, repeats, edges."""
 
 import re
+import time
 from collections import defaultdict
 from html import unescape
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tallyloom.llm import html
 
@@ -51,6 +54,48 @@ def test_broken_pages_end_soon():
         html.blocks(page)
 
 
+MEGABYTE = 1_000_000
+BROKEN = {
+    "tag in tag": "<a", "tag in tag with space": "<a ", "tag in tag, one end": "<a<b ", "open quotes": "<p a=\"", "both quotes": "<p a=\"x' b='",
+    "data": "<![CDATA[", "data end": "]]><![CDATA[", "comments": "<!--", "declarations": "<!", "questions": "<?x", "less": "<", "ends": "</p", "letters": "<b<c",
+    "open elements": "<b>", "open blocks": "<div>", "closed only": "</div>", "open p in b": "<b></p>", "p behind a wall": "<b><p></p>", "rows": "<tr><b>",
+    "references": "&", "numbers": "&#", "names": "&amp", "attributes": "<i class=", "attribute names": "<i id id id>", "spaces": "<script </script ",
+    "items": "<ul><li><b>", "options": "<option><select>", "raw": "<script>", "raw with slash": "<script/>", "single quotes": "<p a='<p b=\">",
+}
+
+
+@pytest.mark.parametrize("unit", BROKEN.values(), ids=BROKEN.keys())
+@pytest.mark.parametrize("head, tail", [("", ""), ("", ">"), ("<p><div>", "\"'>")])
+def test_a_broken_megabyte_takes_seconds(unit, head, tail):
+    page = head + unit * (MEGABYTE // len(unit)) + tail
+    began = time.process_time()
+    html.blocks(page)
+    assert time.process_time() - began < 6
+
+
+def test_huge_and_padded_references():
+    assert html.blocks("<p>&#" + "0" * 9000 + "65; &#" + "9" * 9000 + "; &#x" + "f" * 9000 + ";&#97;</p>") == [(html.OPEN, "A \ufffd \ufffda")]
+
+
+_OLD_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)>",
+    re.S,
+)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "<p", "</p", "<b ", "a", " ", "\"", "'", "/", "<!--", "-->", "<![CDATA[", "]]>", "<!", "<?", "="]), max_size=25))
+def test_tags_are_those_of_a_pattern(parts):
+    """A pattern that tries both ways to end a tag finds the same tags, in time that grows faster."""
+    page = "".join(parts)
+    tags, at, found = html._Tags(page), 0, []
+    while (tag := tags.next(at)) is not None:
+        found.append(tag[:2])
+        at = tag[1]
+    assert found == [m.span() for m in _OLD_TAG.finditer(page)]
+
+
 def test_suffix_classes_equal_those_of_slices():
     dice = np.random.default_rng(0)
     tokens = dice.integers(0, 3, 400).astype(np.uint64)
