@@ -151,6 +151,12 @@ ORACLES["messages_render_generation"] = f"""
   select doc_id, concat('<|im_start|>system', chr(10), '<|im_end|>', chr(10), '<|im_start|>user', chr(10), text,
     '<|im_end|>', chr(10), case when answered then concat('<|im_start|>assistant', chr(10), reply, '<|im_end|>', chr(10))
     else '' end, '<|im_start|>assistant', chr(10)) as text from ({MESSAGES})"""
+ORACLES["config_render"] = f"""
+  select doc_id, t.text as training, concat(t.text, case when answered then '' else '### Solution: ' end) as prompt,
+    g.text as default_prompt
+  from ({MESSAGES}) m join ({ORACLES["messages_render_sft"]}) t using (doc_id)
+  join ({ORACLES["messages_render_generation"]}) g using (doc_id)"""
+ORACLES["config_turns"] = ORACLES["chat_render_generation"]
 ORACLES["messages_calibration"] = f"""
   select doc_id, text, cast(len({token_list('text')}) as int) as n_tokens from (
     select doc_id, concat('### Problem: ', text, chr(10), '### Solution: ',

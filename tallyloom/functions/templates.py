@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .columns import as_column
+from .template_text import TextTemplate, compile_template
 
 TASKS = ("sft", "generation")
 MESSAGES_TYPE = "array<struct<role:string,content:string>>"
@@ -49,9 +50,27 @@ PROBLEM_SOLUTION = Template(
 )
 
 
-def choose_template(configured: Template | None = None, tokenizer: Template | None = None) -> Template:
-    """The configured template, else the tokenizer's own, else ChatML."""
-    return configured or tokenizer or CHATML
+# Template texts as the training configurations and the default hold them.
+PROBLEM_SOLUTION_TEXT = (
+    "{% for message in messages %}{% if (message['role'] == 'system')%}{{ '' }}"
+    "{% elif (message['role'] == 'user')%}{{ '### Problem: ' + message['content'] + '\n' }}"
+    "{% elif (message['role'] == 'assistant')%}{{ '### Solution: ' + message['content'] + '\n' }}{% endif %}"
+    "{% if loop.last and message['role'] == 'user' and add_generation_prompt %}{{ '### Solution: ' }}{% endif %}{% endfor %}"
+)
+CHATML_TEXT = (
+    "{% if not add_generation_prompt is defined %}{% set add_generation_prompt = false %}{% endif %}"
+    "{% for message in messages %}"
+    "{{'<|im_start|>' + message['role'] + '\n' + message['content'] + '<|im_end|>' + '\n'}}{% endfor %}"
+    "{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}"
+)
+
+AnyTemplate = Template | TextTemplate
+
+
+def choose_template(configured: AnyTemplate | str | None = None, tokenizer: AnyTemplate | str | None = None) -> AnyTemplate:
+    """The configured template, else the tokenizer's own, else ChatML; a text is compiled."""
+    chosen = configured or tokenizer or CHATML
+    return compile_template(chosen) if isinstance(chosen, str) else chosen
 
 
 def turn(role: Column | str, content: Column | str) -> Column:
@@ -75,11 +94,13 @@ def _text(messages: Column, template: Template) -> Column:
 
 def render(
     messages: Column | str,
-    template: Template,
+    template: AnyTemplate,
     generation: bool = False,
 ) -> Column:
     """Render turns as they are."""
     messages = as_column(messages)
+    if isinstance(template, TextTemplate):
+        return template.text(messages, generation)
     text = _text(messages, template)
     if not generation:
         return text
@@ -88,7 +109,7 @@ def render(
 
 def chat_text(
     messages: Column | str,
-    template: Template,
+    template: AnyTemplate,
     task: str,
 ) -> Column:
     """Text of a conversation for training (``sft``) or prompting (``generation``): one row in, one out."""

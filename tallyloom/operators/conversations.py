@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.templates import TASKS, Template
+from ..functions.template_text import TextTemplate
+from ..functions.templates import TASKS, AnyTemplate
 from .lookup import lookup
 
 
 def render_turns(
-    turns: DataFrame, conversation: str, turn: str, role: str, content: str, template: Template, task: str
+    turns: DataFrame, conversation: str, turn: str, role: str, content: str, template: AnyTemplate, task: str
 ) -> DataFrame:
     """Text of every turn: conversation, turn, ``text``; joined in turn order they are the conversation's text.
 
@@ -31,6 +32,8 @@ def render_turns(
     ends = turns.groupBy(conversation).agg(F.min(turn).alias("__first"), F.max(turn).alias("__last"))
     found = lookup(rows, ends, [conversation], [turn], "left")
     opens = (F.col(turn) == F.col("__first")) & (F.col("__role") != "system")
+    if isinstance(template, TextTemplate):
+        return found.select(conversation, turn, _compiled(template, turn, opens, task).alias("text"))
     text = F.concat(
         F.when(opens, template.turn(F.lit("system"), F.lit(""))).otherwise(F.lit("")),
         template.turn(F.col("__role"), F.col("__content")),
@@ -41,6 +44,16 @@ def render_turns(
     return found.select(conversation, turn, text.alias("text"))
 
 
+def _compiled(template: TextTemplate, turn: str, opens: Column, task: str) -> Column:
+    """Text of a turn by a compiled template; an added system turn is then the first one."""
+    generation = task == "generation"
+    first = F.coalesce((F.col(turn) == F.col("__first")) & ~opens, F.lit(False))
+    last = F.coalesce(F.col(turn) == F.col("__last"), F.lit(False))
+    added = template.turn_text(F.lit("system"), F.lit(""), F.lit(True), F.lit(False), generation)
+    own = template.turn_text(F.col("__role"), F.col("__content"), first, last, generation)
+    return F.concat(F.when(opens, added).otherwise(F.lit("")), own)
+
+
 def first_turns(turns: DataFrame, conversation: str, turn: str, role: str, content: str, k: int) -> DataFrame:
     """The first ``k`` turns of every conversation as ``messages``; cut before they are shuffled."""
     order = Window.partitionBy(conversation).orderBy(turn)

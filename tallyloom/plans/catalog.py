@@ -157,6 +157,26 @@ def messages_render_generation(spark, folder):
     return _messages(spark, folder, templates.choose_template(), "generation")
 
 
+@query
+def config_render(spark, folder):
+    """Arrays of turns by the template texts of the configurations, for training and for prompting."""
+    rows = inputs.messages(spark, folder)
+    configured = templates.choose_template(templates.PROBLEM_SOLUTION_TEXT)
+    default = templates.choose_template(None, templates.CHATML_TEXT)
+    return rows.select(
+        "doc_id",
+        templates.chat_text("messages", configured, "sft").alias("training"),
+        templates.chat_text("messages", configured, "generation").alias("prompt"),
+        templates.chat_text("messages", default, "generation").alias("default_prompt"),
+    )
+
+
+@query
+def config_turns(spark, folder):
+    """Turn tables of any length by a template text of a configuration."""
+    return _chat(spark, folder, templates.choose_template(templates.PROBLEM_SOLUTION_TEXT), "generation")
+
+
 @query
 def messages_calibration(spark, folder):
     rows = inputs.messages(spark, folder).withColumn("problem", F.get("messages", F.lit(0))["content"])
