@@ -210,6 +210,23 @@ ORACLES["mix_named"] = NAMED_MIX
 ORACLES["mix_rendered"] = f"""
   select split, mix_pos, row_key, concat('### Problem: ', coalesce(prompt, ''), chr(10), '### Solution: ',
     case when mix_pos = 0 then coalesce(completion, '') else 'none' end, chr(10)) as text from ({NAMED_MIX})"""
+# Rows of a view come in the order of its files.
+ORACLES["file_prefix"] = """
+  select row_number() over () - 1 as place, doc_id, lang, text
+  from (select * from documents limit (select cast(floor(0.3::double * count(*)) as bigint) from documents))"""
+ORACLES["revision_rows"] = """
+  select revision, split, doc_id, lang from documents
+  join (values ('v1', 'train', 0), ('v1', 'test', 1), ('main', 'train', 0), ('main', 'train', 2), ('main', 'test', 1))
+    r(revision, split, part) on doc_id % 3 = part"""
+ORACLES["mix_reader_order"] = """
+  with rows as (
+    select 0 as pos, 0.3::double as share, case when doc_id % 10 = 0 then 'test' else 'train' end as split, doc_id as id,
+      text as prompt, lang as completion from documents
+    union all select 1, 0.55, 'train', item_id, text, null from benchmark
+    union all select 1, 0.55, 'test', item_id, text, null from benchmark where item_id % 7 = 0)
+  select split, cast(pos as int) as mix_pos, place - 1 as row_key, prompt, completion from (
+    select *, row_number() over (partition by pos, split order by id) as place, count(*) over (partition by pos, split) as n from rows)
+  where split = 'test' or place <= cast(floor(share * n) as bigint)"""
 ORACLES["mix_split_rows"] = f"select split, count(*) as n_rows from ({MIX}) group by split"
 ORACLES["mix_train_order"] = f"""
   select *, row_number() over (order by digest, mix_pos, row_key) as place from (

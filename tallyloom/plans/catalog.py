@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from ..operators.order import first_by_digest, first_rows, with_digest_rank
 from ..operators.packing import fill_blocks, place_sequences
 from ..operators.packing import pack_blocks as pack
 from ..session import work_folder
-from ..sources.datasets import write_metrics
+from ..sources.datasets import read_split, write_metrics
 from ..sources.problems import problem_feed, validation_problems, write_predictions
+from ..sources.reader_order import file_rows, reader_prefix, with_reader_place
+from ..sources.revisions import commit_revision
 from ..streaming.incremental import current_votes, open_stream, start_tally
 from . import inputs, mixing, rejection, tracing
 from .calibration import calibration_sample as draw_calibration
@@ -276,6 +279,47 @@ def mix_rendered(spark, folder):
     return mixing.as_one(rendered).select("split", "mix_pos", "row_key", "text")
 
 
+@query
+def file_prefix(spark, folder):
+    """The first three tenths of a table as its files hold it; no order column is needed."""
+    docs = inputs.table(spark, folder, "documents")
+    files = file_rows(docs)
+    kept = reader_prefix(docs, int(0.3 * sum(rows for _, rows in files)), files)
+    return with_reader_place(kept, "place", files).select("place", "doc_id", "lang", "text")
+
+
+@query
+def revision_rows(spark, folder):
+    """Two revisions of a dataset that share files, each read by its name."""
+    root, rows = work_folder(spark, "sets"), inputs.table(spark, folder, "documents", "doc_id", "lang")
+    commit_revision(spark, "org/notes", "v1", {"train": rows.filter("doc_id % 3 = 0"), "test": rows.filter("doc_id % 3 = 1")}, root)
+    commit_revision(spark, "org/notes", "main", {"train": rows.filter("doc_id % 3 = 2")}, root, base="v1")
+    found = [
+        read_split(spark, "org/notes", split, revision, root).select(F.lit(revision).alias("revision"), F.lit(split).alias("split"), "doc_id", "lang")
+        for revision in ("v1", "main")
+        for split in ("train", "test")
+    ]
+    return reduce(DataFrame.unionAll, found)
+
+
+@query
+def mix_reader_order(spark, folder):
+    """A mix of stored datasets by the library's reader, cut in the order of their files."""
+    root = work_folder(spark, "sets")
+    notes = inputs.table(spark, folder, "documents").orderBy("doc_id")
+    notes = notes.select(F.col("text").alias("prompt"), F.col("lang").alias("completion"), "source", "doc_id")
+    tests = notes.filter("doc_id % 10 = 0")
+    commit_revision(spark, "notes", "main", {"train": notes.filter("doc_id % 10 <> 0"), "test": tests}, root)
+    items = inputs.table(spark, folder, "benchmark").orderBy("item_id").select(F.col("text").alias("prompt"), "item_id")
+    commit_revision(spark, "org/items", "v2", {"train": items, "test": items.filter("item_id % 7 = 0")}, root)
+
+    def read(name, split, revision):
+        return read_split(spark, name, split, revision, root)
+
+    mixed = mixing.mix({"notes": 0.3, "org/items": {"fraction": 0.55, "revision": "v2"}}, read, shuffle=False)
+    return mixing.as_one(mixed).select("split", "mix_pos", "row_key", "prompt", "completion")
+
+
 @query
 def mix_train_order(spark, folder):
     train = _mix(spark, folder, splits=["train"])["train"].select("mix_pos", "row_key", "digest")

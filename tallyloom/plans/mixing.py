@@ -14,6 +14,7 @@ from ..functions.digests import seeded_digest
 from ..functions.templates import Template, chat_text
 from ..operators.order import prefix_cutoffs, up_to
 from ..sources.datasets import split_kind, training_columns
+from ..sources.reader_order import file_rows, reader_prefix, with_reader_place
 
 # Fixed value: the seed of the shuffle after mixing.
 MIX_SEED = 42
@@ -48,7 +49,7 @@ def _finish(rows: DataFrame, shuffle: bool, seed: int) -> DataFrame:
 def mix(
     spec: Spec,
     read: Callable[[str, str, str], DataFrame],
-    order_key: str,
+    order_key: str | None = None,
     splits: Sequence[str] = ("train", "test"),
     shuffle: bool = True,
     seed: int = MIX_SEED,
@@ -56,7 +57,8 @@ def mix(
     """Mix datasets read by ``read(name, split, revision)``.
 
     Training sets give the first part of their rows in ``order_key`` order, test
-    sets all of them. Besides the training columns every row has ``mix_pos``
+    sets all of them. Without ``order_key`` that is reader order, which any table
+    read straight from files has: then ``row_key`` is the place in it. Besides the training columns every row has ``mix_pos``
     (place of its dataset split in the mix) and ``row_key`` (the order key),
     and with ``shuffle`` the ``digest`` that orders the permutation.
     """
@@ -68,6 +70,9 @@ def mix(
         for split, kind in kinds.items():
             rows = read(name, split, revision)
             found = parts.setdefault(kind, [])
+            if order_key is None:
+                found.append(_in_reader_order(rows, len(found), fraction if kind == "train" else 1.0))
+                continue
             if kind == "train":
                 fractions[len(found)] = fraction
             found.append(
@@ -79,7 +84,7 @@ def mix(
             )
     mixed = {}
     for kind, frames in parts.items():
-        if kind == "train":
+        if kind == "train" and order_key is not None:
             keys = reduce(DataFrame.unionByName, [rows.select("mix_pos", "row_key") for rows in frames])
             frames = _cut(frames, prefix_cutoffs(keys, "mix_pos", ["row_key"], fractions))
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -87,6 +92,14 @@ def mix(
     return mixed
 
 
+def _in_reader_order(rows: DataFrame, place: int, fraction: float) -> DataFrame:
+    """The first part of a table by files and places in them."""
+    files = file_rows(rows)
+    kept = reader_prefix(rows, int(fraction * sum(n for _, n in files)), files)
+    placed = with_reader_place(kept, "__place", files)
+    return placed.select(F.lit(place).alias("mix_pos"), F.col("__place").alias("row_key"), *training_columns(rows))
+
+
 def _cut(frames: list[DataFrame], ends: Mapping[int, tuple | None]) -> list[DataFrame]:
     """End every dataset at its cutoff; the comparison reaches its own scan."""
     cut = []

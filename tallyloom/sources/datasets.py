@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .revisions import read_revision, revisions
+
 # The columns of a training row, in this order.
 TRAINING_COLUMNS = ["messages", "chosen", "rejected", "prompt", "completion", "label", "score"]
 
@@ -25,6 +27,9 @@ def dataset_path(name: str, split: str, revision: str = "main", root: str = ".")
 def read_split(
     spark: SparkSession, name: str, split: str = "train", revision: str = "main", root: str = "."
 ) -> DataFrame:
+    """One split of a dataset: by the manifests of its revisions if it has any, else by its folders."""
+    if "data/" not in name and revisions(spark, name, root):
+        return read_revision(spark, name, split, revision, root)
     return spark.read.parquet(dataset_path(name, split, revision, root))
 
 
