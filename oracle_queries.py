@@ -307,6 +307,35 @@ ORACLES["trace_vote_prune"] = trace_vote(False)
 ORACLES["trace_survivors"] = (
     f"{steps(False)} select pruned_step, count(*) as n_traces from done group by pruned_step"
 )
+LONG_EVENTS = f"""select user_id as problem_id, event_id as sample_id, event_type as k, {inputs.WHOLE_VALUE} as v from events"""
+LONG_STEP = f"""select problem_id, sample_id, number, {inputs.COMPLETION} as completion, {inputs.OUTPUT} as output
+  from (select *, {inputs.CODE} as code, {inputs.REQUEST} as request, number % {inputs.CYCLE} as step
+    from (select *, unnest(range(64)) as number from ({LONG_EVENTS})))"""
+LONG_STATE = f"""with recursive c as ({LONG_STEP}), s as (
+    select problem_id, sample_id, 0::bigint as number, concat('### Problem: p', problem_id, chr(10), '### Solution: ') as gen_texts,
+      concat('### Problem: p', problem_id, chr(10), '### Solution: ') as prompt,
+      cast(null as int) as pruned_step, true as has_code, cast(null as varchar) as region from ({LONG_EVENTS})
+    union all
+    select problem_id, sample_id, number + 1, case verdict when 'restart' then prompt
+        when 'execute' then concat(g, case when length(output) > 200
+          then concat(left(output, 200), ' ... (output truncated)') else output end, chr(10), '```') else g end,
+      prompt, case when verdict = 'prune' then number::int else pruned_step end, has_code,
+      case when verdict = 'answer' then right(g, 100) else region end
+    from (select *, case when pruned_step is not null then 'over'
+        when not regexp_matches(g, '(?s)```python.*?```') then 'restart'
+        when not asks and states and not regexp_matches(g, '(?s)```output.*?```') then 'prune'
+        when not asks and states then 'answer' when number = 63 then 'keep'
+        when not asks then 'restart' else 'execute' end as verdict
+      from (select *, ends_with(g, concat('```output', chr(10))) as asks,
+          contains(right(g, 100), 'answer is') or contains(right(g, 100), '\\boxed') as states
+        from (select s.*, c.output,
+            case when s.pruned_step is null then concat(s.gen_texts, c.completion) else s.gen_texts end as g
+          from s join c on c.problem_id = s.problem_id and c.sample_id = s.sample_id and c.number = s.number)))
+  ), done as (select * from s where number = 64)"""
+ORACLES["trace_scoring_long"] = f"""{LONG_STATE}
+  select problem_id, sample_id, length(gen_texts)::int as n_chars, md5(gen_texts) as digest, coalesce(a, '-1') as model_answers,
+    has_code, pruned_step
+  from ({final('select * from done', 'problem_id, sample_id, gen_texts, has_code, pruned_step', 'region', 'a')})"""
 ORACLES["code_block_stats"] = f"""{steps(False)}
   select problem_id, sample_id, n_code, n_output, region, asks, states, code,
     contains(code, 'subprocess') or contains(code, 'venv') as blocked from (
@@ -392,6 +421,20 @@ ORACLES["packed_tokens"] = f"""
       select doc_id, unnest(range(1, len(t) + 1)) as spot, unnest(t) as token
       from (select doc_id, {token_list('text')} as t from documents)))
   group by block_id"""
+ORACLES["packed_mask"] = f"""
+  select block_id, cast(count(*) as int) as n_tokens, string_agg(token, ' ' order by conv_id, turn, spot) as text,
+    string_agg(case when role <> 'user' then '1' else '0' end, '' order by conv_id, turn, spot) as mask from (
+    select *, (row_number() over (order by conv_id, turn, spot) - 1) // 1024 as block_id from (
+      select conv_id, turn, role, unnest(range(1, len(t) + 1)) as spot, unnest(t) as token
+      from (select conv_id, turn, role, {token_list(PROBLEM_TURN)} as t
+        from (select conv_id, turn, role, coalesce(text, '') as text from conversations))))
+  group by block_id"""
+ORACLES["encoded_blocks"] = """
+  select block_id, cast(count(*) as int) as n_tokens, string_agg(length(word), ' ' order by doc_id, spot) as ids from (
+    select *, (row_number() over (order by doc_id, spot) - 1) // 1024 as block_id from (
+      select doc_id, unnest(range(1, len(t) + 1)) as spot, unnest(t) as word
+      from (select doc_id, string_split(text, ' ') as t from documents where text is not null)))
+  group by block_id"""
 ORACLES["max_length_filter"] = f"select doc_id, text from documents where len({token_list('text')}) < 128"
 ORACLES["prompt_completion_pairs"] = """
   select doc_id, concat('Topic: ', source) as prompt, text as completion from documents"""

@@ -1,11 +1,14 @@
 """Token counting and truncation with white space tokens by default.
 
-A real tokenizer is an external model file; pass its ids or counts as a column
-to the functions that take token arrays.
+A real tokenizer is an external model file. ``encoded`` runs a user's tokenizer
+over batches of texts; its id arrays go wherever arrays of tokens go.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,11 @@ LARGEST_MAX_LENGTH = 100_000
 DEFAULT_MAX_LENGTH = 2048
 
 
+# A batch of texts to the ids of each; made once per Python worker task.
+Tokenizer = Callable[[list[str]], Sequence[Sequence[int]]]
+MakeTokenizer = Callable[[], Tokenizer]
+
+
 def _trimmed(text: Column | str) -> Column:
     return F.trim(as_column(text), F.lit(TOKEN_BREAK_CHARS))
 
@@ -29,7 +37,32 @@ def tokens(text: Column | str) -> Column:
     return F.when(body == "", empty).otherwise(F.split(body, TOKEN_BREAK))
 
 
-def token_count(text: Column | str) -> Column:
+def encoded(text: Column | str, make: MakeTokenizer | None = None) -> Column:
+    """Tokens of a text: ids by the user's tokenizer, or white space tokens without one. A null text has null.
+
+    ``make`` runs once per task and loads the tokenizer; the function it
+    returns gets the texts of an Arrow batch and gives a list of ids for each.
+    """
+    if make is None:
+        return tokens(text)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = make()
+        for texts in batches:
+            asked = texts[texts.notna()]
+            found = [list(ids) for ids in tokenizer(asked.tolist())] if len(asked) else []
+            if len(found) != len(asked):
+                raise ValueError(f"{len(found)} lists of ids for {len(asked)} texts")
+            kept = iter(found)
+            yield pd.Series([next(kept) if there else None for there in texts.notna()], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<bigint>")(text)
+
+
+def token_count(text: Column | str, make: MakeTokenizer | None = None) -> Column:
+    if make is not None:
+        return F.coalesce(F.array_size(encoded(text, make)), F.lit(0))
     body = _trimmed(text)
     return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, TOKEN_BREAK)))
 
@@ -50,10 +83,10 @@ def truncate_tokens(token_array: Column | str, max_length: int, side: str = "rig
     raise ValueError(f"Truncation side {side} not recognized, use left or right")
 
 
-def truncated_tokens(text: Column | str, max_length: int, side: str = "right") -> Column:
-    """Tokenise and truncate. Cutting on the right stops splitting early."""
-    if side != "right":
-        return truncate_tokens(tokens(text), max_length, side)
+def truncated_tokens(text: Column | str, max_length: int, side: str = "right", make: MakeTokenizer | None = None) -> Column:
+    """Tokenise and truncate. Cutting white space tokens on the right stops splitting early."""
+    if side != "right" or make is not None:
+        return truncate_tokens(encoded(text, make), max_length, side)
     body = _trimmed(text)
     empty = F.array().cast("array<string>")
     parts = F.split(body, TOKEN_BREAK, max_length + 1)

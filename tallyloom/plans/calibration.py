@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import seeded_digest
 from ..functions.templates import PROBLEM_SOLUTION, Template, calibration_text
-from ..functions.tokens import token_count
+from ..functions.tokens import MakeTokenizer, token_count
 from ..operators.conversations import first_turns
 from ..operators.order import first_by_digest
 
@@ -16,9 +16,9 @@ CALIBRATION_ROWS = 256
 CALIBRATION_SEED = 42
 
 
-def _rendered(drawn: DataFrame, template: Template) -> DataFrame:
+def _rendered(drawn: DataFrame, template: Template, make: MakeTokenizer | None) -> DataFrame:
     return drawn.withColumn("text", calibration_text("problem", "messages", template)).withColumn(
-        "n_tokens", token_count("text")
+        "n_tokens", token_count("text", make)
     )
 
 
@@ -28,9 +28,10 @@ def calibration_sample(
     rows: int = CALIBRATION_ROWS,
     seed: int = CALIBRATION_SEED,
     template: Template = PROBLEM_SOLUTION,
+    make: MakeTokenizer | None = None,
 ) -> DataFrame:
-    """``df`` needs ``problem`` and ``messages``; adds ``text`` and ``n_tokens``."""
-    return _rendered(first_by_digest(df, seeded_digest(seed, key), [key], rows), template)
+    """``df`` needs ``problem`` and ``messages``; adds ``text`` and ``n_tokens``, counted by a user's tokenizer if there is one."""
+    return _rendered(first_by_digest(df, seeded_digest(seed, key), [key], rows), template, make)
 
 
 def calibration_turns(
@@ -42,6 +43,7 @@ def calibration_turns(
     rows: int = CALIBRATION_ROWS,
     seed: int = CALIBRATION_SEED,
     template: Template = PROBLEM_SOLUTION,
+    make: MakeTokenizer | None = None,
 ) -> DataFrame:
     """The same from a turn table: the first turn is the problem, the second its solution.
 
@@ -52,4 +54,4 @@ def calibration_turns(
     drawn = first_by_digest(keys, seeded_digest(seed, conversation), [conversation], rows).select(conversation)
     own = turns.join(F.broadcast(drawn), conversation)
     pairs = first_turns(own, conversation, turn, role, content, 2)
-    return _rendered(pairs.withColumn("problem", F.get("messages", F.lit(0))["content"]), template)
+    return _rendered(pairs.withColumn("problem", F.get("messages", F.lit(0))["content"]), template, make)

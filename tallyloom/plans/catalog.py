@@ -14,9 +14,9 @@ from ..functions.digests import seeded_digest
 from ..operators import fields, metrics, votes
 from ..operators.conversations import render_turns, user_turns
 from ..operators.order import first_by_digest, first_rows, with_digest_rank
-from ..operators.packing import fill_blocks, place_sequences
+from ..operators.packing import encode_sequences, fill_blocks, label_mask, label_spans, pack_texts, place_sequences
 from ..operators.packing import pack_blocks as pack
-from ..session import work_folder
+from ..session import settle, work_folder
 from ..sources.datasets import read_split, write_metrics
 from ..sources.problems import problem_feed, validation_problems, write_predictions
 from ..sources.reader_order import file_rows, reader_prefix, with_reader_place
@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {}
 
 BLOCK_SIZE = 1024
 MAX_TOKENS = 64
+LONG_STEPS = 64
 
 
 def query(function: Query) -> Query:
@@ -397,6 +398,21 @@ def trace_vote_prune(spark, folder):
     return tracing.vote_traces(_scored(spark, folder, False))
 
 
+@query
+def trace_scoring_long(spark, folder):
+    """Traces of 64 steps; the plan is that of any other number."""
+    scored = tracing.score_traces(
+        inputs.traces(spark, folder),
+        inputs.generations(spark, folder, LONG_STEPS),
+        inputs.executions(spark, folder, LONG_STEPS),
+        LONG_STEPS,
+    )
+    text = F.col("gen_texts")
+    return scored.select(
+        "problem_id", "sample_id", F.length(text).alias("n_chars"), F.md5(text).alias("digest"), "model_answers", "has_code", "pruned_step"
+    )
+
+
 @query
 def trace_survivors(spark, folder):
     """How many traces stop at each step; null are the survivors."""
@@ -577,6 +593,36 @@ def packed_tokens(spark, folder):
     return filled.select("block_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("text"))
 
 
+@query
+def packed_mask(spark, folder):
+    """Turns of all conversations packed into blocks, with a flag per token that says whether it is learnt."""
+    content = F.coalesce("text", F.lit(""))
+    turns = inputs.turns(spark, folder).select(
+        F.struct("conv_id", "turn").alias("turn_key"),
+        (F.col("role") != "user").alias("learnt"),
+        templates.PROBLEM_SOLUTION.turn(F.col("role"), content).alias("text"),
+    )
+    sequences = encode_sequences(turns, "turn_key", "text", carry=["learnt"])
+    placed = settle(place_sequences(sequences, "turn_key", "n_tokens", ["learnt"]))
+    filled = fill_blocks(placed, sequences, "turn_key", "tokens", BLOCK_SIZE)
+    mask = label_mask("n_tokens", "spans")
+    labels = label_spans(placed, "turn_key", "learnt", BLOCK_SIZE).select("block_id", "n_tokens", mask.alias("mask"))
+    shown = F.array_join(F.transform("mask", lambda learnt: learnt.cast("int").cast("string")), "")
+    return filled.join(labels, "block_id").select("block_id", "n_tokens", F.array_join("tokens", " ").alias("text"), shown.alias("mask"))
+
+
+@query
+def encoded_blocks(spark, folder):
+    """Documents packed by a user's tokenizer, which gives every word its length as its id."""
+
+    def make():
+        return lambda texts: [[len(word) for word in text.split(" ")] for text in texts]
+
+    docs = inputs.busy_table(spark, folder, "documents", "doc_id", "text")
+    blocks_ = pack_texts(docs, "doc_id", "text", BLOCK_SIZE, make)
+    return blocks_.select("block_id", F.size("tokens").alias("n_tokens"), F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("ids"))
+
+
 @query
 def max_length_filter(spark, folder):
     docs = inputs.table(spark, folder, "documents").select("doc_id", "text")

@@ -111,6 +111,10 @@ def solutions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Steps after which what a long trace writes begins again.
+CYCLE = 4
+
+
 def traces(spark: SparkSession, folder: str) -> DataFrame:
     problem = F.concat(F.lit("p"), F.col("user_id").cast("string"))
     return table(spark, folder, "events").select(
@@ -133,20 +137,21 @@ def _steps(spark: SparkSession, folder: str, num_steps: int) -> DataFrame:
             "*",
             F.expr(CODE).alias("code"),
             F.expr(REQUEST).alias("request"),
-            F.explode(F.sequence(F.lit(0), F.lit(num_steps - 1))).alias("step"),
+            F.explode(F.sequence(F.lit(0), F.lit(num_steps - 1))).alias("number"),
         )
+        .withColumn("step", (F.col("number") % CYCLE).cast("int"))
     )
 
 
 def generations(spark: SparkSession, folder: str, num_steps: int = 4) -> DataFrame:
     return _steps(spark, folder, num_steps).select(
-        "problem_id", "sample_id", "step", F.expr(COMPLETION).alias("completion")
+        "problem_id", "sample_id", F.expr(COMPLETION).alias("completion"), F.col("number").alias("step")
     )
 
 
 def executions(spark: SparkSession, folder: str, num_steps: int = 4) -> DataFrame:
     return _steps(spark, folder, num_steps).select(
-        "problem_id", "sample_id", "step", F.expr(OUTPUT).alias("output")
+        "problem_id", "sample_id", F.expr(OUTPUT).alias("output"), F.col("number").alias("step")
     )
 
 

@@ -5,14 +5,16 @@ What a model wrote and what its programs printed come in as tables:
 * ``generations``: problem_id, sample_id, step, completion
 * ``executions``: problem_id, sample_id, step, output
 
-All steps of a trace are brought into one row by a single shuffle; every step
-of the decision table is then a row-local column expression. Answers are
-cleaned once at the end, since only the last one of a trace counts.
+All steps of a trace are brought into one row by a single shuffle; the decision
+table is then folded over its steps, row by row, so a plan is as large for 64
+steps as for four. Answers are cleaned once at the end, since only the last one
+of a trace counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,11 @@ STATE = [*TRACE, "text", "gen_texts", "should_prune", "model_answers", "has_code
 # Candidates per problem and steps per candidate.
 NUM_SAMPLES = 48
 NUM_STEPS = 4
+# Fixed value: texts that a model is given at once.
+BATCH_SIZE = 128
+
+# What a row of the stacked tables holds.
+_PROMPT, _COMPLETION, _OUTPUT = 0, 1, 2
 
 # A batch of texts to a batch of texts; made once per Python worker task.
 BatchFunction = Callable[[list[str]], list[str]]
@@ -51,89 +58,141 @@ def fan_out(problems: DataFrame, num_samples: int = NUM_SAMPLES) -> DataFrame:
 
 
 def gather_steps(traces: DataFrame, generations: DataFrame, executions: DataFrame, num_steps: int) -> DataFrame:
-    """One row per trace with ``completion_<i>`` and ``output_<i>`` columns.
+    """One row per trace: its prompt ``text`` and ``steps``, an array of (step, completion, output) from step 0.
 
     The three tables are stacked and shuffled once on the trace key, which
-    spreads even a problem with most of the rows. The explicit repartition
-    keeps Spark from sorting the unique rows for a map-side aggregate. A hash
-    of the key leads the grouping: Spark sorts by the first column first, and
-    a problem with most of the rows would make all its comparisons ties.
+    spreads even a problem with most of the rows. A hash of the key leads the
+    grouping: Spark sorts by the first column first, and a problem with most of
+    the rows would make all its comparisons ties.
 
     A null prompt is an empty one. Two rows for one trace, or two completions
     or outputs for one step of it, raise. Completions and outputs of traces
-    that are not in ``traces`` belong to nothing and are left out.
+    that are not in ``traces``, or of steps beyond ``num_steps``, are left out.
     """
+    inside = F.col("step").between(0, num_steps - 1)
+
+    def rows(df: DataFrame, kind: int, step: Column, body: str) -> DataFrame:
+        entry = F.struct(F.lit(kind).alias("kind"), step.cast("int").alias("step"), F.col(body).alias("body"))
+        return df.select(*TRACE, entry.alias("entry"))
+
     stacked = (
-        traces.select(*TRACE, F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("is_trace"))
-        .unionByName(generations.select(*TRACE, "step", "completion", F.lit(True).alias("is_completion")), allowMissingColumns=True)
-        .unionByName(executions.select(*TRACE, "step", "output", F.lit(True).alias("is_output")), allowMissingColumns=True)
+        rows(traces, _PROMPT, F.lit(0), "text")
+        .unionByName(rows(generations.filter(inside), _COMPLETION, F.col("step"), "completion"))
+        .unionByName(rows(executions.filter(inside), _OUTPUT, F.col("step"), "output"))
         .withColumn("__trace", F.xxhash64(*TRACE))
         .repartition("__trace")
     )
-    steps, counts = [], ["__traces"]
-    for step in range(num_steps):
-        here = F.col("step") == step
-        steps.append(F.max(F.when(here, F.col("completion"))).alias(f"completion_{step}"))
-        steps.append(F.max(F.when(here, F.col("output"))).alias(f"output_{step}"))
-        for kind in ("completion", "output"):
-            counts.append(f"__{kind}s_{step}")
-            steps.append(F.count_if(here & F.col(f"is_{kind}")).alias(counts[-1]))
-    gathered = stacked.groupBy("__trace", *TRACE).agg(
-        F.max("text").alias("text"), F.count("is_trace").alias("__traces"), *steps
-    )
-    once = F.greatest(*counts) <= 1
+    gathered = stacked.groupBy("__trace", *TRACE).agg(F.collect_list("entry").alias("entries"))
+
+    def of(kind: int) -> Column:
+        return F.filter("entries", lambda e: e["kind"] == kind)
+
+    def body_at(own: Column, step: Column) -> Column:
+        place = F.array_position(own["steps"], step).cast("int")
+        return F.coalesce(F.get(own["bodies"], place - 1), F.lit(""))
+
+    def columns(entries: Column) -> Column:
+        return F.struct(F.transform(entries, lambda e: e["step"]).alias("steps"), F.transform(entries, lambda e: e["body"]).alias("bodies"))
+
+    places = F.transform("entries", lambda e: F.struct(e["kind"], e["step"]))
     twice = F.concat(F.lit("more than one row for a trace or its step: "), F.concat_ws("/", *TRACE))
-    checked = F.when(once, F.col("text")).otherwise(F.raise_error(twice).cast("string"))
-    return gathered.filter("__traces > 0").withColumn("text", checked).drop("__trace", *counts)
+    once = F.array_size(F.array_distinct(places)) == F.array_size("entries")
+    text = F.when(once, F.coalesce(F.get(of(_PROMPT), F.lit(0))["body"], F.lit(""))).otherwise(F.raise_error(twice).cast("string"))
+    numbers = F.sequence(F.lit(0), F.lit(num_steps - 1)) if num_steps else F.array().cast("array<int>")
 
+    def aligned(made: Column, ran: Column) -> Column:
+        return F.transform(
+            numbers,
+            lambda step: F.struct(step.alias("step"), body_at(made, step).alias("completion"), body_at(ran, step).alias("output")),
+        )
 
-def start(traces: DataFrame) -> DataFrame:
+    steps = _with(columns(of(_COMPLETION)), lambda made: _with(columns(of(_OUTPUT)), lambda ran: aligned(made, ran)))
+    known = gathered.filter(F.exists("entries", lambda e: e["kind"] == _PROMPT))
+    return known.select(*TRACE, text.alias("text"), steps.alias("steps"))
+
+
+def _start(text: Column) -> dict[str, Column]:
     """State of a trace before its first step."""
-    return traces.withColumns(
-        {
-            "gen_texts": F.col("text"),
-            "pruned_step": F.lit(None).cast("int"),
-            "has_code": F.lit(True),
-            "answer_region": F.lit(None).cast("string"),
-        }
-    )
+    return {
+        "gen_texts": text,
+        "pruned_step": F.lit(None).cast("int"),
+        "has_code": F.lit(True),
+        "answer_region": F.lit(None).cast("string"),
+    }
+
 
+def start(traces: DataFrame) -> DataFrame:
+    return traces.withColumns(_start(F.col("text")))
+
+
+def _state() -> dict[str, Column]:
+    return {name: F.col(name) for name in ("text", "gen_texts", "pruned_step", "has_code", "answer_region")}
 
-def longer_text(completion: Column) -> Column:
+
+def longer_text(completion: Column, state: Mapping[str, Column]) -> Column:
     """The text of a trace with the completion of this step; stopped traces keep theirs."""
-    longer = F.concat("gen_texts", F.coalesce(completion, F.lit("")))
-    return F.when(F.col("pruned_step").isNull(), longer).otherwise(F.col("gen_texts"))
+    longer = F.concat(state["gen_texts"], F.coalesce(completion, F.lit("")))
+    return F.when(state["pruned_step"].isNull(), longer).otherwise(state["gen_texts"])
 
 
-def verdict(last_step: bool, restart_on_fail: bool, region_chars: int = REGION_CHARS) -> Column:
+def verdict(
+    last_step: bool | Column, restart_on_fail: bool, state: Mapping[str, Column], region_chars: int = REGION_CHARS
+) -> Column:
     """What this step does to the trace; the first rule that fits wins."""
-    setback = "restart" if restart_on_fail else "prune"
-    asks = asks_for_output("gen_texts")
-    answers = ~asks & states_answer(answer_region("gen_texts", region_chars))
-    rules = (
-        F.when(F.col("pruned_step").isNotNull(), "over")
-        .when(~has_code_block("gen_texts"), "restart" if restart_on_fail else "no_code")
-        .when(answers & ~has_output_block("gen_texts"), "prune")
+    text = state["gen_texts"]
+    asks = asks_for_output(text)
+    answers = ~asks & states_answer(answer_region(text, region_chars))
+    return (
+        F.when(state["pruned_step"].isNotNull(), "over")
+        .when(~has_code_block(text), "restart" if restart_on_fail else "no_code")
+        .when(answers & ~has_output_block(text), "prune")
         .when(answers, "answer")
+        .when(F.lit(last_step) if isinstance(last_step, bool) else last_step, "keep")
+        .when(~asks, "restart" if restart_on_fail else "prune")
+        .otherwise("execute")
     )
-    return rules.otherwise("keep") if last_step else rules.when(~asks, setback).otherwise("execute")
 
 
-def next_state(step: int, output: Column, region_chars: int = REGION_CHARS) -> dict[str, Column]:
-    """Columns that carry out ``verdict``. An answered trace stays alive and may change its answer."""
-    found = F.col("verdict")
+def next_state(
+    step: int | Column, found: Column, output: Column, state: Mapping[str, Column], region_chars: int = REGION_CHARS
+) -> dict[str, Column]:
+    """Columns that carry out the verdict ``found``. An answered trace stays alive and may change its answer."""
+    text, number = state["gen_texts"], F.lit(step) if isinstance(step, int) else step
     return {
-        "answer_region": F.when(found == "answer", answer_region("gen_texts", region_chars)).otherwise(
-            F.col("answer_region")
-        ),
-        "pruned_step": F.when(found.isin("prune", "no_code"), F.lit(step)).otherwise(F.col("pruned_step")),
-        "has_code": F.col("has_code") & (found != "no_code"),
-        "gen_texts": F.when(found == "restart", F.col("text"))
-        .when(found == "execute", append_output("gen_texts", F.coalesce(output, F.lit(""))))
-        .otherwise(F.col("gen_texts")),
+        "gen_texts": F.when(found == "restart", state["text"])
+        .when(found == "execute", append_output(text, F.coalesce(output, F.lit(""))))
+        .otherwise(text),
+        "pruned_step": F.when(found.isin("prune", "no_code"), number).otherwise(state["pruned_step"]),
+        "has_code": state["has_code"] & (found != "no_code"),
+        "answer_region": F.when(found == "answer", answer_region(text, region_chars)).otherwise(state["answer_region"]),
     }
 
 
+def _named(values: Mapping[str, Column]) -> Column:
+    return F.struct(*[value.alias(name) for name, value in values.items()])
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def final_state(text: Column, steps: Column, num_steps: int, restart_on_fail: bool, region_chars: int) -> Column:
+    """The decision table folded over the steps of a trace."""
+
+    def take(before: Column, step: Column) -> Column:
+        state = {name: before[name] for name in ("gen_texts", "pruned_step", "has_code", "answer_region")} | {"text": text}
+
+        def decide(longer: Column) -> Column:
+            now = state | {"gen_texts": longer}
+            found = verdict(step["step"] == num_steps - 1, restart_on_fail, now, region_chars)
+            return _with(found, lambda f: _named(next_state(step["step"], f, step["output"], now, region_chars)))
+
+        return _with(longer_text(step["completion"], state), decide)
+
+    return F.aggregate(steps, _named(_start(text)), take)
+
+
 def read_answers(df: DataFrame) -> DataFrame:
     """Add ``model_answers`` (``"-1"`` without answer) and ``should_prune``.
 
@@ -163,13 +222,10 @@ def score_traces(
     A missing completion or output counts as empty. The prompts in ``traces``
     are shuffled along, which is cheap next to the completions.
     """
-    df = start(gather_steps(traces, generations, executions, num_steps))
-    rules = {last: verdict(last, restart_on_fail, region_chars) for last in (False, True)}
-    for step in range(num_steps):
-        df = df.withColumn("gen_texts", longer_text(F.col(f"completion_{step}")))
-        df = df.withColumn("verdict", rules[step == num_steps - 1])
-        df = df.withColumns(next_state(step, F.col(f"output_{step}"), region_chars))
-    return read_answers(df).select(*STATE)
+    gathered = gather_steps(traces, generations, executions, num_steps)
+    state = final_state(F.col("text"), F.col("steps"), num_steps, restart_on_fail, region_chars)
+    scored = gathered.select(*TRACE, "text", state.alias("state")).select(*TRACE, "text", "state.*")
+    return read_answers(scored).select(*STATE)
 
 
 def vote_traces(scored: DataFrame, num_steps: int = NUM_STEPS, problems: DataFrame | None = None) -> DataFrame:
@@ -182,19 +238,52 @@ def vote_traces(scored: DataFrame, num_steps: int = NUM_STEPS, problems: DataFra
     return majority_vote(candidates, "problem_id", "candidate", ["stopped", "sample_id"], problems)
 
 
-def batched(text: Column | str, make: Callable[[], BatchFunction]) -> Column:
-    """Apply a user function to Arrow batches of texts; null texts are skipped.
+def in_batches(texts: Iterable[pd.Series], size: int) -> Iterator[list[str]]:
+    """Runs of exactly ``size`` texts, fewer at the end only, from series of any lengths; nulls are passed over."""
+    held: list[str] = []
+    for series in texts:
+        held += series[series.notna()].tolist()
+        while len(held) >= size:
+            yield held[:size]
+            held = held[size:]
+    if held:
+        yield held
+
+
+def batched(text: Column | str, make: Callable[[], BatchFunction], batch_size: int = BATCH_SIZE) -> Column:
+    """Apply a user function to batches of texts; null texts are skipped.
 
-    ``make`` runs once per task, so it can load a model. The batch size is
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    ``make`` runs once per task, so it can load a model. The function sees
+    ``batch_size`` texts at a time, fewer only at the end of a task, whatever
+    size the Arrow batches have (``spark.sql.execution.arrow.maxRecordsPerBatch``).
+    It has to give one reply per text.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         function = make()
-        for texts in batches:
-            asked = texts[texts.notna()]
-            replies: Iterable[str] = function(asked.tolist()) if len(asked) else []
-            yield pd.Series(list(replies), index=asked.index, dtype=object).reindex(texts.index)
+        # Series whose texts have not all been answered yet, and the answers so far.
+        waiting: deque[pd.Series] = deque()
+        replies: deque[str] = deque()
+
+        def passed() -> Iterator[pd.Series]:
+            for series in batches:
+                waiting.append(series)
+                yield series
+
+        def ready() -> Iterator[pd.Series]:
+            while waiting and waiting[0].notna().sum() <= len(replies):
+                series = waiting.popleft()
+                asked = series.index[series.notna()]
+                found = [replies.popleft() for _ in asked]
+                yield pd.Series(found, index=asked, dtype=object).reindex(series.index)
+
+        for asked in in_batches(passed(), batch_size):
+            given = list(function(asked))
+            if len(given) != len(asked):
+                raise ValueError(f"{len(given)} replies to {len(asked)} texts")
+            replies.extend(given)
+            yield from ready()
+        yield from ready()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "string").asNondeterministic()(text)
@@ -206,6 +295,7 @@ def solve_live(
     make_execute: Callable[[], BatchFunction],
     num_steps: int = NUM_STEPS,
     restart_on_fail: bool = True,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Score traces with user functions instead of stored tables.
 
@@ -217,13 +307,13 @@ def solve_live(
     for step in range(num_steps):
         last_step = step == num_steps - 1
         live = F.when(F.col("pruned_step").isNull(), F.col("gen_texts"))
-        df = settle(df.withColumn("completion", batched(live, make_generate)))
-        df = df.withColumn("gen_texts", longer_text(F.col("completion")))
-        df = df.withColumn("verdict", verdict(last_step, restart_on_fail))
+        df = settle(df.withColumn("completion", batched(live, make_generate, batch_size)))
+        df = df.withColumn("gen_texts", longer_text(F.col("completion"), _state()))
+        df = df.withColumn("verdict", verdict(last_step, restart_on_fail, _state()))
         if last_step:
             df = df.withColumn("output", F.lit(None).cast("string"))
         else:
             code = F.when(F.col("verdict") == "execute", last_code_block("gen_texts"))
-            df = settle(df.withColumn("output", batched(code, make_execute)))
-        df = df.withColumns(next_state(step, F.col("output")))
+            df = settle(df.withColumn("output", batched(code, make_execute, batch_size)))
+        df = df.withColumns(next_state(step, F.col("verdict"), F.col("output"), _state()))
     return read_answers(df).select(*STATE)

@@ -169,3 +169,73 @@ def test_null_prompts_stay_and_doubled_rows_raise(spark):
         tracing.score_traces(traces, one.union(one), none, 1).collect()
     with pytest.raises(Exception, match="more than one row for a trace"):
         tracing.score_traces(traces.union(traces), one, none, 1).collect()
+
+
+def test_many_steps_plan_soon_and_follow_the_table(spark):
+    """Sixty-four steps against the table applied one step after the other."""
+    import time
+
+    dice = __import__("random").Random(3)
+    choices = [CODE + ASK, BOX, "The answer is 4", "text", CODE + "x", "", "z" * 120, ASK, "```output\n1\n```" + BOX]
+    made, ran, expected = [], [], {}
+    for sample in range(40):
+        text, gen, stopped = PROMPT, PROMPT, None
+        for step in range(64):
+            completion, output = dice.choice(choices), str(dice.randrange(9)) * dice.choice([1, 250])
+            made.append((1, sample, step, completion))
+            ran.append((1, sample, step, output))
+            if stopped is not None:
+                continue
+            gen += completion
+            region = gen[-100:]
+            has = lambda word: bool(__import__("re").search(f"(?s)```{word}.*?```", gen))
+            states = not gen.endswith(ASK) and ("answer is" in region or "\\boxed" in region)
+            if not has("python"):
+                gen = text
+            elif states and not has("output"):
+                stopped = step
+            elif states or step == 63:
+                pass
+            elif not gen.endswith(ASK):
+                gen = text
+            else:
+                gen += (output if len(output) <= 200 else output[:200] + " ... (output truncated)") + "\n```"
+        expected[sample] = (gen, stopped)
+    keys = "problem_id long, sample_id long, step int"
+    traces = spark.createDataFrame([(1, s, PROMPT) for s in range(40)], "problem_id long, sample_id long, text string")
+    began = time.time()
+    scored = tracing.score_traces(traces, spark.createDataFrame(made, f"{keys}, completion string"), spark.createDataFrame(ran, f"{keys}, output string"), 64)
+    scored._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 10
+    assert {row.sample_id: (row.gen_texts, row.pruned_step) for row in scored.collect()} == expected
+
+
+@pytest.mark.parametrize("records", [100, 1000])
+def test_batches_have_their_own_size(spark, records, tmp_path):
+    log = str(tmp_path / "sizes")
+
+    def make():
+        def note(texts):
+            with open(log, "a") as out:
+                out.write(f"{len(texts)}\n")
+            return [text + "!" for text in texts]
+
+        return note
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        rows = spark.range(0, 1111, 1, 1).select("id", F.when(F.col("id") % 10 != 3, F.col("id").cast("string")).alias("t"))
+        found = rows.select("id", tracing.batched("t", make).alias("u")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert all(row.u == (None if row.id % 10 == 3 else f"{row.id}!") for row in found) and len(found) == 1111
+    asked = 1111 - 111
+    sizes = [int(line) for line in open(log)]
+    assert sizes == [128] * (asked // 128) + [asked % 128]
+
+
+def test_a_wrong_number_of_replies_raises(spark):
+    rows = spark.createDataFrame([(0, "a"), (1, "b")], "i int, t string").coalesce(1)
+    with pytest.raises(Exception, match="1 replies to 2 texts"):
+        rows.select(tracing.batched("t", lambda: lambda texts: texts[:1])).collect()
