@@ -382,6 +382,10 @@ ORACLES["live_scoring"] = f"""
     true as has_code, cast(null as int) as pruned_step
   from ({final(LIVE, 'problem_id, sample_id, text, gen_texts', 'region', 'a')})"""
 ORACLES["stored_predictions"] = VOTES
+ORACLES["streamed_traces"] = trace_vote(True)
+ORACLES["logged_answers"] = """
+  select row_number() over (order by md5(concat('5:', s_suppkey)), s_suppkey) - 1 as place, s_suppkey as id,
+    cast(((trunc(s_acctbal)::bigint % 1000) + 1000) % 1000 as int) as answer from supplier"""
 ORACLES["stored_metrics"] = ORACLES["perplexity_metrics"]
 
 MATCHES = f"""select problem_id, event_id, round, final_answer
@@ -394,6 +398,10 @@ ORACLES["rejection_rounds"] = f"""with m as ({MATCHES})
     select 1 from m earlier where earlier.problem_id = m.problem_id and earlier.round < m.round)"""
 ORACLES["unsolved_problems"] = f"""
   select problem_id from ({TRUTH}) where problem_id not in (select problem_id from ({MATCHES}))"""
+ORACLES["generated_rounds"] = f"""
+  select problem_id, cast(attempt // 2 as int) as round, cast(attempt % 2 as int) as sample_id, cast(known as varchar) as final_answer
+  from ({TRUTH}), (select unnest(range(6)) as attempt)
+  where attempt >= problem_id % 7 and attempt // 2 = (problem_id % 7) // 2"""
 ORACLES["numeric_problems"] = f"""
   select event_id, solution from ({SOLUTIONS}) where {numeric('solution')} is not null"""
 ORACLES["integer_problems"] = f"""

@@ -236,8 +236,13 @@ def with_digest_rank(df: DataFrame, digest: str, keys: Sequence[str], target: st
 
     The leading hex digits cut the order into at most 65,536 equal ranges.
     Each is ranked by itself and moved up by the rows in the ranges before.
+    Keys have to tell rows apart: a null in one raises, and so do two rows
+    alike in digest and keys, whose places would differ between runs.
     """
-    rows = df.withColumn("__bucket", digest_bucket(digest))
+    absent = reduce(or_, [F.col(name).isNull() for name in keys])
+    empty = F.concat(F.lit("order columns hold nulls: "), F.concat_ws("/", *[F.col(name).cast("string") for name in keys]))
+    checked = F.when(absent, F.raise_error(empty).cast("string")).otherwise(F.col(digest))
+    rows = df.withColumn("__bucket", digest_bucket(checked))
     # At most one row per bucket: the window and the broadcast below stay that small.
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -246,8 +251,11 @@ def with_digest_rank(df: DataFrame, digest: str, keys: Sequence[str], target: st
         .select("__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     )
     inside = Window.partitionBy("__bucket").orderBy(digest, *keys)
+    own = F.struct(digest, *keys)
+    alike = F.concat(F.lit("order columns do not tell rows apart: "), F.concat_ws("/", *[F.col(name).cast("string") for name in keys]))
+    tied = F.lag(own).over(inside) == own
     return (
-        rows.withColumn("__rank", F.row_number().over(inside))
+        rows.withColumn("__rank", F.when(tied, F.raise_error(alike).cast("int")).otherwise(F.row_number().over(inside)))
         .join(F.broadcast(offsets), "__bucket")
         .withColumn(target, F.col("__rank") + F.col("__before"))
         .drop("__bucket", "__rank", "__before")

@@ -17,11 +17,13 @@ from ..operators.order import first_by_digest, first_rows, with_digest_rank
 from ..operators.packing import encode_sequences, fill_blocks, label_mask, label_spans, pack_texts, place_sequences
 from ..operators.packing import pack_blocks as pack
 from ..session import settle, work_folder
+from ..sources.answer_log import AnswerLog
 from ..sources.datasets import read_split, write_metrics
 from ..sources.problems import problem_feed, validation_problems, write_predictions
 from ..sources.reader_order import file_rows, reader_prefix, with_reader_place
 from ..sources.revisions import commit_revision
 from ..streaming.incremental import current_votes, open_stream, start_tally
+from ..streaming.traces import start_scoring, step_stream, votes_so_far
 from . import inputs, mixing, rejection, tracing
 from .calibration import calibration_sample as draw_calibration
 from .calibration import calibration_turns
@@ -508,6 +510,17 @@ def stored_predictions(spark, folder):
     return spark.read.parquet(path)
 
 
+@query
+def logged_answers(spark, folder):
+    """Problems answered one at a time, each with a commit of its own; the run breaks off twice and goes on."""
+    feed = with_digest_rank(inputs.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal", seeded_digest(5, F.col("s_suppkey")).alias("digest")), "digest", ["id"], "rank")
+    feed = settle(feed.select("id", "s_acctbal", (F.col("rank") - 1).alias("place")))
+    path = work_folder(spark, "answers")
+    for most in (3, 4, None):
+        AnswerLog(spark, path, feed).solve(lambda row: int(row["s_acctbal"]) % 1000, most)
+    return AnswerLog(spark, path, feed).answers().select("place", "id", "answer")
+
+
 @query
 def stored_metrics(spark, folder):
     """The evaluation metrics, written as JSON and read again."""
@@ -539,6 +552,36 @@ def answer_match(spark, folder):
     return kept.select("problem_id", "event_id", "final_answer")
 
 
+@query
+def generated_rounds(spark, folder):
+    """Three rounds of two samples; a stand-in for a model is right from an attempt on that the problem tells."""
+
+    def make():
+        import re
+
+        asked = re.compile(r"### Problem: (\d+) (-?\d+) (\d+)")
+
+        def reply(texts):
+            replies = []
+            for text in texts:
+                problem, known, attempt = (int(x) for x in asked.match(text).groups())
+                replies.append(f"It is \\boxed{{{known if attempt >= problem % 7 else known + 1}}}.")
+            return replies
+
+        return reply
+
+    def ask(text, number, sample):
+        return templates.prompt_text(F.concat_ws(" ", text, (sample + 2 * number).cast("string")))
+
+    problems = inputs.truth(spark, folder)
+    text = F.concat_ws(" ", F.col("problem_id").cast("string"), F.col("known").cast("string"))
+    references = problems.select("problem_id", F.col("known").cast("string").alias("known"))
+    found = rejection.generate_rounds(
+        problems.select("problem_id", text.alias("text")), references, "problem_id", "text", "known", make, rounds=3, samples=2, ask=ask
+    )
+    return found.select("problem_id", "round", "sample_id", "final_answer")
+
+
 @query
 def unsolved_problems(spark, folder):
     """Problems all rounds leave open."""
@@ -653,6 +696,20 @@ def prediction_rows(spark, folder):
 # --- streams ---------------------------------------------------------------
 
 
+@query
+def streamed_traces(spark, folder):
+    """The votes over traces, whose prompts, completions and outputs arrive as files of three streams."""
+    home = work_folder(spark, "steps")
+    tables = {"prompts": inputs.traces(spark, folder), "generations": inputs.generations(spark, folder), "executions": inputs.executions(spark, folder)}
+    streams = []
+    for name, rows in tables.items():
+        # Dealt by their hash: the steps of a trace lie in different files of a stream.
+        rows.repartition(3, F.xxhash64(*rows.columns)).write.parquet(f"{home}/{name}")
+        streams.append(open_stream(spark, rows.schema, f"{home}/{name}", max_files=2))
+    start_scoring(step_stream(*streams), f"{home}/scored", f"{home}/progress").awaitTermination()
+    return votes_so_far(spark, f"{home}/scored")
+
+
 @query
 def incremental_vote(spark, folder):
     """The majority vote, fed by a stream of event files."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from ..functions.answers import boxed_answer, number_value, numeric_answer, with
 from ..functions.blocks import mentions_box
 from ..functions.columns import as_column
 from ..operators.lookup import lookup
-from ..session import settle
+from ..session import settle, spread
+from .tracing import BATCH_SIZE, BatchFunction, batched
 
 
 def numeric_problems(problems: DataFrame, answer: str, integer_only: bool = False) -> DataFrame:
@@ -70,6 +74,50 @@ def rejection_rounds(
     return found.drop("__closed")
 
 
+def generate_rounds(
+    problems: DataFrame,
+    references: DataFrame,
+    problem: str,
+    prompt: str,
+    reference: str,
+    make_generate: Callable[[], BatchFunction],
+    rounds: int,
+    samples: int = 1,
+    batch_size: int = BATCH_SIZE,
+    ask: Callable[[Column, int, Column], Column] | None = None,
+) -> DataFrame:
+    """Accepted solutions of rounds in which a model is asked for open problems only.
+
+    Every round asks ``samples`` times for each problem without an accepted
+    solution, keeps the answers that match its reference, and leaves the others
+    to the next round. It ends after ``rounds`` rounds, or as soon as no problem is open.
+    What a model says cannot be asked for again, so every round is stored.
+    ``ask`` may word the prompt anew from the prompt, the round and the sample.
+
+    ``problems`` holds one row per problem with its prompt, ``references`` one
+    with its reference answer; problems without one are never asked. Columns:
+    the problem, ``round`` and ``sample_id`` from 0, ``solution``, ``final_answer``.
+    """
+    if rounds < 1 or samples < 1:
+        raise ValueError("there has to be a round and a sample")
+    known = expected_answers(references, problem, reference).filter("expected is not null")
+    waiting = settle(lookup(problems.select(problem, F.col(prompt).alias("__prompt")), known, [problem], [problem]))
+    accepted = []
+    for number in range(rounds):
+        asked = waiting.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+        if ask is not None:
+            asked = asked.withColumn("__prompt", ask(F.col("__prompt"), number, F.col("sample_id")))
+        said = settle(spread(asked).withColumn("solution", batched("__prompt", make_generate, batch_size)))
+        matched = _matches(said.drop("__prompt").withColumn("round", F.lit(number)), "solution")
+        accepted.append(settle(matched.select(problem, "round", "sample_id", "solution", "final_answer")))
+        if number + 1 < rounds:
+            solved = accepted[-1].select(problem).distinct()
+            waiting = settle(waiting.join(solved, problem, "left_anti"))
+            if waiting.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, accepted)
+
+
 def unsolved(problems: DataFrame, accepted: DataFrame, problem: str) -> DataFrame:
     """Problems without an accepted solution: the input of the next round."""
     return problems.join(accepted.select(problem).distinct(), problem, "left_anti")

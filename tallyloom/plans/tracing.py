@@ -222,7 +222,13 @@ def score_traces(
     A missing completion or output counts as empty. The prompts in ``traces``
     are shuffled along, which is cheap next to the completions.
     """
-    gathered = gather_steps(traces, generations, executions, num_steps)
+    return score_steps(gather_steps(traces, generations, executions, num_steps), num_steps, restart_on_fail, region_chars)
+
+
+def score_steps(
+    gathered: DataFrame, num_steps: int = NUM_STEPS, restart_on_fail: bool = True, region_chars: int = REGION_CHARS
+) -> DataFrame:
+    """Final state of traces whose steps are in their row, as ``gather_steps`` returns them."""
     state = final_state(F.col("text"), F.col("steps"), num_steps, restart_on_fail, region_chars)
     scored = gathered.select(*TRACE, "text", state.alias("state")).select(*TRACE, "text", "state.*")
     return read_answers(scored).select(*STATE)

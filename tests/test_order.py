@@ -133,3 +133,14 @@ def test_group_place_keeps_rows_without_a_group(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), (5, 3)], "g int, k int")
     found = order.with_group_place(df, ["g"], ["k"], "place").collect()
     assert {(row.g, row.k): row.place for row in found} == {(None, 1): 0, (None, 2): 1, (5, 3): 0}
+
+
+def test_digest_ranks_refuse_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(1, "aa"), (1, "aa"), (2, "bb")], "k int, d string")
+    with pytest.raises(Exception, match="do not tell rows apart"):
+        order.with_digest_rank(rows, "d", ["k"], "place").collect()
+    lost = spark.createDataFrame([(1, "aa"), (None, "ab")], "k int, d string")
+    with pytest.raises(Exception, match="hold nulls"):
+        order.with_digest_rank(lost, "d", ["k"], "place").collect()
+    fine = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, "a0")], "k int, d string")
+    assert sorted((r.k, r.place) for r in order.with_digest_rank(fine, "d", ["k"], "place").collect()) == [(1, 2), (2, 3), (3, 1)]
