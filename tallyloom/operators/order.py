@@ -150,12 +150,14 @@ def prefix_cutoffs(
     fractions: Mapping[Any, float],
     exact_rows: int = EXACT_ROWS,
     sample_rows: int = SAMPLE_ROWS,
+    sizes: Mapping[Any, int] | None = None,
 ) -> dict[Any, tuple | None]:
     """Where the first ``int(fraction * rows)`` rows of every group end.
 
-    None stands for all rows. Groups that keep no row are left out.
+    None stands for all rows. Groups that keep no row are left out. ``sizes``
+    may hold the rows per group if they are known; keys are then known to be there.
     """
-    sizes = group_sizes(df, group, order)
+    sizes = group_sizes(df, group, order) if sizes is None else sizes
     wanted = {g: int(fractions[g] * rows) for g, rows in sizes.items() if g in fractions}
     part = {g: k for g, k in wanted.items() if 0 < k < sizes[g]}
     cutoffs = find_cutoffs(df, group, order, part, sizes, exact_rows, sample_rows) if part else {}

@@ -128,8 +128,9 @@ def mix_tagged_rows(
     fractions = {name: fraction for name, fraction, _ in read_spec(spec)}
     tag, label, key = F.col(dataset), F.col(split), F.col(order_key)
     named = tag.isin(list(fractions))
-    present = {row[0] for row in df.filter(named).select(dataset).distinct().collect()}
-    if absent := [name for name in fractions if name not in present]:
+    # One count per dataset and split tells what is there, how large it is and whether keys are missing.
+    counted = df.filter(named).groupBy(dataset, split).agg(F.count(F.lit(1)), F.count_if(key.isNull())).collect()
+    if absent := [name for name in fractions if name not in {row[0] for row in counted}]:
         raise ValueError(f"the table holds no rows of {', '.join(absent)}")
     places: list[tuple[str, str, str, int]] = []
     for kind in dict.fromkeys(split_kind(name) for name in splits):
@@ -140,8 +141,16 @@ def mix_tagged_rows(
         df.sparkSession.createDataFrame(places, f"`{dataset}` string, `{split}` string, kind string, mix_pos int")
     )
     shares = {at: fractions[name] for name, _, kind, at in places if kind == "train"}
+    found = {(name, one): (rows, lost) for name, one, rows, lost in counted}
+    sizes: dict[int, int] = {}
+    for name, one, kind, at in places:
+        rows, lost = found.get((name, one), (0, 0))
+        if kind == "train" and rows:
+            if lost:
+                raise ValueError(f"order columns ['row_key'] hold nulls in {name!r}")
+            sizes[at] = rows
     keys = df.filter(named).select(dataset, split, key.alias("row_key")).join(table, [dataset, split])
-    ends = prefix_cutoffs(keys.filter("kind = 'train'"), "mix_pos", ["row_key"], shares) if shares else {}
+    ends = prefix_cutoffs(keys.filter("kind = 'train'"), "mix_pos", ["row_key"], shares, sizes=sizes) if shares else {}
 
     def before_end(end: tuple | None) -> Column:
         return F.lit(True) if end is None else key <= F.lit(end[0]).cast(df.schema[order_key].dataType)
