@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.kneser import remainder
 from tallyloom.llm.store import slices
+from tallyloom.operators.lookup import lookup
 
 FEATURE_BITS = 16
 ORDERS = (1, 2, 3)
@@ -143,10 +144,13 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def sample(rows: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """About ``texts`` rows of every language of ``rows`` (doc_id, lang, text), by a hash of doc_id."""
+    """About ``texts`` rows of every language of ``rows`` (doc_id, lang, text), by a hash of doc_id and text.
+
+    A null or repeated doc_id draws its rows one by one, like any other.
+    """
     counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
-    share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    return rows.join(F.broadcast(counted), "lang").filter(share < texts / F.col("__n")).drop("__n")
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000)) / 1_000_000
+    return lookup(rows, counted, ["lang"], ["doc_id", "text"]).filter(share < texts / F.col("__n")).drop("__n")
 
 
 def ftrl(

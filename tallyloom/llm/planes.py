@@ -103,6 +103,10 @@ def read_ids(data: bytes, start: int, stop: int, footer: dict | None = None) ->
     return np.concatenate(found)
 
 
+#: Characters of a text that deal out rows of one doc_id.
+RANGE_CHARS = 64
+
+
 def write_shards(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, kind: str = "byte", shard_bytes: int = SHARD_BYTES
 ) -> list[dict]:
@@ -115,7 +119,8 @@ def write_shards(
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     parts = task_count(text_bytes(narrow), shard_bytes, MOST_SHARDS)
-    ordered = narrow.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The begin of the text as well, so that one doc_id with many rows is spread.
+    ordered = narrow.repartitionByRange(parts, "doc_id", F.left("text", F.lit(RANGE_CHARS))).sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)

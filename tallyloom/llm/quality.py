@@ -206,7 +206,7 @@ def learn(docs: DataFrame, texts: int = TRAIN_TEXTS) -> tuple[Reliability, np.nd
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "code", "at", "share"])
 
     total = rows.sum() if len(rows) else 0
-    share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1_000_000)) / 1_000_000
     chosen = docs.filter(share < texts / max(total, 1)).mapInArrow(features, "doc_id long, code long, at binary, share binary")
     sample = sorted(chosen.collect(), key=lambda row: (row["doc_id"] is None, row["doc_id"], row["at"]))
     own = _combination(np.array([row["code"] for row in sample], dtype=np.int64))
