@@ -1,49 +1,53 @@
 """Benchmark passages in documents, paraphrased ones too: latent semantic retrieval, then exact checks.
 
-Word frequencies over all documents give the inverse frequencies of TF-IDF. The
-benchmark is dealt into blocks of bounded size. A passage longer than a window
-is cut into windows as documents are, so that a copy of it is about as near to
-one of its windows as that of a short passage, whatever its length; these and
-the whole passage are its rows. For each block a task finds, by randomised SVD
-of its TF-IDF rows, a basis of their latent space and stores it in the shared
-folder. Every document is then cut into overlapping windows of words; windows
-whose weight in the block's words cannot reach the least cosine are passed over,
-the others are projected and compared with all rows of the block. Candidates are verified by the longest common subsequence of words and,
-where that leaves room for doubt, by whether the passage's answer is there.
+Word frequencies over all documents give the inverse frequencies of TF-IDF. A
+passage longer than a window is cut into windows as documents are, so that a
+copy of it is about as near to one of its windows as that of a short passage;
+these and the whole passage are the rows of a matrix. Rows are dealt into blocks
+of bounded size and these into parts. A block's latent space comes from a
+randomised SVD whose every pass is an aggregate over its parts: a part multiplies
+its rows with the vectors of their words and back, sums per word are added up per
+block and made orthonormal, a few times; sums of products of the projected rows
+give the singular directions. Its rank is a quarter of the block's rows.
+
+Every document is cut into overlapping windows of words, each is projected and
+compared with all rows of a block. Windows whose projection is too short to
+reach any row are passed over; the length is a bound, so none is lost by that.
+Candidates are verified by the longest common subsequence of words and, where
+that leaves room for doubt, by whether the passage's answer is there.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.store import read_bytes, slices, task_count, write_bytes
-from tallyloom.llm.words import hash_words
-from tallyloom.session import work_folder
+from tallyloom.llm.words import hash_words, mix
+from tallyloom.session import settle, work_folder
 
 #: Buckets of word frequencies, as a power of two.
 BUCKET_BITS = 18
-#: Rows of the benchmark's passages that share one latent space.
-BLOCK_ITEMS = 1024
+#: Rows of the benchmark's passages that share one latent space, about, and those that one task works on.
+BLOCK_ITEMS, PART_ROWS = 1024, 256
 #: Tasks whose word counts one task adds up.
 MERGED_TASKS = 4000
-#: Most dimensions of a latent space, and extra random ones to find them.
-RANK, EXTRA = 1024, 16
+#: Dimensions of a latent space by its rows, least dimensions, and extra random ones to find them.
+RANK_SHARE, LEAST_RANK, EXTRA = 4, 64, 16
+#: Passes over the rows that sharpen the space.
+ROUNDS = 3
 WINDOW, STEP = 32, 16
+#: The least cosine, of what the latent space holds of a row.
 LEAST_COSINE = 0.4
-#: Words of at most so many passages are looked up passage by passage before anything is projected.
-RARE_PASSAGES = 4
-#: Rows of a passage that one of its words is in: two windows and the whole passage.
-WORD_ROWS = 3
-#: Allowance for repeated words, which the bound on the cosine counts once.
-SLACK = 0.9
 #: Share of a passage's words that must follow in order: certain, or certain if its answer is there too.
 SURE_SHARE, DOUBTFUL_SHARE = 0.6, 0.45
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.6
@@ -82,16 +86,38 @@ def inverse_frequencies(total: np.ndarray) -> np.ndarray:
     return (np.log((1 + total.sum()) / (1 + total)) + 0.1).astype(np.float32)
 
 
-def randomised_basis(matrix: np.ndarray, rank: int = RANK, extra: int = EXTRA, rounds: int = 2, seed: int = 3) -> np.ndarray:
-    """Right singular vectors of the largest singular values, one per column."""
-    random = np.random.default_rng(seed)
+def start_vectors(words: np.ndarray, width: int) -> np.ndarray:
+    """Random signs per word, the same wherever the word occurs."""
+    lanes = np.arange(-(-width // 64), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits = mix((words[:, None] ^ np.uint64(0x5851F42D4C957F2D)) + lanes[None, :])
+    signs = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(len(words), -1), axis=1)[:, :width]
+    return signs.astype(np.float64) * 2 - 1
+
+
+def there_and_back(matrix: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """What a part of the rows adds to the next vectors: times its rows, and times their transpose."""
+    return matrix.T @ (matrix @ vectors)
+
+
+def orthonormal(vectors: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(vectors)[0]
+
+
+def directions(base: np.ndarray, gram: np.ndarray, rank: int) -> np.ndarray:
+    """Right singular vectors of the largest singular values, from a basis and the products of the rows projected on it."""
+    values, inner = np.linalg.eigh(gram)
+    kept = np.argsort(-values, kind="stable")[:rank]
+    return base @ inner[:, kept[values[kept] > values.max(initial=0.0) * 1e-9]]
+
+
+def randomised_basis(matrix: np.ndarray, rank: int, extra: int = EXTRA, rounds: int = ROUNDS, parts: int = 1) -> np.ndarray:
+    """The same for a matrix that is at hand, its rows in ``parts``: one right singular vector per column."""
     width = min(rank + extra, *matrix.shape)
-    sketch = matrix.T @ (matrix @ random.standard_normal((matrix.shape[1], width)))
+    pieces = np.array_split(matrix, parts)
+    base = start_vectors(mix(np.arange(matrix.shape[1], dtype=np.uint64)), width)
     for _ in range(rounds):
-        sketch = matrix.T @ (matrix @ np.linalg.qr(sketch)[0])
-    base = np.linalg.qr(sketch)[0]
-    _, _, inner = np.linalg.svd(matrix @ base, full_matrices=False)
-    return base @ inner[: min(rank, *matrix.shape)].T
+        base = orthonormal(sum(there_and_back(piece, base) for piece in pieces))
+    return directions(base, sum((piece @ base).T @ (piece @ base) for piece in pieces), min(rank, *matrix.shape))
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -122,95 +148,188 @@ def _stretches(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def build_blocks(items: DataFrame, folder: str, idf: np.ndarray, block_items: int = BLOCK_ITEMS) -> list[str]:
-    """Store the latent spaces of ``items`` (item_id, text), each of at most ``block_items`` rows of passages.
+def _units(items: DataFrame, block_items: int) -> DataFrame:
+    """Passages as rows of ``block, part, chunk, item_id, text``; a very long one in chunks of ``PART_ROWS`` rows.
 
-    Passages without words are left out.
+    Passages without words are left out, repeated ones count once.
     """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.filter("text is not null")
+    rows = rows.filter(r"text rlike '[^\\x20\\x09-\\x0d]'").dropDuplicates(["item_id", "text"])
     most = F.greatest(F.lit(0), F.size(F.split("text", "[ \t-\r]+")) - WINDOW)
-    count = F.when(most > 0, F.ceil(most / STEP) + 2).otherwise(1)
-    blocks = task_count(rows.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0], block_items)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["item_id", "text"], kind="stable")
-        hashes, sizes = hash_words([text.encode() for text in frame["text"]])
-        ends = np.cumsum(sizes)
-        owner, first, end = passage_rows(sizes)
-        block = int(frame["block"].iloc[0])
-        paths = []
-        for part in np.array_split(np.arange(len(owner)), task_count(len(owner), block_items, len(owner) + 1)):
-            if not len(part):
-                continue
-            words = hashes[_stretches(first[part], end[part])]
-            row_sizes = end[part] - first[part]
-            vocabulary, place = np.unique(words, return_inverse=True)
-            matrix = np.zeros((len(part), len(vocabulary)))
-            np.add.at(matrix, (np.repeat(np.arange(len(part)), row_sizes), place), idf[_bucket(words)])
-            basis = randomised_basis(matrix)
-            latent = matrix @ basis
-            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-            kept, passage = np.unique(owner[part], return_inverse=True)
-            answers = [_answer(frame["text"].iloc[i], hashes[ends[i] - sizes[i] : ends[i]], idf) for i in kept]
-            out = io.BytesIO()
-            np.savez(
-                out,
-                items=frame["item_id"].to_numpy()[kept],
-                # One number per passage over all blocks; its rows may lie in several.
-                numbers=(block << 32) + kept,
-                vocabulary=vocabulary,
-                weights=idf[_bucket(vocabulary)],
-                basis=basis.astype(np.float32),
-                latent=latent.astype(np.float32),
-                passage=passage,
-                row_words=place.astype(np.int32),
-                row_sizes=row_sizes,
-                words=hashes[_stretches((ends - sizes)[kept], ends[kept])],
-                sizes=sizes[kept],
-                answers=np.concatenate(answers),
-                answer_sizes=np.array([len(a) for a in answers]),
-            )
-            paths.append(f"{folder}/block-{block}-{len(paths)}.npz")
-            write_bytes(paths[-1], out.getvalue())
-        return pd.DataFrame({"path": paths}, dtype=object)
-
-    found = dealt.groupBy("block").applyInPandas(build, "path string").collect()
-    return sorted(row["path"] for row in found)
+    rows = rows.withColumn("rows", F.when(most > 0, F.ceil(most / STEP) + 2).otherwise(1).cast("long"))
+    blocks = task_count(rows.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], block_items)
+    chunks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("rows") / PART_ROWS) - 1).cast("int"))
+    parts = max(1, -(-min(block_items, BLOCK_ITEMS) // PART_ROWS))
+    units = rows.withColumn("chunk", F.explode(chunks))
+    return units.select(
+        F.pmod(F.xxhash64("item_id", "text", "chunk"), F.lit(blocks)).alias("block"),
+        F.pmod(F.xxhash64("item_id", "text", "chunk", F.lit(1)), F.lit(parts)).alias("part"),
+        "chunk",
+        "item_id",
+        "text",
+    )
+
+
+@dataclass
+class _Part:
+    """The matrix of a part: TF-IDF rows over its own vocabulary, and the passages they belong to."""
+
+    vocabulary: np.ndarray
+    matrix: np.ndarray
+    sizes: np.ndarray
+    passage: np.ndarray
+    hashes: np.ndarray
+    ends: np.ndarray
+    counts: np.ndarray
+    frame: pd.DataFrame
+
+    @classmethod
+    def of(cls, frame: pd.DataFrame, idf: np.ndarray) -> _Part:
+        frame = frame.sort_values(["item_id", "text", "chunk"], kind="stable")
+        hashes, counts = hash_words([text.encode() for text in frame["text"]])
+        owner, first, end = passage_rows(counts)
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
+        kept = np.flatnonzero(place // PART_ROWS == frame["chunk"].to_numpy()[owner])
+        owner, first, end = owner[kept], first[kept], end[kept]
+        words, sizes = hashes[_stretches(first, end)], end - first
+        vocabulary, at = np.unique(words, return_inverse=True)
+        matrix = np.zeros((len(owner), len(vocabulary)))
+        np.add.at(matrix, (np.repeat(np.arange(len(owner)), sizes), at), idf[_bucket(words)])
+        return cls(vocabulary, matrix, sizes, owner, hashes, np.cumsum(counts), counts, frame)
+
+
+def _saved(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def _loaded(data: bytes) -> dict[str, np.ndarray]:
+    return dict(np.load(io.BytesIO(data)))
+
+
+def _own_rows(part: _Part, data: dict[str, np.ndarray]) -> np.ndarray:
+    """The block's vectors of a part's words."""
+    return data["vectors"][np.searchsorted(data["vocabulary"], part.vocabulary)]
+
+
+_SAVED = "block long, data binary"
+
+
+def build_blocks(items: DataFrame, folder: str, idf: np.ndarray, block_items: int = BLOCK_ITEMS) -> list[str]:
+    """Store the latent spaces of ``items`` (item_id, text), each of about ``block_items`` rows of passages."""
+    units = settle(_units(items, block_items))
+
+    def passes(name: str, by_part: Callable[[_Part, int], dict], by_block: Callable[[list[dict], int], dict]) -> dict[int, str]:
+        """One pass: ``by_part`` on every part, ``by_block`` on what the parts of a block give; stores one file per block."""
+
+        def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"block": [key[0]], "data": [_saved(**by_part(_Part.of(frame, idf), key[0]))]})
+
+        def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            found = by_block([_loaded(data) for data in frame["data"]], key[0])
+            path = f"{folder}/{name}-{key[0]}.npz"
+            write_bytes(path, _saved(**found))
+            return pd.DataFrame({"block": [key[0]], "path": [path]})
+
+        done = units.groupBy("block", "part").applyInPandas(work, _SAVED)
+        return {row[0]: row[1] for row in done.groupBy("block").applyInPandas(add, "block long, path string").collect()}
+
+    def summed(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all parts and their summed vectors."""
+        vocabulary = np.unique(np.concatenate([part["vocabulary"] for part in parts]))
+        total = np.zeros((len(vocabulary), parts[0]["vectors"].shape[1]))
+        for part in parts:
+            total[np.searchsorted(vocabulary, part["vocabulary"])] += part["vectors"]
+        return vocabulary, total
+
+    counted = units.groupBy("block", "part").applyInPandas(
+        lambda key, frame: pd.DataFrame({"block": [key[0]], "rows": [len(_Part.of(frame, idf).sizes)]}), "block long, rows long"
+    )
+    ranks = {block: max(LEAST_RANK, rows // RANK_SHARE) for block, rows in counted.groupBy("block").agg(F.sum("rows")).collect()}
+    base: dict[int, str] = {}
+    for number in range(ROUNDS):
+        before = dict(base)
+
+        def by_part(part: _Part, block: int) -> dict:
+            vectors = _own_rows(part, _loaded(read_bytes(before[block]))) if before else start_vectors(part.vocabulary, ranks[block] + EXTRA)
+            return {"vocabulary": part.vocabulary, "vectors": there_and_back(part.matrix, vectors)}
+
+        def by_block(parts: list[dict], block: int) -> dict:
+            vocabulary, total = summed(parts)
+            return {"vocabulary": vocabulary, "vectors": orthonormal(total)}
+
+        base = passes(f"round{number}", by_part, by_block)
+
+    def gram(part: _Part, block: int) -> dict:
+        projected = part.matrix @ _own_rows(part, _loaded(read_bytes(base[block])))
+        return {"gram": projected.T @ projected}
+
+    def space(parts: list[dict], block: int) -> dict:
+        data = _loaded(read_bytes(base[block]))
+        return {"vocabulary": data["vocabulary"], "vectors": directions(data["vectors"], sum(part["gram"] for part in parts), ranks[block])}
+
+    spaces = passes("space", gram, space)
+
+    def latent(part: _Part, block: int) -> dict:
+        kept, passage = np.unique(part.passage, return_inverse=True)
+        texts, items_ = part.frame["text"].to_numpy(), part.frame["item_id"].to_numpy()
+        own = [part.hashes[part.ends[i] - part.counts[i] : part.ends[i]] for i in kept]
+        answers = [_answer(texts[i], words, idf) for i, words in zip(kept, own)]
+        numbers = [xxhash.xxh64_intdigest(f"{items_[i]}:{texts[i]}") >> 1 for i in kept]
+        return {
+            "latent": part.matrix @ _own_rows(part, _loaded(read_bytes(spaces[block]))),
+            "norm": np.linalg.norm(part.matrix, axis=1),
+            "row_sizes": part.sizes,
+            "passage": passage,
+            "items": items_[kept].astype(np.int64),
+            # One number per passage over all blocks; its rows may lie in several.
+            "numbers": np.array(numbers, dtype=np.int64),
+            "words": np.concatenate([*own, np.zeros(0, np.uint64)]),
+            "sizes": part.counts[kept],
+            "answers": np.concatenate([*answers, np.zeros(0, np.uint64)]),
+            "answer_sizes": np.array([len(a) for a in answers], dtype=np.int64),
+        }
+
+    def whole(parts: list[dict], block: int) -> dict:
+        found = {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
+        before = np.cumsum([0, *[len(part["items"]) for part in parts]])
+        found["passage"] = np.concatenate([part["passage"] + at for part, at in zip(parts, before)])
+        data = _loaded(read_bytes(spaces[block]))
+        return found | {"vocabulary": data["vocabulary"], "basis": data["vectors"].astype(np.float32)}
+
+    return sorted(passes("block", latent, whole).values())
 
 
 class Block:
     """A stored block, as a task uses it."""
 
     def __init__(self, path: str):
-        data = np.load(io.BytesIO(read_bytes(path)))
+        data = _loaded(read_bytes(path))
         self.items, self.numbers, self.vocabulary = data["items"], data["numbers"], data["vocabulary"]
-        self.basis, self.latent, self.passage = data["basis"], data["latent"], data["passage"]
+        self.basis, self.passage = data["basis"], data["passage"]
+        length = np.linalg.norm(data["latent"], axis=1)
+        self.latent = (data["latent"] / np.maximum(length, 1e-12)[:, None]).astype(np.float32)
         ends = np.cumsum(data["sizes"])
         self.words = [data["words"][b - n : b].tolist() for b, n in zip(ends, data["sizes"])]
         ends = np.cumsum(data["answer_sizes"])
         self.answers = [set(data["answers"][b - n : b].tolist()) for b, n in zip(ends, data["answer_sizes"])]
-        self.least = np.minimum(LEAST_COSINE, 0.8 * np.sqrt(data["row_sizes"] / WINDOW)).astype(np.float32)
+        # A copy of a row is as near to it as the space holds of the row; less is asked of what it holds little of.
+        held = length / np.maximum(data["norm"], 1e-12)
+        least = np.minimum(LEAST_COSINE, 0.8 * np.sqrt(data["row_sizes"] / WINDOW))
+        self.least = (least * held).astype(np.float32)
         self.seen = np.zeros(1 << BUCKET_BITS, dtype=bool)
         self.seen[_bucket(self.vocabulary)] = True
-        self._list_rare(data["row_words"], data["row_sizes"], data["weights"])
-
-    def _list_rare(self, words: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> None:
-        """For words of few passages the rows that hold them; of all rows the largest share of common words."""
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        pairs, times = np.unique(np.column_stack([words, owner]), axis=0, return_counts=True)
-        self.holders = np.bincount(pairs[:, 0], minlength=len(self.vocabulary))
-        self.first_holder = np.cumsum(self.holders) - self.holders
-        self.holder = pairs[:, 1]
-        passages = np.unique(np.column_stack([pairs[:, 0], self.passage[pairs[:, 1]]]), axis=0)[:, 0]
-        self.rare = np.bincount(passages, minlength=len(self.vocabulary)) <= RARE_PASSAGES
-        self.rare &= self.holders <= WORD_ROWS * RARE_PASSAGES
-        self.times = times
-        square = (weights[pairs[:, 0]] * times).astype(np.float64) ** 2
-        common = np.bincount(pairs[:, 1], weights=square * ~self.rare[pairs[:, 0]], minlength=len(sizes))
-        self.norm = np.sqrt(np.bincount(pairs[:, 1], weights=square, minlength=len(sizes)))
-        self.common = np.sqrt(common) / self.norm
+        self.sizes = data["sizes"]
+        self.first_row = np.searchsorted(self.passage, np.arange(len(self.sizes)))
+        # How often every word is in every passage.
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.counts = np.zeros((len(self.sizes), len(self.vocabulary)), dtype=np.int64)
+        at = self.places(data["words"])
+        np.add.at(self.counts, (owner[at >= 0], at[at >= 0]), 1)
+        # Words that only other chunks of a long passage hold.
+        self.outside = np.bincount(owner[at < 0], minlength=len(self.sizes))
+        self.counts = np.minimum(self.counts, 65_535).astype(np.uint16)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Place of every word in the vocabulary, -1 if it is not there."""
@@ -251,35 +370,19 @@ def common_subsequence(passage: Sequence[int], text: Sequence[int]) -> int:
     return len(passage) - row.bit_count()
 
 
-def _candidates(block: Block, hashes: np.ndarray, idf: np.ndarray, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(window, passage, cosine) of the pairs that reach the least cosine of a row of the passage; the largest cosine."""
-    weight = idf[_bucket(hashes)].astype(np.float32)
-    place = block.places(hashes)
-    square = weight.astype(np.float64) ** 2
-    running = np.concatenate([[0], np.cumsum(square)])
-    rare = place >= 0
-    rare[rare] = block.rare[place[rare]]
-    common = np.concatenate([[0], np.cumsum(np.where((place >= 0) & ~rare, square, 0))])
-    whole = np.maximum(running[end] - running[first], 1e-12)
-    # A cosine has two parts: that of common words is at most the root of their share in the window times that in
-    # the row; that of rare words is added up for the rows that hold them.
-    length = np.sqrt(whole)
-    frequent = np.sqrt(np.maximum(common[end] - common[first], 0)) / length
-    least = SLACK * block.least
-    at = np.flatnonzero(rare)
-    window = np.searchsorted(first, at, side="right") - 1
-    earlier = np.flatnonzero((window > 0) & (end[window - 1] > at))
-    at, window = np.concatenate([at, at[earlier]]), np.concatenate([window, window[earlier] - 1])
-    many = block.holders[place[at]]
-    spot = np.repeat(block.first_holder[place[at]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    pair, back = np.unique(np.repeat(window, many) * len(block.latent) + block.holder[spot], return_inverse=True)
-    held = np.bincount(back, weights=np.repeat(square[at], many) * block.times[spot], minlength=len(pair))
-    reached, row = pair // len(block.latent), pair % len(block.latent)
-    cosine = held / (length[reached] * block.norm[row]) + frequent[reached] * block.common[row]
-    alone = frequent >= (least / np.maximum(block.common, 1e-12)).min()
-    open_ = np.union1d(np.flatnonzero(alone), reached[cosine >= least[row]])
-    for at in range(0, len(open_), 4096):
-        part = open_[at : at + 4096]
+def _near(block: Block, weight: np.ndarray, place: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and passages that reach the least cosine of a row of the passage in the latent space, as pairs.
+
+    ``first`` rises, and a window begins where the last one did plus a step, or
+    in another text. The length of a window is taken at its least, so that a
+    cosine here is too large rather than too small.
+    """
+    running = np.concatenate([[0], np.cumsum(weight.astype(np.float64) ** 2)])
+    # No window is shorter than this: a repeated word counts at least once for every time.
+    length = np.sqrt(np.maximum(running[end] - running[first], 1e-12)).astype(np.float32)
+    pairs = [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(first), 4096):
+        part = np.arange(at, min(at + 4096, len(first)))
         # A window is two steps; each step is projected once, for both windows it lies in.
         middle = np.minimum(first[part] + STEP, end[part])
         starts = np.unique(np.concatenate([first[part], middle[middle < end[part]]]))
@@ -299,15 +402,58 @@ def _candidates(block: Block, hashes: np.ndarray, idf: np.ndarray, first: np.nda
         own[row[edge]] = np.add.reduceat(block.basis[place[spot]] * weight[spot, None], edge, axis=0)
         left = np.searchsorted(starts, first[part])
         right = np.where(middle < end[part], np.searchsorted(starts, middle), len(starts))
-        cosine = ((own[left] + own[right]) @ block.latent.T) / np.sqrt(whole[part])[:, None].astype(np.float32)
-        # So far a repeated word counted once in the norm, which makes the cosine too large, never too small.
-        for i in np.flatnonzero((cosine >= block.least[None, :]).any(axis=1)).tolist():
-            words, counts = np.unique(hashes[first[part[i]] : end[part[i]]], return_counts=True)
-            norm = np.sqrt(np.sum((idf[_bucket(words)] * counts) ** 2, dtype=np.float64))
-            exact = cosine[i] * (np.sqrt(whole[part[i]]) / norm)
-            hit = np.flatnonzero(exact >= block.least)
-            for item in np.unique(block.passage[hit]).tolist():
-                yield int(part[i]), item, float(exact[hit[block.passage[hit] == item]].max())
+        projected = own[left] + own[right]
+        # No cosine is larger than the share of the window that the space holds.
+        open_ = np.flatnonzero(np.sqrt((projected**2).sum(axis=1)) * 1.0001 >= block.least.min() * length[part])
+        cosine = (projected[open_] @ block.latent.T) / length[part[open_], None]
+        # The rows of a passage stand side by side.
+        window, hit = np.nonzero(np.logical_or.reduceat(cosine >= block.least[None, :], block.first_row, axis=1))
+        pairs.append(part[open_[window]] * len(block.sizes) + hit)
+    found = np.concatenate(pairs)
+    return found // len(block.sizes), found % len(block.sizes)
+
+
+def _enough_words(block: Block, place: np.ndarray, window: np.ndarray, passage: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether enough words of a passage are between two places of the texts for it to follow there in order.
+
+    Counts each distinct word of the stretch as often as the passage has it,
+    which is no less than what the longest common subsequence can have of it.
+    """
+    enough = np.zeros(len(window), dtype=bool)
+    least = np.ceil(DOUBTFUL_SHARE * block.sizes - 1e-9) - block.outside
+    at = 0
+    flat, width = block.counts.reshape(-1), len(block.vocabulary)
+    reach = np.cumsum(high - low)
+    while at < len(window):
+        stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + 4_000_000, side="right")))
+        part = slice(at, stop)
+        # Pairs come window by window; the words of a window's stretches are looked up once.
+        start = np.flatnonzero(np.concatenate([[True], window[part][1:] != window[part][:-1]]))
+        group = np.cumsum(np.concatenate([[True], window[part][1:] != window[part][:-1]])) - 1
+        first, last = np.minimum.reduceat(low[part], start), np.maximum.reduceat(high[part], start)
+        sizes = last - first
+        owner = np.repeat(np.arange(len(start)), sizes)
+        words = place[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        known = np.unique((owner * width + words)[words >= 0])
+        borders = np.searchsorted(known, np.arange(len(start) + 1) * width)
+        words = known % width
+        many = (borders[1:] - borders[:-1])[group]
+        for a in range(0, len(group), 50_000):
+            own, n, item = group[a : a + 50_000], many[a : a + 50_000], passage[part][a : a + 50_000]
+            spot = np.repeat(borders[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            total = np.bincount(np.repeat(np.arange(len(n)), n), weights=flat[np.repeat(item * width, n) + words[spot]], minlength=len(n))
+            enough[at + a : at + a + len(n)] = total >= least[item]
+        at = stop
+    return enough
+
+
+def _similarity(block: Block, hashes: np.ndarray, idf: np.ndarray, first: int, end: int, item: int) -> float:
+    """The exact cosine of a window with the nearest row of a passage, in the latent space."""
+    words, counts = np.unique(hashes[first:end], return_counts=True)
+    weights = idf[_bucket(words)] * counts
+    place = block.places(words)
+    projected = (block.basis[place[place >= 0]] * weights[place >= 0, None]).sum(axis=0)
+    return float((block.latent[block.passage == item] @ projected).max() / np.sqrt((weights.astype(np.float64) ** 2).sum()))
 
 
 def leaks_in(texts: Sequence[bytes | None], paths: Sequence[str], idf: np.ndarray) -> dict[tuple[int, int, int], tuple[float, float, float]]:
@@ -315,20 +461,25 @@ def leaks_in(texts: Sequence[bytes | None], paths: Sequence[str], idf: np.ndarra
     hashes, sizes = hash_words(texts)
     owner, first, end = windows(sizes)
     ends = np.cumsum(sizes)
+    weight = idf[_bucket(hashes)].astype(np.float32)
     found: dict[tuple[int, int, int], tuple[float, float, float]] = {}
     for path in paths:
         block = _block(path)
-        for window, item, cosine in _candidates(block, hashes, idf, first, end):
-            doc = int(owner[window])
-            passage = block.words[item]
-            low = max(int(ends[doc] - sizes[doc]), int(first[window]) - len(passage))
-            region = hashes[low : min(int(ends[doc]), int(end[window]) + len(passage))].tolist()
-            share = common_subsequence(passage, region) / len(passage)
-            answer = block.answers[item]
+        place = block.places(hashes)
+        window, passage = _near(block, weight, place, first, end)
+        text = owner[window]
+        low = np.maximum((ends - sizes)[text], first[window] - block.sizes[passage])
+        high = np.minimum(ends[text], end[window] + block.sizes[passage])
+        for at in np.flatnonzero(_enough_words(block, place, window, passage, low, high)).tolist():
+            item, doc = int(passage[at]), int(text[at])
+            region = hashes[low[at] : high[at]].tolist()
+            words, answer = block.words[item], block.answers[item]
+            share = common_subsequence(words, region) / len(words)
             there = len(answer.intersection(region)) / len(answer) if answer else 0.0
             if share >= SURE_SHARE or (share >= DOUBTFUL_SHARE and there >= ANSWER_SHARE):
                 key = (doc, int(block.numbers[item]), int(block.items[item]))
-                found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (share, there, cosine))
+                near = _similarity(block, hashes, idf, int(first[window[at]]), int(end[window[at]]), item)
+                found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (share, there, near))
     return found
 
 

@@ -207,3 +207,86 @@ def test_equal_vectors_tie_wherever_they_are(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, rank int").repartition(7)
     found = [(row.rank, row.vec_id) for row in search(table).filter("query_id = 1000").collect()]
     assert sorted(found) == [(i, i) for i in range(1, 6)]
+
+
+def test_latent_space_in_parts_is_that_of_the_whole():
+    """Rows dealt into parts give the singular directions that the whole matrix has."""
+    dice = np.random.default_rng(1)
+    left, right = np.linalg.qr(dice.normal(size=(120, 40)))[0], np.linalg.qr(dice.normal(size=(300, 40)))[0]
+    matrix = left @ np.diag(1.5 ** -np.arange(40)) @ right.T
+    for parts in (1, 4, 7):
+        basis = leaks.randomised_basis(matrix, 10, parts=parts)
+        assert np.allclose(basis.T @ basis, np.eye(10), atol=1e-9)
+        assert np.allclose(basis @ basis.T, right[:, :10] @ right[:, :10].T, atol=1e-3)
+
+
+def reworded(items, texts, replaced, seed=7):
+    dice = random.Random(seed)
+    words = sorted({word for text in texts for word in text.split()})
+    planted = []
+    for k, (_, text) in enumerate(items):
+        swapped = [word if dice.random() >= replaced else dice.choice(words) for word in text.split()]
+        host = texts[k * 7 % len(texts)].split()[:300]
+        at = dice.randrange(len(host) + 1)
+        planted.append(" ".join(host[:at] + swapped + host[at:]))
+    return planted
+
+
+def test_retrieval_in_a_reduced_space_against_all_windows(spark):
+    """Rank a quarter of the rows, below the number of passages; all windows and passages are the truth."""
+    from tallyloom.llm.words import hash_words
+
+    big = "/root/testdata/sf0.1"
+    items = [(row.item_id, row.text) for row in spark.read.parquet(f"{big}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{big}/documents.parquet").limit(1500)
+    texts = [row.text for row in docs.collect()]
+    idf = leaks.inverse_frequencies(leaks.word_frequencies(docs))
+    from tallyloom.session import work_folder
+
+    paths = leaks.build_blocks(spark.createDataFrame(items, "item_id long, text string"), work_folder(spark, "leaks"), idf)
+    blocks = [leaks.Block(path) for path in paths]
+    assert sum(block.basis.shape[1] for block in blocks) < 0.7 * len(items) < sum(len(block.latent) for block in blocks)
+    words = [hash_words([text.encode()])[0].tolist() for _, text in items]
+    answers = [set(leaks._answer(text, np.array(own, dtype=np.uint64), idf).tolist()) for (_, text), own in zip(items, words)]
+    shares = {}
+    for replaced in (0.0, 0.15, 0.3, 0.45):
+        planted = reworded(items, texts, replaced)
+        found = {(doc, item) for doc, _, item in leaks.leaks_in([text.encode() for text in planted], paths, idf)}
+        expected = set()
+        for doc, text in enumerate(planted):
+            own = hash_words([text.encode()])[0].tolist()
+            for (item, _), passage, answer in zip(items, words, answers):
+                # Windows too far from a passage share too few words with it to follow.
+                if 3 * len(set(passage) & set(own)) < len(set(passage)):
+                    continue
+                for at in range(0, max(len(own) - leaks.WINDOW, 0) + leaks.STEP, leaks.STEP):
+                    region = own[max(0, at - len(passage)) : min(at + leaks.WINDOW, len(own)) + len(passage)]
+                    share = leaks.common_subsequence(passage, region) / len(passage)
+                    if share >= leaks.SURE_SHARE or share >= leaks.DOUBTFUL_SHARE and len(answer & set(region)) >= leaks.ANSWER_SHARE * len(answer):
+                        expected.add((doc, item))
+                        break
+        assert found <= expected
+        shares[replaced] = len(found) / len(expected)
+    assert min(shares[0.0], shares[0.15], shares[0.3]) >= 0.97 and shares[0.45] >= 0.9
+
+
+def test_too_few_words_rule_a_pair_out_only_if_they_are(spark, folder):
+    """The bound on the common subsequence is never below it."""
+    dice = np.random.default_rng(3)
+    items = spark.createDataFrame([(i, " ".join(f"w{k}" for k in dice.integers(0, 60, dice.integers(1, 90)))) for i in range(40)], "item_id long, text string")
+    from tallyloom.llm.words import hash_words
+    from tallyloom.session import work_folder
+
+    idf = leaks.inverse_frequencies(np.ones(1 << leaks.BUCKET_BITS, dtype=np.int64))
+    [path] = leaks.build_blocks(items, work_folder(spark, "leaks"), idf)
+    block = leaks.Block(path)
+    hashes, _ = hash_words([" ".join(f"w{k}" for k in dice.integers(0, 90, 4000)).encode()])
+    place = block.places(hashes)
+    window = np.repeat(np.arange(60), len(block.sizes))
+    passage = np.tile(np.arange(len(block.sizes)), 60)
+    low, high = window * 50, window * 50 + 30 + block.sizes[passage]
+    enough = leaks._enough_words(block, place, window, passage, low, high)
+    for w, item, a, b, kept in zip(window, passage, low, high, enough):
+        share = plain_subsequence(block.words[item], hashes[a:b].tolist()) / len(block.words[item])
+        assert kept or share < leaks.DOUBTFUL_SHARE
+    assert not enough.all()
