@@ -118,5 +118,10 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIE
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A null or empty text is one piece of its end id. Repeated rows and null
+    doc_ids are packed each; pieces of one length are taken in the order they
+    are stored in. An empty table gives no rows; other columns are left out.
+    """
     return pack(pieces(docs, tokenizer, end_id, sequence), sequence, group_pieces)

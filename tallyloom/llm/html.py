@@ -453,6 +453,9 @@ def extract(pages: DataFrame, length: int = REPEAT_TOKENS) -> DataFrame:
     """page_id, url, text, n_chars and repeated_tokens of every row of ``pages`` (page_id, url, html).
 
     A null or empty page has an empty text. Blocks are joined by a blank line.
+    Repeated rows give a row each and count as one page of their host; pages
+    without a URL share the empty host. An empty table gives no rows, other
+    columns are left out.
     ``repeated_tokens`` counts the tokens outside the article that the host repeats.
     """
     row = {"page_id": F.col("page_id").cast("long"), "url": F.col("url").cast("string"), "html": F.col("html").cast("string")}

@@ -450,7 +450,10 @@ def train_and_score(docs: DataFrame, order: int = ORDER, shard_bytes: int = SHAR
     """Learn from the documents outside the held-out fold and score all of them.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (the
-    smoothed unigram baseline), score (log10 probability) and perplexity.
+    smoothed unigram baseline), score (log10 probability) and perplexity. A null
+    or empty text is its end alone. Repeated rows count and are scored each; a
+    null doc_id is not held out. With nothing to learn from every word has the
+    same chance; an empty table gives no rows, other columns are left out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(5) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     model = train(rows.filter(~F.col("held_out")), work_folder(docs.sparkSession, "kneser"), order, shard_bytes)

@@ -245,7 +245,8 @@ def identify(docs: DataFrame, held_out: Column | None = None, texts: int = SAMPL
 
     Learns from the rows outside ``held_out`` that have a language. A text that
     is null or has no letter is ``und`` with score 0, as is every text if there
-    is nothing to learn from; ties go to the first language by name.
+    is nothing to learn from; ties go to the first language by name. Repeated rows
+    and null ids get a row each; an empty table gives none; other columns are left out.
     """
     fold = remainder(4) == 2 if held_out is None else held_out
     names = {"text": F.col("text").cast("string"), "lang": F.col("lang").cast("string")}

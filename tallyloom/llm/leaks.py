@@ -518,7 +518,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of ``docs`` (text and any others) in which ``find_leaks`` finds nothing, with all their columns."""
+    """The rows of ``docs`` (text and any others) in which ``find_leaks`` finds nothing, with all their columns.
+
+    Null and empty texts stay, as does every row if the benchmark has no words.
+    Rows are judged one by one, repeated ones alike; an empty table stays empty.
+    """
     idf, paths = _prepare(docs, benchmark, block_items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,8 +60,32 @@ _CUES = {
     "ssn": re.compile(r"\b(?:ssn|social|security)\b", re.I),
 }
 _AGAINST = re.compile(r"\b(?:version|release|section|chapter|figure|isbn|order|item|page|build|id|no)\.?\s*[:#]?\s*$", re.I)
-_ENDINGS = frozenset("com org net edu gov info io de fr es uk eu us it nl ch at co biz".split())
-_COUNTRIES = frozenset("DE FR ES GB NL BE AT CH IT PT IE LU DK SE FI NO PL CZ".split())
+# Fixed values, the gazetteers: endings and names of mail domains, lengths of account numbers by country,
+# issuers of cards by leading digits and number of digits, calling codes, numbers that are printed as examples.
+_ENDINGS = frozenset(
+    "com org net edu gov mil int info biz name io co me tv ai app dev de fr es uk eu us it nl ch at be pt ie lu dk se fi"
+    " no pl cz sk hu ro bg gr hr si ee lv lt is ru ua tr ca mx br ar cl au nz jp cn kr in za".split()
+)
+_PROVIDERS = frozenset(
+    "gmail googlemail yahoo hotmail outlook live msn icloud aol gmx web mail protonmail proton posteo orange wanadoo free"
+    " laposte sfr freenet arcor libero tiscali virgilio telefonica terra yandex zoho fastmail".split()
+)
+_IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27,
+    "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MT": 31,
+    "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
+}
+# First and last leading digits, and the numbers of digits.
+_ISSUERS = [
+    ("4", "4", (16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)),
+    ("6011", "6011", (16, 19)), ("644", "659", (16, 19)), ("3528", "3589", (16, 17, 18, 19)), ("300", "305", (14,)),
+    ("36", "36", (14,)), ("38", "39", (14,)), ("62", "62", (16, 17, 18, 19)), ("50", "50", (16,)), ("56", "58", (16, 17, 18, 19)),
+]
+_CALLING_CODES = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90"
+    " 91 92 93 94 95 98 21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 85 88 96 97 99"
+).split()
+_EXAMPLES = frozenset(["078-05-1120", "219-09-9999", "123-45-6789", "111-11-1111"])
 
 
 def luhn(digits: str) -> bool:
@@ -126,6 +150,24 @@ def _iban_ok(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _listed(kind: str, span: str, digits: str) -> int:
+    """What the gazetteers say of a span: -1 no, 0 nothing, 1 yes."""
+    if kind == "email":
+        parts = re.split(r"[^a-z0-9-]+", re.split(r"@|\(at\)|\[at\]|\bat\b", span.lower())[-1])
+        return 1 if parts[-1] in _ENDINGS or _PROVIDERS.intersection(parts) else -1
+    if kind == "iban":
+        return 1 if _IBAN_LENGTHS.get(span[:2]) == len(span.replace(" ", "")) else -1
+    if kind == "card":
+        known = any(len(digits) in sizes and low <= digits[: len(low)] <= high for low, high, sizes in _ISSUERS)
+        return 1 if known else -1
+    if kind == "ip":
+        first = span.split(".")[0].lstrip("0")
+        return -1 if first in ("", "127") or (len(first) == 3 and first >= "224") else 1
+    if kind == "phone" and span[0] == "+":
+        return 1 if digits.startswith(tuple(_CALLING_CODES)) else -1
+    return -1 if kind == "ssn" and span in _EXAMPLES else 0
+
+
 LABELLERS = ["format", "checksum", "list", "context", "against", "shape"]
 
 
@@ -143,16 +185,7 @@ def votes_on(text: str, start: int, kind: str, end: int) -> list[int]:
         out.append(-1 if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else 1)
     else:
         out.append(0)
-    if kind == "email":
-        out.append(1 if re.split(r"[.\s]", span)[-1].lower() in _ENDINGS else -1)
-    elif kind == "iban":
-        out.append(1 if span[:2] in _COUNTRIES else -1)
-    elif kind == "card":
-        out.append(1 if digits[0] in "3456" else -1)
-    elif kind == "ip":
-        out.append(-1 if span.split(".")[0] in ("0", "127", "255") else 1)
-    else:
-        out.append(0)
+    out.append(_listed(kind, span, "".join(digits)))
     out.append(1 if _CUES[kind].search(before) or _CUES[kind].search(after[:12]) else 0)
     out.append(-1 if _AGAINST.search(before) else 0)
     out.append(-1 if digits and len(set(digits)) <= 2 and len(digits) > 4 else 0)
@@ -227,7 +260,13 @@ _OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sh
 
 
 def find_private(docs: DataFrame, train_spans: int = TRAIN_SPANS, least: float = 0.5) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): numbers of base spans, their digest, and all spans."""
+    """One row per row of ``docs`` (doc_id, text): numbers of base spans, their digest, and all spans.
+
+    A null or empty text has no spans, so zeros, the digest of the empty string
+    and an empty list. Null and repeated doc_ids and repeated rows are rows of
+    their own, each with its own result; an empty table gives none. Spans that
+    begin at one place come in the order of the kinds.
+    """
     scanned = settle(scan(docs))
     _, weights = learn(scanned, train_spans)
 
@@ -265,7 +304,11 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, train_spans: int = TRAIN_SPANS, least: float = 0.5) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with the spans of ``find_private`` masked; n_chars follows the text."""
+    """``docs`` (doc_id, text and any others) with the spans of ``find_private`` masked; n_chars follows the text.
+
+    Null texts stay null, texts without spans as they are. Every row stays, repeated
+    ones too, with all its columns whatever their names; an empty table stays empty.
+    """
     _, weights = learn(settle(scan(docs)), train_spans)
 
     def clean(text: str) -> str:

@@ -237,7 +237,11 @@ def judge(docs: DataFrame, texts: int = TRAIN_TEXTS, least: float = 0.5) -> Data
 
 
 def keep_good(docs: DataFrame, texts: int = TRAIN_TEXTS, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) that ``judge`` keeps, with all their columns."""
+    """The rows of ``docs`` (doc_id, text and any others) that ``judge`` keeps, with all their columns.
+
+    Null texts and those without words go. Rows are judged one by one, so repeated
+    ones stay or go together; an empty table stays empty, columns keep their names.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     _, weights = learn(rows, texts)
 

@@ -156,3 +156,28 @@ def test_masking(spark, messy, nothing):
 def test_matching_is_linear():
     for text in ("1" * 200_000, "a" * 300_000 + "@", "1 " * 100_000, "+1 " * 50_000, "1." * 100_000, "AB12" + "A" * 100_000):
         private.candidates(text, private.base_spans(text))
+
+
+@pytest.mark.parametrize(
+    "kind, span, vote",
+    [
+        ("email", "a.b@mail.example.com", 1),
+        ("email", "a.b (at) gmail (dot) zz", 1),
+        ("email", "a.b (at) nowhere (dot) zz", -1),
+        ("iban", "DE89 3704 0044 0532 0130 00", 1),
+        ("iban", "DE89 3704 0044 0532 0130", -1),
+        ("iban", "QQ89370400440532013000", -1),
+        ("card", "4111 1111 1111 1111", 1),
+        ("card", "9111 1111 1111 1111", -1),
+        ("card", "3782 822463 10005", 1),
+        ("ip", "127.0.0.1", -1),
+        ("ip", "240.1.1.1", -1),
+        ("ip", "93.184.216.34", 1),
+        ("phone", "+49 30 1234567", 1),
+        ("phone", "(640) 555-0953", 0),
+        ("ssn", "078-05-1120", -1),
+        ("ssn", "536-90-4399", 0),
+    ],
+)
+def test_gazetteers(kind, span, vote):
+    assert private._listed(kind, span, "".join(c for c in span if c in "0123456789")) == vote
