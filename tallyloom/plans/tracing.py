@@ -15,10 +15,13 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from typing import Any
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.answers import NO_ANSWER, boxed_answer, numeric_answer, with_clean_answer
 from ..functions.blocks import (
@@ -256,6 +259,34 @@ def in_batches(texts: Iterable[pd.Series], size: int) -> Iterator[list[str]]:
         yield held
 
 
+def _answered(
+    parts: Iterator[tuple[Any, pd.Series]], function: BatchFunction, batch_size: int
+) -> Iterator[tuple[Any, pd.Series]]:
+    """Replies to the texts of every part, each with what came along with it; parts wait until their texts are answered."""
+    waiting: deque[tuple[Any, pd.Series]] = deque()
+    replies: deque[str] = deque()
+
+    def passed() -> Iterator[pd.Series]:
+        for part in parts:
+            waiting.append(part)
+            yield part[1]
+
+    def ready() -> Iterator[tuple[Any, pd.Series]]:
+        while waiting and waiting[0][1].notna().sum() <= len(replies):
+            along, texts = waiting.popleft()
+            asked = texts.index[texts.notna()]
+            found = [replies.popleft() for _ in asked]
+            yield along, pd.Series(found, index=asked, dtype=object).reindex(texts.index)
+
+    for asked in in_batches(passed(), batch_size):
+        given = list(function(asked))
+        if len(given) != len(asked):
+            raise ValueError(f"{len(given)} replies to {len(asked)} texts")
+        replies.extend(given)
+        yield from ready()
+    yield from ready()
+
+
 def batched(text: Column | str, make: Callable[[], BatchFunction], batch_size: int = BATCH_SIZE) -> Column:
     """Apply a user function to batches of texts; null texts are skipped.
 
@@ -266,35 +297,37 @@ def batched(text: Column | str, make: Callable[[], BatchFunction], batch_size: i
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        function = make()
-        # Series whose texts have not all been answered yet, and the answers so far.
-        waiting: deque[pd.Series] = deque()
-        replies: deque[str] = deque()
-
-        def passed() -> Iterator[pd.Series]:
-            for series in batches:
-                waiting.append(series)
-                yield series
-
-        def ready() -> Iterator[pd.Series]:
-            while waiting and waiting[0].notna().sum() <= len(replies):
-                series = waiting.popleft()
-                asked = series.index[series.notna()]
-                found = [replies.popleft() for _ in asked]
-                yield pd.Series(found, index=asked, dtype=object).reindex(series.index)
-
-        for asked in in_batches(passed(), batch_size):
-            given = list(function(asked))
-            if len(given) != len(asked):
-                raise ValueError(f"{len(given)} replies to {len(asked)} texts")
-            replies.extend(given)
-            yield from ready()
-        yield from ready()
+        for _, replies in _answered(((None, texts) for texts in batches), make(), batch_size):
+            yield replies
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "string").asNondeterministic()(text)
 
 
+def with_replies(
+    df: DataFrame,
+    text: str,
+    target: str,
+    make: Callable[[], BatchFunction],
+    batch_size: int = BATCH_SIZE,
+    profile: ResourceProfile | None = None,
+) -> DataFrame:
+    """``df`` with the column ``target``: the replies of ``batched``, in a stage with resources of its own.
+
+    ``profile`` may ask for accelerators or memory that only this stage needs;
+    the cluster has to support stage-level scheduling then. All columns of the
+    rows pass through the Python workers, so select the needed ones before.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, replies in _answered(((frame, frame[text]) for frame in frames), make(), batch_size):
+            frame[target] = replies
+            yield frame
+
+    schema = StructType([field for field in df.schema.fields if field.name != target] + [StructField(target, StringType())])
+    return df.mapInPandas(run, schema, profile=profile)
+
+
 def solve_live(
     traces: DataFrame,
     make_generate: Callable[[], BatchFunction],

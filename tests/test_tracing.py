@@ -239,3 +239,16 @@ def test_a_wrong_number_of_replies_raises(spark):
     rows = spark.createDataFrame([(0, "a"), (1, "b")], "i int, t string").coalesce(1)
     with pytest.raises(Exception, match="1 replies to 2 texts"):
         rows.select(tracing.batched("t", lambda: lambda texts: texts[:1])).collect()
+
+
+def test_replies_as_a_stage_of_their_own(spark):
+    def make():
+        return lambda texts: [f"{text}/{len(texts)}" for text in texts]
+
+    rows = spark.range(0, 300, 1, 1).select("id", F.when(F.col("id") % 3 != 0, F.col("id").cast("string")).alias("t"), F.lit(1.5).alias("u"))
+    found = tracing.with_replies(rows, "t", "reply", make, 64)
+    assert found.columns == ["id", "t", "u", "reply"]
+    replies = [row.reply for row in found.orderBy("id").collect()]
+    assert [r for i, r in enumerate(replies) if i % 3 == 0] == [None] * 100
+    sizes = [64] * 192 + [8] * 8
+    assert [r for r in replies if r] == [f"{i}/{n}" for i, n in zip((i for i in range(300) if i % 3), sizes)]
