@@ -16,31 +16,43 @@ from tallyloom.session import settle
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; a null or blank text is rejected."""
+    """Documents that the quality classifier rejects go; a null or blank text is rejected.
+
+    Repeated rows are judged alike; an empty table stays empty.
+    """
     ship(spark)
     return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates the document with the smallest doc_id stays.
+
+    Repeated rows are near duplicates; null and blank texts are one group; an empty table stays empty.
+    """
     ship(spark)
     return simhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    Null texts stay, and all rows if either table is empty; repeated rows go or stay together.
+    """
     ship(spark)
     return leaks.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked; every document stays."""
+    """Personal data is masked; every document stays, a null text as it is, repeated rows each."""
     ship(spark)
     return private.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document: its sequence and its place there."""
+    """One row per piece of a document: its sequence and its place there.
+
+    A null text is one piece of its end id; repeated rows are packed each; an empty table gives no rows.
+    """
     ship(spark)
     return bins.pack_documents(docs, vocabulary_path())
 
