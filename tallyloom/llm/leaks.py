@@ -296,7 +296,8 @@ def build_blocks(items: DataFrame, folder: str, idf: np.ndarray, block_items: in
         before = np.cumsum([0, *[len(part["items"]) for part in parts]])
         found["passage"] = np.concatenate([part["passage"] + at for part, at in zip(parts, before)])
         data = _loaded(read_bytes(spaces[block]))
-        return found | {"vocabulary": data["vocabulary"], "basis": data["vectors"].astype(np.float32)}
+        weights = idf[_bucket(data["vocabulary"])]
+        return found | {"vocabulary": data["vocabulary"], "basis": data["vectors"].astype(np.float32), "weights": weights}
 
     return sorted(passes("block", latent, whole).values())
 
@@ -318,10 +319,11 @@ class Block:
         held = length / np.maximum(data["norm"], 1e-12)
         least = np.minimum(LEAST_COSINE, 0.8 * np.sqrt(data["row_sizes"] / WINDOW))
         self.least = (least * held).astype(np.float32)
+        #: Directions of the words, times their weights.
+        self.weighted = self.basis * data["weights"][:, None].astype(np.float32)
         self.seen = np.zeros(1 << BUCKET_BITS, dtype=bool)
         self.seen[_bucket(self.vocabulary)] = True
         self.sizes = data["sizes"]
-        self.first_row = np.searchsorted(self.passage, np.arange(len(self.sizes)))
         # How often every word is in every passage.
         owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.counts = np.zeros((len(self.sizes), len(self.vocabulary)), dtype=np.int64)
@@ -395,11 +397,13 @@ def _near(block: Block, weight: np.ndarray, place: np.ndarray, first: np.ndarray
         row = np.repeat(np.arange(len(starts)), sizes)
         spot = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[row]
         known = place[spot] >= 0
-        row, spot = row[known], spot[known]
-        if not len(row):
-            continue
-        edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        own[row[edge]] = np.add.reduceat(block.basis[place[spot]] * weight[spot, None], edge, axis=0)
+        row, word = row[known], place[spot[known]]
+        # First words of all steps, then second ones, and so on.
+        many = np.bincount(row, minlength=len(starts))
+        begin = np.cumsum(many) - many
+        for j in range(int(many.max(initial=0))):
+            more = np.flatnonzero(many > j)
+            own[more] += block.weighted[word[begin[more] + j]]
         left = np.searchsorted(starts, first[part])
         right = np.where(middle < end[part], np.searchsorted(starts, middle), len(starts))
         projected = own[left] + own[right]
@@ -407,8 +411,9 @@ def _near(block: Block, weight: np.ndarray, place: np.ndarray, first: np.ndarray
         open_ = np.flatnonzero(np.sqrt((projected**2).sum(axis=1)) * 1.0001 >= block.least.min() * length[part])
         cosine = (projected[open_] @ block.latent.T) / length[part[open_], None]
         # The rows of a passage stand side by side.
-        window, hit = np.nonzero(np.logical_or.reduceat(cosine >= block.least[None, :], block.first_row, axis=1))
-        pairs.append(part[open_[window]] * len(block.sizes) + hit)
+        window, hit = np.nonzero(cosine >= block.least[None, :])
+        key = part[open_[window]] * len(block.sizes) + block.passage[hit]
+        pairs.append(key[np.concatenate([key[:1] == key[:1], key[1:] != key[:-1]])])
     found = np.concatenate(pairs)
     return found // len(block.sizes), found % len(block.sizes)
 
@@ -434,7 +439,8 @@ def _enough_words(block: Block, place: np.ndarray, window: np.ndarray, passage:
         sizes = last - first
         owner = np.repeat(np.arange(len(start)), sizes)
         words = place[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
-        known = np.unique((owner * width + words)[words >= 0])
+        known = np.sort((owner * width + words)[words >= 0])
+        known = known[np.concatenate([known[:1] == known[:1], known[1:] != known[:-1]])]
         borders = np.searchsorted(known, np.arange(len(start) + 1) * width)
         words = known % width
         many = (borders[1:] - borders[:-1])[group]
