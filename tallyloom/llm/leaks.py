@@ -46,6 +46,8 @@ RANK_SHARE, LEAST_RANK, EXTRA = 4, 64, 16
 #: Passes over the rows that sharpen the space.
 ROUNDS = 3
 WINDOW, STEP = 32, 16
+#: Windows compared together, words of stretches looked up together, and pairs checked together.
+NEAR_WINDOWS, REACH_WORDS, PAIRS = 2048, 1_000_000, 10_000
 #: The least cosine, of what the latent space holds of a row.
 LEAST_COSINE = 0.4
 #: Share of a passage's words that must follow in order: certain, or certain if its answer is there too.
@@ -383,8 +385,8 @@ def _near(block: Block, weight: np.ndarray, place: np.ndarray, first: np.ndarray
     # No window is shorter than this: a repeated word counts at least once for every time.
     length = np.sqrt(np.maximum(running[end] - running[first], 1e-12)).astype(np.float32)
     pairs = [np.zeros(0, dtype=np.int64)]
-    for at in range(0, len(first), 4096):
-        part = np.arange(at, min(at + 4096, len(first)))
+    for at in range(0, len(first), NEAR_WINDOWS):
+        part = np.arange(at, min(at + NEAR_WINDOWS, len(first)))
         # A window is two steps; each step is projected once, for both windows it lies in.
         middle = np.minimum(first[part] + STEP, end[part])
         starts = np.unique(np.concatenate([first[part], middle[middle < end[part]]]))
@@ -430,7 +432,7 @@ def _enough_words(block: Block, place: np.ndarray, window: np.ndarray, passage:
     flat, width = block.counts.reshape(-1), len(block.vocabulary)
     reach = np.cumsum(high - low)
     while at < len(window):
-        stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + 4_000_000, side="right")))
+        stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + REACH_WORDS, side="right")))
         part = slice(at, stop)
         # Pairs come window by window; the words of a window's stretches are looked up once.
         start = np.flatnonzero(np.concatenate([[True], window[part][1:] != window[part][:-1]]))
@@ -444,8 +446,8 @@ def _enough_words(block: Block, place: np.ndarray, window: np.ndarray, passage:
         borders = np.searchsorted(known, np.arange(len(start) + 1) * width)
         words = known % width
         many = (borders[1:] - borders[:-1])[group]
-        for a in range(0, len(group), 50_000):
-            own, n, item = group[a : a + 50_000], many[a : a + 50_000], passage[part][a : a + 50_000]
+        for a in range(0, len(group), PAIRS):
+            own, n, item = group[a : a + PAIRS], many[a : a + PAIRS], passage[part][a : a + PAIRS]
             spot = np.repeat(borders[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             total = np.bincount(np.repeat(np.arange(len(n)), n), weights=flat[np.repeat(item * width, n) + words[spot]], minlength=len(n))
             enough[at + a : at + a + len(n)] = total >= least[item]
@@ -511,7 +513,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 1_000_000):
                 found = leaks_in(part.column("text").cast(pa.binary()).to_pylist(), paths, idf)
                 keys = part.column("doc_id").to_pylist()
                 rows = [(keys[doc], item, c, s, a) for (doc, _, item), (s, a, c) in sorted(found.items())]
@@ -533,7 +535,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text", 1_000_000):
                 found = leaks_in(part.column("text").cast(pa.binary()).to_pylist(), paths, idf)
                 clean = np.ones(part.num_rows, dtype=bool)
                 clean[[doc for doc, _, _ in found]] = False

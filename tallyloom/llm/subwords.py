@@ -20,7 +20,7 @@ from tallyloom.llm.words import LANE, hash_spans, lane, padded
 
 VOCABULARY = "byte_bpe_50k.json"
 
-#: Words that a Python worker remembers, about 40 bytes each.
+#: Words that a Python worker remembers, about 40 bytes each with their ids.
 CACHE_WORDS = 1_500_000
 #: Longer words are encoded again each time.
 CACHE_IDS, CACHE_BYTES = 32, 64
@@ -88,10 +88,10 @@ class Encoder:
 
     def _forget(self) -> None:
         self.hashes = np.zeros(0, dtype=np.uint64)
-        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.starts, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint8)
         self.ids = np.zeros(0, dtype="<u4")
         # The words themselves, each in as many bytes as it has.
-        self.places, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.places, self.lengths = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint8)
         self.bytes = np.zeros(LANE, dtype=np.uint8)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -152,7 +152,8 @@ class Encoder:
         if len(self.hashes):
             alike = np.flatnonzero((self.hashes[near] == keys) & (self.lengths[near] == sizes_of[place[: len(keys)]]))
             hit = near[alike]
-            known[alike] = _same(wide, first[place[alike]], self.bytes, self.places[hit], self.lengths[hit])
+            places, lengths_ = self.places[hit].astype(np.int64), self.lengths[hit].astype(np.int64)
+            known[alike] = _same(wide, first[place[alike]], self.bytes, places, lengths_)
         starts, sizes = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
         found = np.flatnonzero(known)
         starts[found], sizes[found] = self.starts[near[found]], self.sizes[near[found]]
@@ -194,7 +195,7 @@ class Encoder:
         whole: np.ndarray,
     ) -> None:
         """Keep the ids of the words ``plain``; of words that share a hash the one that was there first stays."""
-        if len(self.hashes) + len(plain) > CACHE_WORDS:
+        if len(self.hashes) + len(plain) > CACHE_WORDS or len(self.ids) > CACHE_IDS * CACHE_WORDS:
             self._forget()
         starts = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids = np.concatenate([self.ids, ids])
@@ -210,10 +211,10 @@ class Encoder:
         places = len(self.bytes) - LANE + ends - lengths
         self.bytes = np.concatenate([self.bytes[:-LANE], bytes_, np.zeros(LANE, dtype=np.uint8)])
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.starts = np.insert(self.starts, at, starts[kept])
-        self.sizes = np.insert(self.sizes, at, sizes[kept])
-        self.places = np.insert(self.places, at, places)
-        self.lengths = np.insert(self.lengths, at, lengths)
+        self.starts = np.insert(self.starts, at, starts[kept].astype(np.uint32))
+        self.sizes = np.insert(self.sizes, at, sizes[kept].astype(np.uint8))
+        self.places = np.insert(self.places, at, places.astype(np.uint32))
+        self.lengths = np.insert(self.lengths, at, lengths.astype(np.uint8))
 
     def encode(self, texts: Sequence[bytes | None]) -> list[np.ndarray]:
         """The ids of every text, without special tokens; of a null text, none."""
