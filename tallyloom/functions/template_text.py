@@ -324,13 +324,13 @@ class _Parser:
         if word == "if":
             return self._if(rest)
         if word == "for":
-            match = re.fullmatch(r"(\w+)\s+in\s+messages", rest.strip())
+            match = re.match(r"(\w+)\s+in\s+messages\Z", rest.strip())
             if match is None:
                 raise _Unsupported(f"a loop {rest!r}")
             nodes, _ = self.body("endfor")
             return lambda scope: self._each(nodes, match[1], scope)
         if word == "set":
-            match = re.fullmatch(r"(\w+)\s*=\s*(.*)", rest.strip(), re.S)
+            match = re.match(r"(\w+)\s*=\s*(.*)", rest.strip(), re.S)
             if match is None:
                 raise _Unsupported(f"set {rest!r}")
             node, _ = _Expression(match[2]).whole()
