@@ -9,6 +9,11 @@ the cheapest thresholds and asks for all values within them. Lists and questions
 meet by (part, value); candidates are verified on all 64 bits, and a task passes
 on only links to the smallest member of what it has joined, so a large group of
 near copies gives no rows for its pairs.
+
+A value that very many fingerprints share in a part (texts of one template) is
+one hot bucket. Its lists and questions are dealt once more by the other bits: of
+T + 1 groups of these, at least one agrees in two fingerprints that differ in at
+most T bits, so each row goes to one smaller bucket per group and no link is lost.
 """
 
 from __future__ import annotations
@@ -41,6 +46,12 @@ MOST_FLIPS = 2
 #: A bucket with more comparisons than this is searched by widening circles.
 LARGE_BUCKET = 1_000_000
 SHARD_ROWS = 500_000
+#: A value of a part is hot if more fingerprints than this have it, and more than one in ``MOST_HOT`` of all.
+HOT_ROWS = 100_000
+#: No part has more hot values than this.
+MOST_HOT = 20_000
+#: Hot buckets are dealt again only by groups of at least so many bits.
+LEAST_GROUP_BITS = 4
 #: Counters of a histogram of the values of a part, as a power of two.
 HISTOGRAM_BITS = 16
 
@@ -175,6 +186,8 @@ class Plan:
         self.parts, self.n, self.most_bits = parts, n, most_bits
         self.flips = most_bits if len(parts) == 1 else min(MOST_FLIPS, most_bits)
         self.histograms = histograms
+        self.hot = np.zeros(0, dtype=np.uint64)
+        self.groups = [second_groups(part, most_bits) for part in parts]
         self._shells: list | None = None
 
     def candidates(self, fps: np.ndarray, p: int) -> np.ndarray:
@@ -224,6 +237,70 @@ class Plan:
             at = at - out[:, p]
         return out
 
+    def deal(self, bucket: np.ndarray, p: int, fps: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of buckets of part ``p``, those of hot ones once in each of their smaller buckets."""
+        if not len(self.hot):
+            return bucket, fps, nodes
+        at = np.minimum(np.searchsorted(self.hot, bucket), len(self.hot) - 1)
+        hot = self.hot[at] == bucket
+        if not hot.any():
+            return bucket, fps, nodes
+        keys, rows = [bucket[~hot]], [np.flatnonzero(~hot)]
+        for q, bits in enumerate(self.groups[p]):
+            own = part_value(fps[hot], bits) | part_mark(q)
+            keys.append(mix(bucket[hot] ^ mix(own)))
+            rows.append(np.flatnonzero(hot))
+        row = np.concatenate(rows)
+        return np.concatenate(keys), fps[row], nodes[row]
+
+
+def second_groups(part: Sequence[int], most_bits: int) -> list[list[int]]:
+    """The bits outside a part in one group more than may differ; none if these would be too narrow to help."""
+    rest = [b for b in range(BITS) if b not in set(part)]
+    count = most_bits + 1
+    return [rest[q::count] for q in range(count)] if len(rest) // count >= LEAST_GROUP_BITS else []
+
+
+def part_mark(p: int) -> np.uint64:
+    """The bits of a bucket that name its part."""
+    return np.uint64(p) << np.uint64(BITS - 6)
+
+
+def hot_values(rows: DataFrame, plan: Plan) -> tuple[np.ndarray, int]:
+    """Sorted buckets with more fingerprints than ``HOT_ROWS`` and one in ``MOST_HOT``, and how many rows these hold.
+
+    The histograms tell for parts of one piece. Wider parts are counted by value, but only
+    where every piece of the value is that frequent.
+    """
+    least = max(HOT_ROWS, plan.n // MOST_HOT)
+    found, held, wide = [np.zeros(0, dtype=np.uint64)], 0, []
+    for p, histograms in enumerate(plan.histograms):
+        if not plan.groups[p] or any(h.max(initial=0) <= least for h in histograms):
+            continue
+        if len(histograms) > 1:
+            wide.append(p)
+            continue
+        hot = np.flatnonzero(histograms[0] > least)
+        found.append(hot.astype(np.uint64) | part_mark(p))
+        held += int(histograms[0][hot].sum())
+    if not wide:
+        return np.sort(np.concatenate(found)), held
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            for p in wide:
+                own = fps
+                for piece, histogram in zip(_pieces(plan.parts[p]), plan.histograms[p]):
+                    own = own[histogram[part_value(own, piece).astype(np.int64)] > least]
+                value, n = np.unique(part_value(own, plan.parts[p]) | part_mark(p), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["bucket", "n"])
+
+    counted = rows.select("fp").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    hot = counted.filter(F.col("n") > least).collect()
+    found.append(np.array([row.bucket for row in hot], dtype=np.int64).view(np.uint64))
+    return np.sort(np.concatenate(found)), held + sum(row.n for row in hot)
+
 
 def plan_search(rows: DataFrame, n: int, most_bits: int = MOST_BITS) -> Plan:
     """Group the bits and count the values of the parts over all fingerprints of ``rows`` (fp)."""
@@ -327,7 +404,8 @@ def links(rows: DataFrame, n: int, most_bits: int = MOST_BITS) -> DataFrame:
     """Links that connect all of ``rows`` (node, fp; distinct fingerprints) at most ``most_bits`` apart."""
     plan = plan_search(rows, n, most_bits)
     m = len(plan.parts)
-    shards = task_count(n * (m + 25), SHARD_ROWS)
+    plan.hot, held = hot_values(rows, plan)
+    shards = task_count(n * (m + 25) + 2 * held * most_bits, SHARD_ROWS)
 
     def block(bucket: np.ndarray, fps: np.ndarray, nodes: np.ndarray, asks: int) -> Iterator[tuple[int, bytes]]:
         shard = ((mix(bucket) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -349,14 +427,15 @@ def links(rows: DataFrame, n: int, most_bits: int = MOST_BITS) -> DataFrame:
                 out: list[tuple[int, bytes]] = []
                 for p, bits in enumerate(plan.parts):
                     value = part_value(fps, bits)
-                    mark = np.uint64(p) << np.uint64(58)
-                    out += block(value | mark, fps, nodes, 0)
+                    mark = part_mark(p)
+                    out += block(*plan.deal(value | mark, p, fps, nodes), 0)
                     for t in range(plan.flips + 1):
                         own = np.flatnonzero(chosen[:, p] == t)
                         if len(own):
                             ways = masks(len(bits), t)
                             asked = (value[own][:, None] ^ ways[None, :]).reshape(-1) | mark
-                            out += block(asked, np.repeat(fps[own], len(ways)), np.repeat(nodes[own], len(ways)), 1)
+                            asking = np.repeat(own, len(ways))
+                            out += block(*plan.deal(asked, p, fps[asking], nodes[asking]), 1)
                 shard, body = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(body, pa.binary())], names=["shard", "block"])
 

@@ -162,3 +162,53 @@ def test_wide_distances(spark):
     found = graphs.components(simhash.links(nodes, 10**6, 10)).collect()
     joined = {row.node: row.component for row in found}
     assert [joined.get(i, i) for i in range(len(fps))] == plain_groups(fps, list(range(len(fps))), 10)
+
+
+def template_fingerprints(n, seed):
+    """Fingerprints of which a third agree in half of their bits, many of them a few bits apart."""
+    dice = np.random.default_rng(seed)
+    low = np.uint64(2**32 - 1)
+    same = dice.integers(0, 2**63, dtype=np.uint64) & low
+    centres = (dice.integers(0, 2**63, n // 6, dtype=np.uint64) & ~low) | same
+    out = [*centres, *dice.integers(0, 2**63, n - 2 * len(centres), dtype=np.uint64)]
+    for fp in centres:
+        for b in dice.choice(64, dice.integers(1, 7), replace=False):
+            fp ^= np.uint64(1) << np.uint64(b)
+        out.append(fp)
+    return np.unique(np.array(out, dtype=np.uint64))
+
+
+@pytest.mark.parametrize("most, parts", [(1, 2), (4, 4), (4, 3), (4, 2), (6, 5)])
+def test_hot_buckets_are_dealt_again_without_loss(spark, monkeypatch, most, parts):
+    fps = template_fingerprints(1500, most)
+    nodes = spark.createDataFrame([(i, int(fp.astype(np.int64))) for i, fp in enumerate(fps)], "node long, fp long")
+    monkeypatch.setattr(simhash, "choose_parts", lambda n, most_bits: parts)
+    monkeypatch.setattr(simhash, "HOT_ROWS", 20)
+    monkeypatch.setattr(simhash, "MOST_HOT", 10**12)
+    seen, plain = [], simhash.hot_values
+
+    def spy(rows, plan):
+        found = plain(rows, plan)
+        for p, bits in enumerate(plan.parts):
+            value, size = np.unique(simhash.part_value(fps, bits), return_counts=True)
+            marks = found[0] >> np.uint64(58) == p
+            assert np.array_equal(found[0][marks] & np.uint64(2**58 - 1), value[size > 20])
+        seen.append(found)
+        return found
+
+    monkeypatch.setattr(simhash, "hot_values", spy)
+    found = graphs.components(simhash.links(nodes, len(fps), most)).collect()
+    joined = {row.node: row.component for row in found}
+    assert [joined.get(i, i) for i in range(len(fps))] == plain_groups(fps, list(range(len(fps))), most)
+    assert len(seen[0][0]) and seen[0][1] > len(fps) // 8
+
+
+def test_a_hot_bucket_becomes_many_small_ones():
+    fps = template_fingerprints(6000, 5)
+    plan = simhash.Plan([list(range(16)), list(range(16, 32)), list(range(32, 48)), list(range(48, 64))], [[], [], [], []], len(fps), 4)
+    value, size = np.unique(simhash.part_value(fps, plan.parts[0]), return_counts=True)
+    plan.hot = value[size > 100]
+    bucket, dealt, nodes = plan.deal(simhash.part_value(fps, plan.parts[0]), 0, fps, np.arange(len(fps)))
+    hot = int(size[size > 100].sum())
+    assert len(bucket) == len(fps) + 4 * hot and np.array_equal(fps[nodes], dealt)
+    assert np.unique(bucket, return_counts=True)[1].max() < size.max() / 20
