@@ -10,6 +10,7 @@ below 65,536 are all zero and shrink to a few bytes.
 
 from __future__ import annotations
 
+import itertools
 import json
 import zlib
 from collections.abc import Iterator, Sequence
@@ -18,17 +19,20 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.store import read_bytes, slices, task_count, text_bytes, write_bytes
 from tallyloom.llm.subwords import BLOCK_BYTES, encoder
-from tallyloom.session import work_folder
+from tallyloom.session import settle, work_folder
 
 MAGIC = b"TLPLANE1"
 BLOCK_IDS = 65_536
 #: Bytes of text that become one shard file.
 SHARD_BYTES = 16 * 1024 * 1024
+#: A task whose range holds more than this share of ``SHARD_BYTES`` writes several files.
+FILE_SHARE = 2
+#: No more tasks than this; beyond them each writes more files.
 MOST_SHARDS = 200_000
 
 
@@ -109,13 +113,15 @@ RANGE_CHARS = 64
 
 def write_shards(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, kind: str = "byte", shard_bytes: int = SHARD_BYTES
-) -> list[dict]:
-    """Encode ``docs`` (doc_id, text) in ascending doc_id order and write one file per range of ids.
+) -> DataFrame:
+    """Encode ``docs`` (doc_id, text) in ascending doc_id order and write files of about ``shard_bytes`` of text.
 
     A null text is empty and holds the end id alone; rows without a doc_id
-    come first; rows of one doc_id follow each other by their text. Returns one
-    small record per shard, in order: path, documents, ids before it. A task
-    that runs again writes the same file again.
+    come first; rows of one doc_id follow each other by their text. A task
+    writes its range of ids as one file after the other and holds one of them,
+    however large the range is. A task that runs again writes the same files
+    again. Returns the manifest, a row per file: ``shard`` and ``file`` give the
+    order, then path, documents, ids, and the ids of all files ``before``.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     parts = task_count(text_bytes(narrow), shard_bytes, MOST_SHARDS)
@@ -125,37 +131,42 @@ def write_shards(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         shard = TaskContext.get().partitionId()
-        documents: list[list] = []
+        end = np.array([end_id], dtype="<u4")
+        file, documents, pieces, size = 0, [], [], 0
 
-        def pieces() -> Iterator[np.ndarray]:
-            end = np.array([end_id], dtype="<u4")
-            for batch in batches:
-                for part in slices(batch, "text", BLOCK_BYTES):
-                    encoded = coder.encode(part.column("text").cast(pa.binary()).to_pylist())
-                    documents.extend([d, len(e) + 1] for d, e in zip(part.column("doc_id").to_pylist(), encoded))
-                    yield np.concatenate([x for e in encoded for x in (e, end)])
+        def store() -> pa.RecordBatch:
+            path = f"{folder}/shard-{shard:06d}-{file:06d}.planes"
+            write_bytes(path, pack_shard(iter(pieces), documents, kind))
+            row = {"shard": [shard], "file": [file], "path": [path], "documents": [len(documents)], "ids": [sum(n for _, n in documents)]}
+            return pa.RecordBatch.from_pydict(row)
 
-        data = pack_shard(pieces(), documents, kind)
+        for batch in batches:
+            for part in slices(batch, "text", min(BLOCK_BYTES, shard_bytes)):
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                encoded = coder.encode(texts)
+                documents.extend([d, len(e) + 1] for d, e in zip(part.column("doc_id").to_pylist(), encoded))
+                pieces.append(np.concatenate([x for e in encoded for x in (e, end)]))
+                # Empty texts count as well: each is an id and an entry of the list.
+                size += sum(map(len, texts)) + 16 * len(texts)
+                if size >= FILE_SHARE * shard_bytes:
+                    yield store()
+                    file, documents, pieces, size = file + 1, [], [], 0
         if documents:
-            path = f"{folder}/shard-{shard:06d}.planes"
-            write_bytes(path, data)
-            row = {"shard": [shard], "path": [path], "documents": [len(documents)], "ids": [sum(n for _, n in documents)]}
-            yield pa.RecordBatch.from_pydict(row)
+            yield store()
 
-    written = ordered.mapInArrow(write, "shard long, path string, documents long, ids long").collect()
-    found, before = [], 0
-    for row in sorted(written, key=lambda row: row["shard"]):
-        found.append({"path": row["path"], "documents": row["documents"], "ids": row["ids"], "before": before})
-        before += row["ids"]
-    return found
+    written = settle(ordered.mapInArrow(write, "shard long, file long, path string, documents long, ids long"))
+    # One number per task reaches the driver, whatever the number of files.
+    sums = sorted(map(tuple, written.groupBy("shard").agg(F.sum("ids")).collect()))
+    before = dict(zip([shard for shard, _ in sums], itertools.accumulate([0, *[ids for _, ids in sums]])))
+    offsets = docs.sparkSession.createDataFrame(list(before.items()), "shard long, earlier long")
+    inside = F.sum("ids").over(Window.partitionBy("shard").orderBy("file")) - F.col("ids")
+    found = written.join(F.broadcast(offsets), "shard")  # at most MOST_SHARDS rows of two numbers
+    return found.select("shard", "file", "path", "documents", "ids", (F.col("earlier") + inside).alias("before"))
 
 
-def read_shards(spark, shards: list[dict]) -> DataFrame:
-    """Documents from shard files: doc_id, start, n_tokens, ids_crc32, one task per file."""
+def read_shards(shards: DataFrame) -> DataFrame:
+    """Documents from the files of a manifest: doc_id, start, n_tokens, ids_crc32."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not shards:
-        return spark.createDataFrame([], schema)
-    places = spark.createDataFrame([(s["path"], s["before"]) for s in shards], "path string, before long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +181,13 @@ def read_shards(spark, shards: list[dict]) -> DataFrame:
                 columns = [pa.array(keys, pa.int64()), pa.array(before + ends - counts), pa.array(counts), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return places.repartition(len(shards)).mapInArrow(read, schema)
+    # Sorted and stored: tasks deal the files out alike when they run again.
+    places = settle(shards.select("path", "before").orderBy("path"))
+    return places.repartition(task_count(places.count(), 1, MOST_SHARDS)).mapInArrow(read, schema)
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int = 0, kind: str = "byte", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write ``docs`` as plane files in the shared folder and describe what the files hold."""
     spark = docs.sparkSession
     folder = work_folder(spark, "planes")
-    return read_shards(spark, write_shards(docs, folder, tokenizer, end_id, kind, shard_bytes))
+    return read_shards(write_shards(docs, folder, tokenizer, end_id, kind, shard_bytes))

@@ -61,6 +61,25 @@ def test_plane_files_hold_all_ids_in_order(spark, messy, corpus, tokenizer):
     assert sorted(map(tuple, found), key=lambda r: r[1]) == expected
 
 
+def test_a_large_range_becomes_several_files(spark, corpus, tokenizer, tmp_path, monkeypatch):
+    """Two tasks for all rows, one id with most of them: files stay small and offsets go on."""
+    monkeypatch.setattr(planes, "MOST_SHARDS", 2)
+    docs = corpus.selectExpr("if(doc_id % 4 = 0, doc_id, 7) as doc_id", "text", "doc_id as ids", "text as path")
+    shards = planes.write_shards(docs, str(tmp_path), subwords.vocabulary_path(), shard_bytes=20_000)
+    manifest = shards.orderBy("shard", "file").collect()
+    assert len({row.shard for row in manifest}) <= 2 < len(manifest)
+    assert [row.before for row in manifest] == [sum(row.ids for row in manifest[:i]) for i in range(len(manifest))]
+    assert sum(row.documents for row in manifest) == docs.count()
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id, r.text or ""))
+    found = sorted(map(tuple, planes.read_shards(shards).collect()), key=lambda r: r[1])
+    expected, start = [], 0
+    for row in rows:
+        ids = [*ids_of(tokenizer, row.text), 0]
+        expected.append((row.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert found == expected
+
+
 def test_plane_files_of_nothing(nothing):
     assert planes.encode_and_read(nothing, subwords.vocabulary_path()).collect() == []
 
