@@ -44,6 +44,8 @@ MARGIN = 0.985
 INDEX_ROWS, QUERY_ROWS = 8192, 2048
 #: Rows of one task.
 TASK_ROWS = 100_000
+#: Rows that a task searches at a time, however many it is given.
+HELD_ROWS = 200_000
 
 
 def _rows(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,10 +236,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sample_vectors: in
     held = queries.repartition(task_count(queries.count(), 8 * QUERY_ROWS))
     paths = sorted(row[0] for row in held.mapInArrow(store, "path string").collect())
 
+    held_rows = HELD_ROWS
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_rows(batch, size) for batch in batches]
-        if not parts:
-            return
+        parts: list[tuple] = []
+        for batch in batches:
+            parts.append(_rows(batch, size))
+            if sum(len(part[0]) for part in parts) >= held_rows:
+                yield from search_rows(parts)
+                parts = []
+        if parts:
+            yield from search_rows(parts)
+
+    def search_rows(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         numbers, own, vectors_ = (np.concatenate(column) for column in zip(*parts))
         lengths = lengths_of(vectors_)
         blocks = []

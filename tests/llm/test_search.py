@@ -134,6 +134,22 @@ def search(vectors):
     return neighbours.nearest(vectors, F.pmod("vec_id", F.lit(50)) == 0)
 
 
+def test_neighbours_of_tasks_that_hold_few_rows(spark, folder, monkeypatch):
+    """A task searches its rows part by part: as good as all at once."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    whole = {(row.query_id, row["rank"]): row.score for row in search(vectors).collect()}
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(neighbours, "HELD_ROWS", 100)
+    try:
+        spark.conf.set(setting, "64")
+        parts = {(row.query_id, row["rank"]): row.score for row in search(vectors).collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert parts.keys() == whole.keys()
+    assert sum(parts[key] >= whole[key] - 1e-12 for key in whole) >= 0.95 * len(whole)
+
+
 @pytest.mark.parametrize("rows_indexed", [128, 8192])
 def test_recall_and_scores(spark, folder, rows_indexed, monkeypatch):
     monkeypatch.setattr(neighbours, "INDEX_ROWS", rows_indexed)
