@@ -97,7 +97,9 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIE
     stored = settle(cut.withColumn("__piece", F.monotonically_increasing_id()))
     whole = F.col("length") == sequence
     rest = stored.filter(~whole)
-    groups = task_count(rest.count(), group_pieces)
+    count = rest.count()
+    # Groups are no tasks: their number has no bound, so that their size has one.
+    groups = task_count(count, group_pieces, max(count, 1))
     dealt = rest.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), "__piece"), F.lit(groups)))
 
     kept = [*cut.columns, "sequence_id", "offset"]
