@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.graphs import components, local_roots
-from tallyloom.llm.store import slices, task_count
+from tallyloom.llm.store import MOST_TASKS, slices, task_count
 from tallyloom.llm.words import mix
 from tallyloom.operators.lookup import lookup
 from tallyloom.session import settle
@@ -46,6 +46,8 @@ MOST_FLIPS = 2
 #: A bucket with more comparisons than this is searched by widening circles.
 LARGE_BUCKET = 1_000_000
 SHARD_ROWS = 500_000
+#: Shards beyond the number of tasks follow one another in a task, which holds one at a time.
+MOST_SHARDS = 200_000
 #: A value of a part is hot if more fingerprints than this have it, and more than one in ``MOST_HOT`` of all.
 HOT_ROWS = 100_000
 #: No part has more hot values than this.
@@ -405,7 +407,7 @@ def links(rows: DataFrame, n: int, most_bits: int = MOST_BITS) -> DataFrame:
     plan = plan_search(rows, n, most_bits)
     m = len(plan.parts)
     plan.hot, held = hot_values(rows, plan)
-    shards = task_count(n * (m + 25) + 2 * held * most_bits, SHARD_ROWS)
+    shards = task_count(n * (m + 25) + 2 * held * most_bits, SHARD_ROWS, MOST_SHARDS)
 
     def block(bucket: np.ndarray, fps: np.ndarray, nodes: np.ndarray, asks: int) -> Iterator[tuple[int, bytes]]:
         shard = ((mix(bucket) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -455,7 +457,7 @@ def links(rows: DataFrame, n: int, most_bits: int = MOST_BITS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[hung]), pa.array(root[hung])], names=["u", "v"])
 
     dealt = rows.select("node", "fp").mapInArrow(ask, "shard int, block binary")
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(meet, "u long, v long")
+    return dealt.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard").mapInArrow(meet, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
