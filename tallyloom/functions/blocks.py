@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .columns import as_column, strip
 
-# Fences, the marker that asks for execution, limits, blocked libraries.
+# Fences, the marker that asks for execution, limits, marks of an answer, blocked libraries.
 CODE_BLOCK = r"(?s)```python(.*?)```"
 OUTPUT_BLOCK = r"(?s)```output(.*?)```"
 OUTPUT_REQUEST = "```output\n"
@@ -15,6 +15,7 @@ BLOCK_END = "\n```"
 REGION_CHARS = 100
 OUTPUT_CHARS = 200
 OUTPUT_CUT = " ... (output truncated)"
+ANSWER_MARKS = ["answer is", r"\boxed"]
 BLOCKED_LIBRARIES = ["subprocess", "venv"]
 
 
@@ -58,7 +59,8 @@ def asks_for_output(text: Column | str) -> Column:
 
 def states_answer(region: Column | str) -> Column:
     region = as_column(region)
-    return F.contains(region, F.lit("answer is")) | F.contains(region, F.lit(r"\boxed"))
+    first, second = (F.contains(region, F.lit(mark)) for mark in ANSWER_MARKS)
+    return first | second
 
 
 def mentions_box(region: Column | str) -> Column:

@@ -402,11 +402,11 @@ def trace_vote_prune(spark, folder):
 
 @query
 def trace_scoring_long(spark, folder):
-    """Traces of 64 steps; the plan is that of any other number."""
-    scored = tracing.score_traces(
+    """Traces of 64 steps, all completions of a trace in a row; the plan is that of any other number."""
+    scored = tracing.score_lists(
         inputs.traces(spark, folder),
-        inputs.generations(spark, folder, LONG_STEPS),
-        inputs.executions(spark, folder, LONG_STEPS),
+        inputs.generation_lists(spark, folder, LONG_STEPS),
+        inputs.execution_lists(spark, folder, LONG_STEPS),
         LONG_STEPS,
     )
     text = F.col("gen_texts")

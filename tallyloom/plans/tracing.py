@@ -5,26 +5,40 @@ What a model wrote and what its programs printed come in as tables:
 * ``generations``: problem_id, sample_id, step, completion
 * ``executions``: problem_id, sample_id, step, output
 
-All steps of a trace are brought into one row by a single shuffle; the decision
-table is then folded over its steps, row by row, so a plan is as large for 64
-steps as for four. Answers are cleaned once at the end, since only the last one
-of a trace counts.
+or, with several steps of a trace in a row, ``steps`` as an array of (step,
+completion) or (step, output). All steps of a trace are brought into one row by
+a single shuffle; the decision table is then folded over its steps, row by row,
+so a plan is as large for 64 steps as for four. The fold runs in Python on Arrow
+batches: it looks at the end of a text and at what a step adds, so its work is
+linear in the length of a trace, and a column function would copy its state at
+every step.
+Answers are cleaned once at the end, since only the last one of a trace counts.
 """
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions.answers import NO_ANSWER, boxed_answer, numeric_answer, with_clean_answer
 from ..functions.blocks import (
+    ANSWER_MARKS,
+    BLOCK_END,
+    CODE_BLOCK,
+    OUTPUT_BLOCK,
+    OUTPUT_CHARS,
+    OUTPUT_CUT,
+    OUTPUT_REQUEST,
     REGION_CHARS,
     answer_region,
     append_output,
@@ -47,9 +61,6 @@ NUM_STEPS = 4
 # Fixed value: texts that a model is given at once.
 BATCH_SIZE = 128
 
-# What a row of the stacked tables holds.
-_PROMPT, _COMPLETION, _OUTPUT = 0, 1, 2
-
 # A batch of texts to a batch of texts; made once per Python worker task.
 BatchFunction = Callable[[list[str]], list[str]]
 
@@ -74,43 +85,56 @@ def gather_steps(traces: DataFrame, generations: DataFrame, executions: DataFram
     """
     inside = F.col("step").between(0, num_steps - 1)
 
-    def rows(df: DataFrame, kind: int, step: Column, body: str) -> DataFrame:
-        entry = F.struct(F.lit(kind).alias("kind"), step.cast("int").alias("step"), F.col(body).alias("body"))
-        return df.select(*TRACE, entry.alias("entry"))
+    def lists(df: DataFrame, body: str) -> DataFrame:
+        return df.filter(inside).select(*TRACE, F.array(F.struct("step", body)).alias("steps"))
+
+    return gather_lists(traces, lists(generations, "completion"), lists(executions, "output"), num_steps)
+
+
+def gather_lists(traces: DataFrame, generations: DataFrame, executions: DataFrame, num_steps: int) -> DataFrame:
+    """``gather_steps`` of tables with any number of steps of a trace in a row.
+
+    Their ``steps`` is an array of (step, completion) or (step, output).
+    """
+    numbers = F.sequence(F.lit(0), F.lit(num_steps - 1)) if num_steps else F.array().cast("array<int>")
+
+    def entries(df: DataFrame, name: str, kind: str) -> DataFrame:
+        steps = F.col("steps")
+        lists = F.struct(steps["step"].try_cast("array<int>").alias("steps"), steps[name].alias("bodies"))
+        return df.filter(steps.isNotNull()).select(*TRACE, lists.alias(kind))
 
     stacked = (
-        rows(traces, _PROMPT, F.lit(0), "text")
-        .unionByName(rows(generations.filter(inside), _COMPLETION, F.col("step"), "completion"))
-        .unionByName(rows(executions.filter(inside), _OUTPUT, F.col("step"), "output"))
+        traces.select(*TRACE, F.struct("text").alias("prompt"))
+        .unionByName(entries(generations, "completion", "made"), allowMissingColumns=True)
+        .unionByName(entries(executions, "output", "ran"), allowMissingColumns=True)
         .withColumn("__trace", F.xxhash64(*TRACE))
         .repartition("__trace")
     )
-    gathered = stacked.groupBy("__trace", *TRACE).agg(F.collect_list("entry").alias("entries"))
+    gathered = stacked.groupBy("__trace", *TRACE).agg(*[F.collect_list(kind).alias(kind) for kind in ("prompt", "made", "ran")])
+    known = gathered.filter(F.array_size("prompt") > 0).select(
+        *TRACE, "prompt", *[F.flatten(F.col(kind)[name]).alias(f"{kind}_{name}") for kind in ("made", "ran") for name in ("steps", "bodies")]
+    )
 
-    def of(kind: int) -> Column:
-        return F.filter("entries", lambda e: e["kind"] == kind)
+    def whole(kind: str) -> Column:
+        return F.col(f"{kind}_steps") == numbers
 
-    def body_at(own: Column, step: Column) -> Column:
-        place = F.array_position(own["steps"], step).cast("int")
-        return F.coalesce(F.get(own["bodies"], place - 1), F.lit(""))
+    def once(kind: str) -> Column:
+        inside = F.filter(f"{kind}_steps", lambda step: step.between(0, num_steps - 1))
+        return whole(kind) | (F.array_size(F.array_distinct(inside)) == F.array_size(inside))
 
-    def columns(entries: Column) -> Column:
-        return F.struct(F.transform(entries, lambda e: e["step"]).alias("steps"), F.transform(entries, lambda e: e["body"]).alias("bodies"))
+    def aligned(kind: str) -> Column:
+        """Bodies from step 0 on, null where one is missing; those of a whole list in order are so already."""
 
-    places = F.transform("entries", lambda e: F.struct(e["kind"], e["step"]))
-    twice = F.concat(F.lit("more than one row for a trace or its step: "), F.concat_ws("/", *TRACE))
-    once = F.array_size(F.array_distinct(places)) == F.array_size("entries")
-    text = F.when(once, F.coalesce(F.get(of(_PROMPT), F.lit(0))["body"], F.lit(""))).otherwise(F.raise_error(twice).cast("string"))
-    numbers = F.sequence(F.lit(0), F.lit(num_steps - 1)) if num_steps else F.array().cast("array<int>")
+        def body_at(step: Column) -> Column:
+            return F.get(f"{kind}_bodies", F.array_position(f"{kind}_steps", step).cast("int") - 1)
 
-    def aligned(made: Column, ran: Column) -> Column:
-        return F.transform(
-            numbers,
-            lambda step: F.struct(step.alias("step"), body_at(made, step).alias("completion"), body_at(ran, step).alias("output")),
-        )
+        return F.when(whole(kind), F.col(f"{kind}_bodies")).otherwise(F.transform(numbers, body_at))
 
-    steps = _with(columns(of(_COMPLETION)), lambda made: _with(columns(of(_OUTPUT)), lambda ran: aligned(made, ran)))
-    known = gathered.filter(F.exists("entries", lambda e: e["kind"] == _PROMPT))
+    twice = F.concat(F.lit("more than one row for a trace or its step: "), F.concat_ws("/", *TRACE))
+    text = F.when(
+        (F.array_size("prompt") == 1) & once("made") & once("ran"), F.coalesce(F.get("prompt", F.lit(0))["text"], F.lit(""))
+    ).otherwise(F.raise_error(twice).cast("string"))
+    steps = F.arrays_zip(numbers, aligned("made"), aligned("ran")).cast("array<struct<step:int,completion:string,output:string>>")
     return known.select(*TRACE, text.alias("text"), steps.alias("steps"))
 
 
@@ -171,29 +195,80 @@ def next_state(
     }
 
 
-def _named(values: Mapping[str, Column]) -> Column:
-    return F.struct(*[value.alias(name) for name, value in values.items()])
+_CODED, _SHOWN = re.compile(CODE_BLOCK).search, re.compile(OUTPUT_BLOCK).search
+
 
+def _states(region: str) -> bool:
+    return ANSWER_MARKS[0] in region or ANSWER_MARKS[1] in region
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def fold_steps(
+    prompt: str, completions: list[str | None], outputs: list[str | None], restart_on_fail: bool, region_chars: int = REGION_CHARS
+) -> tuple[str, int | None, bool, str | None]:
+    """The rules of ``verdict`` and ``next_state`` taken through all steps: gen_texts, pruned_step, has_code, answer_region.
 
-def final_state(text: Column, steps: Column, num_steps: int, restart_on_fail: bool, region_chars: int) -> Column:
-    """The decision table folded over the steps of a trace."""
+    A text without a code block does not outlive its step, one that states an
+    answer without an output block neither. So each block is searched for until
+    it is found, and holds until a restart.
+    """
+    chars = max(region_chars, len(OUTPUT_REQUEST))
+    pieces, tail, coded, shown, region = [prompt], prompt[-chars:], False, False, None
+    last = len(completions) - 1
+    for step, made in enumerate(completions):
+        made = made or ""
+        pieces.append(made)
+        tail = (tail + made)[-chars:]
+        if not coded:
+            coded = _CODED("".join(pieces)) is not None
+            if not coded and not restart_on_fail:
+                return "".join(pieces), step, False, region
+        asks = tail.endswith(OUTPUT_REQUEST)
+        if coded and not asks and _states(end := tail[max(0, len(tail) - region_chars) :]):
+            shown = shown or _SHOWN("".join(pieces)) is not None
+            if not shown:
+                return "".join(pieces), step, True, region
+            region = end
+        elif coded and step == last:
+            break
+        elif coded and asks:
+            output = outputs[step] or ""
+            added = (output if len(output) <= OUTPUT_CHARS else output[:OUTPUT_CHARS] + OUTPUT_CUT) + BLOCK_END
+            pieces.append(added)
+            tail = (tail + added)[-chars:]
+        elif restart_on_fail:
+            pieces, tail, coded, shown = [prompt], prompt[-chars:], False, False
+        else:
+            return "".join(pieces), step, True, region
+    return "".join(pieces), None, True, region
+
+
+# Traces whose steps are Python strings at a time.
+_FOLD_ROWS = 256
 
-    def take(before: Column, step: Column) -> Column:
-        state = {name: before[name] for name in ("gen_texts", "pruned_step", "has_code", "answer_region")} | {"text": text}
 
-        def decide(longer: Column) -> Column:
-            now = state | {"gen_texts": longer}
-            found = verdict(step["step"] == num_steps - 1, restart_on_fail, now, region_chars)
-            return _with(found, lambda f: _named(next_state(step["step"], f, step["output"], now, region_chars)))
+def _with_final_state(gathered: DataFrame, restart_on_fail: bool, region_chars: int) -> DataFrame:
+    """Traces and their ``text`` with the columns of ``fold_steps`` instead of ``steps``."""
+    state = [("gen_texts", StringType()), ("pruned_step", IntegerType()), ("has_code", BooleanType()), ("answer_region", StringType())]
+    types = [pa.string(), pa.int32(), pa.bool_(), pa.string()]
+    kept = gathered.select(*TRACE, "text").schema
 
-        return _with(longer_text(step["completion"], state), decide)
+    def fold(part: pa.RecordBatch) -> pa.RecordBatch:
+        prompts, lists = part.column("text").to_pylist(), [part.column(name) for name in ("completion", "output")]
+        made, ran = (bodies.flatten().to_numpy(zero_copy_only=False).tolist() for bodies in lists)
+        found, at = [], 0
+        for prompt, n in zip(prompts, pc.list_value_length(lists[0]).to_pylist()):
+            found.append(fold_steps(prompt, made[at : at + n], ran[at : at + n], restart_on_fail, region_chars))
+            at += n
+        values = [pa.array(list(column), kind) for column, kind in zip(zip(*found), types)]
+        return pa.RecordBatch.from_arrays([*map(part.column, kept.names), *values], [*kept.names, *(name for name, _ in state)])
 
-    return F.aggregate(steps, _named(_start(text)), take)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _FOLD_ROWS):
+                yield fold(batch.slice(at, _FOLD_ROWS))
+
+    rows = gathered.select(*kept.names, *[F.col("steps")[name].alias(name) for name in ("completion", "output")])
+    return rows.mapInArrow(run, StructType(kept.fields + [StructField(name, kind) for name, kind in state]))
 
 
 def read_answers(df: DataFrame) -> DataFrame:
@@ -225,15 +300,24 @@ def score_traces(
     A missing completion or output counts as empty. The prompts in ``traces``
     are shuffled along, which is cheap next to the completions.
     """
-    return score_steps(gather_steps(traces, generations, executions, num_steps), num_steps, restart_on_fail, region_chars)
+    return score_steps(gather_steps(traces, generations, executions, num_steps), restart_on_fail, region_chars)
 
 
-def score_steps(
-    gathered: DataFrame, num_steps: int = NUM_STEPS, restart_on_fail: bool = True, region_chars: int = REGION_CHARS
+def score_lists(
+    traces: DataFrame,
+    generations: DataFrame,
+    executions: DataFrame,
+    num_steps: int = NUM_STEPS,
+    restart_on_fail: bool = True,
+    region_chars: int = REGION_CHARS,
 ) -> DataFrame:
+    """``score_traces`` of tables with any number of steps of a trace in a row."""
+    return score_steps(gather_lists(traces, generations, executions, num_steps), restart_on_fail, region_chars)
+
+
+def score_steps(gathered: DataFrame, restart_on_fail: bool = True, region_chars: int = REGION_CHARS) -> DataFrame:
     """Final state of traces whose steps are in their row, as ``gather_steps`` returns them."""
-    state = final_state(F.col("text"), F.col("steps"), num_steps, restart_on_fail, region_chars)
-    scored = gathered.select(*TRACE, "text", state.alias("state")).select(*TRACE, "text", "state.*")
+    scored = _with_final_state(gathered, restart_on_fail, region_chars)
     return read_answers(scored).select(*STATE)
 
 

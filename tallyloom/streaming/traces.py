@@ -93,7 +93,7 @@ def start_scoring(
     """Score every trace as it becomes whole and store it below ``out``, one folder per micro-batch."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        score_steps(batch, num_steps, restart_on_fail).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        score_steps(batch, restart_on_fail).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         whole_traces(stream, num_steps)

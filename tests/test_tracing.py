@@ -1,6 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions import blocks
 from tallyloom.plans import tracing
 
 PROMPT = "### Problem: p\n### Solution: "
@@ -112,6 +116,80 @@ def test_all_steps_need_one_shuffle(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
+def plainly(prompt, completions, outputs, restart, region_chars):
+    """The decision table on whole texts, step by step."""
+    text, region = prompt, None
+    for step, (made, ran) in enumerate(zip(completions, outputs)):
+        text += made
+        asks, end = text.endswith(ASK), text[-region_chars:]
+        answers = not asks and ("answer is" in end or "\\boxed" in end)
+        if not re.search(blocks.CODE_BLOCK, text):
+            if not restart:
+                return text, step, False, region
+            text = prompt
+        elif answers and not re.search(blocks.OUTPUT_BLOCK, text):
+            return text, step, True, region
+        elif answers:
+            region = end
+        elif step == len(completions) - 1:
+            break
+        elif asks:
+            text += (ran if len(ran) <= 200 else ran[:200] + blocks.OUTPUT_CUT) + "\n```"
+        elif restart:
+            text = prompt
+        else:
+            return text, step, True, region
+    return text, None, True, region
+
+
+def test_the_fold_decides_as_on_whole_texts():
+    dice, seen = random.Random(3), set()
+    parts = [CODE, ASK, CODE + ASK, "```", "```python", "put\n", "```out", "`", "``", "answer is 3", "\\boxed{1}", "x" * 30, "é\n", ""]
+    for _ in range(20_000):
+        made = ["".join(dice.choices(parts, k=dice.randrange(4))) for _ in range(dice.randrange(9))]
+        ran = [dice.choice(["", "1", "7" * 250, "``", "answer is 2", "```"]) for _ in made]
+        given = (dice.choice([PROMPT, "", CODE]), made, ran, dice.random() < 0.7, dice.choice([100, 15, 5]))
+        assert tracing.fold_steps(*given) == plainly(*given)
+        seen.add(plainly(*given)[1:])
+    assert len(seen) > 100
+
+
+def test_lists_of_steps_give_the_same_as_rows(spark):
+    """Lists in order, out of order, in pieces, with gaps, nulls and steps beyond the last."""
+    keys = "problem_id long, sample_id long"
+    traces = spark.createDataFrame([(1, i, PROMPT) for i in range(5)], f"{keys}, text string")
+    whole = [(0, CODE + ASK), (1, "\n" + BOX), (2, "")]
+    made = [(1, 0, whole), (1, 1, whole[::-1]), (1, 2, whole[1:]), (1, 2, whole[:1]), (1, 3, whole[:2] + [(7, "z"), (None, "z"), (2, None)])]
+    made += [(1, 4, None), (1, 4, []), (1, 9, whole)]
+    ran = [(1, i, [(0, f"{i}" * 60)]) for i in range(4)]
+
+    def frames(rows, name):
+        lists = spark.createDataFrame(rows, f"{keys}, steps array<struct<step:long,{name}:string>>")
+        return lists, lists.select("problem_id", "sample_id", F.inline("steps"))
+
+    (made_lists, made_rows), (ran_lists, ran_rows) = frames(made, "completion"), frames(ran, "output")
+    order = ["problem_id", "sample_id"]
+    lists = tracing.score_lists(traces, made_lists, ran_lists, 3).orderBy(order).collect()
+    assert lists == tracing.score_traces(traces, made_rows, ran_rows, 3).orderBy(order).collect()
+    assert [row.model_answers for row in lists] == ["12"] * 4 + ["-1"] and len(lists[0].gen_texts) > 100
+    again = made_lists.union(made_lists.filter("sample_id = 2"))
+    with pytest.raises(Exception, match="more than one row for a trace or its step: 1/2"):
+        tracing.score_lists(traces, again, ran_lists, 3).collect()
+
+
+def test_long_traces_take_work_in_their_length(spark):
+    steps = 20_000
+    traces = spark.createDataFrame([(1, 1, PROMPT)], "problem_id long, sample_id long, text string")
+    numbers = traces.select("problem_id", "sample_id", F.sequence(F.lit(0), F.lit(steps - 1)).alias("step"))
+
+    def lists(body, name):
+        rows = numbers.withColumn(name, F.array_repeat(F.lit(body), steps))
+        return rows.select("problem_id", "sample_id", F.arrays_zip("step", name).alias("steps"))
+
+    row = tracing.score_lists(traces, lists(CODE + ASK, "completion"), lists("1" * 100, "output"), steps).first()
+    assert row.gen_texts == PROMPT + (CODE + ASK + "1" * 100 + "\n```") * (steps - 1) + CODE + ASK
+
+
 def test_live_functions_give_the_same_as_tables(spark):
     def make_generate():
         def generate(texts):
