@@ -14,37 +14,63 @@ def _place(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
 
 
+class Folder:
+    """A folder whose store is looked up once, for many small files."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self._path = spark, spark._jvm.org.apache.hadoop.fs.Path
+        self._system, self._place = _place(spark, path)
+        self._settings = self._system.getDefaultReplication(self._place), self._system.getDefaultBlockSize(self._place)
+
+    def names(self) -> list[str]:
+        """Sorted names; none if the folder does not exist."""
+        if not self._system.exists(self._place):
+            return []
+        paths = self._spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(self._system.listStatus(self._place))
+        return sorted(path.getName() for path in paths)
+
+    def holds(self, name: str) -> bool:
+        return self._system.exists(self._path(self._place, name))
+
+    def write(self, name: str, text: str, replace: bool = False) -> None:
+        """Write a file under a passing name and rename it; an existing one raises unless it is to be replaced."""
+        passing, place = self._path(self._place, f".{uuid.uuid4().hex}"), self._path(self._place, name)
+        # Without a permission of its own: a local store would start a process for each file to set it.
+        out = self._system.create(passing, None, True, 4096, *self._settings, None)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if replace and self._system.exists(place):
+            self._replace(passing, place)
+        elif self._system.exists(place) or not self._system.rename(passing, place):
+            # Some stores rename over a file, the others refuse it themselves.
+            self._system.delete(passing, False)
+            raise FileExistsError(f"{place} is there already")
+
+    def _replace(self, passing: Any, place: Any) -> None:
+        jvm = self._spark._jvm
+        conf = self._spark._jsparkSession.sessionState().newHadoopConf()
+        passing, place = self._system.makeQualified(passing), self._system.makeQualified(place)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(passing.toUri(), conf)
+        options = self._spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        try:
+            context.rename(passing, place, options)
+        except Exception:
+            self._system.delete(passing, False)
+            raise
+
+
 def names_in(spark: SparkSession, folder: str) -> list[str]:
     """Sorted names in a folder; none if it does not exist."""
-    system, place = _place(spark, folder)
-    if not system.exists(place):
-        return []
-    return sorted(status.getPath().getName() for status in system.listStatus(place))
+    return Folder(spark, folder).names()
 
 
 def write_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
-    """Write a file under a passing name and rename it; an existing one raises unless it is to be replaced."""
-    system, place = _place(spark, path)
-    passing = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
-    out = system.create(passing, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    jvm = spark._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        system.makeQualified(passing).toUri(), spark._jsparkSession.sessionState().newHadoopConf()
-    )
-    kind = jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(kind, 1)
-    options[0] = kind.OVERWRITE if replace else kind.NONE
-    try:
-        context.rename(system.makeQualified(passing), system.makeQualified(place), options)
-    except Exception as error:
-        system.delete(passing, False)
-        if "FileAlreadyExists" in str(error):
-            raise FileExistsError(f"{path} is there already") from None
-        raise
+    """One file by the rules of ``Folder.write``."""
+    folder, _, name = path.rpartition("/")
+    Folder(spark, folder).write(name, text, replace)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from tallyloom.sources import files
 from tallyloom.sources.answer_log import AnswerLog
 
 
@@ -65,3 +66,25 @@ def test_an_answer_of_another_run_stays(spark, feed, tmp_path):
 def test_an_empty_log(spark, feed, tmp_path):
     log = AnswerLog(spark, str(tmp_path / "log"), feed.filter("false"))
     assert log.solve(lambda row: 1) == 0 and log.answers().collect() == []
+
+
+def test_the_work_for_an_answer_does_not_grow_with_the_log(spark, feed, tmp_path, monkeypatch):
+    """The store is looked up and the folder listed once per run, not for every answer or chunk."""
+    looked, place = [], files._place
+    monkeypatch.setattr(files, "_place", lambda *args: looked.append(args) or place(*args))
+    log = AnswerLog(spark, str(tmp_path / "log"), feed)
+    listed, places = [], log.places
+    monkeypatch.setattr(log, "places", lambda: listed.append(1) or places())
+    for _ in log.problems_left(chunk=2):
+        log.predict(1)
+    assert len(looked) == len(listed) == 1 and len(places()) == 25
+
+
+def test_an_answer_given_meanwhile_is_passed_over(spark, feed, tmp_path):
+    path = str(tmp_path / "log")
+    one, two = AnswerLog(spark, path, feed), AnswerLog(spark, path, feed)
+    left = one.problems_left()
+    assert next(left).id == 10
+    one.predict(1)
+    assert two.solve(lambda row: 2, 3) == 3
+    assert next(left).id == 14
