@@ -1,11 +1,14 @@
 """Traces scored while their steps arrive: completions and outputs in any files, late and out of order.
 
-Three folders are followed as one stream: prompts, completions, outputs. The
-state of a trace holds what has arrived of it; when its prompt and every step
-are there, it leaves the state as one row, once, and only a mark stays that it
-is over. Rows that come again change nothing. The decision table itself runs on
-the finished rows, as the same column expressions as in a batch, and results are
-stored per micro-batch: a repeated batch writes its own folder again.
+Three folders are followed as one stream: prompts, completions, outputs. What
+has arrived of a trace is kept; when its prompt and every step are there, it
+leaves as one row, once, and only a mark stays that it is over. Rows that come
+again change nothing. ``start_scoring`` keeps both as tables next to its
+checkpoint, so a micro-batch is one shuffle and no trace passes through Python
+for its state; ``whole_traces`` keeps them in the state of a stream that goes on
+elsewhere. The decision table runs on the finished rows by the same functions as
+in a batch, and results are stored per micro-batch: a repeated batch writes its
+own folders again.
 """
 
 from __future__ import annotations
@@ -87,18 +90,72 @@ def whole_traces(stream: DataFrame, num_steps: int = NUM_STEPS) -> DataFrame:
     )
 
 
+def _gathered(rows: DataFrame, num_steps: int) -> DataFrame:
+    """One row per trace: its key, ``over``, ``entries`` (kind, step, body) without repeats.
+
+    ``rows`` have a trace's mark and what is kept and new of it, as lists of
+    entries. Two different entries for one step of a trace that is not over raise.
+    """
+    kept = rows.withColumn("__trace", F.xxhash64(*TRACE)).repartition("__trace").groupBy("__trace", *TRACE)
+    found = kept.agg(F.max("over").alias("over"), F.flatten(F.collect_list("entries")).alias("entries"))
+
+    def place(e: Column) -> Column:
+        kind = F.when(e["kind"] == PROMPT, 0).when(e["kind"] == COMPLETION, 1).otherwise(2)
+        return e["step"].cast("long") * 3 + kind
+
+    # Places are whole numbers, which are told apart faster than texts; most traces have no repeats.
+    places = F.array_size(F.array_distinct(F.transform("entries", place)))
+    found = found.withColumn("places", places).withColumn(
+        "entries", F.when(F.col("places") == F.array_size("entries"), F.col("entries")).otherwise(F.array_distinct("entries"))
+    )
+    twice = F.concat(F.lit("two different rows for one step of the trace "), F.concat_ws("/", *TRACE))
+    once = F.col("over") | (F.col("places") == F.array_size("entries"))
+    entries = F.when(once, F.col("entries")).otherwise(F.raise_error(twice).cast(found.schema["entries"].dataType))
+    whole = ~F.col("over") & (F.array_size("entries") == 2 * num_steps + 1)
+    return found.select(*TRACE, "over", entries.alias("entries")).withColumn("whole", whole)
+
+
+def _finished_rows(whole: DataFrame, num_steps: int) -> DataFrame:
+    """Whole traces as ``score_steps`` takes them."""
+
+    def bodies(kind: str) -> Column:
+        own = F.array_sort(F.filter("entries", lambda e: e["kind"] == kind))
+        return own["body"]
+
+    numbers = F.sequence(F.lit(0), F.lit(num_steps - 1)) if num_steps else F.array().cast("array<int>")
+    steps = F.arrays_zip(numbers, bodies(COMPLETION), bodies(OUTPUT)).cast("array<struct<step:int,completion:string,output:string>>")
+    return whole.select(*TRACE, F.get(bodies(PROMPT), F.lit(0)).alias("text"), steps.alias("steps"))
+
+
 def start_scoring(
     stream: DataFrame, out: str, checkpoint: str, num_steps: int = NUM_STEPS, restart_on_fail: bool = True
 ) -> StreamingQuery:
-    """Score every trace as it becomes whole and store it below ``out``, one folder per micro-batch."""
+    """Score every trace as it becomes whole and store it below ``out``, one folder per micro-batch.
+
+    Below ``<checkpoint>-traces`` every batch leaves the traces that are still
+    open and the keys of all that are over; the next batch reads those of the
+    batch before, so a repeated one finds what it found the first time.
+    """
+    kept = f"{checkpoint}-traces"
+    inside = (F.col("kind") == PROMPT) | F.col("step").between(0, num_steps - 1)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        score_steps(batch, restart_on_fail).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        entry = F.struct("kind", "step", "body")
+        new = batch.filter(inside).select(*TRACE, F.lit(False).alias("over"), F.array(entry).alias("entries"))
+        before = f"{kept}/batch={batch_id - 1}"
+        rows = new if batch_id == 0 else new.unionByName(spark.read.schema(new.schema).parquet(before))
+        path = f"{kept}/gathered={batch_id}"
+        _gathered(rows, num_steps).write.mode("overwrite").parquet(path)
+        found = spark.read.parquet(path)
+        score_steps(_finished_rows(found.filter("whole"), num_steps), restart_on_fail).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        over = F.col("over") | F.col("whole")
+        # Nothing but the mark stays of what is over.
+        entries = F.when(over, F.array().cast(found.schema["entries"].dataType)).otherwise(F.col("entries"))
+        found.select(*TRACE, over.alias("over"), entries.alias("entries")).write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
 
     return (
-        whole_traces(stream, num_steps)
-        .writeStream.foreachBatch(store)
-        .outputMode("append")
+        stream.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -87,3 +87,19 @@ def test_nothing_has_arrived(spark, tmp_path):
         (tmp_path / kind).mkdir()
     assert score(spark, str(tmp_path)) == []
     assert whole_traces(streams(spark, str(tmp_path))).isStreaming
+
+
+def test_open_traces_and_marks_are_tables(spark, tmp_path):
+    """What a batch leaves: the entries of open traces, and nothing but the mark of those that are over."""
+    home = str(tmp_path)
+    whole = {"prompts": [(1, 1, "p")], "generations": [(1, 1, i, f"c{i}") for i in range(4)], "executions": [(1, 1, i, "") for i in range(4)]}
+    for kind, rows in whole.items():
+        write(spark, home, kind, rows + [(1, 2, *row[2:]) for row in rows[:3]] + [(1, 1, *row[2:]) for row in rows])
+    assert [row[:2] for row in score(spark, home)] == [(1, 1)]
+    last = max(int(path.name.partition("=")[2]) for path in tmp_path.glob("progress-traces/batch=*"))
+    kept = spark.read.parquet(f"{home}/progress-traces/batch={last}").orderBy("sample_id").collect()
+    assert [(row.sample_id, row.over, len(row.entries)) for row in kept] == [(1, True, 0), (2, False, 7)]
+    # A trace that is over takes no rows, the other one is finished by its last two.
+    write(spark, home, "generations", [(1, 1, 0, "late"), (1, 2, 3, "c3"), (1, 2, 9, "beyond")])
+    write(spark, home, "executions", [(1, 2, 3, "")])
+    assert [row[:2] for row in score(spark, home)] == [(1, 1), (1, 2)]
