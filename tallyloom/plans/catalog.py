@@ -518,7 +518,7 @@ def logged_answers(spark, folder):
     path = work_folder(spark, "answers")
     for most in (3, 4, None):
         AnswerLog(spark, path, feed).solve(lambda row: int(row["s_acctbal"]) % 1000, most)
-    return AnswerLog(spark, path, feed).answers().select("place", "id", "answer")
+    return settle(AnswerLog(spark, path, feed).answers().select("place", "id", "answer"))
 
 
 @query

@@ -88,3 +88,106 @@ def test_an_answer_given_meanwhile_is_passed_over(spark, feed, tmp_path):
     one.predict(1)
     assert two.solve(lambda row: 2, 3) == 3
     assert next(left).id == 14
+
+
+class Counted:
+    """Stands for a store and counts the calls it gets."""
+
+    def __init__(self, store):
+        self.store, self.calls = store, []
+
+    def __getattr__(self, name):
+        self.calls.append(name)
+        return getattr(self.store, name)
+
+
+def test_an_answer_takes_no_call_to_a_local_store(spark, feed, tmp_path):
+    log = AnswerLog(spark, str(tmp_path / "log"), feed)
+    store = log._folder._system = Counted(log._folder._system)
+    assert log.solve(lambda row: 1, 5) == 5
+    first = len(store.calls)
+    assert log.solve(lambda row: 1) == 20 and len(store.calls) == first
+
+
+def test_the_feed_is_read_a_fixed_number_of_times(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(place):
+        read.add(1)
+        return 10 + place, place
+
+    feed = spark.createDataFrame(spark.sparkContext.parallelize(range(25), 4).map(counted), "id long, place long")
+    log, places = AnswerLog(spark, str(tmp_path / "log"), feed), []
+    for row in log.problems_left(chunk=2):
+        places.append(row.place)
+        log.predict(1)
+    # Counted, sampled and put in order.
+    assert places == list(range(25)) and read.value <= 3 * 25
+
+
+def test_a_task_reads_many_answers(spark, feed, tmp_path):
+    log = AnswerLog(spark, str(tmp_path / "log"), feed)
+    log.solve(lambda row: row.id)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
+    try:
+        answers = log.answers()
+        assert answers.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert sorted(map(tuple, answers.collect())) == [(i, 10 + i, 10 + i) for i in range(25)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_places_in_any_order_and_with_gaps(spark, tmp_path):
+    rows = [(i, place) for i, place in enumerate([7, 0, 300, 5, None, 2])]
+    log = AnswerLog(spark, str(tmp_path / "log"), spark.createDataFrame(rows, "id long, place long"))
+    assert log.solve(lambda row: row.place) == 5
+    assert sorted(map(tuple, log.answers().collect())) == [(0, 1, 0), (2, 5, 2), (5, 3, 5), (7, 0, 7), (300, 2, 300)]
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_a_folder_keeps_its_rules_here_and_through_the_store(spark, tmp_path, local):
+    path = tmp_path / "an é, b"
+    folder = files.Folder(spark, str(path))
+    if not local:
+        folder._local = ""
+    assert folder.names() == [] and not folder.holds("a, b.json")
+    for name in ("c.json", "a, b.json", "é.json"):
+        folder.write(name, f"{name}\n" * 200)
+    assert folder.holds("a, b.json") and not folder.holds("b.json")
+    with pytest.raises(FileExistsError, match="there already"):
+        folder.write("c.json", "again")
+    assert folder.names() == ["a, b.json", "c.json", "é.json"]
+    # Nothing is left over, and checksums are beside the files.
+    assert sorted(os.listdir(path)) == sorted(f for name in folder.names() for f in (name, f".{name}.crc"))
+    assert [row.value for row in spark.read.text(str(path / "c.json")).distinct().collect()] == ["c.json"]
+    folder.write("c.json", "new", replace=True)
+    assert files.read_text(spark, str(path / "c.json")) == "new"
+    (path / "a, b.json").write_text("damaged")
+    with pytest.raises(Exception, match="(?i)checksum"):
+        spark.read.text(str(path / "a, b.json")).collect()
+
+
+def test_a_file_system_without_links(spark, tmp_path, monkeypatch):
+    def refuse(*args):
+        raise PermissionError
+
+    monkeypatch.setattr(os, "link", refuse)
+    folder = files.Folder(spark, str(tmp_path / "x"))
+    folder.write("a", "1")
+    with pytest.raises(FileExistsError):
+        folder.write("a", "2")
+    assert files.read_text(spark, str(tmp_path / "x" / "a")) == "1" and sorted(os.listdir(tmp_path / "x")) == [".a.crc", "a"]
+
+
+def test_a_write_that_breaks_off_leaves_nothing(spark, tmp_path, monkeypatch):
+    folder = files.Folder(spark, str(tmp_path / "x"))
+    folder.write("a", "1")
+
+    def full(*args):
+        raise OSError(28, "no space left")
+
+    for step in ("link", "rename"):
+        monkeypatch.setattr(os, step, full)
+    with pytest.raises(OSError, match="no space"):
+        folder.write("b", "2")
+    assert folder.names() == ["a"] and sorted(os.listdir(tmp_path / "x")) == [".a.crc", "a"]
